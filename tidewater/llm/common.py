@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
@@ -22,9 +23,20 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: Characters of text that one Python step holds at a time.
 SLICE_CHARS = 1_500_000
 
+#: White space to Python's str.split() that doesn't separate words here (fixed values).
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_WORD = re.compile("[^\x20\x09-\x0D]+")
+
 _cleanup: set[str] = set()
 
 
+def split_words(text: str | None) -> list[str]:
+    """Words of a text in Python, the same as `words_column` gives."""
+    if not text:
+        return []
+    return _WORD.findall(text) if _ODD_SPACE.search(text) else text.split()
+
+
 def words_column(text: Column) -> Column:
     """Words of a text, split natively; an empty array for null or blank text."""
     body = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))

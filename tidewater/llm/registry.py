@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from tidewater.llm.mix_schedule import op5_mix
+from tidewater.llm.pack_complement import op7_pack
 from tidewater.llm.quality_table import op10_quality
 
 
 def queries() -> dict:
     return {
+        "op5_mix": op5_mix,
+        "op7_pack": op7_pack,
         "op10_quality": op10_quality,
     }
 
