@@ -122,3 +122,40 @@ def slices(batches, text_index: int, limit: int = SLICE_CHARS):
 
 def parallelism(spark: SparkSession, per_core: int = 2) -> int:
     return max(1, spark.sparkContext.defaultParallelism * per_core)
+
+
+def runs(texts: list, limit: int = SLICE_CHARS):
+    """Cut a list of texts into (start, texts) runs of about `limit` characters."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        held += len(t) if t else 0
+        if held >= limit:
+            yield start, texts[start : i + 1]
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, texts[start:]
+
+
+class Lookup:
+    """Word ids behind a bounded cache: `rule(word)` decides for words not seen lately."""
+
+    def __init__(self, rule, limit: int = 400_000):
+        self.rule, self.limit, self.known = rule, limit, {}
+
+    def ids(self, words: list[str], dtype=None):
+        import numpy as np
+
+        known = self.known
+        got = list(map(known.get, words))
+        if None in got:
+            if len(known) > self.limit:
+                known.clear()
+            rule = self.rule
+            for i, x in enumerate(got):
+                if x is None:
+                    w = words[i]
+                    x = known.get(w)
+                    if x is None:
+                        x = known[w] = rule(w)
+                    got[i] = x
+        return np.array(got, dtype=dtype or np.int64)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from tidewater.llm.mix_schedule import op5_mix
 from tidewater.llm.pack_complement import op7_pack
 from tidewater.llm.quality_table import op10_quality
+from tidewater.llm.toxicity_kn import op3_toxicity
 
 
 def queries() -> dict:
     return {
+        "op3_toxicity": op3_toxicity,
         "op5_mix": op5_mix,
         "op7_pack": op7_pack,
         "op10_quality": op10_quality,
