@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidewater.llm.brown_lm import op4_brown
+from tidewater.llm.language_crf import op1_language
 from tidewater.llm.mix_schedule import op5_mix
 from tidewater.llm.pack_complement import op7_pack
 from tidewater.llm.quality_table import op10_quality
@@ -11,6 +12,7 @@ from tidewater.llm.toxicity_kn import op3_toxicity
 
 def queries() -> dict:
     return {
+        "op1_language": op1_language,
         "op3_toxicity": op3_toxicity,
         "op4_brown": op4_brown,
         "op5_mix": op5_mix,
