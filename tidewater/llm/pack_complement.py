@@ -16,6 +16,9 @@ packed separately; an empty table gives no pieces; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
 import zlib
 
 import numpy as np
@@ -27,47 +30,105 @@ from tidewater.llm.common import cut, slices, split_words
 
 CAPACITY = 2048
 END_ID = 0
-#: Words whose ids a worker keeps at a time; a full cache is emptied.
-CACHE_WORDS = 300_000
+#: Parts of texts whose ids a worker keeps at a time; a full cache is emptied.
+CACHE_PARTS = 600_000
 RANK_GROUP = 512
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+#: How the tokenizer cuts a text, for characters up to U+00FF (fixed values: letters, digits, white space).
+_LATIN_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_LATIN_DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_LATIN_PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LATIN_LETTERS}]+|[{_LATIN_DIGITS}]|[^\\t-\\r \x85\xa0{_LATIN_LETTERS}{_LATIN_DIGITS}]+")
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their strings in a text are then ordinary text
-    return found
 
+class WordIds:
+    """Ids of the parts of texts as little-endian bytes, behind a bounded cache.
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Pieces of every document: doc_id, piece, start, length, ids_crc32.
-
-    The tokenizer drops white space and looks at each word by itself, so a word
-    has the same ids wherever it stands: a batch encodes its distinct words once
-    and a document is the concatenation of its words' ids.
+    The tokenizer lower-cases, drops white space and encodes each run of letters,
+    each digit and each run of other characters by itself, so a part has the same
+    ids wherever it stands. Runs of letters not seen lately are encoded many to a
+    call and cut apart after the ids that end a word. Texts with characters above
+    U+00FF are cut at white space alone and their words are encoded one by one.
     """
 
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are then ordinary text
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, parts: set[str]) -> None:
+        letters = [p for p in parts if p.isalpha() and _latin(p)]
+        others = list(parts.difference(letters))
+        for a in range(0, len(letters), 5000):
+            some = letters[a : a + 5000]
+            body = self._encode([" ".join(some)])[0]
+            after = np.flatnonzero(self.ends[np.frombuffer(body, dtype="<u4")]) + 1
+            if len(after) != len(some):  # not cut as expected: one by one
+                self.known.update(zip(some, self._encode(some)))
+                continue
+            edges = [0, *(after * 4).tolist()]
+            self.known.update((w, body[x:y]) for w, x, y in zip(some, edges, edges[1:]))
+        for a in range(0, len(others), 5000):
+            some = others[a : a + 5000]
+            self.known.update(zip(some, self._encode(some)))
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, without an end."""
+        cut = [_LATIN_PARTS.findall(t.lower()) if t and _latin(t) else split_words(t) for t in texts]
+        flat = list(itertools.chain.from_iterable(cut))
+        found = list(map(self.known.get, flat))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            fresh = {flat[i] for i in missing}
+            if len(self.known) + len(fresh) > CACHE_PARTS:
+                self.known.clear()
+            self._learn(fresh)
+            for i in missing:
+                found[i] = self.known[flat[i]]
+        edges = [0, *itertools.accumulate(map(len, cut))]
+        return [b"".join(found[x:y]) for x, y in zip(edges, edges[1:])]
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+_word_ids: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The worker's own ids for a tokenizer file; they outlive a task."""
+    if path not in _word_ids:
+        _word_ids[path] = WordIds(path)
+    return _word_ids[path]
+
+
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """Pieces of every document: doc_id, piece, start, length, ids_crc32."""
+
     def encode(batches):
-        tokenizer = _tokenizer(tokenizer_path)
-        known: dict[str, bytes] = {}
+        ids_of = word_ids(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
         size = capacity * 4
         for batch in slices(batches, 1):
-            split = [split_words(t) for t in batch.column(1).to_pylist()]
-            fresh = list({w for words in split for w in words if w not in known})
-            if len(known) + len(fresh) > CACHE_WORDS:
-                known.clear()
-                fresh = list({w for words in split for w in words})
-            for a in range(0, len(fresh), 50_000):
-                part = fresh[a : a + 50_000]
-                for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
             rows = ([], [], [], [], [])
-            for doc_id, words in zip(batch.column(0).to_pylist(), split):
-                ids = b"".join(map(known.__getitem__, words)) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of.texts(batch.column(1).to_pylist())):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), size)):
                     body = ids[at : at + size]
                     for column, value in zip(rows, (doc_id, piece, at // 4, len(body) // 4, zlib.crc32(body))):
