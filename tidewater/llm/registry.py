@@ -6,6 +6,7 @@ from tidewater.llm.brown_lm import op4_brown
 from tidewater.llm.language_crf import op1_language
 from tidewater.llm.mix_schedule import op5_mix
 from tidewater.llm.pack_complement import op7_pack
+from tidewater.llm.pii_skipcrf import op6_pii
 from tidewater.llm.quality_table import op10_quality
 from tidewater.llm.toxicity_kn import op3_toxicity
 
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op3_toxicity": op3_toxicity,
         "op4_brown": op4_brown,
         "op5_mix": op5_mix,
+        "op6_pii": op6_pii,
         "op7_pack": op7_pack,
         "op10_quality": op10_quality,
     }
