@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidewater.llm.brown_lm import op4_brown
+from tidewater.llm.embedding_ego import op9_embeddings
 from tidewater.llm.language_crf import op1_language
 from tidewater.llm.mix_schedule import op5_mix
 from tidewater.llm.pack_complement import op7_pack
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op5_mix": op5_mix,
         "op6_pii": op6_pii,
         "op7_pack": op7_pack,
+        "op9_embeddings": op9_embeddings,
         "op10_quality": op10_quality,
     }
 
