@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidewater.llm.brown_lm import op4_brown
 from tidewater.llm.embedding_ego import op9_embeddings
+from tidewater.llm.jaccard_orders import op2_jaccard
 from tidewater.llm.language_crf import op1_language
 from tidewater.llm.mix_schedule import op5_mix
 from tidewater.llm.pack_complement import op7_pack
@@ -15,6 +16,7 @@ from tidewater.llm.toxicity_kn import op3_toxicity
 def queries() -> dict:
     return {
         "op1_language": op1_language,
+        "op2_jaccard": op2_jaccard,
         "op3_toxicity": op3_toxicity,
         "op4_brown": op4_brown,
         "op5_mix": op5_mix,
