@@ -10,6 +10,7 @@ from tidewater.llm.mix_schedule import op5_mix
 from tidewater.llm.pack_complement import op7_pack
 from tidewater.llm.pii_skipcrf import op6_pii
 from tidewater.llm.quality_table import op10_quality
+from tidewater.llm.substring_automata import op8_substrings
 from tidewater.llm.toxicity_kn import op3_toxicity
 
 
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op5_mix": op5_mix,
         "op6_pii": op6_pii,
         "op7_pack": op7_pack,
+        "op8_substrings": op8_substrings,
         "op9_embeddings": op9_embeddings,
         "op10_quality": op10_quality,
     }
