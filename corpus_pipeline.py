@@ -1,8 +1,81 @@
-"""The corpus pipeline (filled in below as its operators land)."""
+"""The corpus pipeline: from raw documents to packed training sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns
+is written as Parquet and read again as the next stage's docs. All stages but
+the last return the columns of `documents`, and each works on all rows that its
+predecessor kept.
+
+1. toxicity: documents whose class-conditional score is 0.5 or more are dropped.
+2. jaccard: of each class of near-duplicates the document with the smallest id
+   stays; rows without an id stay.
+3. pii: personal data is replaced by its kind in brackets.
+4. mix: each document is repeated, shortened or left out as the source mix says.
+5. pack: the texts become token sequences of 2048.
+
+Nulls, blank texts, repeated rows and empty tables have the results that the
+operators define; repeated rows count as one document from stage 2 on, and a
+document of no words is in no mix.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.llm import jaccard_orders, mix_schedule, pack_complement, pii_skipcrf, toxicity_kn
+from tidewater.llm.common import cut, fold, words_column
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the toxicity model rejects."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 5) != 0)
+    model = toxicity_kn.fit_on(docs, labels)
+    return docs.where(toxicity_kn.score_column(spark, model) < 0.5)
+
+
+def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each near-duplicate class."""
+    classes = jaccard_orders.jaccard_components(docs.select("doc_id", "text"))
+    first = classes.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Redact personal data."""
+    model = pii_skipcrf.fit_on(docs)
+    clean = docs.withColumn("text", pii_skipcrf.redact_column(spark, model))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat, shorten or leave out documents as the source mix says."""
+    key = F.xxhash64("doc_id", "source", "text")
+    keyed = docs.withColumn("__key", key)
+    drawn = mix_schedule.mix(keyed.select(F.col("__key").alias("doc_id"), "source", "text"))
+    drawn = drawn.groupBy(F.col("doc_id").alias("__key")).agg(F.flatten(F.collect_list("rounds")).alias("__rounds"), F.first("size").alias("__size"))
+    texts = keyed.dropDuplicates(["__key"]).join(drawn, "__key").withColumn("__words", F.explode("__rounds.words"))
+    part = F.array_join(F.slice(words_column(F.col("text")), F.lit(1), F.col("__words").cast("int")), " ")
+    out = texts.withColumn("text", F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(part))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the mixed texts into sequences."""
+    import public_tokenizers
+
+    return pack_complement.pack(pack_complement.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [("toxicity", toxicity), ("jaccard", jaccard), ("pii", pii), ("mix", mix), ("pack", pack)]
+
+#: Model scores, components and packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table `documents`."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

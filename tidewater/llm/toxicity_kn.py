@@ -32,7 +32,9 @@ from tidewater.llm.common import Lookup, fold, runs, split_words
 
 SAMPLE_PER_CLASS = 3000
 #: A word or pair gets counts of its own if it is in so large a part of the smaller class's texts, and in LEAST_TEXTS at least.
-MIN_SHARE = 0.01
+MIN_SHARE = 0.02
+#: What rejecting an ordinary text costs, against passing a toxic one.
+ORDINARY_COST = 2.0
 LEAST_TEXTS = 5
 WINDOWS = (1, 24, 96)
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’…–—¡¿"
@@ -145,8 +147,8 @@ def _features(diff: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Weights (last: intercept) by iteratively reweighted least squares, both classes weighing the same."""
-    weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    """Weights (last: intercept) by iteratively reweighted least squares, both classes weighing the same but for their cost."""
+    weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 * ORDINARY_COST / max(1 - y.mean(), 1e-9))
     a = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(a.shape[1])
     penalty = np.diag([ridge] * x.shape[1] + [1e-6])
