@@ -7,12 +7,13 @@ whose word sequence also starts in a document with a smaller id.
    words long pieces in it, so equal windows have equal anchors and a document
    has few of them. Anchors that only one document has are dropped.
 2. Documents that hold shared anchors hand on the windows around them; windows
-   sorted by their 128-bit hash name the first document of each sequence, which
+   sorted by their 96-bit hash name the first document of each sequence, which
    confirms the recurring ones and where they recur.
-3. The recurring sequences of a slice of documents are compiled into one
-   Aho-Corasick automaton over words, through which the whole documents of the
-   slice are streamed: each occurrence found removes its words. Automata are as
-   small as the slices, however large the collection of passages grows.
+3. The recurring passages of a slice of documents, cut into windows that cover
+   them, are compiled into one Aho-Corasick automaton over words, through which
+   the whole documents of the slice are streamed: each occurrence found removes
+   its words. Automata are as small as the slices, however large the collection
+   of passages grows.
 
 Sorted streams hold one sequence at a time, so no passage, however common, is
 gathered in a task.
@@ -123,9 +124,10 @@ def recurring_windows(held: DataFrame) -> DataFrame:
                 where = np.flatnonzero(shared[at] == own)
                 if len(where):
                     place = (zlib.crc32(text.encode("utf-8", "surrogatepass")) << 32) + where.astype(np.uint64)
-                    columns = (window_hashes(ids, WINDOW, 1)[where], window_hashes(ids, WINDOW, 2)[where], np.full(len(where), doc_id), place)
+                    second = (window_hashes(ids, WINDOW, 2)[where] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    columns = (window_hashes(ids, WINDOW, 1)[where].view(np.int64), second, np.full(len(where), doc_id), place.view(np.int64))
                     for c, v in zip(out, columns):
-                        c.append(v.view(np.int64))
+                        c.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["h1", "h2", "doc_id", "place"])
 
@@ -145,7 +147,7 @@ def recurring_windows(held: DataFrame) -> DataFrame:
             if out.any():
                 yield pa.RecordBatch.from_arrays([pa.array(d[out]), pa.array(p[out])], names=["doc_id", "place"])
 
-    rows = held.mapInArrow(emit, "h1 long, h2 long, doc_id long, place long")
+    rows = held.mapInArrow(emit, "h1 long, h2 int, doc_id long, place long")
     return rows.repartition(F.col("h1")).sortWithinPartitions("h1", "h2", "doc_id").mapInArrow(later, "doc_id long, place long")
 
 
@@ -172,13 +174,23 @@ def _encode(words: list[str], alphabet: dict[str, str]) -> str:
     return "".join(out)
 
 
+def tiles(starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Starts that cover the same words: every window-th start of each unbroken run, and its last."""
+    if not len(starts):
+        return starts
+    new = np.concatenate([[True], np.diff(starts) > 1])
+    first = starts[np.maximum.accumulate(np.where(new, np.arange(len(starts)), 0))]
+    last = np.concatenate([new[1:], [True]])
+    return starts[((starts - first) % window == 0) | last]
+
+
 def removal_masks(documents: list[tuple[int, list[str], np.ndarray]]) -> list[np.ndarray]:
     """Masks of removed words for a shard of (doc_id, words, starts of recurring windows)."""
     alphabet: dict[str, str] = {}
     encoded = [_encode(words, alphabet) for _, words, _ in documents]
     sequences: dict[str, int] = {}
     for (doc_id, _, starts), text in zip(documents, encoded):
-        for s in starts.tolist():
+        for s in tiles(np.sort(starts)).tolist():
             key = text[s : s + WINDOW]
             if sequences.get(key, doc_id) >= doc_id:
                 sequences[key] = doc_id
