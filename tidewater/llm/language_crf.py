@@ -20,6 +20,7 @@ neighbours. Repeated rows are labelled alike; other columns pass through.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,33 +30,61 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import fold, runs, split_words
+from tidewater.llm.shingles import mix
 
-SAMPLE_PER_LANGUAGE = 150
+SAMPLE_PER_LANGUAGE = 100
 SEGMENT = 60
 SEGMENTS_PER_SEQUENCE = 20
-ITERATIONS = 30
+ITERATIONS = 25
 CHUNK = 32
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
+#: Size of the table of hashed features.
+FEATURES = 1 << 18
 UNDETERMINED = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha()) + "«»“”‘’…–—¡¿"
 
 
-def word_features(word: str) -> list[str]:
-    """Affixes (p:, s:), n-grams with word ends marked (g:) and the word itself (w:)."""
-    w = word.lower().strip(_EDGES)
-    if not _LETTER.search(w):
-        return []
-    marked = f"^{w}$"
-    out = {f"w:{w}"}
-    for k in (1, 2, 3):
-        out.add(f"p:{w[:k]}")
-        out.add(f"s:{w[-k:]}")
-    for k in (2, 3):
-        for i in range(len(marked) - k + 1):
-            out.add(f"g:{marked[i : i + k]}")
-    return sorted(out)
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of words: feature ids, and where each word's begin.
+
+    A word is lower-cased, freed of punctuation around it and marked with ^ and $.
+    Its features are its 2- and 3-grams, the 4-grams at its ends (affixes of three
+    letters; shorter ones are n-grams with a mark) and, last, the word as an entry
+    of the lexicon. Words without a letter have the lexicon entry 0 alone.
+    """
+    marked = []
+    entry = np.zeros(len(words), dtype=np.int64)
+    for i, w in enumerate(words):
+        w = w.lower().strip(_EDGES)
+        if w.isalpha() or _LETTER.search(w):
+            marked.append(f"^{w}$")
+            entry[i] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % (FEATURES - 1) + 1
+        else:
+            marked.append("")
+    size = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
+    code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    start = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size
+    owner = np.repeat(np.arange(len(size)), size)
+    left = (start + size)[owner] - np.arange(len(code))  # characters from here to the word's end
+    ids, owners = [], []
+    gram = code.copy()
+    with np.errstate(over="ignore"):
+        for k in (2, 3, 4):
+            gram = gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + code[k - 1 :]
+            fits = left[: len(gram)] >= k
+            if k == 4:
+                fits &= (left[: len(gram)] == k) | (np.arange(len(gram)) == start[owner[: len(gram)]])
+            where = np.flatnonzero(fits)
+            ids.append((mix(gram[where], k) % np.uint64(FEATURES - 1)).astype(np.int64) + 1)
+            owners.append(owner[where])
+    ids.append(entry)
+    owners.append(np.arange(len(words)))
+    ids, owners = np.concatenate(ids), np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    counts = np.bincount(owners, minlength=len(words))
+    return ids[order], np.concatenate([[0], np.cumsum(counts)[:-1]]) if len(words) else counts
 
 
 def _layout(lengths: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -137,33 +166,39 @@ def forward_backward(scores: np.ndarray, transition: np.ndarray, lengths: np.nda
 
 
 class LanguageCrf:
-    """Feature weights, transitions and labels."""
+    """Feature weights [feature, label], transitions and labels."""
 
-    def __init__(self, labels: list[str], features: dict[str, int], weights: np.ndarray, transition: np.ndarray):
-        self.labels, self.features, self.weights, self.transition = labels, features, weights, transition
+    def __init__(self, labels: list[str], weights: np.ndarray, transition: np.ndarray):
+        self.labels, self.weights, self.transition = labels, weights, transition
         self._known: dict[str, int] = {}
-        self._scores = np.zeros((1024, len(labels)))
+        self._scores = np.zeros((CACHE_WORDS + 1, len(labels)), dtype=np.float32)
 
     def __reduce__(self):
-        return LanguageCrf, (self.labels, self.features, self.weights, self.transition)
+        return LanguageCrf, (self.labels, self.weights, self.transition)
+
+    def _word_scores(self, words: list[str]) -> np.ndarray:
+        ids, start = features(words)
+        return np.add.reduceat(self.weights[ids], start, axis=0)
 
     def emissions(self, words: list[str]) -> np.ndarray:
         known = self._known
-        if len(known) > CACHE_WORDS:
-            known.clear()
         ids = list(map(known.get, words))
-        if None in ids:
-            for i, x in enumerate(ids):
-                if x is None:
-                    w = words[i]
-                    x = known.get(w)
-                    if x is None:
-                        x = known[w] = len(known)
-                        if x >= len(self._scores):
-                            self._scores = np.concatenate([self._scores, np.zeros_like(self._scores)])
-                        found = [f for f in map(self.features.get, word_features(w)) if f is not None]
-                        self._scores[x] = self.weights[found].sum(0) if found else 0.0
-                    ids[i] = x
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if not missing:
+            return self._scores[np.array(ids, dtype=np.int64)]
+        fresh = list({words[i] for i in missing})
+        scores = self._word_scores(fresh)
+        if len(known) + len(fresh) > CACHE_WORDS:
+            place = {w: i for i, w in enumerate(fresh)}
+            out = self._scores[np.array([0 if x is None else x for x in ids], dtype=np.int64)]
+            out[missing] = scores[[place[words[i]] for i in missing]]
+            known.clear()
+            return out
+        first = len(known)
+        known.update(zip(fresh, range(first, first + len(fresh))))
+        self._scores[first : first + len(fresh)] = scores
+        for i in missing:
+            ids[i] = known[words[i]]
         return self._scores[np.array(ids, dtype=np.int64)]
 
     def distributions(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -225,15 +260,16 @@ def fit(texts: list[tuple[str, str]], iterations: int = ITERATIONS, seed: int =
             n += len(words)
         lengths.append(n)
     ids, gold, lengths = np.array(ids, dtype=np.int64), np.array(gold, dtype=np.int64), np.array(lengths, dtype=np.int64)
-    per_word = [word_features(w) for w in index]
-    frequency = Counter(f for own in per_word for f in own)
-    lexicon = np.bincount(ids, minlength=len(index))
-    for i, own in enumerate(per_word):  # a word is in the lexicon if it is common in the sample
-        per_word[i] = [f for f in own if (lexicon[i] >= 5 if f[0] == "w" else frequency[f] >= 3)]
-    features: dict[str, int] = {}
-    pairs = [(i, features.setdefault(f, len(features))) for i, own in enumerate(per_word) for f in own]
-    word_of, feature_of = (np.array(x, dtype=np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
-    weights, transition = np.zeros((len(features), len(labels))), np.zeros((len(labels), len(labels)))
+    feature_of, start = features(list(index))
+    word_of = np.repeat(np.arange(len(index)), np.diff(np.append(start, len(feature_of))))
+    frequency = np.bincount(feature_of, minlength=FEATURES)
+    common = frequency[feature_of] >= 3
+    if len(index):  # a word is in the lexicon if it is common in the sample
+        last = np.append(start[1:], len(feature_of)) - 1
+        common[last] = (np.bincount(ids, minlength=len(index)) >= 5) & (feature_of[last] > 0)
+    seen_features, feature_of = np.unique(feature_of[common], return_inverse=True)
+    word_of = word_of[common]
+    weights, transition = np.zeros((len(seen_features), len(labels))), np.zeros((len(labels), len(labels)))
     seen, seen_t = np.full_like(weights, 1e-8), np.full_like(transition, 1e-8)
     target = np.eye(len(labels))[gold] if len(gold) else np.zeros((0, len(labels)))
     inner = np.ones(len(gold), dtype=bool)
@@ -246,13 +282,15 @@ def fit(texts: list[tuple[str, str]], iterations: int = ITERATIONS, seed: int =
         gamma, expected = forward_backward(per[ids], transition, lengths)
         error = target - gamma
         by_word = np.stack([np.bincount(ids, weights=error[:, c], minlength=len(index)) for c in range(len(labels))], 1)
-        grad = np.stack([np.bincount(feature_of, weights=by_word[word_of, c], minlength=len(features)) for c in range(len(labels))], 1) - 0.5 * weights
+        grad = np.stack([np.bincount(feature_of, weights=by_word[word_of, c], minlength=len(seen_features)) for c in range(len(labels))], 1) - 0.5 * weights
         seen += grad**2
         weights += 0.3 * grad / np.sqrt(seen)
         grad_t = observed - expected - 0.5 * transition
         seen_t += grad_t**2
         transition += 0.3 * grad_t / np.sqrt(seen_t)
-    return LanguageCrf(labels, features, weights, transition)
+    table = np.zeros((FEATURES, len(labels)), dtype=np.float32)
+    table[seen_features] = weights
+    return LanguageCrf(labels, table, transition)
 
 
 def fit_on(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageCrf | None:
