@@ -70,8 +70,7 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back.
 
     Later stages start from files that every executor can read, so a lost
-    executor costs a re-read and not the whole lineage. Shuffle files of the
-    stages before become collectable; the collection is requested at once.
+    executor costs a re-read and not the whole lineage.
     The files of an application are removed when its driver ends.
     """
     spark = df.sparkSession
@@ -80,13 +79,12 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
         _cleanup.add(base)
         atexit.register(_remove, spark, base)
     path = f"{base}/{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    schema = df.schema
-    del df, writer
+    # what earlier stages shuffled is out of reach by now; a collection lets the cleaner drop those files
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
