@@ -179,7 +179,7 @@ def test_reply(content, decision, error):
 
 def test_reply_fields():
     got = reply.parse('{"is_award_application": true, "award_name": " A ", "deadline_text": "2026年8月24日9:00开通，9月23日17:00关闭", "deadline_date": null, "applicant_scope": [" x ", ""]}', 2026)
-    assert got[3:] == ("A", "2026年8月24日9:00开通，9月23日17:00关闭", "2026-09-23", ["x"])
+    assert got[3:7] == ("A", "2026年8月24日9:00开通，9月23日17:00关闭", "2026-09-23", ["x"])
 
 
 def test_judge_breaks_the_circuit_and_keeps_order(spark):

@@ -87,13 +87,13 @@ def account_matches(rows: DataFrame, aliases: DataFrame, required: bool = False)
 
 
 def source_selected(selector: str | None, name: Column, kind: Column) -> Column:
-    """A selector is empty, a name, or kind:name."""
+    """A selector is empty, a name, a kind, or kind:name."""
     if not selector:
         return F.lit(True)
     head, _, tail = selector.partition(":")
     if tail and head in ("website", "wechat"):
         return (kind == head) & (name == tail)
-    return name == selector
+    return (name == selector) | (kind == selector)
 
 
 def aggregator_due(created_at: Column, now: Column, delay_hours: int = 24) -> Column:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import html, text, urls
 from tidewater.operators import dedup, evaluate, events, filters, health, reply, state
+from tidewater.plans import monitor
 from tidewater.plans.views import ARTICLES_SQL, NOTICES_SQL, REVIEWED_SQL, RUNS_SQL, articles, notices, reviewed, source_runs
-from tidewater.sources import files, scan
+from tidewater.sources import files, scan, sinks
 from tidewater.sources.files import read_table
 
 TODAY = "2026-07-10"
@@ -558,3 +559,44 @@ def decision_summary(spark, sf):
 def _stub_model(prompt: str) -> str:
     """A deterministic stand-in for the model."""
     return '{"is_award_application": %s, "reason": "stub"}' % ("true" if len(prompt) % 3 == 0 else "false")
+
+
+@query("monitor_screen", f"WITH {NOTICES_SQL}, g AS (SELECT id, {_GATE_SQL} AS reason, contains(title, '规划') OR contains(title, '竞赛') AS hit FROM notices WHERE status <> 'pushed') SELECT id, CASE WHEN reason = 'pass' AND hit THEN 'ai_pending' ELSE 'keyword_rejected' END AS status FROM g")
+def monitor_screen(spark, sf):
+    empty = lambda t: F.lit(None).cast(t)
+    rows = notices(spark, sf).where("status <> 'pushed'").select(
+        "id", "title", "source", "publish_date", F.lit("").alias("summary"), F.lit("discovered").alias("status"), F.lit(2).alias("pipeline_version"), F.lit(0).alias("attempt_count"),
+        empty("string").alias("ai_reason"), empty("string").alias("last_error"), F.col("created_at").alias("updated_at"), empty("timestamp_ntz").alias("pushed_at"),
+    )
+    return monitor.screen(rows, ["规划", "竞赛"], [], today(), F.lit(_NOW).cast("timestamp_ntz")).select("id", "status")
+
+
+@query("delivery_results", f"WITH {ARTICLES_SQL}, b AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 10 AS batch_no FROM articles WHERE status = 'ready_to_push') SELECT id, batch_no, true AS success FROM b")
+def delivery_results(spark, sf):
+    rows = articles(spark, sf).where("status = 'ready_to_push'").select("id", "title", "source", "summary", "url", F.lit("").alias("deadline_date"), F.lit("").alias("deadline_text"), F.array().cast("array<string>").alias("applicant_scope"))
+    return sinks.deliver(rows, _accept).select("id", "batch_no", "success")
+
+
+def _accept(content: str) -> None:
+    """A sender that takes everything."""
+
+
+@query("event_time_queue", f"WITH {NOTICES_SQL} SELECT id, CASE WHEN p <> '' THEN p ELSE s END AS event_date, CASE WHEN p <> '' THEN 'published_at' WHEN s <> '' THEN 'first_seen_at' ELSE 'unknown' END AS event_time_basis FROM (SELECT id, {_LENIENT.format(c='publish_date')} AS p, CASE WHEN id % 4 = 0 THEN '' ELSE strftime(created_at, '%Y-%m-%d') END AS s FROM notices)")
+def event_time_queue(spark, sf):
+    rows = notices(spark, sf)
+    seen = rows.where("id % 4 <> 0").select("id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("first_seen_at"))
+    return monitor.event_time_queue(rows.select("id", "publish_date"), seen).select("id", "event_date", "event_time_basis")
+
+
+@query("detail_counts", f"WITH {RUNS_SQL}, d AS (SELECT source, count(*) FILTER (WHERE status = 'success') AS detail_success, count(*) FILTER (WHERE status <> 'success') AS detail_failed FROM runs WHERE source < 's3' GROUP BY source) SELECT r.source, coalesce(d.detail_success, 0) AS detail_success, coalesce(d.detail_failed, 0) AS detail_failed FROM (SELECT DISTINCT source FROM runs) r LEFT JOIN d ON d.source = r.source")
+def detail_counts(spark, sf):
+    runs = source_runs(spark, sf)
+    good = F.col("status") == "success"
+    counts = runs.where("source < 's3'").groupBy("source").agg(F.count_if(good).alias("detail_success"), F.count_if(~good).alias("detail_failed"))
+    return monitor.detail_counts(runs.select("source").distinct(), counts)
+
+
+@query("replay_predictions")
+def replay_predictions(spark, sf):
+    rows = notices(spark, sf).select("id", "title", "source", F.lit("2026-07-07").alias("event_date"))
+    return monitor.replay(rows, _stub_model).groupBy("gate", "predicted").agg(F.count("*").alias("n"))

@@ -23,7 +23,7 @@ SOURCE_RUN = (
 )
 CRAWL_PAGE = ("source string, page_num int, url string, body string, fetch_error string")
 REPLY = (
-    "decision boolean, reason string, error_kind string, award_name string, deadline_text string, deadline_date string, applicant_scope array<string>"
+    "decision boolean, reason string, error_kind string, award_name string, deadline_text string, deadline_date string, applicant_scope array<string>, raw_response string"
 )
 PIPELINE_VERSION = 2
 SCHEMA_VERSION = 3
