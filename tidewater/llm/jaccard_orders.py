@@ -11,16 +11,20 @@ stay out of the prefixes of documents that have anything else.
    reported often enough are common. Any such list gives valid orders.
 2. A second pass emits prefix tokens under the first order; tokens of a single
    set are dropped in the sorted stream.
-3. Every set joins two home groups, its first live token under two further
-   orders. Members are verified against some members of the group (all of them
-   in a small group), which already joins most families.
-4. Sets that still lie in different components are paired over all their prefix
-   tokens, filtered by length, by the number of shared prefix tokens, and in the
-   verifying task by the prefixes under further orders; then verified exactly.
-
-No step expands the pairs of a group: step 3 is linear in the group, and step 4
-pairs only across components, the largest one of a token never with itself. A
-link between sets of one component changes no component, so none is lost.
+3. Pairs that share a token of a small group are counted; with c shared tokens
+   (and those of large groups that they may share besides) a pair survives if
+   the bound allows a link. Sets of surviving pairs, and sets with a token of a
+   large group, are fetched; others link with nothing.
+4. Every such set joins a home group, its first live token under another order.
+   Members are verified against some members of the group (all of them in a
+   small group), which already joins most families.
+5. Surviving pairs that still lie in different components, and sets outside the
+   largest component of a large group's token with all others of the token, are
+   filtered by the prefixes under further orders and verified exactly.
+
+No step expands the pairs of a large group: step 4 is linear in the group, and
+step 5 pairs only across components, the largest one never with itself. A link
+between sets of one component changes no component, so none is lost.
 
 Defined results: null or blank text has an empty set, links with nothing and is
 its own component; texts of fewer words than a shingle are one shingle; rows
@@ -42,15 +46,19 @@ from tidewater.llm.shingles import mix, shingle_set, word_lookup
 
 SHINGLE = 5
 PERCENT = 80
-#: Seeds of the orders: generation, two home orders, further filters before verification.
-ORDERS = (1, 2, 3, 4, 5)
+#: Seeds of the orders: generation, home groups, further filters before verification.
+ORDERS = (1, 2, 3, 4)
+#: Groups of a token up to this size are paired directly.
+SMALL_GROUP = 32
 #: A token is common if tasks report it so often; doubled until the list fits.
 COMMON = 32
 COMMON_LIMIT = 1_000_000
 #: About so many members of a home group are compared with all of it.
 CENTERS = 24
 SALT_ROWS = 96
-COUNT_TOKENS = 3_000_000
+COUNT_TOKENS = 6_000_000
+#: Common tokens are flagged in a table of this size by their low bits; sharing a flag changes the order, not the result.
+FLAGS = 1 << 22
 
 
 def prefix_length(n, percent: int = PERCENT):
@@ -64,11 +72,9 @@ def needed_overlap(a, b, percent: int = PERCENT):
 
 
 def prefix(tokens: np.ndarray, common: np.ndarray, seed: int, percent: int = PERCENT) -> np.ndarray:
-    """The prefix of a set under one order: tokens that aren't common first, then by hash."""
+    """The prefix of a set under one order: tokens that aren't flagged as common first, then by hash."""
     key = mix(tokens.view(np.uint64), seed) >> np.uint64(1)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-        key = np.where(common[at] == tokens, key | np.uint64(1 << 63), key)
+    key |= common[tokens & (FLAGS - 1)].astype(np.uint64) << np.uint64(63)
     p = prefix_length(len(tokens), percent)
     return tokens[np.argpartition(key, p - 1)[:p]] if p < len(tokens) else tokens
 
@@ -114,7 +120,7 @@ def set_key(tokens: np.ndarray) -> int:
 
 
 def _common_tokens(measured: DataFrame) -> np.ndarray:
-    """Sorted tokens that tasks met often; at most COMMON_LIMIT of them reach the driver."""
+    """Flags of the tokens that tasks met often; at most COMMON_LIMIT of them reach the driver."""
     totals = cut(measured.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= COMMON))
     sizes = {r["k"]: r["count"] for r in totals.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).count().collect()}
     least, held = int(np.log2(COMMON)), sum(sizes.values())
@@ -122,7 +128,9 @@ def _common_tokens(measured: DataFrame) -> np.ndarray:
         held -= sizes.get(least, 0)
         least += 1
     found = totals.where(F.col("n") >= 2**least).select("a").toArrow().column("a").to_numpy()
-    return np.sort(found)
+    flags = np.zeros(FLAGS, dtype=np.uint8)
+    flags[found & (FLAGS - 1)] = 1
+    return flags
 
 
 def _postings(docs: DataFrame, common) -> DataFrame:
@@ -171,9 +179,8 @@ def _postings(docs: DataFrame, common) -> DataFrame:
     return cut(ordered.mapInArrow(live, "token long, key long, n long"))
 
 
-def _sets(docs: DataFrame, members: DataFrame, live: DataFrame) -> DataFrame:
-    """The whole sets of the keys in `live`: key, tokens (binary), from one document each."""
-    wanted = live.select("key").distinct()
+def _sets(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The whole sets of the keys in `wanted`: key, tokens (binary), from one document each."""
     chosen = members.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     texts = docs.select("doc_id", "text").join(chosen, "doc_id")
 
@@ -188,7 +195,7 @@ def _sets(docs: DataFrame, members: DataFrame, live: DataFrame) -> DataFrame:
                     data.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["key", "tokens"])
 
-    return cut(texts.select("key", "text").mapInArrow(build, "key long, tokens binary").dropDuplicates(["key"]))
+    return cut(texts.select("key", "text").mapInArrow(build, "key long, tokens binary"))
 
 
 def _verify(rows: DataFrame, common) -> DataFrame:
@@ -210,14 +217,14 @@ def _verify(rows: DataFrame, common) -> DataFrame:
                 s = np.frombuffer(batch.column(4)[i].as_buffer(), dtype=np.int64)
                 if role[i] == 0:
                     s = s.copy()
-                    centers.append((key[i], s, [np.sort(prefix(s, own, o)) for o in ORDERS[3:]]))
+                    centers.append((key[i], s, [np.sort(prefix(s, own, o)) for o in ORDERS[2:]]))
                     continue
                 filters = None
                 for other, t, theirs in centers:
                     if other == key[i] or 100 * min(len(s), len(t)) < PERCENT * max(len(s), len(t)):
                         continue
                     if filters is None:
-                        filters = [np.sort(prefix(s, own, o)) for o in ORDERS[3:]]
+                        filters = [np.sort(prefix(s, own, o)) for o in ORDERS[2:]]
                     if not all(_overlap(x, y) for x, y in zip(filters, theirs)):
                         continue
                     if _overlap(s, t) >= needed_overlap(len(s), len(t)):
@@ -239,11 +246,38 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
+def _need(shared_bound: str):
+    """SQL for: a pair of sizes n, n2 with at most so many shared prefix tokens can link."""
+    rest = lambda n: f"(({PERCENT} * {n} + 99) div 100 - 1)"  # noqa: E731  n - prefix_length(n)
+    overlap = f"({PERCENT} * (n + n2) + {99 + PERCENT}) div {100 + PERCENT}"
+    return F.expr(f"{shared_bound} >= {overlap} - greatest({rest('n')}, {rest('n2')})")
+
+
+def _near():
+    return F.expr(f"100 * least(n, n2) >= {PERCENT} * greatest(n, n2)")
+
+
+def _small_pairs(live: DataFrame) -> DataFrame:
+    """Pairs that share tokens of small groups: key < key2, n, n2, shared. `live` has the group's size g."""
+    small = live.where(F.col("g") <= SMALL_GROUP).select("token", "key", "n")
+    other = small.select("token", F.col("key").alias("key2"), F.col("n").alias("n2"))
+    pairs = small.join(other, (small["token"] == other["token"]) & (F.col("key") < F.col("key2")) & _near())
+    return cut(pairs.groupBy("key", "key2", "n", "n2").agg(F.count("*").alias("shared")))
+
+
+def _possible(live: DataFrame, small: DataFrame) -> DataFrame:
+    """Keys that can link: those of pairs that the tokens of large groups may still save, and those with such tokens."""
+    large = live.where(F.col("g") > SMALL_GROUP).groupBy("key").agg(F.count("*").alias("large"))
+    pairs = small.join(large, "key", "left").join(large.select(F.col("key").alias("key2"), F.col("large").alias("large2")), "key2", "left")
+    pairs = pairs.where(_need("shared + least(coalesce(large, 0), coalesce(large2, 0))"))
+    return pairs.select("key").union(pairs.select("key2")).union(large.select("key")).distinct()
+
+
 def _home_links(live: DataFrame, sets: DataFrame, common) -> DataFrame:
-    """Step 3: links found in the home groups."""
-    first = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "token").alias("h"), F.col("token").alias("t")))["t"]
-    homes = live.groupBy("key").agg(F.array_distinct(F.array(first(ORDERS[1]), first(ORDERS[2]))).alias("grp")).select("key", F.explode("grp").alias("grp"))
-    homes = cut(homes)
+    """Step 4: links found in the home groups."""
+    kept = live.join(sets.select("key"), "key", "left_semi")
+    home = F.min(F.struct(F.xxhash64(F.lit(ORDERS[1]), "token").alias("h"), F.col("token").alias("t")))["t"]
+    homes = cut(kept.groupBy("key").agg(home.alias("grp")))
     size = homes.groupBy("grp").count().where("count > 1")
     rows = homes.join(size, "grp").withColumn("salts", F.expr(f"(count + {SALT_ROWS - 1}) div {SALT_ROWS}"))
     is_center = F.pmod(F.xxhash64(F.lit(21), "key"), F.greatest(F.expr(f"count div {CENTERS}"), F.lit(1))) == 0
@@ -253,22 +287,27 @@ def _home_links(live: DataFrame, sets: DataFrame, common) -> DataFrame:
     return _verify(members.unionByName(centers).join(sets, "key"), common)
 
 
-def _cross_links(live: DataFrame, place: DataFrame, sets: DataFrame, common) -> DataFrame:
-    """Step 4: links between sets that lie in different components."""
-    rows = live.join(place.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    rows = cut(rows)
+def _cross_links(live: DataFrame, small: DataFrame, place: DataFrame, sets: DataFrame, common) -> DataFrame:
+    """Step 5: links between sets that lie in different components."""
+    of = lambda c, name: place.select(F.col("node").alias(c), F.col("component").alias(name))
+    counts = ["key", "key2", "n", "n2", "shared"]
+    apart = small.join(of("key", "x"), "key", "left").join(of("key2", "y"), "key2", "left")
+    apart = apart.where(F.coalesce("x", "key") != F.coalesce("y", "key2")).select(counts)
+    rows = cut(live.where(F.col("g") > SMALL_GROUP).join(of("key", "component"), "key", "left").withColumn("component", F.coalesce("component", "key")))
     per = rows.groupBy("token", "component").count()
     largest = per.groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("top"), F.count("*").alias("k")).where("k > 1").select("token", "top")
     mixed = cut(rows.join(largest, "token"))
     other = mixed.select("token", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
     outside = mixed.where("component <> top")
-    apart = (F.col("component") != F.col("component2")) & ((F.col("component2") == F.col("top")) | (F.col("key") < F.col("key2")))
-    near = 100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")
-    pairs = outside.join(other, (outside["token"] == other["token"]) & apart & near).select("key", "key2", "n", "n2")
-    pairs = pairs.groupBy("key", "key2", "n", "n2").agg(F.count("*").alias("shared"))
-    rest = lambda n: f"(({PERCENT} * {n} + 99) div 100 - 1)"  # noqa: E731  n - prefix_length(n)
-    need = F.expr(f"({PERCENT} * (n + n2) + {99 + PERCENT}) div {100 + PERCENT} - greatest({rest('n')}, {rest('n2')})")
-    pairs = cut(pairs.where(F.col("shared") >= need).select("key", "key2"))
+    differ = (F.col("component") != F.col("component2")) & ((F.col("component2") == F.col("top")) | (F.col("key") < F.col("key2")))
+    wide = outside.join(other, (outside["token"] == other["token"]) & differ & _near()).select("key", "key2", "n", "n2")
+    wide = wide.groupBy("key", "key2", "n", "n2").agg(F.count("*").alias("shared"))
+    turned = F.col("key") > F.col("key2")
+    swap = lambda a, b: F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a)
+    wide = wide.select(swap("key", "key2"), swap("key2", "key"), swap("n", "n2"), swap("n2", "n"), "shared")
+    # sets of different components never lie both in a token's largest one, so all tokens they share are counted
+    pairs = apart.unionByName(wide).groupBy("key", "key2", "n", "n2").agg(F.sum("shared").alias("shared"))
+    pairs = cut(pairs.where(_need("shared")).select("key", "key2"))
     salt = F.pmod(F.xxhash64(F.lit(23), "key2"), F.lit(16))
     pairs = pairs.withColumn("salt", salt)
     members = pairs.select(F.col("key").alias("grp"), "salt", F.lit(1).alias("role"), F.col("key2").alias("key"))
@@ -283,10 +322,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     members = measured.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), F.col("c").alias("n_shingles"))
     common = spark.sparkContext.broadcast(_common_tokens(measured))
     live = _postings(docs.select("text"), common)
-    sets = _sets(docs, members.where("doc_id is not null"), live)
+    size = live.groupBy("token").agg(F.count("*").alias("g"))
+    live = cut(live.join(size, "token"))
+    small = _small_pairs(live)
+    sets = _sets(docs, members.where("doc_id is not null"), _possible(live, small))
     links = _home_links(live, sets, common)
     place = cut(components(links))
-    links = links.unionByName(_cross_links(live, place, sets, common))
+    links = links.unionByName(_cross_links(live, small, place, sets, common))
     place = cut(components(links))
     nodes = members.join(place.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     nodes = cut(nodes.withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component"))))

@@ -151,5 +151,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed.alias("base_failed"), (F.col("kept") & ~base_failed).alias("kept"), "reasons",
+        base_failed.alias("base_failed"), (F.col("kept") & ~base_failed).alias("kept"), F.array_join("reasons", ",").alias("reasons"),
     )

@@ -7,6 +7,7 @@ from tidewater.llm.embedding_ego import op9_embeddings
 from tidewater.llm.jaccard_orders import op2_jaccard
 from tidewater.llm.language_crf import op1_language
 from tidewater.llm.mix_schedule import op5_mix
+from tidewater.llm.oracle import ORACLE
 from tidewater.llm.pack_complement import op7_pack
 from tidewater.llm.pii_skipcrf import op6_pii
 from tidewater.llm.quality_table import op10_quality
@@ -30,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from tidewater.llm.common import Lookup, split_words
+from tidewater.llm.common import split_words
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -19,12 +19,34 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
+class WordHashes:
+    """Word hashes behind a bounded cache, kept as bytes so that a text's are one join."""
 
+    def __init__(self, limit: int = 400_000):
+        self.limit, self.known = limit, {}
 
-def word_lookup() -> Lookup:
-    return Lookup(word_hash)
+    def ids(self, words: list[str]) -> np.ndarray:
+        found = list(map(self.known.get, words))
+        try:
+            data = b"".join(found)
+        except TypeError:  # some are unknown yet
+            if len(self.known) > self.limit:
+                self.known.clear()
+            known = self.known
+            for i, x in enumerate(found):
+                if x is None:
+                    w = words[i]
+                    found[i] = known[w] = xxhash.xxh3_64_digest(w.encode("utf-8", "surrogatepass"))
+            data = b"".join(found)
+        return np.frombuffer(data, dtype="<u8")
+
+
+_worker_hashes = WordHashes()
+
+
+def word_lookup() -> WordHashes:
+    """The worker's own cache; it outlives a task."""
+    return _worker_hashes
 
 
 def window_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
@@ -32,7 +54,7 @@ def window_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    w = words.view(np.uint64) if words.dtype == np.int64 else words
+    w = words
     with np.errstate(over="ignore"):
         out = np.zeros(n, dtype=np.uint64)
         for j in range(k):
@@ -45,7 +67,7 @@ def lower_ascii(text: str) -> str:
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
-def shingle_set(text: str | None, lookup: Lookup, k: int = 5) -> np.ndarray:
+def shingle_set(text: str | None, lookup: WordHashes, k: int = 5) -> np.ndarray:
     """Sorted distinct hashes (int64) of a text's k-word shingles; fewer words are one shingle."""
     words = split_words(lower_ascii(text)) if text else []
     if not words:
