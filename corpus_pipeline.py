@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import jaccard_orders, mix_schedule, pack_complement, pii_skipcrf, toxicity_kn
-from tidewater.llm.common import cut, fold, words_column
+from tidewater.llm.common import cut, fold, scratch, words_column
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,5 +77,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table `documents`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        with scratch(spark) as keep:
+            docs = keep(cut(stage(spark, docs, sf_dir)))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,6 +12,7 @@ import gc
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,12 +80,43 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
         _cleanup.add(base)
         atexit.register(_remove, spark, base)
     path = f"{base}/{uuid.uuid4().hex}"
-    # what earlier stages shuffled is out of reach by now; a collection lets the cleaner drop those files
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidewater_path = path
+    return out
+
+
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Cuts made inside are deleted at the end, but for those handed to the function that this yields."""
+    paths: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        paths.remove(df._tidewater_path)
+        if len(_scratch) > 1:  # then it is the outer scratch's to delete
+            _scratch[-2].append(df._tidewater_path)
+        return df
+
+    _scratch.append(paths)
+    try:
+        yield keep
+    finally:
+        _scratch.pop()
+        for path in paths:
+            _remove(spark, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished stages: they are out of reach, but only a collection tells."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -118,10 +150,6 @@ def slices(batches, text_index: int, limit: int = SLICE_CHARS):
                 yield batch.slice(a, b - a)
 
 
-def parallelism(spark: SparkSession, per_core: int = 2) -> int:
-    return max(1, spark.sparkContext.defaultParallelism * per_core)
-
-
 def runs(texts: list, limit: int = SLICE_CHARS):
     """Cut a list of texts into (start, texts) runs of about `limit` characters."""
     start = held = 0

@@ -10,21 +10,22 @@ stay out of the prefixes of documents that have anything else.
    finds common tokens: each task reports tokens it meets repeatedly, and those
    reported often enough are common. Any such list gives valid orders.
 2. A second pass emits prefix tokens under the first order; tokens of a single
-   set are dropped in the sorted stream.
-3. Pairs that share a token of a small group are counted; with c shared tokens
-   (and those of large groups that they may share besides) a pair survives if
-   the bound allows a link. Sets of surviving pairs, and sets with a token of a
-   large group, are fetched; others link with nothing.
-4. Every such set joins a home group, its first live token under another order.
-   Members are verified against some members of the group (all of them in a
-   small group), which already joins most families.
-5. Surviving pairs that still lie in different components, and sets outside the
-   largest component of a large group's token with all others of the token, are
-   filtered by the prefixes under further orders and verified exactly.
-
-No step expands the pairs of a large group: step 4 is linear in the group, and
-step 5 pairs only across components, the largest one never with itself. A link
-between sets of one component changes no component, so none is lost.
+   set are dropped in the sorted stream. Tokens that many sets still share are
+   crowded; a pair with a set that has none of them shares another token.
+3. Pairs that share a token that isn't crowded are counted and kept if the bound
+   allows a link. Their sets, and all sets with crowded tokens, are fetched.
+4. Sets with crowded tokens get new prefixes under the order that puts those last;
+   their pairs among each other are found there.
+5. Home rounds: under each of further orders every fetched set joins a group by its
+   first live token of those that most sets have; members are verified against some members of the group (all of
+   them in a small one). Later rounds take groups that span several components.
+6. Pairs whose sets still lie in different components are counted in all their
+   groups (the largest component of a large group never with itself), filtered by
+   length, by shared tokens and by the prefixes under the last orders, and verified.
+
+No step expands the pairs of a large group: step 5 is linear in the group, and
+step 6 pairs only across components. A link between sets of one component changes
+no component, so none is lost.
 
 Defined results: null or blank text has an empty set, links with nothing and is
 its own component; texts of fewer words than a shingle are one shingle; rows
@@ -40,15 +41,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import cut, slices
+from tidewater.llm.common import cut, scratch, slices
 from tidewater.llm.components import components
-from tidewater.llm.shingles import mix, shingle_set, word_lookup
+from tidewater.llm.shingles import column_shingles, mix
 
 SHINGLE = 5
 PERCENT = 80
-#: Seeds of the orders: generation, home groups, further filters before verification.
-ORDERS = (1, 2, 3, 4)
-#: Groups of a token up to this size are paired directly.
+#: Seeds of the orders: generation, home rounds, further filters before verification.
+ORDERS = (1, 2, 3, 4, 5, 6)
+HOME, FILTERS = ORDERS[1:4], ORDERS[4:]
+#: Groups of a token up to this size are paired directly. With 8, three times as many sets were
+#: fetched and shipped as with 32 (6.9 GB instead of 2.5 to 3.7 GB shuffled over 0.5 GB).
 SMALL_GROUP = 32
 #: A token is common if tasks report it so often; doubled until the list fits.
 COMMON = 32
@@ -71,10 +74,14 @@ def needed_overlap(a, b, percent: int = PERCENT):
     return (percent * (a + b) + 99 + percent) // (100 + percent)
 
 
-def prefix(tokens: np.ndarray, common: np.ndarray, seed: int, percent: int = PERCENT) -> np.ndarray:
-    """The prefix of a set under one order: tokens that aren't flagged as common first, then by hash."""
+def prefix(tokens: np.ndarray, common: np.ndarray, seed: int, crowded: np.ndarray | None = None, percent: int = PERCENT) -> np.ndarray:
+    """The prefix of a set under one order: tokens that aren't flagged as common (or, if given, crowded) first, then by hash."""
     key = mix(tokens.view(np.uint64), seed) >> np.uint64(1)
-    key |= common[tokens & (FLAGS - 1)].astype(np.uint64) << np.uint64(63)
+    late = common[tokens & (FLAGS - 1)] > 0
+    if crowded is not None and len(crowded):
+        at = np.minimum(np.searchsorted(crowded, tokens), len(crowded) - 1)
+        late |= crowded[at] == tokens
+    key |= late.astype(np.uint64) << np.uint64(63)
     p = prefix_length(len(tokens), percent)
     return tokens[np.argpartition(key, p - 1)[:p]] if p < len(tokens) else tokens
 
@@ -83,7 +90,6 @@ def _measure(docs: DataFrame) -> DataFrame:
     """Rows (kind, a, b, c): 0: token, times met in the task; 1: doc_id, key, set size."""
 
     def run(batches):
-        lookup = word_lookup()
         held: list[np.ndarray] = []
         n_held = 0
 
@@ -95,8 +101,7 @@ def _measure(docs: DataFrame) -> DataFrame:
 
         for batch in slices(batches, 1):
             keys, sizes = [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, lookup, SHINGLE)
+            for s in column_shingles(batch.column(1), SHINGLE):
                 keys.append(set_key(s))
                 sizes.append(len(s))
                 held.append(s)
@@ -119,17 +124,22 @@ def set_key(tokens: np.ndarray) -> int:
         return int(mix(np.array([mix(tokens.view(np.uint64), 99).sum(dtype=np.uint64) + np.uint64(len(tokens))]), 7).view(np.int64)[0])
 
 
-def _common_tokens(measured: DataFrame) -> np.ndarray:
-    """Flags of the tokens that tasks met often; at most COMMON_LIMIT of them reach the driver."""
-    totals = cut(measured.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= COMMON))
-    sizes = {r["k"]: r["count"] for r in totals.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).count().collect()}
-    least, held = int(np.log2(COMMON)), sum(sizes.values())
-    while held > COMMON_LIMIT:
-        held -= sizes.get(least, 0)
-        least += 1
-    found = totals.where(F.col("n") >= 2**least).select("a").toArrow().column("a").to_numpy()
+def _frequent(counts: DataFrame, least: int) -> tuple[np.ndarray, int]:
+    """Tokens (column token) with n >= least, and least; it is doubled until at most COMMON_LIMIT reach the driver."""
+    sizes = {r["k"]: r["count"] for r in counts.where(F.col("n") >= least).groupBy(F.floor(F.log2(F.col("n") / least)).cast("int").alias("k")).count().collect()}
+    step = 0
+    while sum(c for k, c in sizes.items() if k >= step) > COMMON_LIMIT:
+        step += 1
+    least <<= step
+    found = counts.where(F.col("n") >= least).select("token").toArrow().column("token").to_numpy()
+    return np.sort(found), least
+
+
+def _common_flags(measured: DataFrame) -> np.ndarray:
+    """Flags of the tokens that tasks met often."""
+    totals = cut(measured.where("kind = 0").groupBy(F.col("a").alias("token")).agg(F.sum("b").alias("n")))
     flags = np.zeros(FLAGS, dtype=np.uint8)
-    flags[found & (FLAGS - 1)] = 1
+    flags[_frequent(totals, COMMON)[0] & (FLAGS - 1)] = 1
     return flags
 
 
@@ -137,11 +147,10 @@ def _postings(docs: DataFrame, common) -> DataFrame:
     """Prefix tokens under the first order that two sets or more have: token, key, n."""
 
     def emit(batches):
-        own, lookup = common.value, word_lookup()
+        own = common.value
         for batch in slices(batches, 0):
             tokens, keys, sizes = [], [], []
-            for text in batch.column(0).to_pylist():
-                s = shingle_set(text, lookup, SHINGLE)
+            for s in column_shingles(batch.column(0), SHINGLE):
                 if len(s):
                     chosen = prefix(s, own, ORDERS[0])
                     tokens.append(chosen)
@@ -150,6 +159,12 @@ def _postings(docs: DataFrame, common) -> DataFrame:
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, keys, sizes)], names=["token", "key", "n"])
 
+    return _live(docs.select("text").mapInArrow(emit, "token long, key long, n long"))
+
+
+def _live(rows: DataFrame) -> DataFrame:
+    """Rows (token, key, n) of the tokens that two keys or more have, with their number g."""
+
     def live(batches):
         # sorted by token and key: a token is kept once it is seen with a second key
         last = None  # (token, key, n, already handed on)
@@ -174,9 +189,28 @@ def _postings(docs: DataFrame, common) -> DataFrame:
             if out.any():
                 yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(k[out]), pa.array(n[out])], names=["token", "key", "n"])
 
-    rows = docs.select("text").mapInArrow(emit, "token long, key long, n long")
     ordered = rows.repartition(F.col("token")).sortWithinPartitions("token", "key")
-    return cut(ordered.mapInArrow(live, "token long, key long, n long"))
+    kept = cut(ordered.mapInArrow(live, "token long, key long, n long"))
+    return cut(kept.join(kept.groupBy("token").agg(F.count("*").alias("g")), "token"))
+
+
+def _recount(sets: DataFrame, common, crowded) -> DataFrame:
+    """Live prefix tokens of fetched sets under the order that puts crowded tokens last too."""
+
+    def emit(batches):
+        own, late = common.value, crowded.value
+        for batch in batches:
+            tokens, keys, sizes = [], [], []
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                s = np.frombuffer(data.as_buffer(), dtype=np.int64)
+                chosen = prefix(s, own, ORDERS[0], late)
+                tokens.append(chosen)
+                keys.append(np.full(len(chosen), key))
+                sizes.append(np.full(len(chosen), len(s)))
+            if tokens:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, keys, sizes)], names=["token", "key", "n"])
+
+    return _live(sets.mapInArrow(emit, "token long, key long, n long"))
 
 
 def _sets(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -185,11 +219,9 @@ def _sets(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text").join(chosen, "doc_id")
 
     def build(batches):
-        lookup = word_lookup()
         for batch in slices(batches, 1):
             keys, data = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = shingle_set(text, lookup, SHINGLE)
+            for key, s in zip(batch.column(0).to_pylist(), column_shingles(batch.column(1), SHINGLE)):
                 if set_key(s) == key:  # rows may share a doc_id
                     keys.append(key)
                     data.append(s.tobytes())
@@ -217,14 +249,14 @@ def _verify(rows: DataFrame, common) -> DataFrame:
                 s = np.frombuffer(batch.column(4)[i].as_buffer(), dtype=np.int64)
                 if role[i] == 0:
                     s = s.copy()
-                    centers.append((key[i], s, [np.sort(prefix(s, own, o)) for o in ORDERS[2:]]))
+                    centers.append((key[i], s, [np.sort(prefix(s, own, o)) for o in FILTERS]))
                     continue
                 filters = None
                 for other, t, theirs in centers:
                     if other == key[i] or 100 * min(len(s), len(t)) < PERCENT * max(len(s), len(t)):
                         continue
                     if filters is None:
-                        filters = [np.sort(prefix(s, own, o)) for o in ORDERS[2:]]
+                        filters = [np.sort(prefix(s, own, o)) for o in FILTERS]
                     if not all(_overlap(x, y) for x, y in zip(filters, theirs)):
                         continue
                     if _overlap(s, t) >= needed_overlap(len(s), len(t)):
@@ -257,43 +289,46 @@ def _near():
     return F.expr(f"100 * least(n, n2) >= {PERCENT} * greatest(n, n2)")
 
 
-def _small_pairs(live: DataFrame) -> DataFrame:
-    """Pairs that share tokens of small groups: key < key2, n, n2, shared. `live` has the group's size g."""
-    small = live.where(F.col("g") <= SMALL_GROUP).select("token", "key", "n")
-    other = small.select("token", F.col("key").alias("key2"), F.col("n").alias("n2"))
-    pairs = small.join(other, (small["token"] == other["token"]) & (F.col("key") < F.col("key2")) & _near())
-    return cut(pairs.groupBy("key", "key2", "n", "n2").agg(F.count("*").alias("shared")))
-
-
-def _possible(live: DataFrame, small: DataFrame) -> DataFrame:
-    """Keys that can link: those of pairs that the tokens of large groups may still save, and those with such tokens."""
-    large = live.where(F.col("g") > SMALL_GROUP).groupBy("key").agg(F.count("*").alias("large"))
-    pairs = small.join(large, "key", "left").join(large.select(F.col("key").alias("key2"), F.col("large").alias("large2")), "key2", "left")
-    pairs = pairs.where(_need("shared + least(coalesce(large, 0), coalesce(large2, 0))"))
-    return pairs.select("key").union(pairs.select("key2")).union(large.select("key")).distinct()
-
-
-def _home_links(live: DataFrame, sets: DataFrame, common) -> DataFrame:
-    """Step 4: links found in the home groups."""
-    kept = live.join(sets.select("key"), "key", "left_semi")
-    home = F.min(F.struct(F.xxhash64(F.lit(ORDERS[1]), "token").alias("h"), F.col("token").alias("t")))["t"]
-    homes = cut(kept.groupBy("key").agg(home.alias("grp")))
-    size = homes.groupBy("grp").count().where("count > 1")
+def _pairs(live: DataFrame) -> DataFrame:
+    """Pairs that share tokens: key < key2, n, n2, shared."""
+    one = live.select("token", "key", "n")
+    other = one.select("token", F.col("key").alias("key2"), F.col("n").alias("n2"))
+    pairs = one.join(other, (one["token"] == other["token"]) & (F.col("key") < F.col("key2")) & _near())
+    return pairs.groupBy("key", "key2", "n", "n2").agg(F.count("*").alias("shared"))
+
+
+def _home_links(tokens: DataFrame, place: DataFrame | None, sets: DataFrame, common, seed: int) -> DataFrame:
+    """Links found in the home groups of one order; `place` restricts them to groups of several components."""
+    # the members of a large family have its common tokens in common, not their own changes
+    home = F.min(F.struct((-F.floor(F.log2("g"))).alias("s"), F.xxhash64(F.lit(seed), "token").alias("h"), F.col("token").alias("t")))["t"]
+    homes = tokens.groupBy("key").agg(home.alias("grp"))
+    if place is None:
+        homes = homes.withColumn("component", F.col("key"))
+    else:
+        homes = homes.join(place.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    homes = cut(homes)
+    size = homes.groupBy("grp").agg(F.count("*").alias("count"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("grp", "count")
     rows = homes.join(size, "grp").withColumn("salts", F.expr(f"(count + {SALT_ROWS - 1}) div {SALT_ROWS}"))
-    is_center = F.pmod(F.xxhash64(F.lit(21), "key"), F.greatest(F.expr(f"count div {CENTERS}"), F.lit(1))) == 0
+    is_center = F.pmod(F.xxhash64(F.lit(seed), "key"), F.greatest(F.expr(f"count div {CENTERS}"), F.lit(1))) == 0
     salt = F.pmod(F.xxhash64(F.lit(22), "key"), F.col("salts"))
     members = rows.select("grp", salt.alias("salt"), F.lit(1).alias("role"), "key")
     centers = rows.where(is_center).select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "key")
     return _verify(members.unionByName(centers).join(sets, "key"), common)
 
 
-def _cross_links(live: DataFrame, small: DataFrame, place: DataFrame, sets: DataFrame, common) -> DataFrame:
-    """Step 5: links between sets that lie in different components."""
+def _cross_links(sure: DataFrame, crowd: DataFrame, place: DataFrame, sets: DataFrame, common) -> DataFrame:
+    """Step 6: links between sets that lie in different components.
+
+    `sure`: counted pairs of step 3; `crowd`: live tokens of step 4, with g.
+    """
     of = lambda c, name: place.select(F.col("node").alias(c), F.col("component").alias(name))
     counts = ["key", "key2", "n", "n2", "shared"]
-    apart = small.join(of("key", "x"), "key", "left").join(of("key2", "y"), "key2", "left")
-    apart = apart.where(F.coalesce("x", "key") != F.coalesce("y", "key2")).select(counts)
-    rows = cut(live.where(F.col("g") > SMALL_GROUP).join(of("key", "component"), "key", "left").withColumn("component", F.coalesce("component", "key")))
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        placed = pairs.join(of("key", "x"), "key", "left").join(of("key2", "y"), "key2", "left")
+        return placed.where(F.coalesce("x", "key") != F.coalesce("y", "key2")).select(counts)
+
+    rows = cut(crowd.where(F.col("g") > SMALL_GROUP).join(of("key", "component"), "key", "left").withColumn("component", F.coalesce("component", "key")))
     per = rows.groupBy("token", "component").count()
     largest = per.groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("top"), F.count("*").alias("k")).where("k > 1").select("token", "top")
     mixed = cut(rows.join(largest, "token"))
@@ -306,32 +341,46 @@ def _cross_links(live: DataFrame, small: DataFrame, place: DataFrame, sets: Data
     swap = lambda a, b: F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a)
     wide = wide.select(swap("key", "key2"), swap("key2", "key"), swap("n", "n2"), swap("n2", "n"), "shared")
     # sets of different components never lie both in a token's largest one, so all tokens they share are counted
-    pairs = apart.unionByName(wide).groupBy("key", "key2", "n", "n2").agg(F.sum("shared").alias("shared"))
-    pairs = cut(pairs.where(_need("shared")).select("key", "key2"))
-    salt = F.pmod(F.xxhash64(F.lit(23), "key2"), F.lit(16))
-    pairs = pairs.withColumn("salt", salt)
+    narrow = apart(_pairs(crowd.where(F.col("g") <= SMALL_GROUP)))
+    found = narrow.unionByName(wide).groupBy("key", "key2", "n", "n2").agg(F.sum("shared").alias("shared")).where(_need("shared"))
+    pairs = cut(found.select("key", "key2").union(apart(sure).select("key", "key2")).distinct())
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64(F.lit(23), "key2"), F.lit(16)))
     members = pairs.select(F.col("key").alias("grp"), "salt", F.lit(1).alias("role"), F.col("key2").alias("key"))
     centers = pairs.select(F.col("key").alias("grp"), "salt", F.lit(0).alias("role"), "key").distinct()
     return _verify(members.unionByName(centers).join(sets, "key"), common)
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of `docs` (doc_id, text)."""
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, key, component (of keys; null for empty sets) of every row."""
     spark = docs.sparkSession
     measured = cut(_measure(docs), "kind")
     members = measured.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), F.col("c").alias("n_shingles"))
-    common = spark.sparkContext.broadcast(_common_tokens(measured))
+    common = spark.sparkContext.broadcast(_common_flags(measured))
     live = _postings(docs.select("text"), common)
-    size = live.groupBy("token").agg(F.count("*").alias("g"))
-    live = cut(live.join(size, "token"))
-    small = _small_pairs(live)
-    sets = _sets(docs, members.where("doc_id is not null"), _possible(live, small))
-    links = _home_links(live, sets, common)
-    place = cut(components(links))
-    links = links.unionByName(_cross_links(live, small, place, sets, common))
+    crowded, limit = _frequent(live.groupBy("token").agg(F.count("*").alias("n")), SMALL_GROUP + 1)
+    full = cut(live.where(F.col("g") >= limit).select("key").distinct())
+    flag = lambda c, name: full.select(F.col("key").alias(c), F.lit(True).alias(name))
+    sparse = live.where(F.col("g") < limit)
+    sure = _pairs(sparse).where(_need("shared")).join(flag("key", "x"), "key", "left").join(flag("key2", "y"), "key2", "left")
+    sure = cut(sure.where("x is null or y is null").drop("x", "y"))
+    sets = _sets(docs, members.where("doc_id is not null"), sure.select("key").union(sure.select("key2")).union(full).distinct())
+    crowd = _recount(sets.join(full, "key", "left_semi"), common, spark.sparkContext.broadcast(crowded))
+    tokens = cut(sparse.select("token", "key", "g").join(sets.select("key"), "key", "left_semi").unionByName(crowd.select("token", "key", "g")))
+    links, place = None, None
+    for seed in HOME:
+        new = _home_links(tokens, place, sets, common, seed)
+        links = new if links is None else links.unionByName(new)
+        place = cut(components(links))
+    links = links.unionByName(_cross_links(sure, crowd, place, sets, common))
     place = cut(components(links))
     nodes = members.join(place.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    nodes = cut(nodes.withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component"))))
+    return cut(nodes.withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component"))))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of `docs` (doc_id, text)."""
+    with scratch(docs.sparkSession) as keep:
+        nodes = keep(_classes(docs))
     first = nodes.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = nodes.join(first, "component", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
