@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import cut, slices, split_words, words_column
-from tidewater.llm.shingles import window_hashes, word_lookup
+from tidewater.llm.common import cut, release, scratch, slices, split_words, words_column
+from tidewater.llm.shingles import column_words, window_hashes
 
 WINDOW = 13
 ANCHOR = 7
@@ -66,13 +66,13 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
     """Anchors that two documents or more have: anchor, doc_id."""
 
     def emit(batches):
-        lookup = word_lookup()
         for batch in slices(batches, 1):
             found, owners = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = split_words(text)
-                if len(words) >= WINDOW:
-                    own = np.unique(window_anchors(lookup.ids(words)))
+            hashes, bounds = column_words(batch.column(1))
+            anchors = window_anchors(hashes)
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                if b - a >= WINDOW:
+                    own = np.unique(anchors[a : b - WINDOW + 1])
                     found.append(own)
                     owners.append(np.full(len(own), doc_id))
             if found:
@@ -110,22 +110,22 @@ def recurring_windows(held: DataFrame) -> DataFrame:
     """
 
     def emit(batches):
-        lookup = word_lookup()
         for batch in slices(batches, 1):
             out: list[list[np.ndarray]] = [[], [], [], []]
-            for doc_id, text, anchors in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                words = split_words(text)
-                if len(words) < WINDOW:
+            hashes, bounds = column_words(batch.column(1))
+            all_anchors, h1, h2 = window_anchors(hashes), window_hashes(hashes, WINDOW, 1), window_hashes(hashes, WINDOW, 2)
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), bounds[:-1].tolist(), bounds[1:].tolist())
+            for doc_id, text, anchors, a, b in rows:
+                if b - a < WINDOW:
                     continue
-                ids = lookup.ids(words)
                 shared = np.sort(anchors.values.to_numpy())
-                own = window_anchors(ids)
+                own = all_anchors[a : b - WINDOW + 1]
                 at = np.minimum(np.searchsorted(shared, own), len(shared) - 1)
                 where = np.flatnonzero(shared[at] == own)
                 if len(where):
                     place = (zlib.crc32(text.encode("utf-8", "surrogatepass")) << 32) + where.astype(np.uint64)
-                    second = (window_hashes(ids, WINDOW, 2)[where] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    columns = (window_hashes(ids, WINDOW, 1)[where].view(np.int64), second, np.full(len(where), doc_id), place.view(np.int64))
+                    second = (h2[a + where] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    columns = (h1[a + where].view(np.int64), second, np.full(len(where), doc_id), place.view(np.int64))
                     for c, v in zip(out, columns):
                         c.append(v)
             if out[0]:
@@ -212,11 +212,13 @@ def removal_masks(documents: list[tuple[int, list[str], np.ndarray]]) -> list[np
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Changed rows of `docs` (doc_id, text): doc_id, text_crc32, n_removed, kept (text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    anchors = cut(shared_anchors(rows))
-    # a document's anchors are fewer than its words
-    per_doc = anchors.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    held = cut(rows.join(per_doc, "doc_id").select("doc_id", "text", "anchors"))
+    with scratch(docs.sparkSession) as keep:
+        anchors = cut(shared_anchors(rows))
+        # a document's anchors are fewer than its words
+        per_doc = anchors.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+        held = keep(cut(rows.join(per_doc, "doc_id").select("doc_id", "text", "anchors")))
     places = cut(recurring_windows(held))
+    release(docs.sparkSession)
     starts = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     work = held.select("doc_id", "text").join(starts, "doc_id").select("doc_id", "text", "places")
 
