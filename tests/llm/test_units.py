@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -171,6 +172,30 @@ def test_exchange_finds_word_classes():
     assert len(set(cls[:5])) == 1 and len(set(cls[5:10])) == 1 and cls[0] != cls[5]
 
 
+def test_words_outside_the_head_get_classes_too(spark):
+    # sentences alternate nouns and verbs; only the six commonest of the 40 words are in the head
+    rnd = random.Random(2)
+    pick = lambda kind: f"{kind}{min(rnd.randrange(20), rnd.randrange(20), rnd.randrange(20))}"
+    rows = [(" ".join(pick("noun" if i % 2 else "verb") for i in range(1, 13)),) for _ in range(400)] + [("noun0 once verb0",)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, text string").repartition(3)
+    counts = Counter(w for (t,) in rows for w in t.split())
+    model, classes = brown_lm.train(docs, cluster_words=6, table_words=10)
+    assert len(model.table) == 10 and model.rare >= 2
+    got = {r.word: (r.n, r.cls) for r in classes.collect()}
+    assert {w: n for w, (n, _) in got.items()} == counts
+    assert all((c == model.rare) == (n == 1) for n, c in got.values())
+    of = {kind: {c for w, (n, c) in got.items() if w.startswith(kind) and n >= 5} for kind in ("noun", "verb")}
+    assert of["noun"] and of["verb"] and not of["noun"] & of["verb"]
+    # what the table answers and what is joined give the same scores and transitions
+    whole, _ = brown_lm.train(docs, cluster_words=6)
+    made = [brown_lm.chains(docs, m, classes) for m in (model, whole)]
+    p = [brown_lm.transitions(x, model.rare + 2) for x in made]
+    assert np.array_equal(*p)
+    a, b = (sorted((r.n_tokens, r.n_known, r.base_score, r.score) for r in brown_lm.score(x, p[0]).collect()) for x in made)
+    assert np.allclose(a, b)
+    assert brown_lm.class_number(10**9) > brown_lm.class_number(10**6) > brown_lm.class_number(100) == brown_lm.CLASSES
+
+
 def test_kneser_ney_sums_to_one():
     texts = [[["a", "b", "a", "c"] * 3] * 6, [["a", "c", "c", "x"] * 3] * 6]
     model = toxicity_kn.KneserNey.fit(texts)

@@ -1,15 +1,20 @@
 """Scoring texts by a Brown class bigram model.
 
-Words are counted over all training texts; the most frequent ones are put into
-classes by exchange clustering on their bigram counts, all others share one
-class of rare words. A text's probability is the product, over its tokens and a
-final end token, of a smoothed class transition and a word emission.
-
-Counting and bigram counting are one pass each with partial sums per partition.
-The clustering sees a (words + 2) squared table, fixed by `cluster_words`. When
-texts are scored, a bounded table of the commonest words answers most tokens;
-the words outside it are joined with the whole vocabulary, which may be of any
-size and is never collected.
+Words are counted over all training texts. The most frequent ones are put into
+classes by exchange clustering on their bigram counts; every other word that is
+seen twice or more then joins the class under which its own neighbours are most
+likely. Words seen once share one class, which stands for unseen words as well.
+Transitions are counted over all training texts once every word has its class.
+A text's probability is the product, over its tokens and a final end token, of a
+smoothed class transition and a word emission.
+
+Counting passes work with partial sums per partition. Exchange sees a table of
+the head alone; the neighbours of all other words are summed by word and class
+of neighbour in sorted streams, so their cost is linear in the tokens. The
+number of classes grows as the cube root of the vocabulary. When texts are
+turned into chains of classes, a bounded table of the commonest words answers
+most tokens; the words outside it are joined with the classes of the whole
+vocabulary, which may be of any size and is never collected.
 
 Defined results: null text is an empty text, which consists of the end token;
 identical rows are scored separately and alike; without training texts every
@@ -28,13 +33,20 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import Lookup, cut, fold, slices, split_words
 
+#: The least size of the head that exchange clusters, and the least number of classes.
 CLUSTER_WORDS = 1500
 CLASSES = 40
 PASSES = 4
+#: Words seen less often have no class of their own; they stand for unseen words.
+CLASS_COUNT = 2
 #: Words whose counts the scoring workers hold; the rest is joined.
 TABLE_WORDS = 250_000
 #: Distinct words a counting worker holds before it hands partial sums on.
 COUNTER_WORDS = 400_000
+#: Tokens whose neighbours a worker holds before it hands partial sums on.
+NEIGHBOUR_TOKENS = 2_000_000
+#: Neighbour counts that are weighed against all classes at a time.
+WEIGHED_ROWS = 20_000
 
 
 def tokens(text: str | None) -> list[str]:
@@ -143,12 +155,130 @@ def exchange(table: np.ndarray, classes: int = CLASSES, passes: int = PASSES) ->
     return cls
 
 
+def class_number(distinct: int) -> int:
+    """Classes for a vocabulary of `distinct` words."""
+    return max(CLASSES, round(distinct ** (1 / 3)))
+
+
+class _Ids(dict):
+    """Numbers for words as they come."""
+
+    def __missing__(self, word: str) -> int:
+        i = self[word] = len(self)
+        return i
+
+
+def neighbour_counts(docs: DataFrame, head: list[str], cls: np.ndarray) -> DataFrame:
+    """Partial counts of the neighbours of all words outside `head`: word, slots, times.
+
+    Slot c is a word of class c before it, slot size + c one behind it, with
+    `cls` the classes of the head, of all other words and of the end.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((head, cls))
+    size = int(cls.max()) + 1
+
+    def count(batches):
+        head, cls = shared.value
+        first = len(head)
+        index = _Ids((w, i) for i, w in enumerate(head))
+        held, n = [], 0
+
+        def handed():
+            keys, times = np.unique(np.concatenate(held), return_counts=True)
+            word = keys // (2 * size)
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            names = list(index)
+            offsets = pa.array(np.append(starts, len(keys)).astype(np.int32))
+            slots = pa.ListArray.from_arrays(offsets, pa.array((keys % (2 * size)).astype(np.int32)))
+            times = pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))
+            words = pa.array([names[i] for i in word[starts].tolist()], pa.string())
+            made = pa.RecordBatch.from_arrays([words, slots, times], names=["word", "slots", "times"])
+            for a in range(0, made.num_rows, 10_000):
+                yield made.slice(a, 10_000)
+
+        for batch in slices(batches, 0):
+            chain = [-1]
+            for text in batch.column(0).to_pylist():
+                chain += [index[w] for w in tokens(text)]
+                chain.append(-1)
+            ids = np.array(chain, dtype=np.int64)
+            where = cls[np.where(ids < 0, first + 1, np.minimum(ids, first))]
+            at = np.flatnonzero(ids >= first)
+            if len(at):
+                held += [ids[at] * (2 * size) + where[at - 1], ids[at] * (2 * size) + size + where[at + 1]]
+                n += len(at)
+            if n > NEIGHBOUR_TOKENS or len(index) > COUNTER_WORDS and n:
+                yield from handed()
+                index = _Ids((w, i) for i, w in enumerate(head))
+                held, n = [], 0
+        if n:
+            yield from handed()
+
+    return docs.select("text").mapInArrow(count, "word string, slots array<int>, times array<int>")
+
+
+def class_weights(grid: np.ndarray) -> np.ndarray:
+    """Log likelihood [slot, class] that a neighbour in a slot gives each word class of a class bigram table."""
+    size = len(grid)
+    p = np.log((grid + 0.5) / (grid.sum(1, keepdims=True) + 0.5 * size))
+    return np.concatenate([p[:, : size - 2], p[: size - 2].T])
+
+
+def tail_classes(neighbours: DataFrame, grid: np.ndarray) -> DataFrame:
+    """word, n, cls of the words of `neighbours`: the class that makes their neighbours and themselves most likely.
+
+    It is what exchange maximises, with the classes of the head held.
+    """
+    size = len(grid)
+    shared = neighbours.sparkSession.sparkContext.broadcast((class_weights(grid), grid[:, : size - 2].sum(0)))
+
+    def weigh(batches):
+        weights, tokens_of = shared.value
+        word, total, score = None, 0, None  # of the word that goes on
+
+        def chosen(names, totals, scores):
+            own = scores - totals[:, None] * np.log(tokens_of + totals[:, None])
+            own[:, (tokens_of == 0) & tokens_of.any()] = -np.inf  # exchange has emptied the class
+            best = np.argmax(own, 1)
+            best[totals < CLASS_COUNT] = size - 2
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(totals), pa.array(best.astype(np.int32))], names=["word", "n", "cls"])
+
+        for whole in batches:
+            for a in range(0, whole.num_rows, WEIGHED_ROWS // 10):
+                batch = whole.slice(a, WEIGHED_ROWS // 10)
+                slots, times = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy().astype(np.int64)
+                of = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy())
+                names = batch.column(0).to_pylist()
+                new = np.array([True] + [x != y for x, y in zip(names[1:], names)])
+                group = np.cumsum(new) - 1
+                at = group[of]
+                totals = np.bincount(at, weights=times * (slots < size), minlength=group[-1] + 1).astype(np.int64)
+                scores = np.zeros((group[-1] + 1, size - 2))
+                for b in range(0, len(at), WEIGHED_ROWS):
+                    part = at[b : b + WEIGHED_ROWS]
+                    starts = np.flatnonzero(np.diff(part, prepend=-1))
+                    scores[part[starts]] += np.add.reduceat(weights[slots[b : b + WEIGHED_ROWS]] * times[b : b + WEIGHED_ROWS, None], starts, axis=0)
+                own = [names[i] for i in np.flatnonzero(new).tolist()]
+                if word is not None:
+                    if word == own[0]:
+                        totals[0] += total
+                        scores[0] += score
+                    else:
+                        yield chosen([word], np.array([total]), score[None])
+                word, total, score = own[-1], int(totals[-1]), scores[-1]
+                if len(own) > 1:
+                    yield chosen(own[:-1], totals[:-1], scores[:-1])
+        if word is not None:
+            yield chosen([word], np.array([total]), score[None])
+
+    return neighbours.repartition("word").sortWithinPartitions("word").mapInArrow(weigh, "word string, n long, cls int")
+
+
 @dataclass
 class BrownModel:
-    """Everything scoring needs but the counts of words outside the table."""
+    """Everything that chains of classes need but the words outside the table."""
 
     table: dict[str, tuple[int, int]]  # word: (count, class)
-    transition: np.ndarray  # log10 p(class | class before)
     class_words: np.ndarray  # tokens in each class
     total: int  # N, tokens
     distinct: int  # V, distinct tokens
@@ -158,7 +288,7 @@ class BrownModel:
 
     @property
     def rare(self) -> int:
-        return len(self.transition) - 2
+        return len(self.class_words) - 2
 
     def base_log(self, c):
         return np.log10((np.asarray(c, dtype=float) + 1) / (self.total + 1 * (self.distinct + 1)))
@@ -167,33 +297,38 @@ class BrownModel:
         return np.log10((np.asarray(c, dtype=float) + 1) / (self.rare_tokens + self.rare_types + 1))
 
 
-def train(docs: DataFrame, cluster_words: int = CLUSTER_WORDS, classes: int = CLASSES, table_words: int = TABLE_WORDS) -> tuple[BrownModel, DataFrame]:
-    """The model and the table of all word counts, from all rows of `docs`."""
+def train(docs: DataFrame, cluster_words: int = CLUSTER_WORDS, table_words: int = TABLE_WORDS) -> tuple[BrownModel, DataFrame]:
+    """The model and the table of all words (word, n, cls), from all rows of `docs`."""
+    spark = docs.sparkSession
     counts = cut(word_counts(docs))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     texts = docs.count()
-    top = counts.orderBy(F.desc("n"), "word").limit(table_words).toArrow()
+    number = class_number(v)
+    top = counts.where(F.col("n") >= CLASS_COUNT).orderBy(F.desc("n"), "word").limit(max(cluster_words, 4 * number)).toArrow()
     words, freq = top.column("word").to_pylist(), top.column("n").to_numpy()
     order = sorted(range(len(words)), key=lambda i: (-int(freq[i]), words[i]))
     words, freq = [words[i] for i in order], freq[order] if len(order) else freq
-    clustered = words[:cluster_words]
-    pairs = bigram_counts(docs, clustered)
-    cls = exchange(pairs)
+    pairs = bigram_counts(docs, words)
+    cls = exchange(pairs, number)
     size = int(cls.max()) + 1
     grid = np.zeros((size, size))
     np.add.at(grid, (np.repeat(cls, len(cls)), np.tile(cls, len(cls))), pairs.ravel())
-    transition = np.log10((grid + 0.5) / (grid.sum(1, keepdims=True) + 0.5 * size))
-    class_words = np.bincount(cls[: len(clustered)], weights=freq[: len(clustered)], minlength=size) if clustered else np.zeros(size)
-    table = {w: (int(c), int(cls[i]) if i < len(clustered) else size - 2) for i, (w, c) in enumerate(zip(words, freq))}
-    known = int(freq[: len(clustered)].sum())
-    return BrownModel(table, transition, class_words, n + texts, v + (texts > 0), texts, n - known, v - len(clustered)), counts
-
-
-def score(docs: DataFrame, model: BrownModel, counts: DataFrame) -> DataFrame:
-    """Adds n_tokens, n_known, base_score and score to `docs`, which must have a column text.
-
-    The first pass scores what the table knows and lists the other words with
-    their frequencies; those are joined with `counts` and summed per row.
+    head = pa.table([pa.array(words, pa.string()), pa.array(freq.astype(np.int64)), pa.array(cls[: len(words)].astype(np.int32))], names=["word", "n", "cls"])
+    classes = cut(tail_classes(neighbour_counts(docs, words, cls), grid).union(spark.createDataFrame(head)))
+    class_words, class_types = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+    for c, tokens_, types in classes.groupBy("cls").agg(F.sum("n"), F.count("*")).collect():
+        class_words[c], class_types[c] = tokens_, types
+    top = classes.orderBy(F.desc("n"), "word").limit(table_words).toArrow()
+    table = dict(zip(top.column("word").to_pylist(), zip(top.column("n").to_pylist(), top.column("cls").to_pylist())))
+    return BrownModel(table, class_words, n + texts, v + (texts > 0), texts, int(class_words[size - 2]), int(class_types[size - 2])), classes
+
+
+def chains(docs: DataFrame, model: BrownModel, classes: DataFrame) -> DataFrame:
+    """`docs` with n_tokens, n_known, base_score and emission in place of text, and the chain of their classes.
+
+    The first pass takes what the table knows and lists the other words with
+    their places; those are joined with `classes` and summed per row. chain holds
+    16-bit classes, and `filled` (place << 16 | class) what goes into its gaps.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -208,46 +343,95 @@ def score(docs: DataFrame, model: BrownModel, counts: DataFrame) -> DataFrame:
         count = np.array([own.table[w][0] for w in names] + [0], dtype=np.int64)
         where = np.array([own.table[w][1] for w in names] + [own.rare], dtype=np.int64)
         index = {w: i for i, w in enumerate(names)}
-        missing, end = len(names), len(own.transition) - 1
+        missing, end = len(names), own.rare + 1
         base = own.base_log(count)
-        with np.errstate(divide="ignore"):
-            emission = np.where(where == own.rare, own.rare_log(count), np.log10(np.maximum(count, 1) / np.maximum(own.class_words[where], 1)))
+        emission = np.where(where == own.rare, own.rare_log(count), np.log10(np.maximum(count, 1) / np.maximum(own.class_words[where], 1)))
         base[missing] = emission[missing] = 0.0
         key = TaskContext.get().partitionId() << 40
         for batch in slices(batches, len(others)):
             texts = batch.column(len(others)).to_pylist()
-            rows = ([], [], [], [])
-            rare_words, rare_times, offsets = [], [], [0]
+            rows = ([], [], [], [], [])
+            rare_words, rare_places, offsets = [], [], [0]
             for text in texts:
                 words = tokens(text)
                 ids = _table_ids(index, words, missing)
-                chain = np.concatenate([[end], where[ids], [end]])
-                unknown = np.flatnonzero(ids == missing)
-                rare = Counter([words[i] for i in unknown.tolist()])
-                rare_words += rare.keys()
-                rare_times += rare.values()
+                unknown = np.flatnonzero(ids == missing).tolist()
+                rare_words += [words[i] for i in unknown]
+                rare_places += [i + 1 for i in unknown]
                 offsets.append(len(rare_words))
                 rows[0].append(len(words) + 1)
                 rows[1].append(len(words) - len(unknown) + (own.texts > 0))
                 rows[2].append(float(base[ids].sum() + own.base_log(own.texts)))
-                rows[3].append(float(emission[ids].sum() + own.transition[chain[:-1], chain[1:]].sum()))
+                rows[3].append(float(emission[ids].sum()))
+                rows[4].append(np.concatenate([[end], where[ids], [end]]).astype(np.uint16).tobytes())
             keys = pa.array(np.arange(key, key + len(texts)))
             key += len(texts)
-            rare = pa.StructArray.from_arrays([pa.array(rare_words, pa.string()), pa.array(rare_times, pa.int64())], names=["word", "times"])
-            made = [keys, pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.float64()), pa.array(rows[3], pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rare)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(others))], *made], names=[*others, "__key", "n_tokens", "n_known", "base_score", "score", "__rare"])
+            rare = pa.StructArray.from_arrays([pa.array(rare_words, pa.string()), pa.array(rare_places, pa.int64())], names=["word", "place"])
+            made = [keys, pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.float64()), pa.array(rows[3], pa.float64()), pa.array(rows[4], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rare)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(others))], *made], names=[*others, "__key", "n_tokens", "n_known", "base_score", "emission", "chain", "__rare"])
 
-    first = docs.select(*others, "text").mapInArrow(first_pass, f"{schema}, __key long, n_tokens long, n_known long, base_score double, score double, __rare array<struct<word:string,times:bigint>>")
+    first = docs.select(*others, "text").mapInArrow(first_pass, f"{schema}, __key long, n_tokens long, n_known long, base_score double, emission double, chain binary, __rare array<struct<word:string,place:bigint>>")
     first = cut(first)
-    rest = first.select("__key", F.explode("__rare").alias("r")).select("__key", F.col("r.word").alias("word"), F.col("r.times").alias("times"))
-    rest = rest.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    own = model
-    base = F.log10((F.col("n") + 1) / F.lit(float(own.total + own.distinct + 1)))
-    emission = F.log10((F.col("n") + 1) / F.lit(float(own.rare_tokens + own.rare_types + 1)))
-    sums = rest.groupBy("__key").agg(F.sum(F.col("times") * base).alias("b"), F.sum(F.col("times") * emission).alias("s"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("k"))
+    rest = first.select("__key", F.explode("__rare").alias("r")).select("__key", F.col("r.word").alias("word"), F.col("r.place").alias("place"))
+    rest = rest.join(classes, "word", "left").select("__key", "place", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cls", F.lit(model.rare)).alias("cls"))
+    class_words = F.element_at(F.array(*[F.lit(float(max(x, 1))) for x in model.class_words]), F.col("cls") + 1)
+    base = F.log10((F.col("n") + 1) / F.lit(float(model.total + model.distinct + 1)))
+    rare = F.log10((F.col("n") + 1) / F.lit(float(model.rare_tokens + model.rare_types + 1)))
+    emission = F.when(F.col("cls") == model.rare, rare).otherwise(F.log10(F.col("n") / class_words))
+    filled = F.collect_list(F.shiftleft("place", 16).bitwiseOR(F.col("cls").cast("long")))
+    sums = rest.groupBy("__key").agg(F.sum(base).alias("b"), F.sum(emission).alias("s"), F.count_if(F.col("n") > 0).alias("k"), filled.alias("filled"))
     out = first.drop("__rare").join(sums, "__key", "left")
     plus = lambda a, b, zero: (F.col(a) + F.coalesce(F.col(b), F.lit(zero))).alias(a)
-    return out.select(*others, "n_tokens", plus("n_known", "k", 0), plus("base_score", "b", 0.0), plus("score", "s", 0.0))
+    return cut(out.select(*others, "n_tokens", plus("n_known", "k", 0), plus("base_score", "b", 0.0), plus("emission", "s", 0.0), "chain", "filled"))
+
+
+def _chain(chain: bytes, filled) -> np.ndarray:
+    own = np.frombuffer(chain, dtype=np.uint16).astype(np.int64)
+    if filled is not None:
+        own[filled >> 16] = filled & 0xFFFF
+    return own
+
+
+def _whole_chains(batch: pa.RecordBatch):
+    """Chains of a batch whose last columns are chain and filled."""
+    filled = batch.column(batch.num_columns - 1)
+    values, offsets, there = filled.values.to_numpy(), filled.offsets.to_numpy(), filled.is_valid().to_pylist()
+    for i, chain in enumerate(batch.column(batch.num_columns - 2).to_pylist()):
+        yield _chain(chain, values[offsets[i] : offsets[i + 1]] if there[i] else None)
+
+
+def transitions(made: DataFrame, size: int) -> np.ndarray:
+    """log10 p(class | class before), smoothed, from the chains of all rows."""
+
+    def count(batches):
+        table = np.zeros(size * size, dtype=np.int64)
+        for batch in batches:
+            pairs = [own[:-1] * size + own[1:] for own in _whole_chains(batch)]
+            table += np.bincount(np.concatenate([*pairs, np.zeros(0, np.int64)]), minlength=size * size)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["pair", "n"])
+
+    summed = made.select("chain", "filled").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    grid = np.zeros(size * size)
+    grid[summed.column("pair").to_numpy()] = summed.column("n").to_numpy()
+    grid = grid.reshape(size, size)
+    return np.log10((grid + 0.5) / (grid.sum(1, keepdims=True) + 0.5 * size))
+
+
+def score(made: DataFrame, transition: np.ndarray) -> DataFrame:
+    """`made` (of `chains`) with score in place of emission and chain."""
+    shared = made.sparkSession.sparkContext.broadcast(transition)
+    kept = [c for c in made.columns if c not in ("emission", "chain", "filled")]
+    schema = ", ".join(f"`{c}` {made.schema[c].dataType.simpleString()}" for c in kept)
+
+    def add(batches):
+        p = shared.value
+        for batch in batches:
+            sums = np.array([p[own[:-1], own[1:]].sum() for own in _whole_chains(batch)], dtype=np.float64)
+            total = pa.array(batch.column(len(kept)).to_numpy() + sums)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(kept))], total], names=[*kept, "score"])
+
+    return made.select(*kept, "emission", "chain", "filled").mapInArrow(add, f"{schema}, score double")
 
 
 def _table_ids(index: dict, words: list[str], missing: int) -> np.ndarray:
@@ -259,6 +443,7 @@ def op4_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brown model and base scores of all `documents`, learnt outside fold 2 of 7."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held_out = fold("doc_id", 7) == 2
-    model, counts = train(docs.where(~held_out))
-    out = score(docs.select("doc_id", held_out.alias("held_out"), "text"), model, counts)
+    model, classes = train(docs.where(~held_out))
+    made = chains(docs.select("doc_id", held_out.alias("held_out"), "text"), model, classes)
+    out = score(made, transitions(made.where(~F.col("held_out")), model.rare + 2))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
