@@ -172,6 +172,19 @@ def test_exchange_finds_word_classes():
     assert len(set(cls[:5])) == 1 and len(set(cls[5:10])) == 1 and cls[0] != cls[5]
 
 
+def test_spelled_addresses_are_found_whatever_else_the_text_holds():
+    prose = ["We met 9 friends at home. Then we left.", "The 3 of us looked at it. Rain fell.", "It was 4 o'clock at sea. Nobody spoke."]
+    model = pii_skipcrf.fit([f"call 1{i} or a{i}@b.example.com now. {prose[i % 3]}" for i in range(60)])
+    forms = ["jane.doe @ example.com", "jane.doe at example.com", "JANE AT EXAMPLE DOT ORG", "jane at example dot org", "jane(at)example.org"]
+    for form in forms:
+        for rest in ("", " an anecdote"):
+            text = f"Write {form} please{rest}"
+            assert [text[c.start : c.end] for c in pii_skipcrf.candidates(text, [])] == [form]
+            assert pii_skipcrf.redact(text, model.spans(text)[1]) == f"Write [EMAIL] please{rest}"
+    for text in prose + ["An anecdote of them at home. Then silence."]:
+        assert not [s for s in model.spans(text)[1] if s[0] == "email"]
+
+
 def test_words_outside_the_head_get_classes_too(spark):
     # sentences alternate nouns and verbs; only the six commonest of the 40 words are in the head
     rnd = random.Random(2)

@@ -49,6 +49,9 @@ _DIGIT = re.compile(r"[0-9]")
 #: Candidates that the base patterns may refuse.
 _NUMBER = re.compile(r"(?<![\w.+])\+?\(?[0-9](?:[\x20()./\[\]‐-—-]{0,3}[0-9]){6,24}(?![\w])")
 _SPELLED = re.compile(r"([\w.%+-]{1,64})\s?(?:@|\(at\)|\[at\]|\sat\s)\s?([\w-]{1,64}(?:\s?(?:\.|\(dot\)|\[dot\]|\sdot\s)\s?[\w-]{1,64}){1,4})", re.I)
+#: What every match of _SPELLED holds.
+_SEPARATOR = re.compile(r"@|\(at\)|\[at\]|\sat\s", re.I)
+_STOP = re.compile(r"\.\s|\s\.")
 _CONTEXT = re.compile(r"[^\W\d_]+")
 
 
@@ -129,7 +132,9 @@ def _features(text: str, c: Candidate, kind: str) -> list[str]:
     raw = text[c.start : c.end]
     shape = re.sub(r"[0-9]+", "9", re.sub(r"[^\W\d_]+", "a", raw))[:24]
     left = _CONTEXT.findall(text[max(0, c.start - 24) : c.start])
-    out = [f"kind:{kind}", f"shape:{shape.lstrip('+')}", f"left:{left[-1].lower() if left else ''}", f"allowed:{c.allowed}"]
+    # a full stop beside a space ends a sentence ("at home. Then") rather than parts a host: such candidates share no weights with addresses
+    loose = "loose " if kind == "email" and _STOP.search(raw) else ""
+    out = [f"kind:{loose}{kind}", f"shape:{shape.lstrip('+')}", f"left:{left[-1].lower() if left else ''}", f"allowed:{loose}{c.allowed}"]
     if kind == "number":
         out += [f"digits:{len(_digits(raw))}", f"groups:{len(re.split('[^0-9]+', raw.strip('+()')))}"]
     marks = [f"mark:{m}" for m in "+@" if m in raw]
@@ -148,8 +153,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[Candidate]:
     fresh = []
     if _DIGIT.search(text):
         fresh += [("number", m.start(), m.end()) for m in _NUMBER.finditer(text)]
-    low = text.casefold() if "@" in text or "at" in text else ""
-    if "dot" in low or "(at)" in low or "[at]" in low:
+    if _SEPARATOR.search(text):
         fresh += [("email", m.start(), m.end()) for m in _SPELLED.finditer(text)]
     edges = np.array([a for a, _ in taken]), np.array([b for _, b in taken])
     for kind, a, b in fresh:
