@@ -185,6 +185,13 @@ def test_spelled_addresses_are_found_whatever_else_the_text_holds():
         assert not [s for s in model.spans(text)[1] if s[0] == "email"]
 
 
+def test_language_sample_is_drawn_at_any_size():
+    for rows in (141, 10**6, 70 * 10**6, 140 * 10**6 + 1, 10**10):
+        expected = (language_crf.draw_limit(rows, 100) + 2**63 + 1) / 2**64 * rows
+        assert expected == pytest.approx(140, rel=1e-6)
+    assert language_crf.draw_limit(140, 100) == language_crf.draw_limit(1, 100) == 2**63 - 1
+
+
 def test_words_outside_the_head_get_classes_too(spark):
     # sentences alternate nouns and verbs; only the six commonest of the 40 words are in the head
     rnd = random.Random(2)

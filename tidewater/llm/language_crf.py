@@ -293,17 +293,22 @@ def fit(texts: list[tuple[str, str]], iterations: int = ITERATIONS, seed: int =
     return LanguageCrf(labels, table, transition)
 
 
+def draw_limit(rows: int, sample_per_language: int) -> int:
+    """The largest of the 64-bit draws to take, so that a fifth and 20 more than the sample are expected of any number of rows."""
+    return min(2**64, (2**64 * (sample_per_language * 6 // 5 + 20)) // rows) - 2**63 - 1
+
+
 def fit_on(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageCrf | None:
     """Fit on about `sample_per_language` texts of each language of `docs` (doc_id, text, lang)."""
     known = docs.where("lang is not null and doc_id is not null and text is not null").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row per language
     if not counts:
         return None
-    limit = F.lit(0)
-    draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000))
+    limit = F.lit(None).cast("long")
+    draw = F.xxhash64(F.lit(11), "doc_id")
     for lang, n in sorted(counts.items()):
-        limit = F.when(F.col("lang") == lang, F.lit(int(1_000_000 * min(1.0, (1.2 * sample_per_language + 20) / n)))).otherwise(limit)
-    rows = known.where(draw < limit).withColumn("draw", draw).collect()
+        limit = F.when(F.col("lang") == lang, F.lit(draw_limit(n, sample_per_language))).otherwise(limit)
+    rows = known.where(draw <= limit).withColumn("draw", draw).collect()
     rows.sort(key=lambda r: (r["lang"], r["draw"], r["doc_id"], r["text"]))
     taken: Counter = Counter()
     chosen = []
