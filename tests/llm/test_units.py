@@ -236,6 +236,22 @@ def test_automata_remove_what_windows_say():
     assert masks[0].tolist() == [False, *[True] * 22, False] and not masks[1].any() and masks[2].any()
 
 
+def test_vectors_of_every_length_are_joined(spark, monkeypatch):
+    lengths = range(1, 1003)
+    rows = [(2 * n + i, 0, [float(x == 0 or i) for x in range(n)] if n > 1 else [1.0 + i]) for n in lengths for i in (0, 1)]
+    rows += [(5000, 0, [1.0] * 1500), (5001, 0, [1.0] * 1501), (5002, 0, [1.0] * 1501)]
+    seen = []
+    blank = spark.createDataFrame([], "rep long, links long, root long")
+    monkeypatch.setattr(embedding_ego, "directions", lambda distinct, dim: dim)
+    monkeypatch.setattr(embedding_ego, "_links", lambda part, dim, *_: seen.append(dim) or blank)
+    frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    found = {r.vec_id: r for r in embedding_ego.near_duplicates(frame).collect()}
+    assert seen == list(lengths)  # those that hold one vector have no links to look for
+    assert [found[i].n_links for i in (5000, 5001, 5002)] == [0, 1, 1] and found[5002].component_id == 5001
+    few = frame.where("vec_id >= 5000")
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_ego.near_duplicates(few).collect()} == {5000: (0, 5000, True), 5001: (1, 5001, True), 5002: (1, 5001, False)}
+
+
 def test_recursive_join_is_the_product():
     rng = np.random.default_rng(8)
     centers = rng.normal(size=(5, 8))

@@ -36,6 +36,8 @@ INTERVAL = 1024
 LEAF = 64
 #: Intervals are looked up by cells of the first direction, coarser than the grid by this factor.
 COARSE = 4
+#: Lengths whose links are in one plan; then they are written.
+PLANS = 50
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -198,15 +200,18 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     epsilon = math.sqrt(2 - 2 * threshold) + 1e-9
     vectors = cut(valid_vectors(df))
     distinct = cut(vectors.groupBy("label", "dim", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
-    dims = [r[0] for r in distinct.select("dim").distinct().limit(1000).collect()]
+    # a vector that is alone with its label and length has no links; one row per length
+    dims = [r[0] for r in distinct.groupBy("label", "dim").count().where("count > 1").select("dim").distinct().collect()]
     found = None
-    for dim in sorted(dims):
+    for i, dim in enumerate(sorted(dims), 1):
         part = _links(distinct.where(F.col("dim") == dim), directions(distinct, dim), epsilon, threshold)
         found = part if found is None else found.unionByName(part)
+        if i % PLANS == 0:
+            found = cut(found)
     ids = df.select("vec_id")
-    if found is None:
+    if found is None and not distinct.where("weight > 1").head(1):
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    found = cut(found)
+    found = cut(df.sparkSession.createDataFrame([], "rep long, links long, root long") if found is None else found)
     weight = found.groupBy("rep").agg(F.sum("links").alias("links"))
     members = vectors.join(distinct, ["label", "dim", "embedding"]).select("vec_id", "rep", "weight")
     members = cut(members)
