@@ -37,9 +37,8 @@ def test_column_words(texts):
 @settings(max_examples=300, deadline=None)
 def test_prefixes_of_linked_sets_share_enough_tokens(a, b, late):
     overlap = len(a & b)
-    flags = np.zeros(jaccard_orders.FLAGS, dtype=np.uint8)
-    flags[[3, 5]] = 1
-    crowded = np.array(sorted(late), dtype=np.int64)
+    flags = jaccard_orders.bits_of(np.array([3, 5]))
+    crowded = jaccard_orders.bits_of(np.array(sorted(late), dtype=np.int64))
     linked = 100 * overlap >= 80 * len(a | b)
     assert linked == (overlap >= jaccard_orders.needed_overlap(len(a), len(b)))
     if linked:
@@ -47,6 +46,61 @@ def test_prefixes_of_linked_sets_share_enough_tokens(a, b, late):
             x, y = (jaccard_orders.prefix(np.array(sorted(s), dtype=np.int64), flags, seed, crowded) for s in (a, b))
             rest = max(len(a) - len(x), len(b) - len(y))
             assert len(set(x.tolist()) & set(y.tolist())) >= max(1, jaccard_orders.needed_overlap(len(a), len(b)) - rest)
+        x, y = (np.frombuffer(jaccard_orders.signature(np.array(sorted(s), dtype=np.int64), flags), np.uint16) for s in (a, b))
+        assert jaccard_orders.passes(x, y, len(a), len(b))
+
+
+@given(st.data())
+@settings(max_examples=200, deadline=None)
+def test_differences_keep_every_linked_pair(data):
+    draw = lambda least=0: np.array(sorted(data.draw(st.sets(st.integers(0, 40), min_size=least, max_size=30))), dtype=np.int64)
+    a = draw(1)
+    b = np.array(sorted((set(a.tolist()) | data.draw(st.sets(st.integers(0, 60), max_size=4))) - data.draw(st.sets(st.integers(0, 40), max_size=3))), dtype=np.int64)
+    overlap = len(set(a.tolist()) & set(b.tolist()))
+    if not len(b) or overlap < jaccard_orders.needed_overlap(len(a), len(b)):
+        return
+    found = jaccard_orders.pivots([draw(1) for _ in range(data.draw(st.integers(0, 6)))])
+    x, y = (dict(jaccard_orders.differences(s, found)) for s in (a, b))
+    meet = set(x) & set(y)
+    assert meet
+    for i in meet:
+        shared = len(set(x[i].tolist()) & set(y[i].tolist()))
+        assert len(a) + len(b) - 2 * overlap == len(x[i]) + len(y[i]) - 2 * shared
+        if 9 * (len(x[i]) + len(y[i])) > len(a) + len(b):
+            assert shared >= max(jaccard_orders.least_shared(len(s), len(d[i]), len(found[i])) for s, d in ((a, x), (b, y)))
+
+
+def test_families_against_all_pairs(spark):
+    """Families larger than SMALL_GROUP, one of them with a passage that other documents hold as well."""
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randrange(10**9)}"
+    texts = []
+    for family in range(3):
+        base = [word() for _ in range(90)]
+        for i in range(90):
+            own = list(base)
+            for _ in range(rnd.choice((0, 1, 1, 2, 2, 3, 3, 4, 6))):
+                own[rnd.randrange(len(own))] = word()
+            texts.append(" ".join(own[rnd.choice((0, 0, 0, 3)) :]))
+        if family == 0:
+            for size in (3, 40, 200):
+                texts += [" ".join(base + [word() for _ in range(size)]) for _ in range(40)]
+    texts += texts[5:9]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in map(str.split, texts)]
+    root = list(range(len(sets)))
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    got = jaccard_orders.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: find(i) for i in range(len(sets))}
 
 
 def test_components_against_union_find(spark):
