@@ -14,7 +14,7 @@ stay out of the prefixes of documents that have anything else.
    pairs; the others are crowded. A pair with a set that has no crowded token
    shares another one.
 3. A third pass reads the texts that any pair or crowded token names. It hands
-   on signatures, the prefixes under all FILTERS orders, and for sets with crowded
+   on signatures, half of each set as the FILTERS orders have it, and for sets with crowded
    tokens new prefixes under the order that puts those last.
 4. Pairs must share enough prefix tokens under every one of the orders: the counts
    are intersected here, before any set is fetched.
@@ -53,7 +53,7 @@ from tidewater.llm.shingles import column_shingles, mix
 SHINGLE = 5
 PERCENT = 80
 #: Seeds of the orders: the one that generates pairs, and those that every pair has to pass as well.
-ORDERS = (1, 2, 3, 4)
+ORDERS = (1, 2, 3)
 FILTERS = ORDERS[1:]
 #: Groups of a token up to this size are paired directly.
 SMALL_GROUP = 32
@@ -73,6 +73,11 @@ def prefix_length(n, percent: int = PERCENT):
     return n - (percent * n + 99) // 100 + 1
 
 
+def half(n):
+    """Tokens of the prefixes that pairs are filtered by; the longer, the sharper is the count."""
+    return (n + 1) // 2
+
+
 def needed_overlap(a, b, percent: int = PERCENT):
     """Smallest overlap of sets of a and b tokens that links them."""
     return (percent * (a + b) + 99 + percent) // (100 + percent)
@@ -112,26 +117,33 @@ def collect_bits(rows: DataFrame, ids: bool = False) -> np.ndarray:
     return out
 
 
-def prefix(tokens: np.ndarray, common: np.ndarray, seed: int, crowded: np.ndarray | None = None, percent: int = PERCENT) -> np.ndarray:
+def prefix(tokens: np.ndarray, common: np.ndarray, seed: int, crowded: np.ndarray | None = None, length=prefix_length) -> np.ndarray:
     """The prefix of a set under one order: tokens that aren't flagged as common (or, if given, crowded) first, then by hash."""
-    key = mix(tokens.view(np.uint64), seed) >> np.uint64(1)
+    p = length(len(tokens))
+    return tokens[np.argpartition(_ranks(tokens, common, seed, crowded), p - 1)[:p]] if p < len(tokens) else tokens
+
+
+def in_order(tokens: np.ndarray, common: np.ndarray, crowded: np.ndarray) -> np.ndarray:
+    """All tokens of a set in the first order, crowded ones late."""
+    return tokens[np.argsort(_ranks(tokens, common, ORDERS[0], crowded))]
+
+
+def _ranks(tokens: np.ndarray, common: np.ndarray, seed: int, crowded: np.ndarray | None) -> np.ndarray:
     late = in_bits(common, tokens)
     if crowded is not None:
         late |= in_bits(crowded, tokens)
-    key |= late.astype(np.uint64) << np.uint64(63)
-    p = prefix_length(len(tokens), percent)
-    return tokens[np.argpartition(key, p - 1)[:p]] if p < len(tokens) else tokens
+    return mix(tokens.view(np.uint64), seed) >> np.uint64(1) | late.astype(np.uint64) << np.uint64(63)
 
 
 def signature(tokens: np.ndarray, common: np.ndarray) -> bytes:
     """Prefixes under the FILTERS orders, each as sorted 16-bit values: two sets share no fewer of these than tokens."""
-    parts = [np.sort(prefix(tokens, common, o).astype(np.uint16)) for o in FILTERS]
+    parts = [np.sort(prefix(tokens, common, o, length=half).astype(np.uint16)) for o in FILTERS]
     return np.concatenate(parts).tobytes()
 
 
 def passes(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> bool:
     """Whether the signatures of sets of n_a and n_b tokens admit a link under every order."""
-    p, q = prefix_length(n_a), prefix_length(n_b)
+    p, q = half(n_a), half(n_b)
     least = needed_overlap(n_a, n_b) - max(n_a - p, n_b - q)
     x, y = a.reshape(-1, p), b.reshape(-1, q)
     for i in range(len(x)):
@@ -230,7 +242,7 @@ def _live(rows: DataFrame) -> DataFrame:
 
     ordered = rows.repartition(F.col("token")).sortWithinPartitions("token", "key")
     kept = cut(ordered.mapInArrow(live, "token long, key long, n long"))
-    return cut(kept.join(kept.groupBy("token").agg(F.count("*").alias("g")), "token"))
+    return cut(kept.join(kept.groupBy("token").agg(F.count("*").alias("g")).hint("merge"), "token"))
 
 
 def _first_documents(members: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -299,7 +311,7 @@ def _recount(signatures: DataFrame) -> DataFrame:
 def _intersected(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     """The pairs (key, key2, n, n2) that share enough prefix tokens under each of the FILTERS orders as well."""
     one = signatures.select("key", "sig").dropDuplicates(["key"])
-    both = pairs.join(one, "key").join(one.select(F.col("key").alias("key2"), F.col("sig").alias("sig2")), "key2")
+    both = pairs.join(one.hint("merge"), "key").join(one.select(F.col("key").alias("key2"), F.col("sig").alias("sig2")).hint("merge"), "key2")
 
     def check(batches):
         for batch in batches:
@@ -336,7 +348,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     size = pairs.groupBy("grp").agg(F.expr(f"(count(*) + {PAIR_SALT - 1}) div {PAIR_SALT}").alias("salts"))
     members = pairs.join(size, "grp").select("grp", F.pmod(F.xxhash64(F.lit(22), "key"), "salts").alias("salt"), F.lit(1).alias("role"), "key")
     centers = size.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("grp").alias("key"))
-    rows = members.unionByName(centers).join(sets, "key")
+    rows = members.unionByName(centers).join(sets.hint("merge"), "key")
     ordered = rows.repartition(F.col("grp"), F.col("salt")).sortWithinPartitions("grp", "salt", "role", "key")
     return cut(ordered.select("grp", "salt", "role", "key", "tokens").mapInArrow(run, "a long, b long").distinct())
 
@@ -372,7 +384,7 @@ def _pairs(live: DataFrame) -> DataFrame:
 
 
 def pivots(sample: list[np.ndarray]) -> list[np.ndarray]:
-    """Token sets that a sample of a family gathers round, and the empty one.
+    """The empty set and token sets that a sample of a family gathers round.
 
     Sets are taken in turn; those that share half of their tokens with the first
     one left make a group, and the tokens that most of a group have are its pivot.
@@ -385,18 +397,19 @@ def pivots(sample: list[np.ndarray]) -> list[np.ndarray]:
         if len(near) > 1:
             tokens, times = np.unique(np.concatenate(near), return_counts=True)
             out.append(tokens[2 * times > len(near)])
-    return [p for p in out if len(p)] + [np.zeros(0, np.int64)]
+    return [np.zeros(0, np.int64)] + [p for p in out if len(p)]
 
 
-def differences(tokens: np.ndarray, found: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
-    """(pivot, difference from it) for the pivots under which a set can meet a partner.
+def places(tokens: np.ndarray, found: list[np.ndarray]) -> list[int]:
+    """The pivots under which a set can meet a partner: its nearest one, and earlier ones that are nearly as near.
 
     Linked sets are at most min(n_a, n_b) / 4 apart. If a pivot is the nearest one
-    to A, its distance to B exceeds that of B's own nearest by half of B at most.
+    to A, its distance to B exceeds that of B's own nearest by half of B at most;
+    a pair meets under the earlier of its two nearest pivots.
     """
     apart = [len(tokens) + len(p) - 2 * _overlap(tokens, p) for p in found]
-    bound = 2 * min(apart) + len(tokens)
-    return [(i, np.setxor1d(tokens, found[i], assume_unique=True)) for i, d in enumerate(apart) if 2 * d <= bound]
+    home = int(np.argmin(apart))
+    return [i for i in range(home) if 2 * apart[i] <= 2 * apart[home] + len(tokens)] + [home]
 
 
 def least_shared(n: int, d: int, pivot: int) -> int:
@@ -405,8 +418,12 @@ def least_shared(n: int, d: int, pivot: int) -> int:
     return max(1, int(np.ceil((9 * (d + abs(size - pivot)) - n - size) / 18 - 1e-9)))
 
 
-def _differences(crowd: DataFrame, sets: DataFrame) -> DataFrame:
-    """Differences of the sets of `crowd` (token, key, n) from the pivots of their family: sub, key, n, d, least, delta (binary)."""
+def _differences(crowd: DataFrame, sets: DataFrame, common: np.ndarray, crowded: np.ndarray) -> DataFrame:
+    """Differences of the sets of `crowd` (token, key, n) from the pivots of their family: sub, key, n, d, least, whole, delta (binary).
+
+    A difference from the empty pivot is a set itself; of these only the prefix
+    is handed on (whole: false), in the order with crowded tokens last.
+    """
     # a token and the sets that have it are of one family
     families = components(crowd.select(F.col("token").alias("a"), F.col("key").alias("b")))
     members = cut(crowd.select(F.col("key").alias("node")).distinct().join(families, "node").select(F.col("node").alias("key"), F.col("component").alias("grp")))
@@ -416,11 +433,12 @@ def _differences(crowd: DataFrame, sets: DataFrame) -> DataFrame:
     sampled = F.pmod(F.xxhash64(F.lit(5), "key"), F.greatest(F.expr(f"count div {SAMPLE}"), F.lit(1))) == 0
     own = rows.select("grp", salt.alias("salt"), F.lit(1).alias("role"), "key")
     spread = rows.where(sampled).select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "key")
+    flags = crowd.sparkSession.sparkContext.broadcast((common, crowded))
 
     def run(batches):
         group, sample, last, found = None, [], None, None
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
             grp, salt, role, key = (batch.column(i).to_pylist() for i in range(4))
             for i in range(batch.num_rows):
                 if (grp[i], salt[i]) != group:
@@ -436,15 +454,17 @@ def _differences(crowd: DataFrame, sets: DataFrame) -> DataFrame:
                 if key[i] == last:
                     continue
                 last = key[i]
-                for number, delta in differences(s, found):
-                    values = (f"{grp[i]}:{number}", key[i], len(s), len(delta), least_shared(len(s), len(delta), len(found[number])), delta.tobytes())
-                    for c, v in zip(out, values):
+                for number in places(s, found):
+                    delta = np.setxor1d(s, found[number], assume_unique=True)
+                    least = least_shared(len(s), len(delta), len(found[number]))
+                    kept = delta if number else in_order(delta, *flags.value)[: len(delta) - least + 1]
+                    for c, v in zip(out, (f"{grp[i]}:{number}", key[i], len(s), len(delta), least, number > 0, kept.tobytes())):
                         c.append(v)
-            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["sub", "key", "n", "d", "least", "delta"])
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["sub", "key", "n", "d", "least", "whole", "delta"])
 
-    ordered = own.unionByName(spread).join(sets, "key").repartition(F.col("grp"), F.col("salt")).sortWithinPartitions("grp", "salt", "role", "key")
-    return cut(ordered.select("grp", "salt", "role", "key", "tokens").mapInArrow(run, "sub string, key long, n long, d long, least long, delta binary"))
+    ordered = own.unionByName(spread).join(sets.hint("merge"), "key").repartition(F.col("grp"), F.col("salt")).sortWithinPartitions("grp", "salt", "role", "key")
+    return cut(ordered.select("grp", "salt", "role", "key", "tokens").mapInArrow(run, "sub string, key long, n long, d long, least long, whole boolean, delta binary"))
 
 
 def _certain(deltas: DataFrame) -> DataFrame:
@@ -465,17 +485,19 @@ def _family_pairs(deltas: DataFrame, place: DataFrame) -> DataFrame:
             times = [len(x) for x in found]
             if found:
                 at = pa.array(np.repeat(np.arange(batch.num_rows), times))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(found))], names=["sub", "key", "token"])
+                place = np.concatenate([np.arange(n) for n in times])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(found)), pa.array(place)], names=["sub", "key", "token", "place"])
 
-    tokens = cut(deltas.select("sub", "key", "delta").mapInArrow(emit, "sub string, key long, token long"))
+    tokens = cut(deltas.select("sub", "key", "delta").mapInArrow(emit, "sub string, key long, token long, place long"))
     shared = tokens.groupBy("sub", "token").agg(F.count("*").alias("g")).where("g > 1")
-    # the tokens of one set, rare ones first; those that no other set has come before them all
-    order = F.sort_array(F.collect_list(F.struct("g", "token"))).alias("t")
-    live = tokens.join(shared, ["sub", "token"]).groupBy("sub", "key").agg(order)
-    live = live.join(deltas.select("sub", "key", "n", "d", "least"), ["sub", "key"]).join(place.select(F.col("node").alias("key"), "component"), "key", "left")
-    live = live.select("sub", "key", "n", "d", "least", F.coalesce("component", "key").alias("component"), (F.col("d") - F.size("t")).alias("dead"), F.posexplode("t").alias("pos", "x"))
+    live = tokens.join(shared.hint("merge"), ["sub", "token"]).join(deltas.select("sub", "key", "n", "d", "least", "whole"), ["sub", "key"])
+    # whole differences are ordered rare tokens first, those that no other set has before them all; prefixes are in order already
+    order = F.sort_array(F.collect_list(F.struct(F.when(F.col("whole"), F.col("g")).otherwise(F.col("place")).alias("rank"), "token"))).alias("t")
+    live = live.groupBy("sub", "key", "n", "d", "least", "whole").agg(order).join(place.select(F.col("node").alias("key"), "component"), "key", "left")
+    live = live.select("sub", "key", "n", "d", "least", "whole", F.coalesce("component", "key").alias("component"), F.size("t").alias("live"), F.posexplode("t").alias("pos", "x"))
     # so many tokens at most are shared if this is the first shared one
-    live = cut(live.withColumn("reach", F.expr("d - dead - pos")).where("reach >= least").select("sub", F.col("x.token").alias("token"), "key", "n", "d", "component", "reach"))
+    reach = F.when(F.col("whole"), F.col("live") - F.col("pos")).otherwise(F.col("d") - F.col("x.rank"))
+    live = cut(live.withColumn("reach", reach).where("reach >= least").select("sub", F.col("x.token").alias("token"), "key", "n", "d", "component", "reach"))
     other = live.select("sub", "token", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "d", "component", "reach")])
     enough = F.expr("key < key2 and component <> component2 and 9 * (d + d2) > n + n2 and 18 * least(reach, reach2) >= 9 * (d + d2) - n - n2")
     return live.join(other, ["sub", "token"]).where(enough & _near()).select("key", "key2", "n", "n2").distinct()
@@ -524,7 +546,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     sets = _sets(docs, names(pairs.select("key").union(pairs.select("key2")).union(family.select("key"))))
     links = spark.createDataFrame([], "a long, b long")
     if not family.isEmpty():
-        deltas = _differences(family, sets)
+        deltas = _differences(family, sets, common, crowded)
         links = _certain(deltas)
         found = _family_pairs(deltas, cut(components(links)))
         pairs = pairs.unionByName(_intersected(found, signatures))
