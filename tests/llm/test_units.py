@@ -271,14 +271,53 @@ def test_words_outside_the_head_get_classes_too(spark):
 
 
 def test_kneser_ney_sums_to_one():
-    texts = [[["a", "b", "a", "c"] * 3] * 6, [["a", "c", "c", "x"] * 3] * 6]
-    model = toxicity_kn.KneserNey.fit(texts)
+    words = ["a", "b", "c", "x", "never"]
+    texts = [[np.array([0, 1, 0, 2] * 3), np.array([2, 1])] * 6, [np.array([0, 2, 2, 3] * 3)] * 6]
+    model = toxicity_kn.KneserNey.fit(texts, words)
+    size = len(words) + 1
     for c in (0, 1):
-        assert model.unigram[c].sum() == pytest.approx(1)
-        size = len(model.log_unigram)
+        assert model.word[c].sum() == pytest.approx(1) and (model.word[c] > 0).all()
         for h in range(size):
             own = model.keys // size == h
-            assert model.pair[c][own].sum() + model.backoff[c][h] * model.unigram[c].sum() == pytest.approx(1, abs=1e-5)
+            assert model.pair[c][own].sum() + model.left[c][h] * model.word[c].sum() == pytest.approx(1, abs=2e-3)
+    # counts are of distinct words before: copies change nothing
+    again = toxicity_kn.KneserNey.fit([[*texts[0], *texts[0]], texts[1]], words)
+    assert np.array_equal(again.word, model.word) and np.array_equal(again.pair, model.pair)
+
+
+def test_kneser_ney_against_plain_counts():
+    """Words and pairs against counts kept in dictionaries, with the same discounts and tilt."""
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(12)]
+    texts = [[np.array([min(11, int(rnd.expovariate(0.3 + c / 4))) for _ in range(30)]) for _ in range(9)] for c in (0, 1)]
+    model = toxicity_kn.KneserNey.fit(texts, words)
+    contexts = [{(a, b, w) for t in c for a, b, w in zip(["", "", *t.tolist()], ["", *t.tolist()], t.tolist())} for c in texts]
+    pairs = [Counter((b, w) for _, b, w in c) for c in contexts]
+    single = [Counter(w for _, w in p) for p in pairs]
+    tilt = model.spelling.tilt(words)
+    both = Counter(w for _, w in {*pairs[0], *pairs[1]})
+    for c in (0, 1):
+        less = toxicity_kn.discounts(np.array([single[c][w] for w in range(12)]))
+        own = {w: max(0.0, single[c][w] - less[min(3, single[c][w])]) / sum(single[c].values()) for w in range(12)}
+        shared = {w: (both[w] + 0.5) * np.exp(tilt[c][w]) for w in range(12)}
+        for w in range(12):
+            assert model.word[c][w] == pytest.approx(own[w] + (1 - sum(own.values())) * shared[w] / sum(shared.values()))
+        every = {*pairs[0], *pairs[1]}
+        less = toxicity_kn.discounts(np.array([pairs[c][p] for p in every]))
+        for key, p in zip(model.keys.tolist(), model.pair[c].tolist()):
+            h, w = divmod(key, 13)
+            h = "" if h == 12 else h
+            total = sum(n for (b, _), n in pairs[c].items() if b == h)
+            assert p == pytest.approx(max(0.0, pairs[c][h, w] - less[min(3, pairs[c][h, w])]) / max(1, total))
+
+
+def test_unseen_forms_lean_to_the_class_that_spells_so():
+    toxic = [f"grublo{e} and the {w} day" for e in ("sk", "n", "ter", "mi", "pa") for w in ("fine", "cold", "long")]
+    plain = [f"the {a} {b} of a day" for a in ("fine", "cold", "long") for b in ("house", "river", "stone", "light", "garden")]
+    model = toxicity_kn.fit(toxic + plain, [1] * 15 + [0] * 15, [i % 2 for i in range(30)])
+    s = model.scores(["a grublovar here", "a house there", "", None], model.lookup())
+    assert s[0] > s[1] and s[2] == s[3]
+    assert toxicity_kn.fit(plain, [0] * 15, [0] * 15).language is None
 
 
 def test_automata_remove_what_windows_say():

@@ -54,6 +54,11 @@ def fold(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def draw_limit(rows: int, sample: int) -> int:
+    """The largest of the 64-bit draws to take, so that a fifth and 20 more than the sample are expected of any number of rows."""
+    return min(2**64, (2**64 * (sample * 6 // 5 + 20)) // rows) - 2**63 - 1
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

@@ -7,14 +7,17 @@ word; a document's language is the label with the most expected words.
 
 Training sequences are labelled texts cut into segments and dealt anew, so that
 they switch languages as mixed text does. The sample of labelled rows is bounded
-(`SAMPLE_PER_LANGUAGE` texts each, by a hash of the id); every text is labelled
+(`SAMPLE_PER_LANGUAGE` texts each, by a hash of the id, of a text its first
+`FIT_CHARS` characters); every text is labelled
 whole, in one pass without a shuffle. Forward-backward runs over all texts of a
 slice at once: texts are cut into short chunks, chunk transfer matrices are
 multiplied along each text, and the chunks are then finished in parallel.
 
 Defined results: null texts and texts without a letter are `und` with score 0;
 if no language can be learnt all are; words without letters follow their
-neighbours. Repeated rows are labelled alike; other columns pass through.
+neighbours. Equal shares go to the language first by code point. Very long texts
+are a slice of their own. Repeated rows are labelled alike, an empty table stays
+empty; other columns pass through.
 """
 
 from __future__ import annotations
@@ -29,10 +32,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import fold, runs, split_words
+from tidewater.llm.common import draw_limit, fold, runs, split_words
 from tidewater.llm.shingles import mix
 
 SAMPLE_PER_LANGUAGE = 100
+FIT_CHARS = 200_000
 SEGMENT = 60
 SEGMENTS_PER_SEQUENCE = 20
 ITERATIONS = 25
@@ -46,6 +50,11 @@ _LETTER = re.compile(r"[^\W\d_]")
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalpha()) + "«»“”‘’…–—¡¿"
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; characters such as a superscript two are word characters but no letters."""
+    return any(m.group().isalpha() for m in _LETTER.finditer(text))
+
+
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of words: feature ids, and where each word's begin.
 
@@ -58,7 +67,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     entry = np.zeros(len(words), dtype=np.int64)
     for i, w in enumerate(words):
         w = w.lower().strip(_EDGES)
-        if w.isalpha() or _LETTER.search(w):
+        if w.isalpha() or has_letter(w):
             marked.append(f"^{w}$")
             entry[i] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % (FEATURES - 1) + 1
         else:
@@ -219,7 +228,7 @@ class LanguageCrf:
         for t, n in zip(texts, lengths.tolist()):
             share = gamma[at : at + n].mean(0) if n else None
             at += n
-            if n and _LETTER.search(t):
+            if n and has_letter(t):
                 best = int(np.argmax(share))
                 out.append((self.labels[best], float(min(1.0, share[best]))))
             else:
@@ -293,11 +302,6 @@ def fit(texts: list[tuple[str, str]], iterations: int = ITERATIONS, seed: int =
     return LanguageCrf(labels, table, transition)
 
 
-def draw_limit(rows: int, sample_per_language: int) -> int:
-    """The largest of the 64-bit draws to take, so that a fifth and 20 more than the sample are expected of any number of rows."""
-    return min(2**64, (2**64 * (sample_per_language * 6 // 5 + 20)) // rows) - 2**63 - 1
-
-
 def fit_on(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageCrf | None:
     """Fit on about `sample_per_language` texts of each language of `docs` (doc_id, text, lang)."""
     known = docs.where("lang is not null and doc_id is not null and text is not null").select("doc_id", "text", "lang")
@@ -308,7 +312,7 @@ def fit_on(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> L
     draw = F.xxhash64(F.lit(11), "doc_id")
     for lang, n in sorted(counts.items()):
         limit = F.when(F.col("lang") == lang, F.lit(draw_limit(n, sample_per_language))).otherwise(limit)
-    rows = known.where(draw <= limit).withColumn("draw", draw).collect()
+    rows = known.where(draw <= limit).withColumn("draw", draw).withColumn("text", F.substring("text", 1, FIT_CHARS)).collect()
     rows.sort(key=lambda r: (r["lang"], r["draw"], r["doc_id"], r["text"]))
     taken: Counter = Counter()
     chosen = []

@@ -1,136 +1,244 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, one from toxic and one from ordinary labelled texts, are
-interpolated with absolute discounting down to one continuation distribution
-that both classes share: an expression that neither class knows well gets
-nearly the same probability from both and decides nothing. A text is judged by
-the difference of its length-normalised log-likelihoods, over the whole text and
-over its most toxic windows, so that a few insults in a long text still count. A
-logistic curve, fitted on out-of-fold differences, turns these into a score.
-
-Fitting uses a bounded sample of labelled rows (`sample_per_class`, chosen by a
-hash of the id); every text is scored whole, in one pass without a shuffle.
+Two models, one of toxic and one of ordinary labelled texts, give each word a
+probability after the word before it: discounted counts of pairs, backed off to
+discounted counts of words, backed off to continuation counts that both classes
+share. No word or pair of the sample is cut off: the discounts (estimated as
+Chen and Goodman do) leave rare ones little of their own, and they get what the
+shared counts give. All counts are of distinct words before, not of tokens, so
+copies, and one text going on about a matter, count once.
+
+The shared counts are tilted by how each class spells: a class-conditional
+Kneser-Ney model of letters, again over shared lowest counts, so that a rare or
+unseen form of an insult is closer to toxic text than any other rare word. The
+tilt is bounded, and so is what a pair may add to its word.
+
+A text is judged by the difference of its length-normalised log-likelihoods, over
+the whole text and over its most toxic windows, so that a few insults in a long
+text still count, and by how much of it lies well on the toxic side. A logistic
+curve, fitted on out-of-fold differences, turns these into a score.
+
+Fitting uses a bounded sample of labelled rows: of each class the
+`sample_per_class` ids with the smallest hashes, of a text its first
+`FIT_CHARS` characters. Every text is scored whole, in one pass without a shuffle;
+very long ones are a run of their own.
 
 Defined results: null and empty texts have no evidence (all differences 0) and
 get the curve's value there; if a class has no labelled text, all scores are 0.
-Repeated rows score alike, other columns pass through untouched, an empty table
-stays empty.
+An id with labels of both kinds is toxic; of rows that share an id the smallest
+text is learnt from. Equal hashes go by id. Repeated rows score alike, other columns pass through
+untouched, an empty table stays empty.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Lookup, fold, runs, split_words
+from tidewater.llm.common import draw_limit, fold, runs, split_words
+from tidewater.llm.shingles import mix
 
 SAMPLE_PER_CLASS = 3000
-#: A word or pair gets counts of its own if it is in so large a part of the smaller class's texts, and in LEAST_TEXTS at least.
-MIN_SHARE = 0.02
+FIT_CHARS = 200_000
 #: What rejecting an ordinary text costs, against passing a toxic one.
-ORDINARY_COST = 2.0
-LEAST_TEXTS = 5
+ORDINARY_COST = 3.0
 WINDOWS = (1, 24, 96)
+#: A word this far on the toxic side counts towards the text's toxic mass.
+CLEARLY = 1.5
+#: Letters that a letter's probability depends on, and itself.
+LETTERS = 3
+#: Bounds of logarithms: of the spelling's tilt, and of what a pair adds to its second word.
+TILT, PAIR = 2.0, 1.0
+CACHE_WORDS = 400_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’…–—¡¿"
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normalise(word: str) -> str:
     return word.lower().strip(_EDGES)
 
 
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """What counts of 1, 2 and 3 or more are lowered by (index: the count, up to 3)."""
+    n = [float((counts == i).sum()) for i in (1, 2, 3, 4)]
+    y = n[0] / max(n[0] + 2 * n[1], 1)
+    found = [0.0] + [k - (k + 1) * y * n[k] / max(n[k - 1], 1) for k in (1, 2, 3)]
+    return np.clip(found, [0, 0.3, 0.5, 0.7], [0, 0.95, 1.8, 2.7])
+
+
+def kept(counts: np.ndarray) -> np.ndarray:
+    """Counts after their discounts."""
+    return np.maximum(counts - discounts(counts)[np.minimum(counts, 3).astype(np.int64)], 0)
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a sorted table, and whether the wanted key is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def letter_grams(words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For each letter of the words (and a mark behind each): its word, and hashes of the last 1 to LETTERS letters."""
+    marked = ["^" * (LETTERS - 1) + w + "$" for w in words]
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    owner = np.repeat(np.arange(len(size)), size)
+    at = np.flatnonzero(np.arange(len(code)) - (np.cumsum(size) - size)[owner] >= LETTERS - 1)
+    grams, gram = [], np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(LETTERS):
+            gram = gram + code[at - k] * _FACTOR ** np.uint64(k + 1)
+            grams.append(gram)
+    return owner[at], grams
+
+
 @dataclass
-class KneserNey:
-    """Log-likelihood differences of two class models over one shared vocabulary."""
+class Level:
+    """One order of letters of one class: discounted shares of grams, and what is left by context."""
 
-    vocab: dict[str, int]
-    log_unigram: np.ndarray  # difference for a word whose history says nothing
-    unigram: np.ndarray  # [class, word]
-    backoff: np.ndarray  # [class, history]
-    keys: np.ndarray  # sorted history * V + word
-    pair: np.ndarray  # [class, key] discounted relative counts
+    grams: np.ndarray
+    share: np.ndarray
+    contexts: np.ndarray
+    left: np.ndarray
 
-    @staticmethod
-    def fit(texts: list[list[list[str]]], min_share: float = MIN_SHARE) -> "KneserNey":
-        """`texts[c]`: word lists of class c."""
-        least = max(LEAST_TEXTS, int(min_share * min(map(len, texts))))
-        # in how many texts: a word of one long text says nothing about a class
-        total = Counter()
-        for c in texts:
-            for words in c:
-                total.update(set(words))
-        vocab = {w: i + 1 for i, w in enumerate(sorted(w for w, n in total.items() if n >= least and w))}
-        size = len(vocab) + 1
-        uni = np.zeros((2, size))
-        pairs: list[Counter] = [Counter(), Counter()]
-        spread = Counter()
-        for c in (0, 1):
-            for words in texts[c]:
-                ids = np.fromiter((vocab.get(w, 0) for w in words), np.int64, len(words))
-                uni[c] += np.bincount(ids, minlength=size)
-                if len(ids) > 1:
-                    key = ids[:-1] * size + ids[1:]
-                    pairs[c].update(key.tolist())
-                    spread.update(set(key.tolist()))
-        # shared continuation counts: in how many distinct pairs of either class a word comes second
-        both = np.array(sorted(set(pairs[0]) | set(pairs[1])), dtype=np.int64)
-        shared = np.bincount(both % size, minlength=size) + 1.0
-        shared /= shared.sum()
-        discount = [KneserNey._discount(uni[c]) for c in (0, 1)]
-        unigram = np.empty((2, size))
+
+class Spelling:
+    """Letters of words by class: discounted counts, lower orders by distinct letters before, the lowest shared."""
+
+    def __init__(self, words: list[str], weights: np.ndarray):
+        """weights[c]: in how many texts of class c each word is."""
+        owner, grams = letter_grams(words)
+        with np.errstate(over="ignore"):
+            context = [g - grams[0] for g in grams]
+        self.levels: list[list[Level]] = [[], []]
+        lowest = []
         for c in (0, 1):
-            n = max(1.0, uni[c].sum())
-            kept = np.maximum(uni[c] - discount[c], 0)
-            unigram[c] = kept / n + (1 - kept.sum() / n) * shared
-        frequent = np.array([k for k in both.tolist() if spread[k] >= least], dtype=np.int64)
-        pair, backoff = np.zeros((2, len(frequent))), np.ones((2, size))
+            own = np.flatnonzero(weights[c][owner] > 0)
+            for k in range(LETTERS - 1, -1, -1):
+                if k == LETTERS - 1:
+                    some, number = own, weights[c][owner[own]].astype(float)
+                else:  # once for each distinct letter before
+                    some = own[np.unique(grams[k + 1][own], return_index=True)[1]]
+                    number = np.ones(len(some))
+                keys, at, back = np.unique(grams[k][some], return_index=True, return_inverse=True)
+                counts = np.bincount(back, weights=number, minlength=len(keys))
+                if k == 0:
+                    lowest.append((keys, counts))
+                    continue
+                contexts, of = np.unique(context[k][some[at]], return_inverse=True)
+                total = np.bincount(of, weights=counts, minlength=len(contexts))
+                share = kept(np.floor(counts)) / total[of] if len(counts) else counts
+                self.levels[c].insert(0, Level(keys, share, contexts, 1 - np.bincount(of, weights=share, minlength=len(contexts))))
+        keys, back = np.unique(np.concatenate([k for k, _ in lowest]), return_inverse=True)
+        counts = np.bincount(back, weights=np.concatenate([n for _, n in lowest]), minlength=len(keys))
+        self.letters, self.common, self.rare = keys, counts / (counts.sum() + 1000), 1 / (counts.sum() + 1000)
+
+    def log(self, words: list[str]) -> np.ndarray:
+        """log p [class, word]."""
+        owner, grams = letter_grams(words)
+        at, hit = _find(self.letters, grams[0])
+        base = np.where(hit, self.common[at], self.rare) if len(self.letters) else np.full(len(owner), self.rare)
+        out = np.empty((2, len(words)))
         for c in (0, 1):
-            counts = np.array([pairs[c][k] for k in frequent.tolist()], dtype=float)
-            kept = np.maximum(counts - KneserNey._discount(counts), 0)
-            history = frequent // size
-            n = np.maximum(uni[c], 1)
-            pair[c] = kept / n[history]
-            backoff[c] = 1 - np.bincount(history, weights=pair[c], minlength=size)
-        backoff = np.maximum(backoff, 1e-6)
-        return KneserNey(vocab, np.log(unigram[1] / unigram[0]), unigram, backoff, frequent, pair)
+            p = base
+            for k, level in enumerate(self.levels[c], 1):
+                with np.errstate(over="ignore"):
+                    inside, known = _find(level.contexts, grams[k] - grams[0])
+                at, hit = _find(level.grams, grams[k])
+                if len(level.contexts):
+                    p = np.where(known, np.where(hit, level.share[at], 0.0) + level.left[inside] * p, p)
+            out[c] = np.bincount(owner, weights=np.log(np.maximum(p, 1e-12)), minlength=len(words))
+        return out
+
+    def tilt(self, words: list[str]) -> np.ndarray:
+        """How far the logarithm of each class lies above that of both together, within bounds [class, word]."""
+        found = self.log(words)
+        return np.clip(found - (np.logaddexp(found[0], found[1]) - np.log(2)), -TILT, TILT)
+
+
+@dataclass
+class KneserNey:
+    """Two class models over the words of the sample (word ids; one more for all others)."""
+
+    spelling: Spelling
+    word: np.ndarray  # p [class, word]
+    spare: np.ndarray  # [class]: what a unit of the tilted shared counts gets
+    keys: np.ndarray  # sorted history * size + word
+    pair: np.ndarray  # p [class, key] of discounted counts
+    left: np.ndarray  # [class, history]
 
     @staticmethod
-    def _discount(counts: np.ndarray) -> float:
-        """Ney's estimate n1 / (n1 + 2 n2), for counts above the cut-off their own smallest two."""
-        some = np.sort(np.unique(counts[counts > 0]))[:2]
-        if len(some) < 2:
-            return 0.75
-        n1, n2 = (counts == some[0]).sum(), (counts == some[1]).sum()
-        return float(np.clip(n1 / (n1 + 2 * n2), 0.3, 0.95))
-
-    def differences(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log p(word | history, toxic) - log p(word | history, ordinary) of each token.
-
-        `first` holds the positions where a text begins; those have no history.
+    def fit(texts: list[list[np.ndarray]], words: list[str]) -> "KneserNey":
+        """`texts[c]`: word ids of the texts of class c."""
+        size = len(words) + 1
+        mark = size - 1  # stands before a text
+        counts, pairs = [], []
+        for c in texts:
+            own = [np.concatenate([[mark, mark], t]).astype(np.int64) for t in c if len(t)]
+            after = np.concatenate([np.zeros(0, np.int64), *[t[1:-1] * size + t[2:] for t in own]])
+            before = np.concatenate([np.zeros(0, np.int64), *[t[:-2] for t in own]])
+            # each pair once for each word before it
+            after = after[np.unique(mix(after.view(np.uint64), 3) + before.view(np.uint64), return_index=True)[1]]
+            pairs.append(after)
+            counts.append(np.bincount(np.unique(after) % size, minlength=size - 1))
+        counts = np.stack(counts)
+        seen = np.flatnonzero(counts.sum(0))
+        spelling = Spelling([words[i] for i in seen], counts[:, seen])
+        keys, back = np.unique(np.concatenate(pairs), return_inverse=True)
+        times = np.stack([np.bincount(back[: len(pairs[0])], minlength=len(keys)), np.bincount(back[len(pairs[0]) :], minlength=len(keys))])
+        # in how many distinct pairs of either class a word comes second
+        shared = np.bincount(keys % size, minlength=size - 1) + 0.5
+        shared = shared * np.exp(spelling.tilt(words))
+        mass = shared.sum(1)
+        word, spare = np.empty((2, size - 1)), np.empty(2)
+        pair, left = np.empty((2, len(keys))), np.empty((2, size))
+        for c in (0, 1):
+            total = max(1, counts[c].sum())
+            own = kept(counts[c]) / total
+            spare[c] = (1 - own.sum()) / mass[c]
+            word[c] = own + spare[c] * shared[c]
+            history = keys // size
+            pair[c] = kept(times[c]) / np.maximum(np.bincount(history, weights=times[c], minlength=size), 1)[history]
+            left[c] = np.maximum(1 - np.bincount(history, weights=pair[c], minlength=size), 1e-3)
+        return KneserNey(spelling, word, spare, keys, pair, left)
+
+    def single(self) -> np.ndarray:
+        """log p(word, toxic) - log p(word, ordinary) of the sample's words."""
+        return np.log(self.word[1]) - np.log(self.word[0])
+
+    def unknown(self, words: list[str]) -> np.ndarray:
+        """The same of words outside the sample: what spelling and the shared mass say."""
+        tilt = self.spelling.tilt(words)
+        return np.where([bool(w) for w in words], tilt[1] - tilt[0] + np.log(self.spare[1] / self.spare[0]), 0.0)
+
+    def differences(self, ids: np.ndarray, single: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Differences of tokens in their places: `single` of each, moved by the pair with the token before.
+
+        `first` holds the positions where a text begins.
         """
-        out = self.log_unigram[ids]
-        if len(ids) < 2 or not len(self.keys):
+        out = single.copy()
+        if len(ids) < 2:
             return out
-        size = len(self.log_unigram)
-        key = ids[:-1] * size + ids[1:]
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = self.keys[at] == key
+        size = self.left.shape[1]
+        at, hit = _find(self.keys, ids[:-1] * size + ids[1:])
         inside = np.ones(len(ids), dtype=bool)
         inside[first] = False
-        where = np.flatnonzero(inside[1:])
-        p = [np.where(hit[where], self.pair[c][at[where]], 0) + self.backoff[c][ids[where]] * self.unigram[c][ids[where + 1]] for c in (0, 1)]
-        out[where + 1] = np.log(p[1] / p[0])
+        where = np.flatnonzero(hit & inside[1:] & (ids[:-1] < size - 1) & (ids[1:] < size - 1))
+        p = [self.pair[c][at[where]] + self.left[c][ids[where]] * self.word[c][ids[where + 1]] for c in (0, 1)]
+        out[where + 1] = np.clip(np.log(p[1] / p[0]), single[where + 1] - PAIR, single[where + 1] + PAIR)
         return out
 
 
 def _features(diff: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Per text: mean difference, and for each window length the largest windowed mean."""
-    out = np.zeros((len(lengths), 1 + len(WINDOWS)))
+    """Per text: mean difference, for each window length the largest windowed mean, and the mass and share of clearly toxic words."""
+    out = np.zeros((len(lengths), 3 + len(WINDOWS)))
     full = np.flatnonzero(lengths)
     if not len(full):
         return out
@@ -143,6 +251,8 @@ def _features(diff: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     for k, w in enumerate(WINDOWS, 1):
         begin = np.maximum(place + 1 - w, owner)
         out[full, k] = np.maximum.reduceat((cum[1:] - cum[begin]) / w, start)
+    mass = np.add.reduceat(np.maximum(diff - CLEARLY, 0), start)
+    out[full, -2], out[full, -1] = np.log1p(mass), mass / n
     return out
 
 
@@ -163,42 +273,83 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
 class ToxicityModel:
     language: KneserNey | None
     weights: np.ndarray | None
+    index: dict[str, int] = field(default_factory=dict)
 
-    def lookup(self) -> Lookup:
-        vocab = self.language.vocab
-        return Lookup(lambda w: vocab.get(normalise(w), 0))
+    def lookup(self) -> "WordCache":
+        return WordCache(self)
 
-    def scores(self, texts: list, lookup: Lookup) -> np.ndarray:
-        words, lengths = [], np.zeros(len(texts), dtype=np.int64)
+    def scores(self, texts: list, words: "WordCache") -> np.ndarray:
+        flat, lengths = [], np.zeros(len(texts), dtype=np.int64)
         for i, t in enumerate(texts):
             own = split_words(t)
             lengths[i] = len(own)
-            words += own
-        ids = lookup.ids(words)
+            flat += own
+        ids, single = words.find(flat)
         first = np.concatenate([[0], np.cumsum(lengths)[:-1]])[lengths > 0]
-        x = _features(self.language.differences(ids, first), lengths)
+        x = _features(self.language.differences(ids, single, first), lengths)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
+class WordCache:
+    """Ids and differences of words as they stand in texts, behind a bounded cache."""
+
+    def __init__(self, model: ToxicityModel):
+        self.model, self.single = model, model.language.single()
+        self.known: dict[str, int] = {}
+        self.ids, self.values = np.zeros(CACHE_WORDS + 1, np.int64), np.zeros(CACHE_WORDS + 1)
+
+    def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        fresh = [w for w in dict.fromkeys(words) if w not in self.known]
+        if len(self.known) + len(fresh) > CACHE_WORDS:
+            self.known.clear()
+            fresh = list(dict.fromkeys(words))
+        if len(fresh) > CACHE_WORDS:  # one text of very many words
+            half = len(words) // 2
+            return tuple(np.concatenate(p) for p in zip(self.find(words[:half]), self.find(words[half:])))
+        if fresh:
+            forms = [normalise(w) for w in fresh]
+            none = len(self.single)
+            ids = np.array([self.model.index.get(f, none) for f in forms], dtype=np.int64)
+            values = np.append(self.single, 0.0)[ids]
+            new = np.flatnonzero(ids == none)
+            values[new] = self.model.language.unknown([forms[i] for i in new])
+            a = len(self.known)
+            self.ids[a : a + len(fresh)], self.values[a : a + len(fresh)] = ids, values
+            self.known.update(zip(fresh, range(a, a + len(fresh))))
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        return self.ids[at], self.values[at]
+
+
 def fit(texts: list[str], toxic: list[int], half: list[int]) -> ToxicityModel:
     """Fit on labelled texts; `half` (0 or 1) splits them for the curve's out-of-fold differences."""
-    words = [[normalise(w) for w in split_words(t)] for t in texts]
     y, half = np.array(toxic), np.array(half)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(None, None)
+    index: dict[str, int] = {}
+    ids = [np.fromiter((index.setdefault(normalise(w), len(index)) for w in split_words(t)), np.int64) for t in texts]
+    words = list(index)
+    blank = index.get("")
 
     def language(rows) -> KneserNey:
-        return KneserNey.fit([[words[i] for i in rows if y[i] == c] for c in (0, 1)])
+        return KneserNey.fit([[ids[i] for i in rows if y[i] == c] for c in (0, 1)], words)
 
-    x = np.zeros((len(y), 1 + len(WINDOWS)))
+    def single(model: KneserNey) -> np.ndarray:
+        out = model.single()
+        if blank is not None:  # marks alone say nothing
+            out[blank] = 0.0
+        return out
+
+    x = np.zeros((len(y), 3 + len(WINDOWS)))
     for h in (0, 1):
-        model, rows = language(np.flatnonzero(half != h)), np.flatnonzero(half == h)
+        rows = np.flatnonzero(half == h)
         if len(rows):
-            lengths = np.array([len(words[i]) for i in rows])
-            ids = np.array([model.vocab.get(w, 0) for i in rows for w in words[i]], dtype=np.int64)
+            model = language(np.flatnonzero(half != h))
+            lengths = np.array([len(ids[i]) for i in rows])
+            flat = np.concatenate([ids[i] for i in rows])
             first = np.concatenate([[0], np.cumsum(lengths)[:-1]])[lengths > 0]
-            x[rows] = _features(model.differences(ids, first), lengths)
-    return ToxicityModel(language(np.arange(len(y))), _logistic(x, y))
+            x[rows] = _features(model.differences(flat, single(model)[flat], first), lengths)
+    index.pop("", None)
+    return ToxicityModel(language(np.arange(len(y))), _logistic(x, y), index)
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:
@@ -206,13 +357,19 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PE
 
     `labels` holds doc_id and toxic (rows where either is null are left out).
     """
-    known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    order = F.xxhash64(F.lit(3), "doc_id")
-    chosen = [known.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(sample_per_class) for c in (0, 1)]
-    chosen = chosen[0].unionByName(chosen[1])  # a bounded number of ids, so broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)).alias("half")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return fit([r["text"] or "" for r in rows], [r["toxic"] for r in rows], [r["half"] for r in rows])
+    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows at most
+    if len(counts) < 2:
+        return ToxicityModel(None, None)
+    draw = F.xxhash64(F.lit(3), "doc_id")
+    limit = F.when(F.col("toxic") == 1, F.lit(draw_limit(counts[1], sample_per_class))).otherwise(F.lit(draw_limit(counts[0], sample_per_class)))
+    chosen = known.where(draw <= limit).withColumn("draw", draw)  # a fifth more than the sample is expected, so broadcast
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic", "draw").agg(F.min(F.substring(F.coalesce("text", F.lit("")), 1, FIT_CHARS)).alias("text"))
+    rows = rows.withColumn("half", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2))).collect()
+    rows.sort(key=lambda r: (r["draw"], r["doc_id"]))
+    rows = [r for c in (0, 1) for r in [r for r in rows if r["toxic"] == c][:sample_per_class]]
+    return fit([r["text"] for r in rows], [r["toxic"] for r in rows], [r["half"] for r in rows])
 
 
 def score_column(spark: SparkSession, model: ToxicityModel, text: str = "text") -> Column:
