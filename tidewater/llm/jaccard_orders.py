@@ -23,7 +23,7 @@ stay out of the prefixes of documents that have anything else.
    family have): |A xor B| = |a| + |b| - 2 |a and b| for the differences a and b. Sets
    whose differences are small enough together are linked for certain, all of them
    through the one with the smallest; any other pair has to share tokens of its
-   differences, so only these are joined, rare ones first and by position. Sets far
+   differences, so only the prefixes of these are joined, by position. Sets far
    from every pivot are their own difference. Only pairs of sets that the certain
    links have not connected are looked at.
 6. The pairs left are verified on whole sets: first every set with one
@@ -55,8 +55,8 @@ PERCENT = 80
 #: Seeds of the orders: the one that generates pairs, and those that every pair has to pass as well.
 ORDERS = (1, 2, 3)
 FILTERS = ORDERS[1:]
-#: Groups of a token up to this size are paired directly.
-SMALL_GROUP = 32
+#: Groups of a token up to this size are paired directly, those of new prefixes up to the second one.
+SMALL_GROUP, FAMILY_GROUP = 16, 32
 #: A token is common if tasks report it so often.
 COMMON = 32
 COUNT_TOKENS = 6_000_000
@@ -396,8 +396,12 @@ def pivots(sample: list[np.ndarray]) -> list[np.ndarray]:
         left = [s for s in left if 3 * _overlap(s, seed) < len(s) + len(seed) - _overlap(s, seed)]
         if len(near) > 1:
             tokens, times = np.unique(np.concatenate(near), return_counts=True)
-            out.append(tokens[2 * times > len(near)])
-    return [np.zeros(0, np.int64)] + [p for p in out if len(p)]
+            pivot = tokens[2 * times > len(near)]
+            apart = np.array([len(s) + len(pivot) - 2 * _overlap(s, pivot) for s in near])
+            # to sets farther off the empty pivot is as good
+            if len(pivot) and 2 * (4 * apart <= [len(s) for s in near]).sum() >= len(near):
+                out.append(pivot)
+    return [np.zeros(0, np.int64)] + out
 
 
 def places(tokens: np.ndarray, found: list[np.ndarray]) -> list[int]:
@@ -419,10 +423,11 @@ def least_shared(n: int, d: int, pivot: int) -> int:
 
 
 def _differences(crowd: DataFrame, sets: DataFrame, common: np.ndarray, crowded: np.ndarray) -> DataFrame:
-    """Differences of the sets of `crowd` (token, key, n) from the pivots of their family: sub, key, n, d, least, whole, delta (binary).
+    """Differences of the sets of `crowd` (token, key, n) from the pivots of their family: sub, key, n, d, least, delta (binary).
 
-    A difference from the empty pivot is a set itself; of these only the prefix
-    is handed on (whole: false), in the order with crowded tokens last.
+    A difference from the empty pivot is a set itself. Handed on are the prefixes
+    of differences, which any partner that isn't certain shares a token of, in the
+    order with crowded tokens last.
     """
     # a token and the sets that have it are of one family
     families = components(crowd.select(F.col("token").alias("a"), F.col("key").alias("b")))
@@ -438,7 +443,7 @@ def _differences(crowd: DataFrame, sets: DataFrame, common: np.ndarray, crowded:
     def run(batches):
         group, sample, last, found = None, [], None, None
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             grp, salt, role, key = (batch.column(i).to_pylist() for i in range(4))
             for i in range(batch.num_rows):
                 if (grp[i], salt[i]) != group:
@@ -457,14 +462,14 @@ def _differences(crowd: DataFrame, sets: DataFrame, common: np.ndarray, crowded:
                 for number in places(s, found):
                     delta = np.setxor1d(s, found[number], assume_unique=True)
                     least = least_shared(len(s), len(delta), len(found[number]))
-                    kept = delta if number else in_order(delta, *flags.value)[: len(delta) - least + 1]
-                    for c, v in zip(out, (f"{grp[i]}:{number}", key[i], len(s), len(delta), least, number > 0, kept.tobytes())):
+                    kept = in_order(delta, *flags.value)[: len(delta) - least + 1]
+                    for c, v in zip(out, (f"{grp[i]}:{number}", key[i], len(s), len(delta), least, kept.tobytes())):
                         c.append(v)
-            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["sub", "key", "n", "d", "least", "whole", "delta"])
+            types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["sub", "key", "n", "d", "least", "delta"])
 
     ordered = own.unionByName(spread).join(sets.hint("merge"), "key").repartition(F.col("grp"), F.col("salt")).sortWithinPartitions("grp", "salt", "role", "key")
-    return cut(ordered.select("grp", "salt", "role", "key", "tokens").mapInArrow(run, "sub string, key long, n long, d long, least long, whole boolean, delta binary"))
+    return cut(ordered.select("grp", "salt", "role", "key", "tokens").mapInArrow(run, "sub string, key long, n long, d long, least long, delta binary"))
 
 
 def _certain(deltas: DataFrame) -> DataFrame:
@@ -489,15 +494,13 @@ def _family_pairs(deltas: DataFrame, place: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(found)), pa.array(place)], names=["sub", "key", "token", "place"])
 
     tokens = cut(deltas.select("sub", "key", "delta").mapInArrow(emit, "sub string, key long, token long, place long"))
-    shared = tokens.groupBy("sub", "token").agg(F.count("*").alias("g")).where("g > 1")
-    live = tokens.join(shared.hint("merge"), ["sub", "token"]).join(deltas.select("sub", "key", "n", "d", "least", "whole"), ["sub", "key"])
-    # whole differences are ordered rare tokens first, those that no other set has before them all; prefixes are in order already
-    order = F.sort_array(F.collect_list(F.struct(F.when(F.col("whole"), F.col("g")).otherwise(F.col("place")).alias("rank"), "token"))).alias("t")
-    live = live.groupBy("sub", "key", "n", "d", "least", "whole").agg(order).join(place.select(F.col("node").alias("key"), "component"), "key", "left")
-    live = live.select("sub", "key", "n", "d", "least", "whole", F.coalesce("component", "key").alias("component"), F.size("t").alias("live"), F.posexplode("t").alias("pos", "x"))
-    # so many tokens at most are shared if this is the first shared one
-    reach = F.when(F.col("whole"), F.col("live") - F.col("pos")).otherwise(F.col("d") - F.col("x.rank"))
-    live = cut(live.withColumn("reach", reach).where("reach >= least").select("sub", F.col("x.token").alias("token"), "key", "n", "d", "component", "reach"))
+    shared = tokens.groupBy("sub", "token").agg(F.count("*").alias("g")).where("g > 1").select("sub", "token")
+    live = tokens.join(shared.hint("merge"), ["sub", "token"]).groupBy("sub", "key").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("t"))  # of one set
+    live = live.join(deltas.select("sub", "key", "n", "d", "least"), ["sub", "key"]).join(place.select(F.col("node").alias("key"), "component"), "key", "left")
+    live = live.select("sub", "key", "n", "d", "least", F.coalesce("component", "key").alias("component"), F.size("t").alias("live"), F.posexplode("t").alias("pos", "x"))
+    # if this is the first token that a partner shares, it can share the live ones from here on, and what lies behind the prefix
+    live = live.withColumn("reach", F.expr("live - pos + least - 1")).where("reach >= least")
+    live = cut(live.select("sub", F.col("x.token").alias("token"), "key", "n", "d", "component", "reach"))
     other = live.select("sub", "token", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "d", "component", "reach")])
     enough = F.expr("key < key2 and component <> component2 and 9 * (d + d2) > n + n2 and 18 * least(reach, reach2) >= 9 * (d + d2) - n - n2")
     return live.join(other, ["sub", "token"]).where(enough & _near()).select("key", "key2", "n", "n2").distinct()
@@ -541,8 +544,8 @@ def _classes(docs: DataFrame) -> DataFrame:
     names = lambda keys: collect_bits(_first_documents(known, keys).select("doc_id"), ids=True)
     signatures = _signatures(docs, names(sure.select("key").union(sure.select("key2")).union(full)), names(full), common, crowded)
     crowd = _recount(signatures)
-    pairs = _intersected(sure.unionByName(_pairs(crowd.where(F.col("g") <= SMALL_GROUP))).distinct(), signatures)
-    family = crowd.where(F.col("g") > SMALL_GROUP)
+    pairs = _intersected(sure.unionByName(_pairs(crowd.where(F.col("g") <= FAMILY_GROUP))).distinct(), signatures)
+    family = crowd.where(F.col("g") > FAMILY_GROUP)
     sets = _sets(docs, names(pairs.select("key").union(pairs.select("key2")).union(family.select("key"))))
     links = spark.createDataFrame([], "a long, b long")
     if not family.isEmpty():
