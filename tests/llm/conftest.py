@@ -38,6 +38,7 @@ def messy_rows():
     rows += [
         (60, None, None, None, None), (61, "", "en", "src0", 0), (62, " \n\t ", "en", None, 4), (63, "!!! 123 ###", None, "src1", 11), (64, "x", "de", "src2", 1),
         (65, "word " * 60_000, "en", "src3", 300_000), (66, "0" * 30_000 + "." + "a" * 30_000, "en", "src3", 60_001), (67, "Ünïcode　wide space ｆｕｌｌ 你好 🎉 " * 4, "fr", "src0", 100),
+        (68, "a mark <|endoftext|> and <|STARTOFTEXT|> or <|startoftext|>x² ½ ①", "en", "src2", 50), (69, "² ½ ① 12", "de", "src2", 8),
         (None, "a row without an id but with some words in it for good measure", "en", "src1", 60), (5, rows[5][1], "fr", "src1", 10), rows[2], rows[2],
     ]
     return [(*r, *EXTRA) for r in rows]

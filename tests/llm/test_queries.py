@@ -57,7 +57,7 @@ def test_language(results, docs):
     text = {d[0]: d[1] for d in docs}
     for r in got:
         assert 0 <= r.score <= 1 and r.held_out == (None if r.doc_id is None else fold(r.doc_id, 4) == 2)
-        no_letter = not re.search(r"[^\W\d_]", text[r.doc_id] or "")
+        no_letter = not any(c.isalpha() for c in text[r.doc_id] or "")
         assert (r.lang_pred == "und") == no_letter
     assert {r.lang_pred for r in got} <= {"en", "de", "fr", "und"}
 
@@ -179,7 +179,6 @@ def test_packing_round_trip(results, docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     want = Counter()
     for i, text, *_ in docs:
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")

@@ -11,7 +11,10 @@ number alone says which sequence and offset a piece gets. Neither texts nor
 pieces meet in one task; the plan's size depends on the capacity, not the data.
 
 Defined results: null or blank text is the end id alone; identical rows are
-packed separately; an empty table gives no pieces; extra columns are ignored.
+packed separately; pieces of equal length are numbered by hash bucket, then by
+id, piece and checksum, and rows equal in all of these are alike; very long texts are a slice of their own; an
+empty table gives no pieces; extra columns are ignored, and `pack` keeps those of
+its pieces.
 """
 
 from __future__ import annotations
@@ -48,7 +51,8 @@ class WordIds:
 
     The tokenizer lower-cases, drops white space and encodes each run of letters,
     each digit and each run of other characters by itself, so a part has the same
-    ids wherever it stands. Runs of letters not seen lately are encoded many to a
+    ids wherever it stands. Texts that hold the string of an added token, such as an
+    end-of-text mark, are encoded whole, as the tokenizer does. Runs of letters not seen lately are encoded many to a
     call and cut apart after the ids that end a word. Texts with characters above
     U+00FF are cut at white space alone and their words are encoded one by one.
     """
@@ -58,7 +62,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are then ordinary text
+        # strings of added tokens, for which the tokenizer looks before it cuts a text
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
@@ -85,6 +90,15 @@ class WordIds:
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, without an end."""
+        lowered = [t.lower() if t else "" for t in texts]
+        whole = [i for i, t in enumerate(lowered) if any(a in t for a in self.added)]
+        if whole:
+            out: list[bytes | None] = [None] * len(texts)
+            rest = sorted(set(range(len(texts))).difference(whole))
+            for rows, found in ((whole, self._encode([texts[i] for i in whole])), (rest, self.texts([texts[i] for i in rest]))):
+                for i, ids in zip(rows, found):
+                    out[i] = ids
+            return out
         cut = [_LATIN_PARTS.findall(t.lower()) if t and _latin(t) else split_words(t) for t in texts]
         flat = list(itertools.chain.from_iterable(cut))
         found = list(map(self.known.get, flat))
@@ -212,13 +226,13 @@ class PackPlan:
 
 
 def length_ranks(pieces: DataFrame, n: int) -> DataFrame:
-    """Number the pieces of each length from 0 (`rank`), in groups small enough for any length."""
+    """Number the pieces of each length from 0 (`__rank`), in groups small enough for any length."""
     groups = max(64, min(65536, n // RANK_GROUP))
-    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    ahead = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
-    nth = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
-    return rows.withColumn("nth", nth).join(base, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("nth") - 1).drop("nth", "base", "bucket")
+    rows = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    ahead = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("length", "__bucket").agg(F.count("*").alias("__n")).select("length", "__bucket", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__base"))
+    nth = F.row_number().over(Window.partitionBy("length", "__bucket").orderBy("doc_id", "piece", "ids_crc32"))
+    return rows.withColumn("__nth", nth).join(base, ["length", "__bucket"]).withColumn("__rank", F.col("__base") + F.col("__nth") - 1).drop("__nth", "__base", "__bucket")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -234,15 +248,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     def assign(batches):
         for batch in batches:
             length = batch.column("length").to_numpy(zero_copy_only=False)
-            rank = batch.column("rank").to_numpy(zero_copy_only=False)
+            rank = batch.column("__rank").to_numpy(zero_copy_only=False)
             at = np.searchsorted(keys, (length << 48) + rank, side="right") - 1
             ahead = rank - firsts[at]
             sequence = sequences[at] + ahead // uses[at]
             offset = offsets[at] + ahead % uses[at] * length
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
 
-    ranked = length_ranks(pieces, int(counts.sum())).select(*columns, "rank")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    ranked = length_ranks(pieces, int(counts.sum())).select(*columns, "__rank")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     return ranked.mapInArrow(assign, f"{schema}, sequence_id long, offset long")
 
 
