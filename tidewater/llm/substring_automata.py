@@ -8,7 +8,8 @@ whose word sequence also starts in a document with a smaller id.
    has few of them. Anchors that only one document has are dropped.
 2. Documents that hold shared anchors hand on the windows around them; windows
    sorted by their 96-bit hash name the first document of each sequence, which
-   confirms the recurring ones and where they recur.
+   confirms the recurring ones and where they recur. Windows around anchors of
+   very many documents are summed up first, so no sequence is a hot key.
 3. The recurring passages of a slice of documents, cut into windows that cover
    them, are compiled into one Aho-Corasick automaton over words, through which
    the whole documents of the slice are streamed: each occurrence found removes
@@ -20,8 +21,10 @@ gathered in a task.
 
 Defined results: null or blank text has no words; texts of fewer words than a
 window lose nothing; rows that share a doc_id don't count as sources for each
-other; a row without doc_id is neither source nor changed. Kept words are joined
-by one space. Extra columns are ignored.
+other; a row without doc_id is neither source nor changed; of equal sequences the
+smallest id keeps its words. Kept words are joined
+by one space. Very long texts are a shard of their own, an empty table gives an
+empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ WINDOW = 13
 ANCHOR = 7
 #: Bytes of text whose recurring sequences make one automaton.
 SHARD_CHARS = 400_000
+#: Windows around anchors of more documents than this are summed up before they are shuffled by sequence.
+HOT = 500
 
 
 def window_anchors(ids: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> np.ndarray:
@@ -106,22 +111,23 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
 def recurring_windows(held: DataFrame) -> DataFrame:
     """Windows that also start in a document with a smaller id: doc_id, place (text check and position).
 
-    `held`: doc_id, text, anchors (the shared anchors of the document).
+    `held`: doc_id, text, anchors (the shared anchors of the document), hot (those of them that many documents
+    share). Windows of hot anchors are summed up by task before a sequence's
+    rows meet, and joined with the sums; the others are read from a sorted stream.
     """
 
-    def emit(batches):
+    def emit(batches, hot=False):
         for batch in slices(batches, 1):
             out: list[list[np.ndarray]] = [[], [], [], []]
             hashes, bounds = column_words(batch.column(1))
             all_anchors, h1, h2 = window_anchors(hashes), window_hashes(hashes, WINDOW, 1), window_hashes(hashes, WINDOW, 2)
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), bounds[:-1].tolist(), bounds[1:].tolist())
-            for doc_id, text, anchors, a, b in rows:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), bounds[:-1].tolist(), bounds[1:].tolist())
+            for doc_id, text, anchors, hot_ones, a, b in rows:
                 if b - a < WINDOW:
                     continue
-                shared = np.sort(anchors.values.to_numpy())
                 own = all_anchors[a : b - WINDOW + 1]
-                at = np.minimum(np.searchsorted(shared, own), len(shared) - 1)
-                where = np.flatnonzero(shared[at] == own)
+                many = np.isin(own, hot_ones.values.to_numpy())
+                where = np.flatnonzero(many if hot else np.isin(own, anchors.values.to_numpy()) & ~many)
                 if len(where):
                     place = (zlib.crc32(text.encode("utf-8", "surrogatepass")) << 32) + where.astype(np.uint64)
                     second = (h2[a + where] >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -147,8 +153,11 @@ def recurring_windows(held: DataFrame) -> DataFrame:
             if out.any():
                 yield pa.RecordBatch.from_arrays([pa.array(d[out]), pa.array(p[out])], names=["doc_id", "place"])
 
-    rows = held.mapInArrow(emit, "h1 long, h2 int, doc_id long, place long")
-    return rows.repartition(F.col("h1")).sortWithinPartitions("h1", "h2", "doc_id").mapInArrow(later, "doc_id long, place long")
+    schema = "h1 long, h2 int, doc_id long, place long"
+    few = held.mapInArrow(emit, schema).repartition(F.col("h1")).sortWithinPartitions("h1", "h2", "doc_id").mapInArrow(later, "doc_id long, place long")
+    many = cut(held.where(F.size("hot") > 0).mapInArrow(lambda batches: emit(batches, True), schema))
+    first = many.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last")
+    return few.unionByName(many.join(first, ["h1", "h2"]).where("least < doc_id").select("doc_id", "place"))
 
 
 def compile_shard(sequences: dict[str, int]):
@@ -162,16 +171,18 @@ def compile_shard(sequences: dict[str, int]):
     return automaton
 
 
-def _encode(words: list[str], alphabet: dict[str, str]) -> str:
-    """One character for each word, the same for equal words of a shard."""
-    out = []
-    for w in words:
-        c = alphabet.get(w)
-        if c is None:
-            n = len(alphabet) + 1
-            c = alphabet[w] = chr(n if n < 0xD800 else n + 0x800)
-        out.append(c)
-    return "".join(out)
+#: Words that one character can stand for; with more distinct words in a shard each takes two.
+ONE_CHARACTER = 1_000_000
+
+
+def encode_words(documents: list[list[str]]) -> tuple[list[str], int]:
+    """Each document as characters, equal words alike, and how many characters a word takes."""
+    numbers: dict[str, int] = {}
+    ids = [[numbers.setdefault(w, len(numbers)) for w in words] for words in documents]
+    letter = lambda n: chr(n + 1 if n + 1 < 0xD800 else n + 0x801)  # noqa: E731  no surrogates
+    if len(numbers) <= ONE_CHARACTER:
+        return ["".join(map(letter, own)) for own in ids], 1
+    return ["".join(letter(n // ONE_CHARACTER) + letter(n % ONE_CHARACTER) for n in own) for own in ids], 2
 
 
 def tiles(starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -186,12 +197,12 @@ def tiles(starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 def removal_masks(documents: list[tuple[int, list[str], np.ndarray]]) -> list[np.ndarray]:
     """Masks of removed words for a shard of (doc_id, words, starts of recurring windows)."""
-    alphabet: dict[str, str] = {}
-    encoded = [_encode(words, alphabet) for _, words, _ in documents]
+    encoded, width = encode_words([words for _, words, _ in documents])
+    size = WINDOW * width
     sequences: dict[str, int] = {}
     for (doc_id, _, starts), text in zip(documents, encoded):
         for s in tiles(np.sort(starts)).tolist():
-            key = text[s : s + WINDOW]
+            key = text[s * width : s * width + size]
             if sequences.get(key, doc_id) >= doc_id:
                 sequences[key] = doc_id
     masks = [np.zeros(len(words), bool) for _, words, _ in documents]
@@ -199,12 +210,12 @@ def removal_masks(documents: list[tuple[int, list[str], np.ndarray]]) -> list[np
         return masks
     automaton = compile_shard(sequences)
     for (doc_id, words, _), text, mask in zip(documents, encoded, masks):
-        ends = [e for e, least in automaton.iter(text) if least <= doc_id]
-        if ends:
+        ends = np.array([e + 1 for e, least in automaton.iter(text) if least <= doc_id], dtype=np.int64)
+        ends = ends[ends % width == 0] // width
+        if len(ends):
             edge = np.zeros(len(words) + 1, dtype=np.int32)
-            ends = np.array(ends)
-            np.add.at(edge, ends - WINDOW + 1, 1)
-            np.add.at(edge, ends + 1, -1)
+            np.add.at(edge, ends - WINDOW, 1)
+            np.add.at(edge, ends, -1)
             mask[:] = np.cumsum(edge[:-1]) > 0
     return masks
 
@@ -214,9 +225,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     with scratch(docs.sparkSession) as keep:
         anchors = cut(shared_anchors(rows))
+        hot = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot"))
         # a document's anchors are fewer than its words
-        per_doc = anchors.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-        held = keep(cut(rows.join(per_doc, "doc_id").select("doc_id", "text", "anchors")))
+        per_doc = anchors.join(hot, "anchor", "left").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+        held = keep(cut(rows.join(per_doc, "doc_id").select("doc_id", "text", "anchors", "hot")))
     places = cut(recurring_windows(held))
     release(docs.sparkSession)
     starts = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
