@@ -15,7 +15,8 @@ themselves, so groups of thousands of near copies stay small.
 Defined results: a null label, and vectors that are null, empty, zero or hold
 null or non-finite components, link with nothing; vectors of different lengths
 are not compared; rows that share a vec_id are one node; a null vec_id has no
-links and is not kept. An empty table gives an empty result.
+links and is not kept. An empty table gives an empty result. Columns other than
+the three are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,16 +35,18 @@ THRESHOLD = 0.98
 DIRECTIONS = 6
 INTERVAL = 1024
 LEAF = 64
-#: Intervals are looked up by cells of the first direction, coarser than the grid by this factor.
-COARSE = 4
+#: Intervals are looked up by cells of the first KEYS directions, coarser than the grid by this factor.
+COARSE, KEYS = 2, 3
 #: Lengths whose links are in one plan; then they are written.
 PLANS = 50
 
 
 def _unit(column: pa.Array) -> np.ndarray:
     """Rows of a list column (equal lengths) as vectors of length one, in double precision."""
-    flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
-    x = flat.reshape(len(column), -1)
+    return _scaled(np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(column), -1))
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -53,8 +56,10 @@ def valid_vectors(df: DataFrame) -> DataFrame:
     e = F.col("embedding")
     bad = F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
     some = F.exists(e, lambda v: v != 0)
+    kind = df.schema["embedding"].dataType.elementType.simpleString()
+    e_kept = e if kind in ("float", "double") else e.cast("array<double>")  # floats are as exact and half as long
     rows = df.where("vec_id is not null and label is not null and embedding is not null").where(~F.coalesce(bad, F.lit(False)) & F.coalesce(some, F.lit(False)))
-    return rows.select("vec_id", "label", e.cast("array<double>").alias("embedding"), F.size(e).alias("dim"))
+    return rows.select("vec_id", "label", e_kept.alias("embedding"), F.size(e).alias("dim"), F.xxhash64(e).alias("h1"), F.xxhash64(F.lit(1), e).alias("h2"))
 
 
 def directions(vectors: DataFrame, dim: int, k: int = DIRECTIONS) -> np.ndarray:
@@ -110,7 +115,7 @@ def intervals(distinct: DataFrame, basis: np.ndarray, epsilon: float) -> DataFra
                     pa.array([number]), pa.array([rows.column("label")[0].as_py()], rows.schema.field("label").type),
                     pa.array([p.min(0).tolist()], pa.list_(pa.float64())), pa.array([p.max(0).tolist()], pa.list_(pa.float64())),
                     pa.array([rows.column("rep").to_pylist()], pa.list_(pa.int64())), pa.array([rows.column("weight").to_pylist()], pa.list_(pa.int64())),
-                    pa.array([x.tobytes()], pa.binary()),
+                    pa.array([np.asarray(rows.column("embedding").combine_chunks().flatten()).tobytes()], pa.binary()),
                 ],
                 names=["block", "label", "low", "high", "ids", "weights", "data"],
             )
@@ -199,7 +204,8 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of `df` (vec_id, label, embedding)."""
     epsilon = math.sqrt(2 - 2 * threshold) + 1e-9
     vectors = cut(valid_vectors(df))
-    distinct = cut(vectors.groupBy("label", "dim", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
+    # equal vectors have equal hashes (128 bits), so vectors themselves are neither keys nor joined
+    distinct = cut(vectors.groupBy("label", "dim", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")))
     # a vector that is alone with its label and length has no links; one row per length
     dims = [r[0] for r in distinct.groupBy("label", "dim").count().where("count > 1").select("dim").distinct().collect()]
     found = None
@@ -213,7 +219,8 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     found = cut(df.sparkSession.createDataFrame([], "rep long, links long, root long") if found is None else found)
     weight = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    members = vectors.join(distinct, ["label", "dim", "embedding"]).select("vec_id", "rep", "weight")
+    same = ["label", "dim", "h1", "h2"]
+    members = vectors.select("vec_id", *same).join(distinct.select(*same, "rep", "weight"), same).select("vec_id", "rep", "weight")
     members = cut(members)
     links = found.where("root is not null").select(F.col("rep").alias("a"), F.col("root").alias("b"))
     links = links.union(members.where("vec_id <> rep").select(F.col("rep").alias("a"), F.col("vec_id").alias("b")))
@@ -227,17 +234,24 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def _links(distinct: DataFrame, basis: np.ndarray, epsilon: float, threshold: float) -> DataFrame:
     """Per interval pair: rep, links (weighted), root (another rep it is connected with, or null)."""
     dim = basis.shape[0]
+    kind = np.float32 if distinct.schema["embedding"].dataType.elementType.simpleString() == "float" else np.float64
     blocks = intervals(distinct.select("label", "rep", "weight", "embedding"), basis, epsilon)
     boxes = blocks.select("block", "label", "low", "high")
     width = epsilon * COARSE
     cell = lambda c: F.floor(c / F.lit(width)).cast("int")
-    near = F.explode(F.sequence(cell(F.get("low", F.lit(0)) - epsilon), cell(F.get("high", F.lit(0)) + epsilon)))
-    left = boxes.withColumn("cell", F.explode(F.sequence(cell(F.get("low", F.lit(0))), cell(F.get("high", F.lit(0))))))
-    right = boxes.select(F.col("block").alias("other"), "label", F.col("low").alias("low2"), F.col("high").alias("high2"), near.alias("cell"))
+    keys = range(min(KEYS, basis.shape[1]))
+
+    def celled(rows: DataFrame, low: str, high: str, margin: float) -> DataFrame:
+        for i in keys:
+            rows = rows.withColumn(f"cell{i}", F.explode(F.sequence(cell(F.get(low, F.lit(i)) - margin), cell(F.get(high, F.lit(i)) + margin))))
+        return rows
+
+    left = celled(boxes, "low", "high", 0.0)
+    right = celled(boxes.select(F.col("block").alias("other"), "label", F.col("low").alias("low2"), F.col("high").alias("high2")), "low2", "high2", epsilon)
     gap = F.zip_with(
         F.zip_with("low", "low2", lambda x, y: F.greatest(x, y)), F.zip_with("high", "high2", lambda x, y: F.least(x, y)), lambda x, y: F.pow(F.greatest(x - y, F.lit(0.0)), 2)
     )
-    pairs = left.join(right, ["label", "cell"]).where(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x) <= epsilon * epsilon)
+    pairs = left.join(right, ["label", *[f"cell{i}" for i in keys]]).where(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x) <= epsilon * epsilon)
     pairs = pairs.where("block <= other").select("block", "other").distinct()
     pairs = cut(pairs)
     side = lambda c, s: blocks.select(F.col("block").alias(c), F.col("ids").alias(f"ids{s}"), F.col("weights").alias(f"weights{s}"), F.col("data").alias(f"data{s}"))
@@ -249,7 +263,7 @@ def _links(distinct: DataFrame, basis: np.ndarray, epsilon: float, threshold: fl
                 one = lambda c: batch.column(c)[row]
                 ids = [np.array(one(c).as_py(), dtype=np.int64) for c in ("ids1", "ids2")]
                 weights = [np.array(one(c).as_py(), dtype=np.int64) for c in ("weights1", "weights2")]
-                x, y = (np.frombuffer(one(c).as_py(), dtype=np.float64).reshape(-1, dim) for c in ("data1", "data2"))
+                x, y = (_scaled(np.frombuffer(one(c).as_py(), dtype=kind).astype(np.float64).reshape(-1, dim)) for c in ("data1", "data2"))
                 same = one("block").as_py() == one("other").as_py()
                 hits = join_pairs(x, y, basis, epsilon, threshold, same)
                 if not hits.any():
