@@ -383,3 +383,52 @@ def test_recursive_join_is_the_product():
     np.fill_diagonal(own, False)
     assert (embedding_ego.join_pairs(a, a, basis, epsilon, 0.98, True) == own).all()
     assert len(embedding_ego.spanning(own)) < 2 * len(a)
+
+
+def planted(rnd, n):
+    """Texts with personal data that the base rules find, and with such that they drop or refuse; and what stands where."""
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 8)))
+
+    def card():
+        body = "4" + "".join(str(rnd.randrange(10)) for _ in range(14))
+        return next(body + str(d) for d in range(10) if pii_skipcrf.luhn(body + str(d)))
+
+    phone = lambda: f"+1 ({rnd.randrange(200, 999)}) 555-{rnd.randrange(1000, 9999)}"
+    decoy = lambda: next(x for x in iter(lambda: "".join(str(rnd.randrange(10)) for _ in range(16)), "") if not pii_skipcrf.luhn(x))
+    texts, dropped = [], []
+    for i in range(n):
+        kinds = [[card()], [phone()], [f"{word()}.{i}@{word()}.example.com"], [decoy()], [".".join(str(rnd.randrange(256)) for _ in range(4))], [phone(), card()], [card(), decoy()]]
+        text, spans = word(), []
+        for pieces in rnd.sample(kinds, 3):
+            text += f" {word()} "
+            for k, piece in enumerate(pieces):
+                at = len(text)
+                text += piece + (" " if k + 1 < len(pieces) else "")
+                if len(pieces) > 1 and piece[0] in "+4" and pii_skipcrf.luhn("".join(c for c in piece if c.isdigit())) | (piece[0] == "+"):
+                    spans.append(("phone" if piece[0] == "+" else "card", at, at + len(piece)))
+            text += f" {word()}"
+        texts.append(text)
+        dropped.append(spans)
+    return texts, dropped
+
+
+def test_field_adds_what_the_rules_drop():
+    rnd = random.Random(12)
+    model = pii_skipcrf.fit(planted(rnd, 600)[0])
+    texts, dropped = planted(rnd, 300)
+    right = wrong = want = 0
+    for text, spans in zip(texts, dropped):
+        base, every = model.spans(text)
+        added = set(every) - set(base)
+        assert set(base) <= set(every)
+        right += len(added & set(spans))
+        wrong += len(added - set(spans))
+        want += len(spans)
+    assert want > 150 and right >= 0.8 * want and wrong <= 0.05 * right
+
+
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 9)), max_size=12), st.integers(0, 45), st.integers(1, 9))
+@settings(max_examples=200, deadline=None)
+def test_overlaps_by_search(spans, a, n):
+    spans = [(s, s + k) for s, k in spans]
+    assert pii_skipcrf.Spans(spans).overlap(a, a + n) == any(s < a + n and e > a for s, e in spans)

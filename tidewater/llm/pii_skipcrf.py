@@ -3,24 +3,30 @@
 Patterns find emails, IP addresses, card and phone numbers exactly as the base
 rules say. A skip-chain field then looks at every candidate of a document, also
 the ones that the patterns refuse (a phone number without its plus, an address
-spelled "name at host dot org", a card number with dots): candidates are chained
+spelled "name at host dot org", a card number with dots, a card or phone number
+that a pattern drops with the digits behind it): candidates are chained
 in text order, candidates with the same core (digits, or letters of an address)
 are tied by skip edges wherever they stand, and loopy message passing makes
 labels consistent across the document. Spans are added where the field is sure.
 
-Weights are learnt piecewise on a bounded sample of texts that hold a digit or
-an at sign, with the pattern labels as truth; the marks that the patterns insist
+Weights and ties are learnt piecewise on a bounded sample of texts that hold a
+digit or an at sign (SAMPLE_TEXTS of them, their first FIT_CHARS characters), with
+the pattern labels as truth; the marks that the patterns insist
 on are hidden from half of the examples, so shape, context and ties have to
 carry weight too. Base spans are never dropped or changed.
 
 Defined results: null or empty text has no spans; texts are searched whole and
 positions count code points; repeated rows get equal spans; other columns pass
-through. A document's cost is linear in its length and candidates: equal cores
-are tied to the next occurrence, not pair by pair.
+through; of added spans that overlap the likeliest stays; an empty table stays
+empty. A document's cost is linear in its length and candidates (but for the
+logarithm of a search): equal cores are tied to the next occurrence, not pair by
+pair.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -32,9 +38,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import draw_limit
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 SAMPLE_TEXTS = 2000
+FIT_CHARS = 20_000
 SURE = 0.9
 
 #: Characters of an address before the at sign, and the base patterns.
@@ -45,6 +54,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_GROUP = re.compile(r"[0-9]+")
 
 #: Candidates that the base patterns may refuse.
 _NUMBER = re.compile(r"(?<![\w.+])\+?\(?[0-9](?:[\x20()./\[\]‐-—-]{0,3}[0-9]){6,24}(?![\w])")
@@ -110,6 +120,7 @@ class Candidate:
     allowed: tuple[int, ...]
     core: str
     features: list[str] = field(default_factory=list)
+    dropped: bool = False  # by the base rules for what stands beside it, so no example of anything
 
 
 def _allowed(kind: str, raw: str) -> tuple[int, ...]:
@@ -141,6 +152,51 @@ def _features(text: str, c: Candidate, kind: str) -> list[str]:
     return out + marks
 
 
+def parts(text: str) -> list[tuple[int, int]]:
+    """Spans inside matches that the base rules drop whole: a card or phone number that other digits follow or precede.
+
+    Of a run of digit groups that is no card number: single groups of 13 to 19
+    digits, and runs of groups of four that have so many. Of a number with a plus
+    that is too long: its beginnings of 9 to 15 digits that end with a group.
+    """
+    out = []
+    for m in _CARD.finditer(text):
+        if m.end() - m.start() < 13 or (13 <= len(d := _digits(m.group())) <= 19 and luhn(d)):
+            continue
+        groups = [(g.start() + m.start(), g.end() + m.start()) for g in _GROUP.finditer(m.group())]
+        for i, (a, b) in enumerate(groups):
+            n, j = b - a, i
+            while n < 13 and groups[j][1] - groups[j][0] == 4 and j + 1 < len(groups):
+                j += 1
+                n += groups[j][1] - groups[j][0]
+            if 13 <= n <= 19:
+                out.append((a, groups[j][1]))
+    for m in _PHONE.finditer(text) if "+" in text else ():
+        if len(_digits(m.group())) > 15:
+            n = 0
+            for g in _GROUP.finditer(m.group()):
+                n += g.end() - g.start()
+                if n > 15:
+                    break
+                if n >= 9:
+                    out.append((m.start(), m.start() + g.end()))
+    alone = lambda a, b: not (a and text[a - 1].isalnum()) and not (b < len(text) and text[b].isalnum())
+    return [(a, b) for a, b in out if alone(a, b)]
+
+
+class Spans:
+    """Spans that others may overlap, looked up in logarithmic time."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.reach = list(itertools.accumulate((b for _, b in spans), max))
+
+    def overlap(self, a: int, b: int) -> bool:
+        n = bisect.bisect_left(self.starts, b)
+        return n > 0 and self.reach[n - 1] > a
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[Candidate]:
     """Candidates in text order: the base spans, and look-alikes that overlap none of them."""
     out = []
@@ -149,15 +205,16 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[Candidate]:
         core = re.sub(r"[^a-z0-9@]", "", raw.lower()) if kind == "email" else _digits(raw)
         out.append(Candidate(a, b, LABELS.index(kind), (0, LABELS.index(kind)), core, []))
     kinds = ["email" if k == "email" else "number" for k, _, _ in base]
-    taken = sorted((a, b) for _, a, b in base)
-    fresh = []
+    taken = Spans([(a, b) for _, a, b in base])
+    fresh: dict[tuple[int, int], str] = {}
+    dropped: set[tuple[int, int]] = set()
     if _DIGIT.search(text):
-        fresh += [("number", m.start(), m.end()) for m in _NUMBER.finditer(text)]
+        dropped = set(parts(text))
+        fresh |= {m.span(): "number" for m in _NUMBER.finditer(text)} | {span: "number" for span in sorted(dropped)}
     if _SEPARATOR.search(text):
-        fresh += [("email", m.start(), m.end()) for m in _SPELLED.finditer(text)]
-    edges = np.array([a for a, _ in taken]), np.array([b for _, b in taken])
-    for kind, a, b in fresh:
-        if taken and ((edges[0] < b) & (edges[1] > a)).any():
+        fresh |= {m.span(): "email" for m in _SPELLED.finditer(text)}
+    for (a, b), kind in fresh.items():
+        if taken.overlap(a, b):
             continue
         raw = text[a:b]
         allowed = _allowed(kind, raw)
@@ -169,7 +226,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[Candidate]:
             core = re.sub(r"[^a-z0-9@]", "", f"{m[1].lower()}@{host}")
         else:
             core = _digits(raw)
-        out.append(Candidate(a, b, 0, allowed, core, []))
+        out.append(Candidate(a, b, 0, allowed, core, [], (a, b) in dropped))
         kinds.append(kind)
     for c, kind in zip(out, kinds):
         c.features = _features(text, c, kind)
@@ -240,12 +297,19 @@ class SkipChain:
         if all(c.label for c in found):
             return []
         belief = self.marginals(found)
-        out, end = [], -1
+        sure = []
         for c, p in zip(found, belief):
             best = int(p[1:].argmax()) + 1
-            if not c.label and p[best] >= SURE and c.start >= end:
-                out.append((LABELS[best], c.start, c.end))
-                end = c.end
+            if not c.label and p[best] >= SURE:
+                sure.append((-float(p[best]), -(c.end - c.start), c.start, c.end, LABELS[best]))
+        # of spans that overlap the likeliest stays, then the longest, then the first
+        out: list[tuple[str, int, int]] = []
+        starts: list[tuple[int, int]] = []
+        for *_, a, b, kind in sorted(sure):
+            i = bisect.bisect_left(starts, (b, -1))
+            if not i or starts[i - 1][1] <= a:
+                bisect.insort(starts, (a, b))
+                out.append((kind, a, b))
         return out
 
     def spans(self, text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -260,7 +324,7 @@ class SkipChain:
 def fit(texts: list[str], steps: int = 60) -> SkipChain:
     """Piecewise fit with base labels as truth; marks are hidden from every second example."""
     documents = [candidates(t, base_spans(t)) for t in texts if t]
-    flat = [c for d in documents for c in d]
+    flat = [c for d in documents for c in d if not c.dropped]
     counts = Counter(f for c in flat for f in c.features)
     index = {f: i for i, f in enumerate(sorted(f for f, n in counts.items() if n >= 2))}
     weights, seen = np.zeros((len(index), len(LABELS))), np.full((len(index), len(LABELS)), 1e-8)
@@ -284,8 +348,8 @@ def fit(texts: list[str], steps: int = 60) -> SkipChain:
         seen += grad**2
         weights += 0.5 * grad / np.sqrt(seen)
 
-    def tied(pairs: list[tuple[int, int]], agree: float) -> np.ndarray:
-        joint = np.full((len(LABELS), len(LABELS)), 1.0) + agree * np.eye(len(LABELS))
+    def tied(pairs: list[tuple[int, int]]) -> np.ndarray:
+        joint = np.full((len(LABELS), len(LABELS)), 1.0)
         for a, b in pairs:
             joint[a, b] += 1
             joint[b, a] += 1
@@ -293,19 +357,23 @@ def fit(texts: list[str], steps: int = 60) -> SkipChain:
         return np.log(joint) - np.log(joint.sum(1))[:, None] - np.log(joint.sum(0))[None, :]
 
     chains, skips = [], []
-    for d in documents:
+    for d in [[c for c in d if not c.dropped] for d in documents]:
         chain, skip = edges(d)
         chains += [(d[a].label, d[b].label) for a, b in chain]
         # ties are learnt between spans that the rules recognise; refused twins are what is to be found
         skips += [(d[a].label, d[b].label) for a, b in skip if d[a].label and d[b].label]
-    return SkipChain(index, weights, 0.25 * tied(chains, 0.0), tied(skips, 40.0))
+    return SkipChain(index, weights, 0.25 * tied(chains), tied(skips))
 
 
 def fit_on(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> SkipChain:
-    """Fit on at most `sample_texts` texts that hold a digit or an at sign, by a hash of the text."""
-    order = F.xxhash64(F.lit(13), "text")
-    rows = docs.where(F.col("text").rlike("[0-9@]")).select("text", order.alias("o")).orderBy("o").limit(sample_texts).collect()
-    return fit([r["text"] for r in sorted(rows, key=lambda r: (r["o"], r["text"]))])
+    """Fit on about `sample_texts` texts that hold a digit or an at sign, chosen by a hash of the text, copies once."""
+    rows = docs.where(F.col("text").rlike("[0-9@]"))
+    n = rows.count()
+    if not n:
+        return fit([])
+    draw = F.xxhash64(F.lit(13), "text")
+    drawn = rows.where(draw <= draw_limit(n, sample_texts)).select(draw.alias("o"), F.substring("text", 1, FIT_CHARS).alias("text")).distinct().collect()
+    return fit([r["text"] for r in sorted(drawn, key=lambda r: (r["o"], r["text"]))[:sample_texts]])
 
 
 def written(spans: list[tuple[str, int, int]]) -> str:
