@@ -284,6 +284,14 @@ def test_pipeline_stages(spark, messy, docs):
     assert {r.doc_id for r in QUERIES["op3_toxicity"](spark, messy).where("predicted = 1").collect()} == rejected
 
 
+def test_pipeline_keeps_texts_that_share_an_id(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long), (1, "other words of a text that nobody else has"), (1, ""), (1, None), (1, None), (2, long), (2, long + " more"), (0, "b " + long), (3, "x y"), (3, "x y"), (None, long)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.jaccard(spark, docs, "").collect())
+    assert kept == Counter([(0, "b " + long), (1, rows[1][1]), (1, ""), (1, None), (3, "x y"), (None, long)])
+
+
 @pytest.mark.parametrize("which", ["messy", "empty", "nulls"])
 def test_pipeline_runs(spark, request, which):
     folder = request.getfixturevalue(which)

@@ -560,12 +560,12 @@ def _classes(docs: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash (xxhash64 of the text), n_shingles, component_id for every row of `docs` (doc_id, text)."""
+    """doc_id, text_hash (xxhash64 of the text), n_shingles, component (a number of the class, null for empty sets), component_id for every row of `docs` (doc_id, text)."""
     with scratch(docs.sparkSession) as keep:
         nodes = keep(_classes(docs))
     first = nodes.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = nodes.join(first, "component", "left")
-    return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
