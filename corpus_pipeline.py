@@ -34,11 +34,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate class."""
-    classes = jaccard_orders.jaccard_components(docs.select("doc_id", "text"))
-    first = classes.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """Keep one document of each near-duplicate class: that of the smallest doc_id, then of the smallest text hash.
+
+    Rows that share a doc_id with different texts are told apart by their texts;
+    of repeated rows one stays. Rows without doc_id stay, as they are of no class.
+    """
+    text = F.xxhash64("text")
+    classes = jaccard_orders.jaccard_components(docs.select("doc_id", "text")).where("doc_id is not null")
+    rows = classes.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("__n"))
+    own = F.when(F.col("component").isNull(), F.struct("doc_id", "text_hash"))  # texts without words are classes of their own
+    first = rows.groupBy("component", own.alias("own")).agg(F.min(F.struct("doc_id", "text_hash", "__n")).alias("f")).select(F.col("f.doc_id").alias("__id"), F.col("f.text_hash").alias("__hash"), "f.__n")
+    pick = lambda some: docs.join(some, (F.col("doc_id") == F.col("__id")) & (text == F.col("__hash"))).select(docs.columns)
+    repeated = pick(first.where("__n > 1")).withColumn("__text", text).dropDuplicates(["doc_id", "__text"]).select(docs.columns)
+    return pick(first.where("__n = 1")).unionByName(repeated).unionByName(docs.where("doc_id is null"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
