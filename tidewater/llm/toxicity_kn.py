@@ -32,11 +32,13 @@ untouched, an empty table stays empty.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -207,7 +209,7 @@ class KneserNey:
             history = keys // size
             pair[c] = kept(times[c]) / np.maximum(np.bincount(history, weights=times[c], minlength=size), 1)[history]
             left[c] = np.maximum(1 - np.bincount(history, weights=pair[c], minlength=size), 1e-3)
-        return KneserNey(spelling, word, spare, keys, pair, left)
+        return KneserNey(spelling, word, spare, keys, pair.astype(np.float32), left)
 
     def single(self) -> np.ndarray:
         """log p(word, toxic) - log p(word, ordinary) of the sample's words."""
@@ -352,7 +354,14 @@ def fit(texts: list[str], toxic: list[int], half: list[int]) -> ToxicityModel:
     return ToxicityModel(language(np.arange(len(y))), _logistic(x, y), index)
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:
+@dataclass
+class FittedModel:
+    """A pickled ToxicityModel; nothing if a class had no labelled text."""
+
+    data: bytes
+
+
+def fit_on(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> FittedModel:
     """Fit on at most `sample_per_class` labelled rows of each class, those with the smallest id hashes.
 
     `labels` holds doc_id and toxic (rows where either is null are left out).
@@ -360,27 +369,33 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PE
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows at most
     if len(counts) < 2:
-        return ToxicityModel(None, None)
+        return FittedModel(b"")
     draw = F.xxhash64(F.lit(3), "doc_id")
     limit = F.when(F.col("toxic") == 1, F.lit(draw_limit(counts[1], sample_per_class))).otherwise(F.lit(draw_limit(counts[0], sample_per_class)))
     chosen = known.where(draw <= limit).withColumn("draw", draw)  # a fifth more than the sample is expected, so broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = rows.groupBy("doc_id", "toxic", "draw").agg(F.min(F.substring(F.coalesce("text", F.lit("")), 1, FIT_CHARS)).alias("text"))
-    rows = rows.withColumn("half", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2))).collect()
-    rows.sort(key=lambda r: (r["draw"], r["doc_id"]))
-    rows = [r for c in (0, 1) for r in [r for r in rows if r["toxic"] == c][:sample_per_class]]
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows], [r["half"] for r in rows])
+    rows = rows.withColumn("half", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2))).select("draw", "doc_id", "toxic", "half", "text")
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["draw"], r["doc_id"]))
+        drawn = [r for c in (0, 1) for r in [r for r in drawn if r["toxic"] == c][:sample_per_class]]
+        model = fit([r["text"] for r in drawn], [r["toxic"] for r in drawn], [r["half"] for r in drawn])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model) if model.language else b""], pa.binary())], names=["model"])
+
+    # the sample is bounded, so one task learns from it, and the driver only hands the model on
+    return FittedModel(b"".join(bytes(r[0]) for r in rows.coalesce(1).mapInArrow(train, "model binary").collect()))
 
 
-def score_column(spark: SparkSession, model: ToxicityModel, text: str = "text") -> Column:
+def score_column(spark: SparkSession, model: FittedModel, text: str = "text") -> Column:
     """Column of scores for the texts of a table."""
-    if model.language is None:
+    if not model.data:
         return F.lit(0.0)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model.data)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = shared.value
+        own = pickle.loads(shared.value)
         lookup = own.lookup()
         for batch in batches:
             texts = batch.tolist()
