@@ -3,8 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.plans import config, monitor
-from tidewater.plans.catalog import cut
+from tidewater.plans import config, monitor, run, runs
+from tidewater.storage import cut
 from tidewater.schemas import ARTICLE, EXTRACTION
 from tidewater.sources import sinks
 
@@ -96,11 +96,86 @@ def test_replay(spark):
 def test_sinks():
     assert sinks.signature("1", "s") == sinks.signature("1", "s") != sinks.signature("2", "s")
     answers = iter(["busy", None])
-    assert sinks.send_with_retry(lambda c: next(answers), "x") is None
+    assert sinks.send_with_retry(lambda c: next(answers), "x", sleep=lambda s: None) is None
     text = sinks.report({"precision": 0.5, "recall": None}, {"precision": (0.4, 0.6)})
     assert "| precision | 0.5000 | 0.4000 to 0.6000 |" in text and "| recall | - |  |" in text
 
 
+def test_a_whole_run(spark):
+    setting = {"sources": {"websites": [{"name": "城市规划学会", "url": "u"}, {"name": "坏站", "url": "u"}]}, "filter": {"keywords": ["奖"], "ai": {"max_workers": 1}}}
+    log, health = runs.empty_logs(spark)
+    tables = run.Tables(spark.createDataFrame([], ARTICLE), spark.createDataFrame([], EXTRACTION), log, health)
+    found = [("2026年规划奖申报", "http://x/1"), ("2026年规划奖名单公示", "http://x/2"), ("2026年规划奖申报", "http://x/1?utm_source=z")]
+
+    def good():
+        rows = spark.createDataFrame([(*f, "2026-07-01", "", "正文" * 100) for f in found], "title string, url string, publish_date string, summary string, raw_content string")
+        return rows, spark.createDataFrame([("城市规划学会", "success", 3)], "source string, status string, articles long")
+
+    def bad():
+        raise RuntimeError("layout")
+
+    today = F.lit("2026-07-10").cast("date")
+    steps = {"城市规划学会": good, "坏站": bad}
+    tables, told = run.run_pipeline(spark, setting, tables, steps, model, lambda c: None, now(0), today, 2026)
+    assert (told["status"], told["total_articles"], told["new_articles"], told["keyword_passed"], told["pushed"]) == ("completed_with_errors", 3, 2, 1, 1)
+    assert sorted(r.status for r in tables.articles.collect()) == ["keyword_rejected", "pushed"]
+    assert {(r.source, r.status, r.new_count) for r in tables.source_runs.collect()} == {("城市规划学会", "success", 2), ("坏站", "failed", 0)}
+    row = tables.run_log.first()
+    assert row.status == "completed_with_errors" and row.errors == ["坏站: RuntimeError: layout"] and row.pushed == 1
+    tables, told = run.run_pipeline(spark, setting, tables, {"坏站": bad}, model, lambda c: None, now(1), today, 2026)
+    assert told["status"] == "failed" and told["new_articles"] == 0 and tables.run_log.count() == 2
+    with pytest.raises(run.RunFailed) as broken:
+        run.run_pipeline(spark, setting | {"filter": {"keywords": ["("]}}, tables, steps, model, lambda c: None, now(2), today, 2026)
+    assert {r.id: r.status for r in broken.value.tables.run_log.collect()}[3] == "failed"
+
+
+def test_run_log(spark):
+    log, health = runs.empty_logs(spark)
+    log = runs.insert_run(log, now(0), {"pushed": 2})
+    log, number = runs.start_run(log, now(1))
+    assert number == 2 and [r.status for r in log.orderBy("id").collect()] == ["completed", "running"]
+    states = lambda n, status: spark.createDataFrame([("a", "website", status, n)], "source string, source_type string, status string, article_count long")
+    health = runs.record_sources(health, 1, states(4, "success"), now(0))
+    health = runs.record_sources(health, 2, states(0, "empty"), now(1))
+    assert [(r.id, r.status) for r in health.orderBy("id").collect()] == [(1, "success"), (2, "anomaly")]
+
+
+def test_watchdog_state(spark, tmp_path):
+    at = dt.datetime(2026, 7, 31, 9)
+    schedule = spark.createDataFrame([("morning", at)], "key string, scheduled_at timestamp")
+    none = spark.createDataFrame([], "run_time timestamp, status string")
+    when = F.lit("2026-07-31 11:00:00").cast("timestamp")
+    path, sent = str(tmp_path / "s" / "state.json"), []
+    call = lambda send, **more: monitor.run_watchdog(schedule, none, path, when, send, cut, **more)
+    assert call(sent.append, check_only=True) == ["morning"] and not sent
+    assert call(lambda m: "down") == ["morning"] and monitor.read_alerted(path) == []
+    assert call(sent.append) == ["morning"] and sent == ["morning"] and call(sent.append) == [] and sent == ["morning"]
+    (tmp_path / "s" / "state.json").write_text("{")
+    assert monitor.read_alerted(path) == []
+
+
+def test_lock_and_log(tmp_path):
+    from tidewater.sources import process
+
+    one, two = process.ProcessLock(str(tmp_path / "l")), process.ProcessLock(str(tmp_path / "l"))
+    with one:
+        assert not two.acquire()
+    assert two.acquire()
+    two.release()
+    found = process.logger("tidewater-test", str(tmp_path))
+    found.info("x")
+    assert process.logger("tidewater-test", str(tmp_path)) is found and len(found.handlers) == 1 and "INFO x" in (tmp_path / "tidewater-test.log").read_text()
+
+
+def test_alerts_and_answers():
+    sent = []
+    assert sinks.alert("down", sent.append) is None and sent == ["⚠️ 报奖监测告警\ndown"]
+    assert sinks.answer_error({"code": 0}) is None and sinks.answer_error({"code": 9, "msg": "no"}) == "no"
+    assert sinks.payload("x", "1", "s")["sign"] == sinks.signature("1", "s") and "sign" not in sinks.payload("x")
+    text = sinks.report({"f1": 1.0}, wrong=[{"id": 3, "title": "t", "error": "false_negative"}])
+    assert "## false negatives: 1\n- 3: t" in text
+
+
 GOOD = {"sources": {"websites": [{"name": "a", "url": "u"}]}, "filter": {"keywords": ["x"], "ai": {"api_url": "u", "model": "m"}}, "notification": {"feishu": {"webhook_url": "w"}}}
 
 

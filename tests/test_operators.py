@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators import dedup, evaluate, events, filters, health, reply, state
-from tidewater.plans.catalog import cut
-from tidewater.sources import files, scan
+from tidewater.storage import cut
+from tidewater.sources import files, providers, scan
 
 DAY = dt.datetime(2026, 1, 1)
 
@@ -172,14 +172,20 @@ def test_event_time(spark):
         ('<think>{</think>```json\n{"is_award_application": true} trailing', True, ""), (None, None, "invalid_response"), ('{"is_award_application": 1}', None, "invalid_response"),
     ],
 )
-def test_reply(content, decision, error):
-    got = reply.parse(content, 2026)
-    assert (got[0], got[2]) == (decision, error)
+def test_reply(spark, content, decision, error):
+    got = spark.createDataFrame([(content,)], "x string").select(reply.parse_column(2026)(F.col("x")).alias("r")).first().r
+    assert (got.decision, got.error_kind) == (decision, error) and got.raw_response == (content or "")
 
 
-def test_reply_fields():
-    got = reply.parse('{"is_award_application": true, "award_name": " A ", "deadline_text": "2026年8月24日9:00开通，9月23日17:00关闭", "deadline_date": null, "applicant_scope": [" x ", ""]}', 2026)
-    assert got[3:7] == ("A", "2026年8月24日9:00开通，9月23日17:00关闭", "2026-09-23", ["x"])
+def test_reply_fields(spark):
+    rows = [
+        '{"is_award_application": true, "award_name": " A ", "deadline_text": "2026年8月24日9:00开通，9月23日17:00关闭", "deadline_date": null, "applicant_scope": [" x ", ""]}',
+        '{"is_award_application": true, "reason": ["a"], "applicant_scope": ' + str(["s" * 300] * 30).replace("'", '"') + "}", '{"is_award_application": true, "award_name": 3}',
+    ]
+    got = [r.r for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string").select("i", reply.parse_column(2026)(F.col("x")).alias("r")).orderBy("i").collect()]
+    assert tuple(got[0])[3:7] == ("A", "2026年8月24日9:00开通，9月23日17:00关闭", "2026-09-23", ["x"])
+    assert got[1].reason == "['a']" and [len(e) for e in got[1].applicant_scope] == [200] * 20
+    assert got[2].decision is None and got[2].reason.startswith("award_name must be")
 
 
 def test_judge_breaks_the_circuit_and_keeps_order(spark):
@@ -196,6 +202,121 @@ def test_judge_breaks_the_circuit_and_keeps_order(spark):
         reply.judge(rows, model, 2026, workers=5)
 
 
+def test_the_circuit_is_open_for_all_partitions(spark, tmp_path):
+    breaker = reply.Breaker(str(tmp_path))
+    twin = reply.Breaker(str(tmp_path))
+    twin.name = breaker.name
+    assert not breaker.is_open() and not twin.is_open()
+    breaker.open()
+    reply.Breaker._opened.clear()  # as in another process
+    assert twin.is_open() and not reply.Breaker(str(tmp_path)).is_open()
+
+
+def test_fallback_and_keys():
+    seen = []
+
+    def post(url, headers, body):
+        seen.append((url, headers.get("Authorization")))
+        return {"choices": [{"message": {"content": "" if "empty" in url else "yes"}}]} if "chat" not in url else {"message": {"content": "local"}}
+
+    two = providers.Provider("compatible", "http://a", "m", post, ["k1", "k2"])
+    assert [two("x"), two("x"), two("x")] == ["yes"] * 3 and [k for _, k in seen] == ["Bearer k1", "Bearer k2", "Bearer k1"]
+    bad = providers.Provider("compatible", "http://empty", "m", post)
+    assert reply.with_fallback(bad, providers.Provider("local", "http://b/", "m", post))("x") == "local" and seen[-1][0] == "http://b/api/chat"
+    with pytest.raises(ConnectionError):
+        reply.with_fallback(bad)("x")
+    assert providers.keys_of({"api_keys": ["a", " "], "api_key": "b", "api_key_env": "E"}, {"E": "a"}) == ["a", "b"]
+
+
+def test_batches_lose_no_rows(spark):
+    """Wide rows, so that partitions are coalesced differently where columns are pruned."""
+    rows = spark.range(0, 200_000).select((F.col("id") * 7 % 200_000).alias("id"), F.repeat(F.lit("x"), 128).alias("title"), F.lit("s").alias("source"), F.lit("u").alias("url"))
+    got = state.batches(rows)
+    assert got.agg(F.count("*"), F.countDistinct("id"), F.max("batch_no"), F.count_if(F.expr("batch_no <> id div 10"))).first()[:] == (200_000, 200_000, 19_999, 0)
+    sent = state.render(got)
+    assert sent.agg(F.count("*"), F.sum("n")).first()[:] == (20_000, 200_000)
+    assert state.batches(rows.limit(0)).count() == 0
+
+
+def test_message_content(spark):
+    rows = spark.createDataFrame([(2, 0, "奖项申报通知", "s", "", "", "http://x", "规划设计奖", "2026-08-01", "", ["设计单位"]), (1, 0, "a", "t", "2026-07-01", "z" * 300, "http://y", None, None, "9月", None)],
+        "id long, batch_no long, title string, source string, publish_date string, summary string, url string, award_name string, deadline_date string, deadline_text string, applicant_scope array<string>")
+    text = state.render(rows).first().content.split("\n")
+    assert text[0] == "📰 报奖信息监测 (本次发现 2 条)" and text[1:3] == ["📌 a", "来源：t | 日期：2026-07-01"] and text[3] == "摘要：" + "z" * 200 and text[4] == "截止：9月"
+    assert text[7:] == ["📌 奖项申报通知", "来源：s | 日期：未知", "摘要：无摘要", "奖项：规划设计奖", "截止：2026-08-01", "申报对象：设计单位", "🔗 http://x", state.RULE]
+
+
+def test_insert_and_migrate(spark):
+    from tidewater.schemas import ARTICLE
+
+    now = F.lit("2026-07-30 00:00:00").cast("timestamp")
+    rows = spark.createDataFrame([("A 1", "http://X.com:80/a?utm_x=1", "s"), ("B", "http://x.com/a", "t"), ("a1", "http://y.com/", "s"), ("C", "", "s"), ("C", "", "t")], "title string, url string, source string")
+    rows = rows.withColumns({c: F.lit("") for c in ("publish_date", "summary", "raw_content")})
+    one = cut(state.insert(spark.createDataFrame([], ARTICLE), rows, now))
+    assert {(r.title, r.source) for r in one.collect()} == {("A 1", "s"), ("C", "s"), ("C", "t")} and sorted(r.id for r in one.collect()) == [1, 2, 3]
+    two = cut(state.insert(one, rows.withColumn("title", F.concat(F.lit("x"), "title")), F.lit("2026-08-30 00:00:00").cast("timestamp")))
+    assert two.count() == 6 and two.agg(F.max("id")).first()[0] == 6
+    again = state.backfill_keys(one.withColumn("canonical_url", F.lit("")).withColumn("dedup_key", F.lit(None).cast("string")))
+    assert {(r.canonical_url, r.dedup_key) for r in again.collect()} == {(r.canonical_url, r.dedup_key) for r in one.collect()}
+    assert state.schema_version(one.columns) == 3 and state.schema_version(["id"]) == 0
+    assert state.article_by_id(one, 2).count() == 1 and state.matching(one, ["C"]).count() == 2
+    with pytest.raises(ValueError):
+        state.migrate(spark.range(1))
+
+
+def test_plans_of_no_pages(spark):
+    rows = spark.createDataFrame([("s", "http://x/{n}", None, 1, 1, n) for n in (0, -1, 2)], "source string, url_template string, first_page_url string, n_start int, n_step int, max_pages int")
+    assert [r.page_num for r in scan.page_plan(rows).collect()] == [1, 2]
+    assert scan.search_plan(spark.createDataFrame([("q",)], "query string"), 0, 2026).count() == 0
+
+
+def test_signed_requests():
+    base, parameters, headers = scan.signed_request("http://h/p?b=2&a=%20&c=x%26y", {"site": "9", "b": "1"}, "S", 17)
+    import hashlib
+
+    assert (base, parameters) == ("http://h/p", {"site": "9", "b": "2", "c": "x&y"} | {"a": " "} if "a" in parameters else {"site": "9", "b": "2", "c": "x&y"})
+    assert headers == {"sign": hashlib.md5(b"b=2&c=x&y&site=917S").hexdigest(), "signTimeStamp": "17"}
+    seen, waits = [], []
+
+    def get(url, parameters, headers):
+        seen.append(headers["signTimeStamp"])
+        if len(seen) < 3:
+            raise OSError("reset")
+        return 200, "ok", None
+
+    ticks = iter((1.0, 2.0, 3.0))
+    assert scan.signed_fetcher(get, {}, "S", 3, 2, lambda: next(ticks), waits.append)("http://h/p?a=1") == ("ok", None)
+    assert seen == ["1000", "2000", "3000"] and waits == [2, 4]
+
+
+def test_sources_fail_alone(spark):
+    good = lambda: (spark.range(3), spark.createDataFrame([("a", "success", 3)], "source string, status string, articles long"))
+
+    def bad():
+        raise RuntimeError("parser")
+
+    rows, states = scan.run_sources({"a": good, "b": bad}, spark)
+    assert list(rows) == ["a"] and {r.source: (r.status, r.error) for r in states.collect()} == {"a": ("success", None), "b": ("failed", "RuntimeError: parser")}
+
+
+def test_urls_in_the_jvm_are_those_of_python(spark):
+    from tidewater.functions import urls
+
+    texts = ["http://A.b:80//x//y?b=2&a=1&utm_q=1#f", "https://u@h/x", "HTTP://h:8080", "http://h:00080/?a=%41", "http://h?x", "http://h/?x=&&y", " http://h/ ", "", None, "ftp://h:21/a b", "http://h:99999/", "/rel?a=1", "http://h/é?q=é", "mailto:x", "http://h/?=v&from=1&FROM=2"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select(urls.canonical_url("t"), "i").orderBy("i").collect()]
+    assert got == [urls.canonical(t) for t in texts]
+
+
+def test_composition_in_the_jvm_is_that_of_python(spark):
+    import unicodedata
+
+    from tidewater.functions import text
+
+    words = ["Ａｂｃ１", "规划、奖。", "ﬁ e\u0301", "é à ü", "①", "カﾞ", "plain", "", "ＡＢＣ（x）"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(words)], "i int, t string").select(text.nfkc(F.col("t")), "i").orderBy("i").collect()]
+    assert got == [unicodedata.normalize("NFKC", t) for t in words]
+
+
 def test_worker_choice(spark):
     rows = [(1, 1.0, 0, 0, [True]), (2, 1.5, 0, 0, [True]), (4, 2.0, 0, 0, [False])]
     assert evaluate.recommend_workers(spark.createDataFrame(rows, "workers int, speedup double, errors int, invalid int, decisions array<boolean>")).first().workers == 2

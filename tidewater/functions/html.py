@@ -224,6 +224,10 @@ LINKS = _rows(pos=_INT, title=_TEXT, heading=_TEXT, href=_TEXT, date=_TEXT, nav_
 RESULTS = _rows(pos=_INT, title=_TEXT, href=_TEXT, summary=_TEXT, account=_TEXT, time_text=_TEXT)
 
 
+#: Where lists of notices have their links unless a source says otherwise.
+LIST_SELECTORS = ["ul li a", "table td a", "div.list a"]
+
+
 def links_column(selectors: list[str] | None = None):
     @F.pandas_udf(LINKS)
     def parse(html: pd.Series) -> pd.Series:

@@ -15,10 +15,21 @@ UNICODE_SPACE = r"(?U)\s+"
 IDENTITY_PUNCTUATION = "，。！？：；、（）()【】\\[\\]‘’“”\"'…·,.;:!?"
 
 
+#: Characters that compatibility composition may change: all but ASCII, composed Latin letters, Han and some marks.
+_COMPOSABLE = r"[^\x00-\x7F\u00C0-\u00FF\u3001\u3002\u3008-\u3011\u4E00-\u9FFF]"
+
+
 @F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """Compatibility composition, which Spark has no function for."""
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def _composed(s: pd.Series) -> pd.Series:
+    out = s.copy()
+    some = s.notna()
+    out[some] = [unicodedata.normalize("NFKC", t) for t in s[some]]
+    return out
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility composition, which Spark has no function for; texts that it can't change stay in the JVM."""
+    return F.coalesce(_composed(F.when(text.rlike(_COMPOSABLE), text)), text)
 
 
 def normalize_title(title: Column, exact: bool = True) -> Column:
@@ -72,19 +83,22 @@ def epoch_date(text: Column) -> Column:
     return F.coalesce(F.date_format(F.timestamp_seconds(seconds.cast("long")), "yyyy-MM-dd"), F.lit(""))
 
 
+#: How a deadline text writes a full date, and a month and day.
+_FULL_DATE = r"((?:19|20)[0-9]{2})\s*[年/-]\s*([0-9]{1,2})\s*[月/-]\s*([0-9]{1,2})\s*日?"
+_MONTH_DAY = r"([0-9]{1,2})\s*月\s*([0-9]{1,2})\s*日?"
+
+
 def infer_deadline(text: Column, reference_year: Column) -> Column:
     """Last valid date that a deadline text names, or ''.
 
-    Full dates come first, month-day pairs after them with the last full date's
-    year (or the reference year); the list is searched from its end.
+    A month and day stands for a date of the last full date's year, or of the
+    reference year. Valid month-day dates win over full ones, each the later in
+    the text over the earlier.
     """
     t = F.coalesce(text, F.lit(""))
-    full = r"((?:19|20)[0-9]{2})\s*[年/-]\s*([0-9]{1,2})\s*[月/-]\s*([0-9]{1,2})\s*日?"
-    short = r"([0-9]{1,2})\s*月\s*([0-9]{1,2})\s*日?"
-    part = lambda p, i: F.regexp_extract_all(t, F.lit(p), F.lit(i))
-    year = F.coalesce(F.try_element_at(part(full, 1), F.lit(-1)).cast("int"), reference_year)
-    iso = lambda y, m, d: F.concat_ws("-", y.cast("string"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
-    dated = F.zip_with(F.zip_with(part(full, 1), part(full, 2), lambda y, m: F.struct(y.alias("y"), m.alias("m"))), part(full, 3), lambda s, d: iso(s["y"], s["m"], d))
-    named = F.zip_with(part(short, 1), part(short, 2), lambda m, d: iso(year, m, d))
-    valid = F.filter(F.transform(F.reverse(F.concat(dated, named)), lambda x: F.try_to_date(x, "yyyy-MM-dd")), lambda x: x.isNotNull())
-    return F.coalesce(F.date_format(F.try_element_at(valid, F.lit(1)), "yyyy-MM-dd"), F.lit(""))
+    found = lambda pattern, groups: F.arrays_zip(*[F.regexp_extract_all(t, F.lit(pattern), F.lit(i + 1)).alias(name) for i, name in enumerate(groups)])
+    full = found(_FULL_DATE, "ymd")
+    year = F.coalesce(F.try_element_at(full, F.lit(-1))["y"], reference_year.cast("string"))
+    date = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+    dates = F.concat(F.transform(full, lambda p: date(p["y"], p["m"], p["d"])), F.transform(found(_MONTH_DAY, "md"), lambda p: date(year, p["m"], p["d"])))
+    return F.coalesce(F.try_element_at(F.array_compact(dates), F.lit(-1)).cast("string"), F.lit(""))

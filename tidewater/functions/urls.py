@@ -38,9 +38,22 @@ def _tracks(key: str) -> bool:
 
 
 @F.pandas_udf(T.StringType())
-def canonical_url(url: pd.Series) -> pd.Series:
-    """Exact canonical form (percent encoding as Python does it)."""
-    return url.map(canonical)
+def _canonical(url: pd.Series) -> pd.Series:
+    out = url.copy()
+    some = url.notna()
+    out[some] = [canonical(u) for u in url[some]]
+    return out
+
+
+#: URLs whose canonical form needs no decoding or encoding: plain host, short port, query of unreserved characters.
+_PLAIN = r"^[A-Za-z][A-Za-z0-9+.-]*://[A-Za-z0-9.-]+(:[1-9][0-9]{0,3})?(/[A-Za-z0-9._~/%+:@!$&'()*,;=-]*)?(\?[A-Za-z0-9._~=&-]*)?(#[A-Za-z0-9._~/%+:@!$&'()*,;=-]*)?$"
+
+
+def canonical_url(url: Column | str) -> Column:
+    """Exact canonical form: in the JVM for plain URLs, in Python (which alone gets to see them) for the others."""
+    text = F.coalesce(F.col(url) if isinstance(url, str) else url, F.lit(""))
+    plain = text.rlike(_PLAIN)
+    return F.when(plain, canonical_url_native(text)).otherwise(_canonical(F.when(~plain, text)))
 
 
 @F.pandas_udf(T.StringType())
@@ -94,8 +107,16 @@ def page_url(template: Column, page: Column, first_page_url: Column, n_start: Co
     return F.when(has_first & (page == 1), first_page_url).otherwise(F.replace(template, F.lit("{n}"), n.cast("string")))
 
 
-def sign_parameters(parameters: Column, secret: Column) -> Column:
-    """md5 over sorted non-blank parameters (a map) and a secret."""
+def sign_parameters(parameters: Column, timestamp: Column, secret: Column) -> Column:
+    """md5 over sorted non-blank parameters (a map), the time in milliseconds and a secret."""
     some = F.filter(F.map_entries(parameters), lambda e: F.trim(F.coalesce(e["value"], F.lit(""))) != "")
     text = F.array_join(F.transform(F.array_sort(some), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "&")
-    return F.md5(F.concat(text, secret))
+    return F.md5(F.concat(text, timestamp.cast("string"), secret))
+
+
+def search_url(template: Column, query: Column, page: Column) -> Column:
+    """URL of a page of search results: the query percent-encoded in place of {}, and the page from the second on."""
+    encoded = F.url_encode(query)
+    for form, quoted in (("+", "%20"), ("*", "%2A"), ("%2F", "/"), ("%7E", "~")):  # forms and paths encode differently
+        encoded = F.replace(encoded, F.lit(form), F.lit(quoted))
+    return F.concat(F.replace(template, F.lit("{}"), encoded), F.when(page > 1, F.concat(F.lit("&page="), page.cast("string"))).otherwise(""))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from fractions import Fraction
 
 import numpy as np
@@ -91,26 +92,41 @@ def event_time(publish_date: Column, first_seen: Column) -> Column:
     return F.struct(date.alias("event_date"), basis.alias("event_time_basis"))
 
 
-def content_type(title: Column, positive: Column) -> Column:
-    """Kind of a notice by its title."""
-    return (
-        F.when(any_of(title, RESULT_WORDS), F.when(any_of(title, ("名单", "公示")), "名单公示").otherwise("获奖结果"))
-        .when(positive, F.when(any_of(title, COMPETITION_WORDS), "竞赛报名").otherwise("申报通知"))
-        .when(any_of(title, TRAINING_WORDS), "培训会议")
-        .when(any_of(title, COMPETITION_WORDS), "其他")
-        .when(any_of(title, APPLICATION_WORDS), "申报通知")
-        .otherwise("其他")
-    )
+#: Kinds of a notice in the order they are tried, with the words of the title that admit them ("" admits
+#: any title) and whether the verdict has to be positive.
+KIND_RULES = (
+    ("名单公示", ("名单", "公示"), False),
+    ("获奖结果", RESULT_WORDS, False),
+    ("竞赛报名", COMPETITION_WORDS, True),
+    ("申报通知", ("",), True),
+    ("培训会议", TRAINING_WORDS, False),
+    ("其他", COMPETITION_WORDS, False),
+    ("申报通知", APPLICATION_WORDS, False),
+)
+OTHER_KIND, UNSURE = "其他", "不确定"
+#: What a verdict says by itself about kind, relation and label; null where the title decides.
+VERDICTS = {"uncertain": (OTHER_KIND, UNSURE, UNSURE), "positive": (None, YES, YES), "stale": ("申报通知", YES, NO)}
+
+
+def _said(verdict: Column, part: int) -> Column:
+    """A part of what the verdict says, from a literal table."""
+    table = F.create_map(*[F.lit(x) for name, parts in VERDICTS.items() if parts[part] for x in (name, parts[part])])
+    return F.try_element_at(table, F.coalesce(verdict, F.lit("")))
+
+
+def content_type(title: Column, verdict: Column) -> Column:
+    """Kind of a notice: the first rule whose words the title has."""
+    positive = F.coalesce(verdict == "positive", F.lit(False))
+    tried = [F.when(any_of(title, words) & (positive if asked else F.lit(True)), F.lit(kind)) for kind, words, asked in KIND_RULES]
+    return F.coalesce(*tried, F.lit(OTHER_KIND))
 
 
 def adjudicate(title: Column, source: Column, verdict: Column) -> Column:
     """struct(content_type, related, actionable, label) from the title; `verdict`: uncertain, positive, stale or null."""
-    related = any_of(source, INDUSTRY_SOURCES) | any_of(title, INDUSTRY_TITLES)
-    v = F.coalesce(verdict, F.lit(""))
-    kind = F.when(v == "uncertain", "其他").when(v == "stale", "申报通知").otherwise(content_type(title, v == "positive"))
-    relation = F.when(v == "uncertain", "不确定").when(v.isin("positive", "stale") | related, YES).otherwise(NO)
-    answer = F.when(v == "uncertain", "不确定").when(v == "positive", YES).otherwise(NO)
-    return F.struct(kind.alias("content_type"), relation.alias("related"), answer.alias("actionable"), answer.alias("label"))
+    related = F.when(any_of(source, INDUSTRY_SOURCES) | any_of(title, INDUSTRY_TITLES), YES).otherwise(NO)
+    answer = F.coalesce(_said(verdict, 2), F.lit(NO))
+    kind = F.coalesce(_said(verdict, 0), content_type(title, verdict))
+    return F.struct(kind.alias("content_type"), F.coalesce(_said(verdict, 1), related).alias("related"), answer.alias("actionable"), answer.alias("label"))
 
 
 def fill_label(old: Column, new: Column, force: bool = False) -> Column:
@@ -134,7 +150,7 @@ def ratios(counts: DataFrame) -> DataFrame:
 
 
 def metrics(rows: DataFrame) -> DataFrame:
-    """Coverage and confusion of rows with predicted, label (boolean, null: uncertain), basis and weight.
+    """Coverage and confusion of rows with predicted, label (boolean, null: uncertain), basis, weight and optional pending.
 
     Rows of unknown time are unassessable whatever their label; then null labels
     are uncertain; the rest are counted.
@@ -142,50 +158,68 @@ def metrics(rows: DataFrame) -> DataFrame:
     unknown = F.col("basis") == "unknown"
     uncertain = ~unknown & F.col("label").isNull()
     counted = ~unknown & F.col("label").isNotNull()
+    waiting = F.col("pending") if "pending" in rows.columns else F.lit(False)  # nobody has looked at these yet
+    uncertain = uncertain & ~waiting
     n = lambda c: F.count_if(c)
     w = lambda c: F.round(F.coalesce(F.sum(F.when(c, F.col("weight"))), F.lit(0.0)), 6)
     cell = lambda p, a: w(counted & (F.col("predicted") == p) & (F.col("label") == a))
     counts = rows.agg(
-        F.count("*").alias("rows"), n(unknown).alias("unassessable"), w(unknown).alias("unassessable_weight"), n(uncertain).alias("uncertain"), w(uncertain).alias("uncertain_weight"),
+        F.count("*").alias("rows"), n(~unknown & waiting).alias("pending"), n(unknown).alias("unassessable"), w(unknown).alias("unassessable_weight"), n(uncertain).alias("uncertain"), w(uncertain).alias("uncertain_weight"),
         n(counted).alias("labelled"), cell(True, True).alias("tp"), cell(True, False).alias("fp"), cell(False, False).alias("tn"), cell(False, True).alias("fn"),
     )
     return ratios(counts)
 
 
+def coverage(measured: DataFrame) -> DataFrame:
+    """Adds the labelled share of all rows, and whether every row is labelled, uncertain or unassessable."""
+    done = F.col("labelled") + F.col("uncertain") + F.col("unassessable")
+    return measured.withColumn("coverage", F.coalesce(F.try_divide("labelled", "rows"), F.lit(0.0))).withColumn("complete", done == F.col("rows"))
+
+
+def errors(rows: DataFrame) -> DataFrame:
+    """The counted rows that are predicted wrongly, with `error`: false_positive or false_negative."""
+    counted = rows.where("basis <> 'unknown' and label is not null and predicted <> label")
+    return counted.withColumn("error", F.when(F.col("predicted"), "false_positive").otherwise("false_negative"))
+
+
+def label_column(columns: list[str]) -> str:
+    """The column that holds the labels: that of the event time if a file has it, else the snapshot's (fixed values)."""
+    return "事件时点评估结论" if "事件时点评估结论" in columns else "人工审核结论"
+
+
 def bootstrap(spark: SparkSession, rows: DataFrame, iterations: int = 1000, seed: int = 20260710) -> DataFrame:
     """Percentile intervals of the ratios by stratified resampling: name, low, high.
 
-    Only (stratum, predicted, actual, weight) cells matter, so the labelled rows
-    are first counted by cell; each iteration draws cell counts per stratum from
-    a multinomial with its own seed, and iterations run in parallel. A stratum
-    that is fully labelled (census) isn't resampled.
+    A stratum's rows enter each resample with Poisson counts that are scaled to
+    the stratum's size, which needs no row of it in one place: rows are counted by
+    stratum, outcome and weight, each cell draws its own counts in all iterations
+    with a seed of its own, and the draws are summed. A stratum that is fully
+    labelled (census) isn't resampled.
     """
-    cells = rows.groupBy("stratum", "predicted", "actual", "weight", "census").count().toPandas()
-    cells = cells.sort_values(["stratum", "predicted", "actual", "weight"]).reset_index(drop=True)
-    groups = [(bool(g["census"].iloc[0]), g.index.to_numpy(), g["count"].to_numpy()) for _, g in cells.groupby("stratum", sort=True)]
-    predicted_, actual, weight = (cells[c].to_numpy() for c in ("predicted", "actual", "weight"))
+    cells = rows.groupBy("stratum", "predicted", "actual", "weight", "census").agg(F.count("*").alias("n"))
 
     def draw(batches):
         for batch in batches:
-            out = []
-            for i in batch["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                n = np.zeros(len(cells))
-                for census, at, counts in groups:
-                    n[at] = counts if census else rng.multinomial(counts.sum(), counts / counts.sum())
-                mass = n * weight.astype(float)
-                p, a = predicted_.astype(bool), actual.astype(bool)
-                out.append((int(i), mass[p & a].sum(), mass[p & ~a].sum(), mass[~p & ~a].sum(), mass[~p & a].sum()))
-            yield pd.DataFrame(out, columns=["i", "tp", "fp", "tn", "fn"])
-
-    drawn = ratios(spark.range(iterations).mapInPandas(draw, "i long, tp double, fp double, tn double, fn double"))
+            for row in batch.itertuples():
+                key = zlib.crc32(f"{row.stratum}|{row.predicted}|{row.actual}|{row.weight}".encode())
+                rng = np.random.default_rng([seed, key])
+                n = np.full(iterations, row.n) if row.census else rng.poisson(row.n, iterations)
+                yield pd.DataFrame({"i": np.arange(iterations), "stratum": row.stratum, "outcome": int(row.predicted) * 2 + int(row.actual), "n": n.astype(float), "mass": n * float(row.weight)})
+
+    drawn = cells.select("stratum", "predicted", "actual", F.col("weight").cast("double").alias("weight"), "census", "n").mapInPandas(draw, "i long, stratum string, outcome int, n double, mass double")
+    per = drawn.groupBy("i", "stratum", "outcome").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass"))
+    sizes = rows.groupBy("stratum").agg(F.count("*").alias("size"))
+    total = per.groupBy("i", "stratum").agg(F.sum("n").alias("drawn"), *[F.sum(F.when(F.col("outcome") == o, F.col("mass")).otherwise(0.0)).alias(c) for c, o in (("tp", 3), ("fp", 2), ("tn", 0), ("fn", 1))])
+    scale = F.try_divide(F.col("size").cast("double"), F.col("drawn"))
+    whole = total.join(sizes, "stratum").groupBy("i").agg(*[F.sum(F.col(c) * F.coalesce(scale, F.lit(0.0))).alias(c) for c in ("tp", "fp", "tn", "fn")])
     names = ("accuracy", "precision", "recall", "f1")
-    summary = drawn.agg(*[F.percentile(n, F.array(F.lit(0.025), F.lit(0.975))).alias(n) for n in names])
+    summary = ratios(whole).agg(*[F.percentile(n, F.array(F.lit(0.025), F.lit(0.975))).alias(n) for n in names])
     return summary.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.get(n, F.lit(0)).alias("low"), F.get(n, F.lit(1)).alias("high")) for n in names])).alias("r")).select("r.*")
 
 
 def recommend_workers(runs: DataFrame, least_speedup: float = 1.3) -> DataFrame:
     """Smallest worker count with enough speed-up, no errors and the decisions of one worker."""
     base = runs.where("workers = 1").select(F.col("decisions").alias("__d"))
-    good = runs.crossJoin(F.broadcast(base.limit(1))).where((F.col("workers") > 1) & (F.col("speedup") >= least_speedup) & (F.col("errors") == 0) & (F.col("invalid") == 0) & F.col("decisions").eqNullSafe(F.col("__d")))
+    base = base.limit(1).withColumn("__one", F.lit(1))
+    good = runs.withColumn("__one", F.lit(1)).join(base, "__one").where((F.col("workers") > 1) & (F.col("speedup") >= least_speedup) & (F.col("errors") == 0) & (F.col("invalid") == 0) & F.col("decisions").eqNullSafe(F.col("__d")))
     return good.agg(F.coalesce(F.min("workers"), F.lit(1)).alias("workers"))

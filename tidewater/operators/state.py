@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.text import normalize_title
 from tidewater.functions.urls import canonical_url
-from tidewater.schemas import PIPELINE_VERSION
+from tidewater.operators.dedup import anti_window, first_by
+from tidewater.operators.filters import any_of
+from tidewater.schemas import PIPELINE_VERSION, SCHEMA_VERSION
 
 
 def transition(articles: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
@@ -82,6 +84,35 @@ def fingerprint(source: Column, normalized: Column, canonical: Column, publish_d
     return F.sha2(F.concat_ws("|", part(source), F.coalesce(normalized, F.lit("")), F.coalesce(canonical, F.lit("")), part(publish_date)), 256)
 
 
+def backfill_keys(articles: DataFrame) -> DataFrame:
+    """Fills normalised titles, canonical URLs and fingerprints that are blank; everything else stays."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    rows = articles.withColumn("__t", F.when(blank("normalized_title"), normalize_title(F.col("title"))).otherwise(F.col("normalized_title")))
+    rows = rows.withColumn("__c", F.when(blank("canonical_url"), canonical_url("url")).otherwise(F.col("canonical_url")))
+    key = F.when(blank("dedup_key"), fingerprint(F.col("source"), F.col("__t"), F.col("__c"), F.col("publish_date"))).otherwise(F.col("dedup_key"))
+    values = {"normalized_title": F.col("__t"), "canonical_url": F.col("__c"), "dedup_key": key}
+    return rows.select([values.get(c, F.col(c)).alias(c) for c in articles.columns])
+
+
+def schema_version(columns: list[str]) -> int:
+    """The layout that a table's columns show: 0 nothing known, 1 the first, else the present one."""
+    if "pipeline_version" in columns:
+        return SCHEMA_VERSION
+    return 1 if {"id", "title", "url", "status"} <= set(columns) else 0
+
+
+def migrate(articles: DataFrame, backup_path: str | None = None) -> DataFrame:
+    """A table of any layout in the present one; one of the first layout is written to `backup_path` before."""
+    version = schema_version(articles.columns)
+    if version == 0:
+        raise ValueError("not a table of articles")
+    if version == 1:
+        if backup_path:
+            articles.write.mode("errorifexists").parquet(backup_path)
+        return migrate_v1(articles)
+    return backfill_keys(articles)
+
+
 def migrate_v1(old: DataFrame) -> DataFrame:
     """Articles of the first layout in the present one; they stay out of the pipeline by their version 1."""
     return old.select(
@@ -100,22 +131,86 @@ def pending(articles: DataFrame, extractions: DataFrame, statuses: list[str], le
     return rows.join(extractions.withColumnRenamed("article_id", "id"), "id", "left").orderBy("id")
 
 
-def batches(rows: DataFrame, size: int = 10) -> DataFrame:
-    """Numbers rows for a sink in batches: batch_no from 0.
+def article_by_id(articles: DataFrame, id_: int) -> DataFrame:
+    return articles.where(F.col("id") == id_)
+
+
+def extraction_of(extractions: DataFrame, article_id: int) -> DataFrame:
+    return extractions.where(F.col("article_id") == article_id)
+
+
+def matching(articles: DataFrame, words: list[str], ids: list[int] | None = None) -> DataFrame:
+    """Ad-hoc look at rows whose title, summary or content holds a word, or whose id is listed."""
+    text = F.concat_ws(" ", "title", "summary", "raw_content")
+    hit = any_of(text, words)
+    return articles.where(hit | F.col("id").isin(ids) if ids else hit)
+
+
+def insert(articles: DataFrame, rows: DataFrame, now: Column, days: int = 90, status: str = "discovered") -> DataFrame:
+    """Append rows (title, url, source, publish_date, summary, raw_content) that no stored one repeats within `days`.
 
-    Positions come from range partitions sorted by id and their cumulated counts,
-    so the whole table is never sorted in one task.
+    Of rows that repeat each other by URL, or by title and source, the first (by
+    URL and title) is taken. New ids follow the largest stored one.
     """
-    parts = rows.repartitionByRange(F.col("id")).sortWithinPartitions("id").withColumn("__p", F.spark_partition_id())
-    counts = parts.groupBy("__p").count()
-    base = counts.select("__p", (F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")).alias("__base"))
-    nth = F.row_number().over(Window.partitionBy("__p").orderBy("id"))
-    return parts.withColumn("__n", nth).join(F.broadcast(base), "__p").withColumn("batch_no", F.expr(f"(__base + __n - 1) div {size}")).drop("__p", "__n", "__base")
+    top = articles.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    fresh = rows.withColumn("normalized_title", normalize_title(F.col("title"))).withColumn("canonical_url", canonical_url("url")).withColumn("created_at", now)
+    fresh = anti_window(fresh, articles, days)
+    named = F.when(F.col("canonical_url") == "", F.concat_ws("|", "normalized_title", "source", "url")).otherwise(F.col("canonical_url"))
+    fresh = first_by(first_by(fresh.withColumn("__k", named), ["__k"], "url", "title", "source"), ["normalized_title", "source"], "url", "title").drop("__k")
+    numbered = positions(fresh.withColumn("__u", F.xxhash64("canonical_url", "normalized_title", "source")), "__u").withColumn("id", F.col("__position") + top + 1)
+    values = {
+        "status": F.lit(status), "attempt_count": F.lit(0), "pipeline_version": F.lit(PIPELINE_VERSION), "updated_at": now,
+        "dedup_key": fingerprint(F.col("source"), F.col("normalized_title"), F.col("canonical_url"), F.col("publish_date")),
+    }
+    out = [values.get(f.name, F.col(f.name) if f.name in numbered.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in articles.schema]
+    return articles.unionByName(numbered.select(out))
+
+
+def positions(rows: DataFrame, key: str, buckets: int = 256) -> DataFrame:
+    """Adds __position: each row's number from 0 in the order of `key` (long; equal keys in any order).
+
+    Buckets are ranges of the key with explicit bounds (approximate quantiles),
+    so both uses of them agree, no plan sorts the table in one task, and none of
+    a bucket's rows are lost however partitions are coalesced.
+    """
+    grid = [i / buckets for i in range(1, buckets)]
+    bounds = rows.agg(F.percentile_approx(key, grid, 4 * buckets)).first()[0] or []
+    edges = F.array(*[F.lit(b).cast("long") for b in sorted(set(bounds))]).cast("array<long>")
+    cut_rows = rows.withColumn("__bucket", F.size(F.filter(edges, lambda b: b < F.col(key))))
+    counts = cut_rows.groupBy("__bucket").agg(F.count("*").alias("__size"))  # one row for each bucket
+    ahead = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("__bucket", F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__base"))
+    nth = F.row_number().over(Window.partitionBy("__bucket").orderBy(key))
+    return cut_rows.withColumn("__nth", nth).join(base, "__bucket").withColumn("__position", F.col("__base") + F.col("__nth") - 1).drop("__bucket", "__base", "__nth")
+
+
+def batches(rows: DataFrame, size: int = 10) -> DataFrame:
+    """Numbers rows (in id order) for a sink in batches: batch_no from 0."""
+    return positions(rows, "id").withColumn("batch_no", F.expr(f"__position div {size}")).drop("__position")
+
+
+#: What a message says where a notice has no date or summary.
+NO_DATE, NO_SUMMARY, SUMMARY_CHARS = "未知", "无摘要", 200
+RULE = "━" * 16
+
+
+def notice_lines(columns: list[str]) -> Column:
+    """Lines of one notice; columns that a table lacks are blank."""
+    have = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in columns else F.lit("")
+    filled = lambda label, value: F.when(value != "", F.concat(F.lit(label), value))
+    deadline = F.when(have("deadline_date") != "", have("deadline_date")).otherwise(have("deadline_text"))
+    scope = F.coalesce(F.array_join("applicant_scope", "、"), F.lit("")) if "applicant_scope" in columns else F.lit("")
+    summary = F.substring(have("summary"), 1, SUMMARY_CHARS)
+    date = F.when(have("publish_date") == "", NO_DATE).otherwise(have("publish_date"))
+    lines = [
+        F.concat(F.lit("📌 "), have("title")), F.concat(F.lit("来源："), have("source"), F.lit(" | 日期："), date), F.concat(F.lit("摘要："), F.when(summary == "", NO_SUMMARY).otherwise(summary)),
+        filled("奖项：", have("award_name")), filled("截止：", deadline), filled("申报对象：", scope), F.concat(F.lit("🔗 "), have("url")), F.lit(RULE),
+    ]
+    return F.concat_ws("\n", *lines)
 
 
 def render(rows: DataFrame) -> DataFrame:
-    """Message of each batch: one line per notice in id order."""
-    scope = F.array_join("applicant_scope", "、")
-    deadline = F.coalesce(F.nullif("deadline_date", F.lit("")), F.nullif("deadline_text", F.lit("")), F.lit(""))
-    line = F.concat_ws(" | ", "title", "source", F.nullif(deadline, F.lit("")), F.nullif(scope, F.lit("")), F.substring("summary", 1, 200), "url")
-    return rows.groupBy("batch_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", line.alias("l")))), lambda s: s["l"]), "\n").alias("content"), F.count("*").alias("n"))
+    """Message of each batch: a header with the number of notices, then their lines in id order."""
+    body = F.transform(F.array_sort(F.collect_list(F.struct("id", notice_lines(rows.columns).alias("l")))), lambda s: s["l"])
+    header = F.concat(F.lit("📰 报奖信息监测 (本次发现 "), F.count("*").cast("string"), F.lit(" 条)"))
+    return rows.groupBy("batch_no").agg(F.concat_ws("\n", header, F.array_join(body, "\n")).alias("content"), F.count("*").alias("n"))

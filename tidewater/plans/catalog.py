@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,9 +10,11 @@ from pyspark.sql import functions as F
 from tidewater.functions import html, text, urls
 from tidewater.operators import dedup, evaluate, events, filters, health, reply, state
 from tidewater.plans import monitor
+from tidewater.plans import runs as run_log
 from tidewater.plans.views import ARTICLES_SQL, NOTICES_SQL, REVIEWED_SQL, RUNS_SQL, articles, notices, reviewed, source_runs
 from tidewater.sources import files, scan, sinks
 from tidewater.sources.files import read_table
+from tidewater.storage import cut
 
 TODAY = "2026-07-10"
 KEYWORDS, EXCLUDED = ["the.*of", "ción", "keit"], ["idiot", "licen[sc]e"]
@@ -39,14 +40,6 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write one round of an iteration to the shared checkpoint folder."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewater-"))
-    return df.checkpoint()
-
-
 today = lambda: F.lit(TODAY).cast("date")
 long = lambda c: c.cast("long")
 _PASS_SQL = "regexp_matches(title || ' ' || summary, '(?i)(?:the.*of)|(?:ción)|(?:keit)') AND NOT regexp_matches(title || ' ' || summary, '(?i)(?:idiot)|(?:licen[sc]e)')"
@@ -182,7 +175,7 @@ def dedup_by_title_source(spark, sf):
     return dedup.keep_window(_keyed(spark, sf), ["normalized_title", "source"], cut).select("id")
 
 
-@query("dedup_disjunctive")
+@query("dedup_disjunctive", f"WITH RECURSIVE {_KEYED_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY created_at, id) AS n FROM keyed), walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(id BIGINT, u VARCHAR, t VARCHAR, s VARCHAR, w TIMESTAMP)[]) AS kept UNION ALL SELECT o.n, CASE WHEN len(list_filter(walk.kept, lambda k: k.w >= o.created_at - INTERVAL 90 DAY AND ((k.u = o.canonical_url AND k.u <> '') OR (k.t = o.normalized_title AND k.s = o.source)))) = 0 THEN list_append(walk.kept, {{'id': o.id, 'u': o.canonical_url, 't': o.normalized_title, 's': o.source, 'w': o.created_at}}) ELSE walk.kept END FROM walk JOIN o ON o.n = walk.n + 1), f AS (SELECT unnest(kept).id AS id FROM (SELECT kept FROM walk ORDER BY n DESC LIMIT 1)) SELECT keyed.id, f.id IS NOT NULL AS kept FROM keyed LEFT JOIN f ON f.id = keyed.id")
 def dedup_disjunctive(spark, sf):
     return dedup.keep_disjunctive(_keyed(spark, sf), cut).select("id", "kept")
 
@@ -320,9 +313,9 @@ def new_alerts(spark, sf):
     return health.new_alerts(keys.select("key"), keys.where("n_nationkey % 3 = 0").select("key"))
 
 
-@query("run_summary", f"WITH {RUNS_SQL}, b AS (SELECT status, article_count FROM runs WHERE id < 500) SELECT CAST(sum(article_count) AS BIGINT) AS total, count(*) AS sources, count(*) FILTER (WHERE status IN ('failed', 'partial')) AS with_errors, CASE WHEN count(*) FILTER (WHERE status = 'failed') = count(*) THEN 'failed' WHEN count(*) FILTER (WHERE status IN ('failed', 'partial')) > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status FROM b")
+@query("run_summary", f"WITH {RUNS_SQL}, b AS (SELECT status, article_count FROM runs) SELECT CAST(sum(article_count) AS BIGINT) AS total, count(*) AS sources, count(*) FILTER (WHERE status IN ('failed', 'partial')) AS with_errors, CASE WHEN count(*) FILTER (WHERE status = 'failed') = count(*) THEN 'failed' WHEN count(*) FILTER (WHERE status IN ('failed', 'partial')) > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status FROM b")
 def run_summary(spark, sf):
-    return health.run_summary(source_runs(spark, sf).where("id < 500").select("status", F.col("article_count").alias("articles")))
+    return health.run_summary(source_runs(spark, sf).select("status", F.col("article_count").alias("articles")))
 
 
 _STAGE_SQL = "CASE WHEN status IN ('ai_confirmed', 'ready_to_push', 'push_failed', 'pushed') THEN 'ai_positive' WHEN status = 'ai_rejected' THEN 'ai_negative' WHEN status IN ('new', 'keyword_rejected') THEN 'keyword_negative' ELSE 'unresolved' END"
@@ -363,7 +356,7 @@ def weighted_confusion(spark, sf):
 
 
 @query("eval_ratios", f"""WITH {REVIEWED_SQL}, r AS (SELECT *, basis <> 'unknown' AND label IS NOT NULL AS ok FROM reviewed), m AS (SELECT count(*) AS rows, count(*) FILTER (WHERE basis = 'unknown') AS unassessable, {_CELL.format(c="basis = 'unknown'")} AS unassessable_weight,
-  count(*) FILTER (WHERE basis <> 'unknown' AND label IS NULL) AS uncertain, {_CELL.format(c="basis <> 'unknown' AND label IS NULL")} AS uncertain_weight, count(*) FILTER (WHERE ok) AS labelled,
+  count(*) FILTER (WHERE basis <> 'unknown' AND label IS NULL) AS uncertain, {_CELL.format(c="basis <> 'unknown' AND label IS NULL")} AS uncertain_weight, count(*) FILTER (WHERE ok) AS labelled, CAST(0 AS BIGINT) AS pending,
   {_CELL.format(c='ok AND predicted AND label')} AS tp, {_CELL.format(c='ok AND predicted AND NOT label')} AS fp, {_CELL.format(c='ok AND NOT predicted AND NOT label')} AS tn, {_CELL.format(c='ok AND NOT predicted AND label')} AS fn FROM r)
   SELECT *, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (tp + fp) * tp / (tp + fn) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1 FROM m""")
 def eval_ratios(spark, sf):
@@ -392,18 +385,27 @@ def event_time_basis(spark, sf):
     return rows.select("id", "t.event_date", "t.event_time_basis")
 
 
-_DEADLINES = ("2026年8月24日9:00开通，9月23日17:00关闭", "截止8月31日", "2月30日", "2025-1-5", "即日起", "2025/12/31 至 2026/2/29")
-_DEADLINE_DATES = ("2026-09-23", "2026-08-31", "", "2025-01-05", "", "2025-12-31")
+_DAY_SQL = "strftime(try_cast(printf('%04d-%02d-%02d', {y}, {m}, {d}) AS DATE), '%Y-%m-%d')"
+_DEADLINE_SQL = f"CASE k WHEN 0 THEN coalesce({_DAY_SQL.format(y=2026, m='m', d='d')}, '') WHEN 1 THEN coalesce({_DAY_SQL.format(y=2025, m='m', d='d')}, '') ELSE coalesce({_DAY_SQL.format(y=2025, m='m2', d='d2')}, {_DAY_SQL.format(y=2025, m='m', d='d')}, '') END"
 
 
-@query("deadline_inference", "SELECT doc_id AS id, [" + ", ".join(f"'{d}'" for d in _DEADLINE_DATES) + "][doc_id % 6 + 1] AS deadline FROM documents")
+@query("deadline_inference", f"SELECT id, {_DEADLINE_SQL} AS deadline FROM (SELECT doc_id AS id, doc_id % 3 AS k, CAST(doc_id % 14 AS INTEGER) AS m, CAST(doc_id * 7 % 33 AS INTEGER) AS d, CAST(doc_id * 5 % 15 AS INTEGER) AS m2, CAST(doc_id * 11 % 34 AS INTEGER) AS d2 FROM documents)")
 def deadline_inference(spark, sf):
     i = F.col("doc_id")
-    value = F.element_at(F.array(*[F.lit(d) for d in _DEADLINES]), (i % 6).cast("int") + 1)
+    day = lambda m, d: F.concat(m.cast("string"), F.lit("月"), d.cast("string"), F.lit("日"))
+    one, two = day(i % 14, i * 7 % 33), day(i * 5 % 15, i * 11 % 34)
+    value = F.when(i % 3 == 0, F.concat(F.lit("截止"), one)).when(i % 3 == 1, F.concat(F.lit("2025年"), one)).otherwise(F.concat(F.lit("2025年"), one, F.lit("9:00至"), two))
     return read_table(spark, sf, "documents").select(i.alias("id"), text.infer_deadline(value, F.lit(2026)).alias("deadline"))
 
 
-@query("title_adjudication")
+_ANY_SQL = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+_KIND_SQL = f"""CASE WHEN {_ANY_SQL('title', evaluate.RESULT_WORDS)} THEN CASE WHEN {_ANY_SQL('title', ('名单', '公示'))} THEN '名单公示' ELSE '获奖结果' END WHEN v = 'positive' THEN CASE WHEN {_ANY_SQL('title', evaluate.COMPETITION_WORDS)} THEN '竞赛报名' ELSE '申报通知' END
+  WHEN {_ANY_SQL('title', evaluate.TRAINING_WORDS)} THEN '培训会议' WHEN {_ANY_SQL('title', evaluate.COMPETITION_WORDS)} THEN '其他' WHEN {_ANY_SQL('title', evaluate.APPLICATION_WORDS)} THEN '申报通知' ELSE '其他' END"""
+
+
+@query("title_adjudication", f"""WITH {NOTICES_SQL}, r AS (SELECT *, CASE id % 50 WHEN 0 THEN 'uncertain' WHEN 1 THEN 'positive' WHEN 2 THEN 'stale' ELSE '' END AS v FROM notices),
+  a AS (SELECT CASE v WHEN 'uncertain' THEN '其他' WHEN 'stale' THEN '申报通知' ELSE {_KIND_SQL} END AS content_type, CASE WHEN v = 'uncertain' THEN '不确定' WHEN v IN ('positive', 'stale') OR {_ANY_SQL('source', evaluate.INDUSTRY_SOURCES)} OR {_ANY_SQL('title', evaluate.INDUSTRY_TITLES)} THEN '是' ELSE '否' END AS related,
+  CASE v WHEN 'uncertain' THEN '不确定' WHEN 'positive' THEN '是' ELSE '否' END AS actionable FROM r) SELECT content_type, related, actionable, actionable AS label, count(*) AS n FROM a GROUP BY ALL""")
 def title_adjudication(spark, sf):
     i = F.col("id")
     verdict = F.when(i % 50 == 0, "uncertain").when(i % 50 == 1, "positive").when(i % 50 == 2, "stale")
@@ -417,9 +419,10 @@ def fill_labels(spark, sf):
     return rows.select("doc_id", evaluate.fill_label(F.col("old"), F.when(F.col("toxic") == 1, "否").otherwise("不确定")).alias("label"))
 
 
-@query("parse_labels", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN NULL ELSE true END AS label FROM labels")
+@query("parse_labels", "SELECT doc_id, CASE WHEN toxic = 1 THEN NULL ELSE quality = 1 END AS label FROM labels")
 def parse_labels(spark, sf):
-    raw = F.element_at(F.array(F.lit(" Yes"), F.lit("否"), F.lit("不确定"), F.lit("1")), (F.col("doc_id") % 4).cast("int") + 1)
+    yes, no = (F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("doc_id") % 4).cast("int") + 1) for words in ((" Yes", "是", "1", "TRUE "), ("否", "n", "False", " 0")))
+    raw = F.when(F.col("toxic") == 1, F.when(F.col("doc_id") % 2 == 0, "不确定").otherwise(" ")).when(F.col("quality") == 1, yes).otherwise(no)
     return read_table(spark, sf, "labels").select("doc_id", evaluate.parse_label(raw).alias("label"))
 
 
@@ -462,9 +465,13 @@ def push_batches_of_10(spark, sf):
     return state.batches(articles(spark, sf).where("status = 'ready_to_push'").select("id"))
 
 
-@query("message_rendering", f"WITH {ARTICLES_SQL}, b AS (SELECT *, (row_number() OVER (ORDER BY id) - 1) // 10 AS batch_no FROM articles WHERE status = 'ready_to_push') SELECT batch_no, string_agg(title || ' | ' || source || ' | 2026-08-31 | x、y | ' || substr(summary, 1, 200) || ' | ' || url, chr(10) ORDER BY id) AS content, count(*) AS n FROM b GROUP BY batch_no")
+_LINES_SQL = "'📌 ' || title || chr(10) || '来源：' || source || ' | 日期：' || publish_date || chr(10) || '摘要：' || coalesce(nullif(substr(summary, 1, 200), ''), '无摘要') || chr(10) || CASE WHEN id % 3 = 0 THEN '奖项：A' || chr(10) ELSE '' END || '截止：2026-08-31' || chr(10) || '申报对象：x、y' || chr(10) || '🔗 ' || url || chr(10) || repeat('━', 16)"
+
+
+@query("message_rendering", f"WITH {ARTICLES_SQL}, b AS (SELECT *, (row_number() OVER (ORDER BY id) - 1) // 10 AS batch_no FROM articles WHERE status = 'ready_to_push') SELECT batch_no, '📰 报奖信息监测 (本次发现 ' || count(*) || ' 条)' || chr(10) || string_agg({_LINES_SQL}, chr(10) ORDER BY id) AS content, count(*) AS n FROM b GROUP BY batch_no")
 def message_rendering(spark, sf):
-    rows = articles(spark, sf).where("status = 'ready_to_push'").select("id", "title", "source", "summary", "url", F.lit("2026-08-31").alias("deadline_date"), F.lit("").alias("deadline_text"), F.array(F.lit("x"), F.lit("y")).alias("applicant_scope"))
+    award = F.when(F.col("id") % 3 == 0, "A")
+    rows = articles(spark, sf).where("status = 'ready_to_push'").select("id", "title", "source", "publish_date", "summary", "url", award.alias("award_name"), F.lit("2026-08-31").alias("deadline_date"), F.lit("").alias("deadline_text"), F.array(F.lit("x"), F.lit("y")).alias("applicant_scope"))
     return state.render(state.batches(rows))
 
 
@@ -486,18 +493,46 @@ def benchmark_sample(spark, sf):
     return rows.orderBy(F.when(F.col("status") == "pushed", 0).otherwise(1), "id").limit(6)
 
 
-@query("worker_benchmark", "SELECT 2 AS workers")
+@query("worker_benchmark", "SELECT CAST(coalesce(min(n_nationkey + 1), 1) AS INTEGER) AS workers FROM nation WHERE n_nationkey > 0 AND 1 + n_nationkey * 0.05 >= 1.3 AND n_nationkey % 3 = 0 AND n_nationkey % 2 = 0 AND (n_nationkey % 4 = 0) = (SELECT n_nationkey % 4 = 0 FROM nation WHERE n_nationkey = 0)")
 def worker_benchmark(spark, sf):
-    rows = [(1, 1.0, 0, 0, [True, False]), (2, 1.5, 0, 0, [True, False]), (4, 2.0, 0, 0, [True, True])]
-    return evaluate.recommend_workers(spark.createDataFrame(rows, "workers int, speedup double, errors int, invalid int, decisions array<boolean>"))
+    i = F.col("n_nationkey")
+    rows = read_table(spark, sf, "nation").select((i + 1).cast("int").alias("workers"), (1 + i * 0.05).alias("speedup"), (i % 3).cast("int").alias("errors"), (i % 2).cast("int").alias("invalid"), F.array(F.lit(True), i % 4 == 0).alias("decisions"))
+    return evaluate.recommend_workers(rows)
+
+
+@query("inspect_rows", f"WITH {ARTICLES_SQL} SELECT id, status FROM articles WHERE contains(title || ' ' || summary || ' ' || raw_content, 'idiot') OR contains(title || ' ' || summary || ' ' || raw_content, 'scum') OR id IN (3, 8)")
+def inspect_rows(spark, sf):
+    return state.matching(articles(spark, sf), ["idiot", "scum"], [3, 8]).select("id", "status")
+
+
+@query("article_lookup", f"WITH {ARTICLES_SQL} SELECT id, status, url FROM articles WHERE id = 8")
+def article_lookup(spark, sf):
+    return state.article_by_id(articles(spark, sf), 8).select("id", "status", "url")
+
+
+@query("search_urls", "SELECT r_regionkey, 'https://s.example.com/w?type=2&query=' || replace('award ' || r_name || '/x', ' ', '%20') || CASE WHEN r_regionkey > 1 THEN '&page=' || r_regionkey ELSE '' END AS url FROM region")
+def search_urls(spark, sf):
+    query = F.concat(F.lit("award "), F.col("r_name"), F.lit("/x"))
+    return read_table(spark, sf, "region").select("r_regionkey", urls.search_url(F.lit("https://s.example.com/w?type=2&query={}"), query, F.col("r_regionkey")).alias("url"))
 
 
-@query("jsonp_scan", "SELECT 'src' AS source, CAST(doc_id AS INTEGER) AS n, 't' || doc_id AS title, 'http://x/' || doc_id AS url FROM documents WHERE doc_id % 2 = 0")
+@query("request_signatures", "SELECT n_nationkey, md5('a=' || n_nationkey || '&k=' || n_name || (1700000000000 + n_nationkey) || 'secret') AS sign FROM nation")
+def request_signatures(spark, sf):
+    parameters = F.create_map(F.lit("k"), F.col("n_name"), F.lit("a"), F.col("n_nationkey").cast("string"), F.lit("blank"), F.lit(" "))
+    return read_table(spark, sf, "nation").select("n_nationkey", urls.sign_parameters(parameters, F.lit(1700000000000) + F.col("n_nationkey"), F.lit("secret")).alias("sign"))
+
+
+@query("error_sources", f"WITH {RUNS_SQL} SELECT source, count(*) AS n FROM runs WHERE status IN ('failed', 'partial', 'anomaly') GROUP BY source")
+def error_sources(spark, sf):
+    return source_runs(spark, sf).where(run_log.has_error(F.col("status"))).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("jsonp_scan", "SELECT 'src' AS source, CAST(doc_id AS INTEGER) AS n, 't' || doc_id AS title, 'http://x/' || doc_id AS url FROM documents")
 def jsonp_scan(spark, sf):
     i = F.col("doc_id").cast("string")
     item = F.concat(F.lit("{'title':'t"), i, F.lit("','url':'http://x:80/"), i, F.lit("'}"))
     body = F.concat(F.lit("cb({'success':{'list':["), item, F.lit(",{'title':'','url':'y'}]}})"))
-    pages = read_table(spark, sf, "documents").where("doc_id % 2 = 0").select(F.lit("src").alias("source"), body.alias("body"))
+    pages = read_table(spark, sf, "documents").select(F.lit("src").alias("source"), body.alias("body"))
     return files.jsonp_rows(pages).select("source", F.substring("title", 2, 20).cast("int").alias("n"), "title", "url")
 
 
@@ -507,16 +542,25 @@ def html_links(spark, sf):
     return links.groupBy("page_id").agg(F.count("*").alias("links"), F.count_if("l.nav_wide").alias("nav_wide"), F.count_if("l.nav_narrow").alias("nav_narrow"), F.max("l.title").alias("last_title"))
 
 
-@query("list_page_wide")
+_LISTED_SQL = """WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+') AS site, regexp_extract_all(html, '<li><a href="([^"]*)">', 1) AS hrefs, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1) AS titles FROM pages),
+  l AS (SELECT page_id, site || unnest(hrefs) AS url, replace(unnest(titles), '&amp;', '&') AS title, unnest(range(len(hrefs))) AS pos FROM p) SELECT page_id, title, url FROM l WHERE length(title) >= {least} QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY pos) = 1"""
+
+
+def _list_pages(spark, sf):
+    """Pages whose navigation is a list of notices."""
+    return read_table(spark, sf, "pages").withColumn("html", F.replace(F.replace("html", F.lit("<nav>"), F.lit("<div class='list'>")), F.lit("</nav>"), F.lit("</div>")))
+
+
+@query("list_page_wide", _LISTED_SQL.format(least=6))
 def list_page_wide(spark, sf):
-    pages = read_table(spark, sf, "pages").withColumn("links", html.links_column()("html"))
-    return filters.link_rows(pages, "wide", [])
+    pages = _list_pages(spark, sf).withColumn("links", html.links_column(html.LIST_SELECTORS)("html"))
+    return filters.link_rows(pages, "wide", []).select("page_id", "title", "url")
 
 
-@query("list_page_narrow")
+@query("list_page_narrow", _LISTED_SQL.format(least=8))
 def list_page_narrow(spark, sf):
-    pages = read_table(spark, sf, "pages").withColumn("links", html.links_column()("html"))
-    return filters.link_rows(pages, "narrow", [])
+    pages = _list_pages(spark, sf).withColumn("links", html.links_column()("html"))
+    return filters.link_rows(pages, "narrow", []).select("page_id", "title", "url")
 
 
 @query("html_text")
@@ -540,7 +584,7 @@ def paged_scan_status(spark, sf):
     return scan.scan(pages, items)[1]
 
 
-@query("reply_parse")
+@query("reply_parse", "SELECT conv_id, turn, CASE WHEN k = 0 THEN true WHEN k = 1 THEN false END AS decision, CASE WHEN k < 2 THEN '' ELSE 'invalid_response' END AS error_kind, CASE WHEN k < 2 THEN '2026-08-31' ELSE '' END AS deadline_date FROM (SELECT conv_id, turn, (conv_id + turn) % 4 AS k FROM conversations)")
 def reply_parse(spark, sf):
     c = read_table(spark, sf, "conversations")
     i = F.col("conv_id") + F.col("turn")
@@ -550,7 +594,10 @@ def reply_parse(spark, sf):
     return rows.select("conv_id", "turn", "r.decision", "r.error_kind", "r.deadline_date")
 
 
-@query("decision_summary")
+_ASKED_SQL = "(length(title) + 1 + length(substr(coalesce(nullif(raw_content, ''), summary), 1, 4000))) % 3 = 0"
+
+
+@query("decision_summary", f"WITH {ARTICLES_SQL} SELECT count(*) FILTER (WHERE {_ASKED_SQL}) AS confirmed, count(*) FILTER (WHERE NOT {_ASKED_SQL}) AS rejected, CAST(0 AS BIGINT) AS pending FROM articles WHERE status = 'ai_pending'")
 def decision_summary(spark, sf):
     rows = articles(spark, sf).where("status = 'ai_pending'")
     return reply.decision_summary(reply.judge(rows, _stub_model, 2026, workers=2))
@@ -571,14 +618,15 @@ def monitor_screen(spark, sf):
     return monitor.screen(rows, ["规划", "竞赛"], [], today(), F.lit(_NOW).cast("timestamp_ntz")).select("id", "status")
 
 
-@query("delivery_results", f"WITH {ARTICLES_SQL}, b AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 10 AS batch_no FROM articles WHERE status = 'ready_to_push') SELECT id, batch_no, true AS success FROM b")
+@query("delivery_results", f"WITH {ARTICLES_SQL}, b AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 10 AS batch_no FROM articles WHERE status = 'ready_to_push') SELECT id, batch_no, count(*) OVER (PARTITION BY batch_no) = 10 AS success FROM b")
 def delivery_results(spark, sf):
     rows = articles(spark, sf).where("status = 'ready_to_push'").select("id", "title", "source", "summary", "url", F.lit("").alias("deadline_date"), F.lit("").alias("deadline_text"), F.array().cast("array<string>").alias("applicant_scope"))
-    return sinks.deliver(rows, _accept).select("id", "batch_no", "success")
+    return sinks.deliver(rows, _full_only, delay=0.0).select("id", "batch_no", "success")
 
 
-def _accept(content: str) -> None:
-    """A sender that takes everything."""
+def _full_only(content: str) -> str | None:
+    """A sender that takes only messages of ten notices."""
+    return None if content.count("📌 ") == 10 else "refused"
 
 
 @query("event_time_queue", f"WITH {NOTICES_SQL} SELECT id, CASE WHEN p <> '' THEN p ELSE s END AS event_date, CASE WHEN p <> '' THEN 'published_at' WHEN s <> '' THEN 'first_seen_at' ELSE 'unknown' END AS event_time_basis FROM (SELECT id, {_LENIENT.format(c='publish_date')} AS p, CASE WHEN id % 4 = 0 THEN '' ELSE strftime(created_at, '%Y-%m-%d') END AS s FROM notices)")
@@ -588,15 +636,18 @@ def event_time_queue(spark, sf):
     return monitor.event_time_queue(rows.select("id", "publish_date"), seen).select("id", "event_date", "event_time_basis")
 
 
-@query("detail_counts", f"WITH {RUNS_SQL}, d AS (SELECT source, count(*) FILTER (WHERE status = 'success') AS detail_success, count(*) FILTER (WHERE status <> 'success') AS detail_failed FROM runs WHERE source < 's3' GROUP BY source) SELECT r.source, coalesce(d.detail_success, 0) AS detail_success, coalesce(d.detail_failed, 0) AS detail_failed FROM (SELECT DISTINCT source FROM runs) r LEFT JOIN d ON d.source = r.source")
+@query("detail_counts", f"WITH {RUNS_SQL}, d AS (SELECT source, count(*) FILTER (WHERE status = 'success') AS detail_success, count(*) FILTER (WHERE status <> 'success') AS detail_failed FROM runs WHERE status <> 'empty' GROUP BY source) SELECT r.source, coalesce(d.detail_success, 0) AS detail_success, coalesce(d.detail_failed, 0) AS detail_failed FROM (SELECT DISTINCT source FROM runs) r LEFT JOIN d ON d.source = r.source")
 def detail_counts(spark, sf):
     runs = source_runs(spark, sf)
     good = F.col("status") == "success"
-    counts = runs.where("source < 's3'").groupBy("source").agg(F.count_if(good).alias("detail_success"), F.count_if(~good).alias("detail_failed"))
+    counts = runs.where("status <> 'empty'").groupBy("source").agg(F.count_if(good).alias("detail_success"), F.count_if(~good).alias("detail_failed"))
     return monitor.detail_counts(runs.select("source").distinct(), counts)
 
 
-@query("replay_predictions")
+_REPLAY_GATE_SQL = _GATE_SQL[: _GATE_SQL.index("year(coalesce")] + "2026, false) THEN 'stale_year'" + _GATE_SQL[_GATE_SQL.index("THEN 'stale_year'") + len("THEN 'stale_year'") :]
+
+
+@query("replay_predictions", f"WITH {NOTICES_SQL}, g AS (SELECT nullif({_REPLAY_GATE_SQL}, 'pass') AS gate, (length(title) + 1) % 3 = 0 AS hit FROM notices) SELECT gate, gate IS NULL AND hit AS predicted, count(*) AS n FROM g GROUP BY ALL")
 def replay_predictions(spark, sf):
     rows = notices(spark, sf).select("id", "title", "source", F.lit("2026-07-07").alias("event_date"))
     return monitor.replay(rows, _stub_model).groupBy("gate", "predicted").agg(F.count("*").alias("n"))

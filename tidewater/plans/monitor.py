@@ -6,7 +6,9 @@ that is broken off goes on from the status its rows have.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,12 +84,24 @@ def push(articles: DataFrame, extractions: DataFrame, sources: DataFrame, send:
 
 
 def replay(rows: DataFrame, model: Callable[[str], str], workers: int = 2) -> DataFrame:
-    """Evaluation rows (id, title, source, event_date, basis, weight, label) with the gate's and the model's prediction at event time, and metrics."""
+    """Evaluation rows (id, title, source, event_date and more) with the gate's and the model's prediction at event time.
+
+    `predicted_should_push` and `decision_stage` of the rows, where they have them,
+    are relabelled by the new decision.
+    """
     gate = filters.gate_reason(F.col("title"), F.col("source"), F.lit(None).cast("string"), F.current_date(), F.to_date("event_date"))
     gated = rows.withColumn("gate", gate)
     asked = gated.where("gate is null").select("id", "title", F.lit("").alias("raw_content"), F.lit("").alias("summary"))
     judged = reply.judge(asked, model, 2000, workers).select("id", "decision")
-    return gated.join(judged, "id", "left").withColumn("predicted", F.coalesce("decision", F.lit(False)))
+    out = gated.join(judged, "id", "left").withColumn("predicted", F.coalesce("decision", F.lit(False)))
+    stage = F.when(F.col("gate").isNotNull(), "keyword_negative").when(F.col("decision").isNull(), "unresolved").when(F.col("decision"), "ai_positive").otherwise("ai_negative")
+    fresh = {"decision_stage": stage, "predicted_should_push": F.when(F.col("predicted"), evaluate.YES).otherwise(evaluate.NO)}
+    return out.withColumns({c: v for c, v in fresh.items() if c in rows.columns})
+
+
+def replay_metrics(replayed: DataFrame) -> DataFrame:
+    """Metrics of replayed rows that have label (boolean), basis and weight."""
+    return evaluate.coverage(evaluate.metrics(replayed))
 
 
 def event_time_queue(review: DataFrame, first_seen: DataFrame) -> DataFrame:
@@ -108,3 +122,36 @@ def watchdog(schedule: DataFrame, runs: DataFrame, alerted: DataFrame, now: Colu
     missing = cut(health.missed_windows(schedule, runs, now, grace_minutes).select("key"))
     fresh = health.new_alerts(missing, alerted)
     return fresh, health.remembered_alerts(missing, alerted).unionByName(fresh)
+
+
+def read_alerted(path: str) -> list[str]:
+    """Keys of a watchdog's state file; a file that is missing or broken remembers nothing."""
+    try:
+        found = json.loads(Path(path).read_text(encoding="utf-8"))
+    except (OSError, ValueError):
+        return []
+    keys = found.get("alerted") if isinstance(found, dict) else None
+    return [k for k in keys if isinstance(k, str)] if isinstance(keys, list) else []
+
+
+def write_alerted(path: str, keys: list[str]) -> None:
+    """The state file, replaced as a whole."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    fresh = target.with_suffix(".new")
+    fresh.write_text(json.dumps({"alerted": sorted(keys)}), encoding="utf-8")
+    fresh.replace(target)
+
+
+def run_watchdog(schedule: DataFrame, runs: DataFrame, path: str, now: Column, send: Callable[[str], str | None], cut: Cut, check_only: bool = False) -> list[str]:
+    """Alert once for each schedule entry without a finished run; the keys missing now. `check_only` sends and remembers nothing."""
+    spark = schedule.sparkSession
+    alerted = spark.createDataFrame([(k,) for k in read_alerted(path)], "key string")
+    fresh, kept = watchdog(schedule, runs, alerted, now, cut)
+    missing = sorted(r.key for r in fresh.collect())  # a schedule has a handful of entries
+    if check_only:
+        return missing
+    if missing and send("; ".join(missing)) is not None:
+        kept = health.remembered_alerts(fresh.unionByName(kept).distinct(), alerted)  # not told, so not remembered
+    write_alerted(path, [r.key for r in kept.distinct().collect()])
+    return missing

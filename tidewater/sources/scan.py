@@ -7,7 +7,10 @@ where it stops, which rows are new, and the status of the source.
 
 from __future__ import annotations
 
+import hashlib
+import time
 from collections.abc import Callable, Iterator
+from urllib.parse import parse_qsl, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,9 +20,14 @@ from tidewater.functions.urls import page_url
 from tidewater.schemas import CRAWL_PAGE
 
 
+def _numbers(last):
+    """1 to `last`; nothing for less than 1, where a sequence would run backwards."""
+    return F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+
+
 def page_plan(sources: DataFrame) -> DataFrame:
     """Pages to fetch: source, page_num, url. `sources`: source, url_template, first_page_url, n_start, n_step, max_pages."""
-    pages = sources.withColumn("page_num", F.explode(F.sequence(F.lit(1), F.col("max_pages"))))
+    pages = sources.withColumn("page_num", F.explode(_numbers(F.col("max_pages"))))
     return pages.select("source", "page_num", page_url(F.col("url_template"), F.col("page_num"), F.col("first_page_url"), F.col("n_start"), F.col("n_step")).alias("url"))
 
 
@@ -56,7 +64,7 @@ def search_status(results: DataFrame) -> DataFrame:
 def search_plan(queries: DataFrame, pages: int, year: int) -> DataFrame:
     """Queries by pages; {year} in a query is filled in."""
     text = F.replace(F.col("query"), F.lit("{year}"), F.lit(str(year)))
-    return queries.withColumn("query", text).withColumn("page_num", F.explode(F.sequence(F.lit(1), F.lit(pages))))
+    return queries.withColumn("query", text).withColumn("page_num", F.explode(_numbers(F.lit(pages))))
 
 
 def topic_aliases(accounts: DataFrame) -> DataFrame:
@@ -72,7 +80,7 @@ class _Page(InputPartition):
         self.source, self.page_num, self.url = source, page_num, url
 
 
-def fetch_with_retries(get: Callable[[str], tuple[int, str, float | None]], url: str, times: int = 3, delay: float = 2.0, sleep: Callable[[float], None] = lambda s: None) -> tuple[str | None, str | None]:
+def fetch_with_retries(get: Callable[[str], tuple[int, str, float | None]], url: str, times: int = 3, delay: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> tuple[str | None, str | None]:
     """(body, error) of a GET; 429, 5xx and connection errors are tried again.
 
     `get` returns status, body and the Retry-After seconds if sent, or raises
@@ -99,6 +107,49 @@ def fetch_with_retries(get: Callable[[str], tuple[int, str, float | None]], url:
     return None, error
 
 
+def signed_request(url: str, fixed: dict[str, str], secret: str, timestamp: int) -> tuple[str, dict[str, str], dict[str, str]]:
+    """(URL without its query, parameters, signing headers) of a request that is signed by its parameters.
+
+    The query's parameters win over `fixed` ones; the signature is the md5 of the
+    sorted non-blank parameters, the time in milliseconds and the secret.
+    """
+    split = urlsplit(url)
+    parameters = fixed | dict(reversed(parse_qsl(split.query)))
+    text = "&".join(f"{k}={v}" for k, v in sorted(parameters.items()) if v.strip())
+    sign = hashlib.md5(f"{text}{timestamp}{secret}".encode()).hexdigest()
+    return f"{split.scheme}://{split.netloc}{split.path}", parameters, {"sign": sign, "signTimeStamp": str(timestamp)}
+
+
+def signed_fetcher(get: Callable[[str, dict, dict], tuple[int, str, float | None]], fixed: dict[str, str], secret: str, times: int = 3, delay: float = 2.0, clock: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep):
+    """A fetcher (url -> body, error) of signed requests; each try has a time and a signature of its own."""
+
+    def once(url: str) -> tuple[int, str, float | None]:
+        try:
+            return get(*signed_request(url, fixed, secret, int(clock() * 1000)))
+        except Exception as e:  # every failure is tried again here
+            raise ConnectionError(str(e)) from e
+
+    return lambda url: fetch_with_retries(once, url, times, delay, sleep)
+
+
+def run_sources(plans: dict[str, Callable[[], tuple[DataFrame, DataFrame]]], spark: SparkSession, clock: Callable[[], float] = time.monotonic) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Scan each source (name -> function giving its rows and its status row); one that raises fails alone.
+
+    Gives the rows of each source, and source, status, articles, seconds, error of all.
+    """
+    rows, states = {}, []
+    for name, plan in plans.items():
+        began = clock()
+        try:
+            found, state = plan()
+            first = state.first()
+            rows[name] = found
+            states.append((name, first["status"] if first else "empty", int(first["articles"]) if first else 0, clock() - began, None))
+        except Exception as e:  # whatever a source does, the others go on
+            states.append((name, "failed", 0, clock() - began, f"{type(e).__name__}: {e}"[:500]))
+    return rows, spark.createDataFrame(states, "source string, status string, articles long, seconds double, error string")
+
+
 class PageSource(DataSource):
     """Pages of a plan through an injected fetcher, a partition per page; errors are rows, never failures.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import hmac
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,7 +20,7 @@ def signature(timestamp: str, secret: str) -> str:
     return base64.b64encode(hmac.new(f"{timestamp}\n{secret}".encode(), b"", hashlib.sha256).digest()).decode()
 
 
-def send_with_retry(send: Callable[[str], str | None], content: str, times: int = 3, sleep: Callable[[float], None] = lambda s: None, delay: float = 2.0) -> str | None:
+def send_with_retry(send: Callable[[str], str | None], content: str, times: int = 3, sleep: Callable[[float], None] = time.sleep, delay: float = 2.0) -> str | None:
     """Error of the last try, or null; `send` returns an error or null, or raises."""
     error: str | None = "not sent"
     for attempt in range(times):
@@ -34,7 +35,30 @@ def send_with_retry(send: Callable[[str], str | None], content: str, times: int
     return error
 
 
-def deliver(rows: DataFrame, send: Callable[[str], str | None], size: int = 10) -> DataFrame:
+def alert_text(message: str) -> str:
+    """What an alert says (its first line is fixed)."""
+    return f"⚠️ 报奖监测告警\n{message}"
+
+
+def alert(message: str, send: Callable[[str], str | None], sleep: Callable[[float], None] = time.sleep) -> str | None:
+    """Send an alert; the error of the last try, or null."""
+    return send_with_retry(send, alert_text(message), sleep=sleep)
+
+
+def payload(content: str, timestamp: str | None = None, secret: str | None = None) -> dict:
+    """A webhook's message, signed where there is a secret."""
+    body = {"msg_type": "text", "content": {"text": content}}
+    return body | {"timestamp": timestamp, "sign": signature(timestamp, secret)} if secret else body
+
+
+def answer_error(answer: dict) -> str | None:
+    """What a webhook's answer complains of; null for success."""
+    if answer.get("StatusCode") == 0 or answer.get("code") == 0:
+        return None
+    return str(answer.get("msg", answer.get("StatusMessage", "unknown error")))
+
+
+def deliver(rows: DataFrame, send: Callable[[str], str | None], size: int = 10, delay: float = 2.0) -> DataFrame:
     """Send notices in batches of `size`: id, batch_no, success, error; each batch succeeds or fails alone.
 
     A lost executor repeats its batches: a sender that must not repeat itself
@@ -44,7 +68,7 @@ def deliver(rows: DataFrame, send: Callable[[str], str | None], size: int = 10)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            errors = [send_with_retry(send, c) for c in frame["content"]]
+            errors = [send_with_retry(send, c, delay=delay) for c in frame["content"]]
             yield pd.DataFrame({"batch_no": frame["batch_no"], "success": [e is None for e in errors], "error": errors})
 
     sent = render(numbered).select("batch_no", "content").mapInPandas(run, "batch_no long, success boolean, error string")
@@ -56,11 +80,14 @@ def text_digest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("batch_no").agg(F.concat_ws("\n\n", F.transform(F.array_sort(F.collect_list(F.struct("id", F.concat_ws("\n", "title", "url").alias("t")))), lambda s: s["t"])).alias("content"))
 
 
-def report(metrics: dict, intervals: dict[str, tuple] | None = None) -> str:
-    """Markdown of one row of metrics, with intervals where given."""
+def report(metrics: dict, intervals: dict[str, tuple] | None = None, wrong: list[dict] = ()) -> str:
+    """Markdown of one row of metrics, with intervals where given, and of the rows predicted wrongly (id, title, error)."""
     shown = lambda v: "-" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
     lines = ["# Evaluation", "", "| measure | value | 95 % interval |", "| --- | --- | --- |"]
     for name, value in metrics.items():
         low, high = (intervals or {}).get(name, (None, None))
         lines.append(f"| {name} | {shown(value)} | {f'{shown(low)} to {shown(high)}' if low is not None else ''} |")
+    for kind in ("false_positive", "false_negative"):
+        rows = [r for r in wrong if r["error"] == kind]
+        lines += ["", f"## {kind.replace('_', ' ')}s: {len(rows)}", *[f"- {r['id']}: {r.get('title', '')}" for r in rows]]
     return "\n".join(lines) + "\n"
