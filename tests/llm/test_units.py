@@ -1,6 +1,7 @@
 """Parts of the operators against plain versions."""
 
 import itertools
+import math
 import random
 from collections import Counter
 
@@ -432,3 +433,34 @@ def test_field_adds_what_the_rules_drop():
 def test_overlaps_by_search(spans, a, n):
     spans = [(s, s + k) for s, k in spans]
     assert pii_skipcrf.Spans(spans).overlap(a, a + n) == any(s < a + n and e > a for s, e in spans)
+
+
+def test_brown_scores_against_plain_loops(spark):
+    """Transitions and emissions counted in dictionaries, given the classes."""
+    rnd = random.Random(2)
+    nouns, verbs = [f"n{i}" for i in range(9)], [f"v{i}" for i in range(9)]
+    say = lambda: " ".join(w for _ in range(rnd.randrange(1, 6)) for w in ("the", rnd.choice(nouns), rnd.choice(verbs)))
+    texts = [say() for _ in range(60)] + ["the odd one", None, ""]
+    docs = spark.createDataFrame([(i, i % 3 == 0, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string").repartition(3)
+    model, classes = brown_lm.train(docs.where("not held_out"), table_words=5)
+    made = brown_lm.chains(docs, model, classes)
+    got = {r.doc_id: r for r in brown_lm.score(made, brown_lm.transitions(made.where("not held_out"), model.rare + 2)).collect()}
+    known = {r.word: (r.n, r.cls) for r in classes.collect()}
+    rare, end = model.rare, model.rare + 1
+    chain = lambda t: [end, *[known.get(w, (0, rare))[1] for w in (t or "").split()], end]
+    pairs = Counter(p for i, t in enumerate(texts) if i % 3 for p in zip(chain(t), chain(t)[1:]))
+    total = Counter()
+    for (a, _), n in pairs.items():
+        total[a] += n
+    own = Counter()
+    for n, c in known.values():
+        own[c] += n
+    types = sum(c == rare for _, c in known.values())
+    for i, t in enumerate(texts):
+        want = sum(math.log10((pairs[p] + 0.5) / (total[p[0]] + 0.5 * (rare + 2))) for p in zip(chain(t), chain(t)[1:]))
+        for w in (t or "").split():
+            n, c = known.get(w, (0, rare))
+            want += math.log10((n + 1) / (own[rare] + types + 1)) if c == rare else math.log10(n / own[c])
+        assert got[i].score == pytest.approx(want), t
+    held = [got[i] for i in range(0, 60, 3)]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)

@@ -18,11 +18,15 @@ vocabulary, which may be of any size and is never collected.
 
 Defined results: null text is an empty text, which consists of the end token;
 identical rows are scored separately and alike; without training texts every
-token has base probability 1 / (0 + 1 * (0 + 1)); extra columns are ignored.
+token has base probability 1 / (0 + 1 * (0 + 1)); an empty table stays empty; words
+of equal counts are clustered in code point order, a word that several classes
+suit as well goes to the first; very long texts are a slice of their own; columns
+beside doc_id, held_out and text are handed on by `chains` and `score`, or ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from dataclasses import dataclass
 
@@ -39,7 +43,7 @@ CLASSES = 40
 PASSES = 4
 #: Words seen less often have no class of their own; they stand for unseen words.
 CLASS_COUNT = 2
-#: Words whose counts the scoring workers hold; the rest is joined.
+#: Words whose counts the scoring workers hold, at most; the rest is joined.
 TABLE_WORDS = 250_000
 #: Distinct words a counting worker holds before it hands partial sums on.
 COUNTER_WORDS = 400_000
@@ -318,7 +322,11 @@ def train(docs: DataFrame, cluster_words: int = CLUSTER_WORDS, table_words: int
     class_words, class_types = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
     for c, tokens_, types in classes.groupBy("cls").agg(F.sum("n"), F.count("*")).collect():
         class_words[c], class_types[c] = tokens_, types
-    top = classes.orderBy(F.desc("n"), "word").limit(table_words).toArrow()
+    # the commonest words by steps of their counts, so that no task has to sort them
+    step = F.floor(16 * F.log2("n")).cast("int")
+    sizes = sorted(((k, n) for k, n in classes.groupBy(step.alias("k")).count().collect()), reverse=True)  # some hundred rows at most
+    within = [k for (k, _), held in zip(sizes, itertools.accumulate(n for _, n in sizes)) if held <= table_words]
+    top = classes.where(step >= min(within) if within else F.lit(False)).toArrow()
     table = dict(zip(top.column("word").to_pylist(), zip(top.column("n").to_pylist(), top.column("cls").to_pylist())))
     return BrownModel(table, class_words, n + texts, v + (texts > 0), texts, int(class_words[size - 2]), int(class_types[size - 2])), classes
 

@@ -7,16 +7,13 @@ bounded number of characters.
 
 from __future__ import annotations
 
-import atexit
-import gc
 import re
-import tempfile
-import uuid
-from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewater.storage import cut, release, scratch, shared_dir  # noqa: F401  handed on to the operators
+
 #: The white space that separates words (space, tab to carriage return).
 SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -28,8 +25,6 @@ SLICE_CHARS = 1_500_000
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _WORD = re.compile("[^\x20\x09-\x0D]+")
 
-_cleanup: set[str] = set()
-
 
 def split_words(text: str | None) -> list[str]:
     """Words of a text in Python, the same as `words_column` gives."""
@@ -59,82 +54,6 @@ def draw_limit(rows: int, sample: int) -> int:
     return min(2**64, (2**64 * (sample * 6 // 5 + 20)) // rows) - 2**63 - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    `spark.checkpoint.dir` where the cluster sets it; otherwise (tests on one
-    machine) a temporary folder that is set for the session.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="tidewater-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def cut(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it back.
-
-    Later stages start from files that every executor can read, so a lost
-    executor costs a re-read and not the whole lineage.
-    The files of an application are removed when its driver ends.
-    """
-    spark = df.sparkSession
-    base = f"{shared_dir(spark)}/tidewater-{spark.sparkContext.applicationId}"
-    if base not in _cleanup:
-        _cleanup.add(base)
-        atexit.register(_remove, spark, base)
-    path = f"{base}/{uuid.uuid4().hex}"
-    release(spark)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    if _scratch:
-        _scratch[-1].append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tidewater_path = path
-    return out
-
-
-_scratch: list[list[str]] = []
-
-
-@contextmanager
-def scratch(spark: SparkSession):
-    """Cuts made inside are deleted at the end, but for those handed to the function that this yields."""
-    paths: list[str] = []
-
-    def keep(df: DataFrame) -> DataFrame:
-        paths.remove(df._tidewater_path)
-        if len(_scratch) > 1:  # then it is the outer scratch's to delete
-            _scratch[-2].append(df._tidewater_path)
-        return df
-
-    _scratch.append(paths)
-    try:
-        yield keep
-    finally:
-        _scratch.pop()
-        for path in paths:
-            _remove(spark, path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished stages: they are out of reach, but only a collection tells."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        context = spark.sparkContext
-        if context._jsc is None:
-            return
-        target = context._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the gateway may be gone at exit; the cluster's own cleanup takes over
-        pass
-
-
 def slices(batches, text_index: int, limit: int = SLICE_CHARS):
     """Cut Arrow record batches into runs of rows with about `limit` bytes of text.
 

@@ -12,10 +12,14 @@ then joins of (document, block) pieces with slots. No text is shuffled.
 
 Ranks and offsets are prefix sums over many small groups (slot chunks, hash
 buckets), so a source that holds a third of all rows is spread like any other.
+Tables of one row for each source are sorted as a whole; whether a join with them
+is a broadcast is left to the optimiser, which looks at their size.
 
 Defined results: null or blank text has size 0 and takes nothing; a null source
 is a source of its own, ordered last; identical rows are separate documents;
-an empty table gives an empty mix; other columns of the input are ignored.
+an empty table gives an empty mix; rows of equal hash go by id and size; a very
+long text is as many pieces as blocks it reaches into; other columns of the input
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -89,13 +93,13 @@ def schedule(spark: SparkSession, sources: DataFrame, n_slots: int) -> DataFrame
     """
     slots = cut(_slots(spark, sources, n_slots))
     won = slots.groupBy("sidx").agg(F.count("*").alias("won"))
-    plan = sources.where("words > 0").join(F.broadcast(won), "sidx", "left").withColumn("won", F.coalesce("won", F.lit(0)))
+    plan = sources.where("words > 0").join(won, "sidx", "left").withColumn("won", F.coalesce("won", F.lit(0)))
     plan = plan.withColumn("block_words", F.expr("greatest(1, (words + greatest(won, 1) - 1) div greatest(won, 1))"))
     plan = plan.withColumn("n_blocks", F.expr("(source_size + block_words - 1) div block_words"))
     needed = F.expr("words div source_size * n_blocks + (words % source_size + block_words - 1) div block_words")
     plan = plan.withColumn("needed", needed)
     late = plan.where("needed > won").select(F.lit(n_slots).cast("long").alias("slot"), "sidx", F.explode(F.sequence(F.col("won").cast("long"), F.col("needed") - 1)).alias("rank"))
-    used = slots.unionByName(late).join(F.broadcast(plan), "sidx").where("rank < needed")
+    used = slots.unionByName(late).join(plan, "sidx").where("rank < needed")
     used = used.select("slot", "sidx", F.expr("rank div n_blocks").alias("round"), F.expr("rank % n_blocks").alias("block"), "block_words", "source_size", "words")
     start = F.col("round") * F.col("source_size") + F.col("block") * F.col("block_words")
     whole = F.least("block_words", F.col("source_size") - F.col("block") * F.col("block_words"))
@@ -106,7 +110,7 @@ def place(sizes: DataFrame, sources: DataFrame, n_docs: int, seed: int = 7) -> D
     """Each document's start in its source's shuffled stream: adds sidx, bucket, nth, start."""
     buckets = max(64, min(65536, n_docs // 512))
     order = F.xxhash64(F.lit(seed), "doc_id")
-    rows = sizes.join(F.broadcast(sources.select("sidx", F.col("source").alias("__source"))), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    rows = sizes.join(sources.select("sidx", F.col("source").alias("__source")), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     rows = rows.withColumn("order", order).withColumn("bucket", F.pmod("order", F.lit(buckets)))
     ahead = Window.partitionBy("sidx").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("sidx", "bucket").agg(F.sum("size").alias("n")).select("sidx", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
@@ -133,7 +137,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0,
     placed = place(sizes, sources, sizes.count())
     slots = schedule(spark, sources, n_slots)
     blocks = slots.select("sidx", "block_words").distinct()
-    pieces = placed.join(F.broadcast(blocks), "sidx", "left")
+    pieces = placed.join(blocks, "sidx", "left")
     touched = F.when((F.col("size") > 0) & F.col("block_words").isNotNull(), F.sequence(F.expr("start div block_words"), F.expr("(start + size - 1) div block_words")))
     pieces = pieces.withColumn("block", F.explode_outer(touched))
     slots = slots.select(F.col("sidx").alias("s"), F.col("block").alias("b"), "round", "length", (F.col("block") * F.col("block_words")).alias("from"))
@@ -146,7 +150,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0,
     taken = per_round.groupBy(*key).agg(
         F.sort_array(F.collect_list(F.when(F.col("part") > 0, F.struct("round", F.col("part").alias("words"))))).alias("rounds"), F.sum("part").alias("taken")
     )
-    return taken.join(F.broadcast(sources), "sidx").select("doc_id", "source", "size", "source_size", "target", "rounds", "taken")
+    return taken.join(sources, "sidx").select("doc_id", "source", "size", "source_size", "target", "rounds", "taken")
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
