@@ -318,6 +318,9 @@ def test_unseen_forms_lean_to_the_class_that_spells_so():
     model = toxicity_kn.fit(toxic + plain, [1] * 15 + [0] * 15, [i % 2 for i in range(30)])
     s = model.scores(["a grublovar here", "a house there", "", None], model.lookup())
     assert s[0] > s[1] and s[2] == s[3]
+    again = toxicity_kn.ToxicityModel.load(model.dump())
+    assert again.index == model.index and np.array_equal(again.language.keys, model.language.keys)
+    assert np.allclose(again.scores(["a grublovar here", "the cold day"], again.lookup()), model.scores(["a grublovar here", "the cold day"], model.lookup()), atol=1e-3)
     assert toxicity_kn.fit(plain, [0] * 15, [0] * 15).language is None
 
 

@@ -33,8 +33,9 @@ untouched, an empty table stays empty.
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -170,11 +171,13 @@ class KneserNey:
     """Two class models over the words of the sample (word ids; one more for all others)."""
 
     spelling: Spelling
-    word: np.ndarray  # p [class, word]
     spare: np.ndarray  # [class]: what a unit of the tilted shared counts gets
-    keys: np.ndarray  # sorted history * size + word
-    pair: np.ndarray  # p [class, key] of discounted counts
-    left: np.ndarray  # [class, history]
+    single: np.ndarray  # log p(word, toxic) - log p(word, ordinary)
+    keys: np.ndarray  # sorted history * size + word; the last history stands before a text
+    paired: np.ndarray  # the difference of a key's word after its history
+    word: np.ndarray | None  # p [class, word]
+    pair: np.ndarray | None  # p [class, key] of discounted counts
+    left: np.ndarray | None  # [class, history]
 
     @staticmethod
     def fit(texts: list[list[np.ndarray]], words: list[str]) -> "KneserNey":
@@ -209,11 +212,21 @@ class KneserNey:
             history = keys // size
             pair[c] = kept(times[c]) / np.maximum(np.bincount(history, weights=times[c], minlength=size), 1)[history]
             left[c] = np.maximum(1 - np.bincount(history, weights=pair[c], minlength=size), 1e-3)
-        return KneserNey(spelling, word, spare, keys, pair.astype(np.float32), left)
-
-    def single(self) -> np.ndarray:
-        """log p(word, toxic) - log p(word, ordinary) of the sample's words."""
-        return np.log(self.word[1]) - np.log(self.word[0])
+        single = np.log(word[1]) - np.log(word[0])
+        for i, w in enumerate(words):
+            if not w:  # marks alone say nothing
+                single[i] = 0.0
+        history, second = keys // size, keys % size
+        p = [pair[c] + left[c][history] * word[c][second] for c in (0, 1)]
+        paired = np.clip(np.log(p[1] / p[0]), single[second] - PAIR, single[second] + PAIR)
+        return KneserNey(spelling, spare, single.astype(np.float32), keys, paired.astype(np.float32), word, pair, left)
+
+    def packed(self) -> "KneserNey":
+        """What scoring needs; the keys as the steps between them."""
+        return replace(self, keys=np.diff(self.keys, prepend=0).astype(np.uint64), paired=self.paired.astype(np.float16), word=None, pair=None, left=None)
+
+    def unpacked(self) -> "KneserNey":
+        return replace(self, keys=np.cumsum(self.keys).astype(np.int64), paired=self.paired.astype(np.float32))
 
     def unknown(self, words: list[str]) -> np.ndarray:
         """The same of words outside the sample: what spelling and the shared mass say."""
@@ -228,13 +241,12 @@ class KneserNey:
         out = single.copy()
         if len(ids) < 2:
             return out
-        size = self.left.shape[1]
+        size = len(self.single) + 1
         at, hit = _find(self.keys, ids[:-1] * size + ids[1:])
         inside = np.ones(len(ids), dtype=bool)
         inside[first] = False
         where = np.flatnonzero(hit & inside[1:] & (ids[:-1] < size - 1) & (ids[1:] < size - 1))
-        p = [self.pair[c][at[where]] + self.left[c][ids[where]] * self.word[c][ids[where + 1]] for c in (0, 1)]
-        out[where + 1] = np.clip(np.log(p[1] / p[0]), single[where + 1] - PAIR, single[where + 1] + PAIR)
+        out[where + 1] = self.paired[at[where]]
         return out
 
 
@@ -277,6 +289,15 @@ class ToxicityModel:
     weights: np.ndarray | None
     index: dict[str, int] = field(default_factory=dict)
 
+    def dump(self) -> bytes:
+        """The model as bytes: half as many as its arrays, as it goes through the driver to every worker."""
+        return zlib.compress(pickle.dumps((self.language.packed(), self.weights, "\n".join(self.index), list(self.index.values())[:1] + np.diff(list(self.index.values())).tolist())), 6)
+
+    @staticmethod
+    def load(data: bytes) -> "ToxicityModel":
+        language, weights, words, steps = pickle.loads(zlib.decompress(data))
+        return ToxicityModel(language.unpacked(), weights, dict(zip(words.split("\n"), np.cumsum(steps).tolist())) if steps else {})
+
     def lookup(self) -> "WordCache":
         return WordCache(self)
 
@@ -296,7 +317,7 @@ class WordCache:
     """Ids and differences of words as they stand in texts, behind a bounded cache."""
 
     def __init__(self, model: ToxicityModel):
-        self.model, self.single = model, model.language.single()
+        self.model, self.single = model, model.language.single.astype(float)
         self.known: dict[str, int] = {}
         self.ids, self.values = np.zeros(CACHE_WORDS + 1, np.int64), np.zeros(CACHE_WORDS + 1)
 
@@ -330,17 +351,10 @@ def fit(texts: list[str], toxic: list[int], half: list[int]) -> ToxicityModel:
     index: dict[str, int] = {}
     ids = [np.fromiter((index.setdefault(normalise(w), len(index)) for w in split_words(t)), np.int64) for t in texts]
     words = list(index)
-    blank = index.get("")
 
     def language(rows) -> KneserNey:
         return KneserNey.fit([[ids[i] for i in rows if y[i] == c] for c in (0, 1)], words)
 
-    def single(model: KneserNey) -> np.ndarray:
-        out = model.single()
-        if blank is not None:  # marks alone say nothing
-            out[blank] = 0.0
-        return out
-
     x = np.zeros((len(y), 3 + len(WINDOWS)))
     for h in (0, 1):
         rows = np.flatnonzero(half == h)
@@ -349,14 +363,14 @@ def fit(texts: list[str], toxic: list[int], half: list[int]) -> ToxicityModel:
             lengths = np.array([len(ids[i]) for i in rows])
             flat = np.concatenate([ids[i] for i in rows])
             first = np.concatenate([[0], np.cumsum(lengths)[:-1]])[lengths > 0]
-            x[rows] = _features(model.differences(flat, single(model)[flat], first), lengths)
+            x[rows] = _features(model.differences(flat, model.single.astype(float)[flat], first), lengths)
     index.pop("", None)
     return ToxicityModel(language(np.arange(len(y))), _logistic(x, y), index)
 
 
 @dataclass
 class FittedModel:
-    """A pickled ToxicityModel; nothing if a class had no labelled text."""
+    """A dumped ToxicityModel; nothing if a class had no labelled text."""
 
     data: bytes
 
@@ -381,7 +395,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PE
         drawn = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["draw"], r["doc_id"]))
         drawn = [r for c in (0, 1) for r in [r for r in drawn if r["toxic"] == c][:sample_per_class]]
         model = fit([r["text"] for r in drawn], [r["toxic"] for r in drawn], [r["half"] for r in drawn])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model) if model.language else b""], pa.binary())], names=["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([model.dump() if model.language else b""], pa.binary())], names=["model"])
 
     # the sample is bounded, so one task learns from it, and the driver only hands the model on
     return FittedModel(b"".join(bytes(r[0]) for r in rows.coalesce(1).mapInArrow(train, "model binary").collect()))
@@ -395,7 +409,7 @@ def score_column(spark: SparkSession, model: FittedModel, text: str = "text") ->
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = pickle.loads(shared.value)
+        own = ToxicityModel.load(shared.value)
         lookup = own.lookup()
         for batch in batches:
             texts = batch.tolist()
