@@ -56,19 +56,28 @@ def keep_disjunctive(df: DataFrame, cut: Callable[[DataFrame], DataFrame], days:
     with it, and kept once all its earlier neighbours are dropped; rounds decide
     all rows that can be decided. Running maxima tell each row the last kept and
     the last undecided neighbour before it, so conflicts are never paired: a key
-    with n rows costs a sort, not n squared links. `cut` writes each round.
+    with n rows costs a sort, not n squared links. The maxima run over a key's
+    slices of `days` and take the slice before as two maxima more, so a key of
+    very many rows (a title that is blank) is as many tasks as its slices. There
+    are as many rounds as the longest chain of conflicts that alternates between
+    dropped and kept rows, two for each `days` of time and chain at most. `cut`
+    writes each round.
     """
     url = F.when(F.col("canonical_url") == "", F.concat(F.lit("id:"), F.col("id").cast("string"))).otherwise(F.col("canonical_url"))
     rows = df.select("id", "created_at", url.alias("__u"), "normalized_title", "source")
-    rows = cut(rows.withColumn("kept", F.lit(None).cast("boolean")))
+    rows = cut(rows.withColumn("__slice", F.floor(F.datediff("created_at", F.lit("1970-01-01")) / days)).withColumn("kept", F.lit(None).cast("boolean")))
+    states = {"conflict": F.col("kept"), "waiting": F.col("kept").isNull()}
+    since = F.col("created_at") - F.expr(f"interval {days} days")
     while not rows.where("kept is null").isEmpty():
-        since = F.col("created_at") - F.expr(f"interval {days} days")
-        conflict, waiting = F.lit(False), F.lit(False)
-        for keys in (["__u"], ["normalized_title", "source"]):
-            before = Window.partitionBy(*keys).orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, -1)
-            last = lambda state: F.max(F.when(state, F.col("created_at"))).over(before)  # noqa: E731, B023
-            conflict = conflict | F.coalesce(last(F.col("kept")) >= since, F.lit(False))
-            waiting = waiting | F.coalesce(last(F.col("kept").isNull()) >= since, F.lit(False))
-        verdict = F.when(F.col("kept").isNotNull(), F.col("kept")).when(conflict, F.lit(False)).when(~waiting, F.lit(True))
-        rows = cut(rows.withColumn("kept", verdict))
+        seen = rows
+        for n, keys in enumerate((["__u"], ["normalized_title", "source"])):
+            # a row meets those of its own slice and of the one before
+            ended = rows.groupBy(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], (F.col("__slice") + 1).alias("__next")).agg(*[F.max(F.when(s, F.col("created_at"))).alias(f"__{name}") for name, s in states.items()])
+            same = (F.col("__slice") == F.col("__next")) & F.expr(" and ".join(f"{k} <=> __{i}" for i, k in enumerate(keys)))
+            before = Window.partitionBy(*keys, "__slice").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, -1)
+            running = seen.withColumns({f"{name}{n}": F.max(F.when(s, F.col("created_at"))).over(before) for name, s in states.items()})
+            joined = running.join(ended, same, "left")
+            seen = joined.withColumns({f"{name}{n}": F.coalesce(F.greatest(f"{name}{n}", f"__{name}") >= since, F.lit(False)) for name in states}).drop("__0", "__1", "__next", *[f"__{name}" for name in states])
+        verdict = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.expr("conflict0 or conflict1"), F.lit(False)).when(F.expr("not waiting0 and not waiting1"), F.lit(True))
+        rows = cut(seen.withColumn("kept", verdict).select(rows.columns))
     return df.join(rows.select("id", "kept"), "id", "left")

@@ -76,13 +76,14 @@ def completeness(award: Column, deadline_date: Column, deadline_text: Column, sc
     return score + F.floor(F.least(length, F.lit(5000)) / 100).cast("int")
 
 
-RANKING = ("priority", "completeness", "publish_date", "id")
+def _rank() -> Column:
+    """What orders reports of an event: authority, completeness, date, id, the largest first."""
+    return F.struct(F.col("priority"), F.col("completeness"), F.coalesce("publish_date", F.lit("")).alias("d"), F.col("id"))
 
 
 def winners(rows: DataFrame) -> DataFrame:
-    """Adds `rank` in each event: authority, completeness, date, id, all descending."""
-    order = [F.coalesce(F.col(c), F.lit("")).desc() if c == "publish_date" else F.col(c).desc() for c in RANKING]
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("event_key").orderBy(*order)))
+    """The best report of each event: event_key, id. A maximum needs no sort, and is summed up before the shuffle."""
+    return rows.groupBy("event_key").agg(F.max(_rank())["id"].alias("id"))
 
 
 def merge(rows: DataFrame, now: Column, delay_hours: int = 24) -> DataFrame:
@@ -91,14 +92,14 @@ def merge(rows: DataFrame, now: Column, delay_hours: int = 24) -> DataFrame:
     `rows`: id, event_key, status, tier, priority, completeness, publish_date,
     created_at. Adds `action`: push, wait (an aggregator that isn't due),
     supersede, take_over (a pushed report whose source a better pending report
-    replaces), none; and `better_id`, the report that takes over.
+    replaces), none; and `better_id`, the report that takes over. The best report
+    of an event, and the best pushed one, are maxima that are joined back, so an
+    event of very many reports is in no single task.
     """
     pushed = F.col("status") == "pushed"
-    event = Window.partitionBy("event_key")
-    # one struct orders reports, so the best overall and the best pushed are two maxima of one window
-    rank = F.struct(F.col("priority"), F.col("completeness"), F.coalesce("publish_date", F.lit("")).alias("d"), F.col("id"))
-    best = F.max(rank).over(event)["id"]
-    best_pushed = F.max(F.when(pushed, rank)).over(event)["id"]
+    top = rows.groupBy(F.col("event_key").alias("__key")).agg(F.max(_rank())["id"].alias("__best"), F.max(F.when(pushed, _rank()))["id"].alias("__pushed"))
+    rows = rows.join(top, F.col("event_key").eqNullSafe(F.col("__key")))
+    best, best_pushed = F.col("__best"), F.col("__pushed")
     action = (
         F.when(pushed & (F.col("id") == best_pushed) & (best != best_pushed), "take_over")
         .when(pushed, "none")
@@ -107,4 +108,4 @@ def merge(rows: DataFrame, now: Column, delay_hours: int = 24) -> DataFrame:
         .otherwise("push")
     )
     better = F.when(F.col("action") == "take_over", F.col("__best"))
-    return rows.withColumn("__best", best).withColumn("action", action).withColumn("better_id", better).drop("__best")
+    return rows.withColumn("action", action).withColumn("better_id", better).drop("__best", "__pushed", "__key")

@@ -230,7 +230,7 @@ def _ranked(spark, sf):
 
 @query("event_winner", f"WITH {_RANKED_SQL} SELECT event_key, id FROM r QUALIFY row_number() OVER (PARTITION BY event_key ORDER BY priority DESC, completeness DESC, publish_date DESC, id DESC) = 1")
 def event_winner(spark, sf):
-    return events.winners(_ranked(spark, sf)).where("rank = 1").select("event_key", "id")
+    return events.winners(_ranked(spark, sf))
 
 
 _NOW = "2026-07-31 09:59:00"
