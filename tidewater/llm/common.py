@@ -74,6 +74,26 @@ def slices(batches, text_index: int, limit: int = SLICE_CHARS):
                 yield batch.slice(a, b - a)
 
 
+def text_slices(column, limit: int = SLICE_CHARS):
+    """An Arrow string column as lists of texts of about `limit` bytes, so few are Python strings at a time."""
+    import pyarrow as pa
+
+    for batch in slices([pa.RecordBatch.from_arrays([column], names=["text"])], 0, limit):
+        yield batch.column(0).to_pylist()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers are used again by the steps that follow."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def runs(texts: list, limit: int = SLICE_CHARS):
     """Cut a list of texts into (start, texts) runs of about `limit` characters."""
     start = held = 0

@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import cut, scratch, slices
+from tidewater.llm.common import cut, scratch, slices, trim
 from tidewater.llm.components import components
 from tidewater.llm.shingles import column_shingles, mix
 
@@ -59,7 +59,7 @@ FILTERS = ORDERS[1:]
 SMALL_GROUP, FAMILY_GROUP = 16, 32
 #: A token is common if tasks report it so often.
 COMMON = 32
-COUNT_TOKENS = 6_000_000
+COUNT_TOKENS = 2_000_000
 #: Sets are held in bitmaps of this many bits; sharing a bit changes an order or fetches a set too many, not the result.
 BITS = 1 << 25
 #: About so many sets of a family make its pivots, in every salt of so many members.
@@ -181,6 +181,8 @@ def _measure(docs: DataFrame) -> DataFrame:
                 held, n_held = [], 0
         if held:
             yield counted()
+        held = []
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     return rows.mapInArrow(run, "kind byte, a long, b long, c long, d long")

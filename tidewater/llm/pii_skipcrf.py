@@ -34,11 +34,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import draw_limit
+from tidewater.llm.common import draw_limit, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -396,11 +396,11 @@ def span_column(spark: SparkSession, model: SkipChain, text: str = "text") -> Co
     """Column of struct(base, spans): the base spans and all spans, as text."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("base string, spans string")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("base string, spans string")
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = [shared.value.spans(t) for t in batch]
-            yield pd.DataFrame({"base": [written(b) for b, _ in found], "spans": [written(s) for _, s in found]})
+            found = [tuple(map(written, shared.value.spans(t))) for texts in text_slices(batch) for t in texts]
+            yield pa.StructArray.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in (0, 1)], names=["base", "spans"])
 
     return find(F.col(text))
 
@@ -409,10 +409,10 @@ def redact_column(spark: SparkSession, model: SkipChain, text: str = "text") ->
     """Column of texts with every span redacted."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("string")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series([redact(t, shared.value.spans(t)[1]) for t in batch], dtype=object)
+            yield pa.array([redact(t, shared.value.spans(t)[1]) for texts in text_slices(batch) for t in texts], pa.string())
 
     return clean(F.col(text))
 

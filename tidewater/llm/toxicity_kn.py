@@ -38,12 +38,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import draw_limit, fold, runs, split_words
+from tidewater.llm.common import draw_limit, fold, split_words, text_slices, trim
 from tidewater.llm.shingles import mix
 
 SAMPLE_PER_CLASS = 3000
@@ -57,7 +56,7 @@ CLEARLY = 1.5
 LETTERS = 3
 #: Bounds of logarithms: of the spelling's tilt, and of what a pair adds to its second word.
 TILT, PAIR = 2.0, 1.0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’…–—¡¿"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -349,7 +348,7 @@ def fit(texts: list[str], toxic: list[int], half: list[int]) -> ToxicityModel:
     if not len(y) or y.min() == y.max():
         return ToxicityModel(None, None)
     index: dict[str, int] = {}
-    ids = [np.fromiter((index.setdefault(normalise(w), len(index)) for w in split_words(t)), np.int64) for t in texts]
+    ids = [np.fromiter((index.setdefault(normalise(w), len(index)) for w in split_words(t)), np.int32) for t in texts]
     words = list(index)
 
     def language(rows) -> KneserNey:
@@ -391,11 +390,16 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PE
     rows = rows.groupBy("doc_id", "toxic", "draw").agg(F.min(F.substring(F.coalesce("text", F.lit("")), 1, FIT_CHARS)).alias("text"))
     rows = rows.withColumn("half", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2))).select("draw", "doc_id", "toxic", "half", "text")
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def learnt(batches: Iterator[pa.RecordBatch]) -> bytes:
         drawn = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["draw"], r["doc_id"]))
         drawn = [r for c in (0, 1) for r in [r for r in drawn if r["toxic"] == c][:sample_per_class]]
         model = fit([r["text"] for r in drawn], [r["toxic"] for r in drawn], [r["half"] for r in drawn])
-        yield pa.RecordBatch.from_arrays([pa.array([model.dump() if model.language else b""], pa.binary())], names=["model"])
+        return model.dump() if model.language else b""
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = learnt(batches)
+        trim()
+        yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["model"])
 
     # the sample is bounded, so one task learns from it, and the driver only hands the model on
     return FittedModel(b"".join(bytes(r[0]) for r in rows.coalesce(1).mapInArrow(train, "model binary").collect()))
@@ -407,16 +411,14 @@ def score_column(spark: SparkSession, model: FittedModel, text: str = "text") ->
         return F.lit(0.0)
     shared = spark.sparkContext.broadcast(model.data)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = ToxicityModel.load(shared.value)
         lookup = own.lookup()
         for batch in batches:
-            texts = batch.tolist()
-            out = np.empty(len(texts))
-            for start, run in runs(texts):
-                out[start : start + len(run)] = own.scores(run, lookup)
-            yield pd.Series(out)
+            yield pa.array(np.concatenate([np.zeros(0), *[own.scores(texts, lookup) for texts in text_slices(batch)]]))
+        del own, lookup
+        trim()
 
     return score(F.col(text))
 
