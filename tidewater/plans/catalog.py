@@ -536,7 +536,10 @@ def jsonp_scan(spark, sf):
     return files.jsonp_rows(pages).select("source", F.substring("title", 2, 20).cast("int").alias("n"), "title", "url")
 
 
-@query("html_links")
+_ANCHORS_SQL = "regexp_extract_all(html, '<a [^>]*href=\"[^\"]*\"[^>]*>([^<]*)</a>', 1)"
+
+
+@query("html_links", f"SELECT page_id, CAST(len(t) AS BIGINT) AS links, CAST(len(t) AS BIGINT) AS nav_wide, CAST(len(t) AS BIGINT) AS nav_narrow, list_max(list_transform(t, lambda x: trim(replace(x, '&amp;', '&')))) AS last_title FROM (SELECT page_id, {_ANCHORS_SQL} AS t FROM pages WHERE contains(html, '<a '))")
 def html_links(spark, sf):
     links = read_table(spark, sf, "pages").select("page_id", F.explode(html.links_column()("html")).alias("l"))
     return links.groupBy("page_id").agg(F.count("*").alias("links"), F.count_if("l.nav_wide").alias("nav_wide"), F.count_if("l.nav_narrow").alias("nav_narrow"), F.max("l.title").alias("last_title"))
@@ -563,18 +566,32 @@ def list_page_narrow(spark, sf):
     return filters.link_rows(pages, "narrow", []).select("page_id", "title", "url")
 
 
-@query("html_text")
+_READABLE_SQL = "trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '\\s+', ' ', 'g'))"
+
+
+@query("html_text", f"SELECT page_id, CAST(length(c) AS INTEGER) AS chars, substr(c, 1, 500) AS summary FROM (SELECT page_id, substr({_READABLE_SQL}, 1, 5000) AS c FROM pages)")
 def html_text(spark, sf):
     body = html.readable_column("html")
     return read_table(spark, sf, "pages").select("page_id", body.alias("content")).select("page_id", F.length("content").alias("chars"), F.substring("content", 1, 500).alias("summary"))
 
 
-@query("next_pages")
+@query("next_pages", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN regexp_extract(url, '^[a-z]+://[^/]+') || '/p?n=2' WHEN 1 THEN 'http://other.example.com/q' END AS next_url FROM pages")
 def next_pages(spark, sf):
-    return read_table(spark, sf, "pages").select("page_id", html.next_page_column("html", "url").alias("next_url"))
+    """Pages with a next link by text, by its relation, or with none."""
+    link = F.when(F.col("page_id") % 3 == 0, "<a href='/p?n=2'>下一页</a></article>").when(F.col("page_id") % 3 == 1, "<a rel='next' href='http://other.example.com/q'>more</a></article>").otherwise("</article>")
+    return read_table(spark, sf, "pages").withColumn("html", F.replace("html", F.lit("</article>"), link)).select("page_id", html.next_page_column("html", "url").alias("next_url"))
+
+
+_SCAN_SQL = """WITH p AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS source, row_number() OVER (PARTITION BY regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) ORDER BY page_id) AS page_num, page_id % 17 = 0 AS broken, html FROM pages),
+  i AS (SELECT source, page_num, unnest(h) AS url, unnest(range(len(h))) AS pos FROM (SELECT source, page_num, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS h FROM p WHERE NOT broken)),
+  n AS (SELECT source, page_num, row_number() OVER (PARTITION BY source, url ORDER BY page_num, pos) = 1 AS fresh FROM i), c AS (SELECT source, page_num, count(*) AS items, count(*) FILTER (WHERE fresh) AS new FROM n GROUP BY ALL),
+  f AS (SELECT p.source, p.page_num, p.broken, coalesce(items, 0) AS items, coalesce(new, 0) AS new FROM p LEFT JOIN c ON c.source = p.source AND c.page_num = p.page_num),
+  e AS (SELECT source, min(page_num) FILTER (WHERE broken) AS b, min(page_num) FILTER (WHERE NOT broken AND items = 0) AS z, min(page_num) FILTER (WHERE page_num > 1 AND items > 0 AND new = 0) AS s, max(page_num) + 1 AS after FROM f GROUP BY source),
+  g AS (SELECT *, least(coalesce(b, after), coalesce(z, after), coalesce(s, after)) AS stop FROM e), k AS (SELECT n.source, count(*) AS articles FROM n JOIN g ON g.source = n.source WHERE fresh AND page_num < stop GROUP BY n.source)
+  SELECT g.source, CASE WHEN b = stop AND coalesce(articles, 0) = 0 THEN 'failed' WHEN b = stop THEN 'partial' WHEN z = 1 AND stop = 1 THEN 'empty' ELSE 'success' END AS status, coalesce(articles, 0) AS articles FROM g LEFT JOIN k ON k.source = g.source"""
 
 
-@query("paged_scan_status")
+@query("paged_scan_status", _SCAN_SQL)
 def paged_scan_status(spark, sf):
     i = F.col("page_id")
     pages = read_table(spark, sf, "pages").withColumn("source", urls.host(F.col("url"))).withColumn("page_num", F.row_number().over(Window.partitionBy("source").orderBy("page_id")))
