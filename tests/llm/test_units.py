@@ -346,18 +346,6 @@ def test_automata_of_very_many_words(monkeypatch):
     assert width == 2 and len(texts[0]) == 2_400_000 and len({texts[0][i : i + 2] for i in range(0, 2_400_000, 2)}) == 1_200_000
 
 
-def test_hot_windows_are_removed_like_others(spark, monkeypatch):
-    rnd = random.Random(4)
-    passage = [f"p{i}" for i in range(30)]
-    rows = [(i, " ".join([f"a{rnd.randrange(10**6)}" for _ in range(9)] + passage[: rnd.choice((12, 14, 30))] + [f"b{rnd.randrange(10**6)}" for _ in range(5)])) for i in range(40)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    found = []
-    for hot in (1, 10**6):
-        monkeypatch.setattr(substring_automata, "HOT", hot)
-        found.append(sorted(map(tuple, substring_automata.remove_repeats(docs).collect())))
-    assert found[0] == found[1] and len(found[0]) > 10
-
-
 def test_vectors_of_every_length_are_joined(spark, monkeypatch):
     lengths = range(1, 1003)
     rows = [(2 * n + i, 0, [float(x == 0 or i) for x in range(n)] if n > 1 else [1.0 + i]) for n in lengths for i in (0, 1)]

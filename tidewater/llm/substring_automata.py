@@ -8,8 +8,7 @@ whose word sequence also starts in a document with a smaller id.
    has few of them. Anchors that only one document has are dropped.
 2. Documents that hold shared anchors hand on the windows around them; windows
    sorted by their 96-bit hash name the first document of each sequence, which
-   confirms the recurring ones and where they recur. Windows around anchors of
-   very many documents are summed up first, so no sequence is a hot key.
+   confirms the recurring ones and where they recur.
 3. The recurring passages of a slice of documents, cut into windows that cover
    them, are compiled into one Aho-Corasick automaton over words, through which
    the whole documents of the slice are streamed: each occurrence found removes
@@ -43,8 +42,6 @@ WINDOW = 13
 ANCHOR = 7
 #: Bytes of text whose recurring sequences make one automaton.
 SHARD_CHARS = 400_000
-#: Windows around anchors of more documents than this are summed up before they are shuffled by sequence.
-HOT = 500
 
 
 def window_anchors(ids: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> np.ndarray:
@@ -111,23 +108,22 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
 def recurring_windows(held: DataFrame) -> DataFrame:
     """Windows that also start in a document with a smaller id: doc_id, place (text check and position).
 
-    `held`: doc_id, text, anchors (the shared anchors of the document), hot (those of them that many documents
-    share). Windows of hot anchors are summed up by task before a sequence's
-    rows meet, and joined with the sums; the others are read from a sorted stream.
+    `held`: doc_id, text, anchors (the shared anchors of the document).
     """
 
-    def emit(batches, hot=False):
+    def emit(batches):
         for batch in slices(batches, 1):
             out: list[list[np.ndarray]] = [[], [], [], []]
             hashes, bounds = column_words(batch.column(1))
             all_anchors, h1, h2 = window_anchors(hashes), window_hashes(hashes, WINDOW, 1), window_hashes(hashes, WINDOW, 2)
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), bounds[:-1].tolist(), bounds[1:].tolist())
-            for doc_id, text, anchors, hot_ones, a, b in rows:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), bounds[:-1].tolist(), bounds[1:].tolist())
+            for doc_id, text, anchors, a, b in rows:
                 if b - a < WINDOW:
                     continue
+                shared = np.sort(anchors.values.to_numpy())
                 own = all_anchors[a : b - WINDOW + 1]
-                many = np.isin(own, hot_ones.values.to_numpy())
-                where = np.flatnonzero(many if hot else np.isin(own, anchors.values.to_numpy()) & ~many)
+                at = np.minimum(np.searchsorted(shared, own), len(shared) - 1)
+                where = np.flatnonzero(shared[at] == own)
                 if len(where):
                     place = (zlib.crc32(text.encode("utf-8", "surrogatepass")) << 32) + where.astype(np.uint64)
                     second = (h2[a + where] >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -153,11 +149,8 @@ def recurring_windows(held: DataFrame) -> DataFrame:
             if out.any():
                 yield pa.RecordBatch.from_arrays([pa.array(d[out]), pa.array(p[out])], names=["doc_id", "place"])
 
-    schema = "h1 long, h2 int, doc_id long, place long"
-    few = held.mapInArrow(emit, schema).repartition(F.col("h1")).sortWithinPartitions("h1", "h2", "doc_id").mapInArrow(later, "doc_id long, place long")
-    many = cut(held.where(F.size("hot") > 0).mapInArrow(lambda batches: emit(batches, True), schema))
-    first = many.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last")
-    return few.unionByName(many.join(first, ["h1", "h2"]).where("least < doc_id").select("doc_id", "place"))
+    rows = held.mapInArrow(emit, "h1 long, h2 int, doc_id long, place long")
+    return rows.repartition(F.col("h1")).sortWithinPartitions("h1", "h2", "doc_id").mapInArrow(later, "doc_id long, place long")
 
 
 def compile_shard(sequences: dict[str, int]):
@@ -180,9 +173,9 @@ def encode_words(documents: list[list[str]]) -> tuple[list[str], int]:
     numbers: dict[str, int] = {}
     ids = [[numbers.setdefault(w, len(numbers)) for w in words] for words in documents]
     letter = lambda n: chr(n + 1 if n + 1 < 0xD800 else n + 0x801)  # noqa: E731  no surrogates
-    if len(numbers) <= ONE_CHARACTER:
-        return ["".join(map(letter, own)) for own in ids], 1
-    return ["".join(letter(n // ONE_CHARACTER) + letter(n % ONE_CHARACTER) for n in own) for own in ids], 2
+    width = 1 if len(numbers) <= ONE_CHARACTER else 2
+    codes = [letter(n) if width == 1 else letter(n // ONE_CHARACTER) + letter(n % ONE_CHARACTER) for n in range(len(numbers))]
+    return ["".join(map(codes.__getitem__, own)) for own in ids], width
 
 
 def tiles(starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -225,10 +218,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     with scratch(docs.sparkSession) as keep:
         anchors = cut(shared_anchors(rows))
-        hot = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot"))
         # a document's anchors are fewer than its words
-        per_doc = anchors.join(hot, "anchor", "left").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
-        held = keep(cut(rows.join(per_doc, "doc_id").select("doc_id", "text", "anchors", "hot")))
+        per_doc = anchors.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+        held = keep(cut(rows.join(per_doc, "doc_id").select("doc_id", "text", "anchors")))
     places = cut(recurring_windows(held))
     release(docs.sparkSession)
     starts = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
