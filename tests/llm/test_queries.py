@@ -1,6 +1,7 @@
 """Every query over messy, empty and all-null tables, and against brute force."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -292,6 +293,54 @@ def test_pipeline_keeps_texts_that_share_an_id(spark):
     assert kept == Counter([(0, "b " + long), (1, rows[1][1]), (1, ""), (1, None), (3, "x y"), (None, long)])
 
 
+def test_pipeline_from_end_to_end(spark, messy):
+    """Each stage's plain version in turn, and the pieces that come out at the end."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidewater.llm import pii_skipcrf
+
+    table = spark.read.parquet(f"{messy}/documents.parquet")
+    toxic = Counter((r.doc_id, r.text) for r in table.join(QUERIES["op3_toxicity"](spark, messy).where("predicted = 1").select("doc_id").distinct(), "doc_id").collect())
+    rows = [r for r in table.collect() if (r.doc_id, r.text) not in toxic]
+    shingles = lambda t: sets_of([(0, t)])[0]
+    keyed = sorted({(r.doc_id, r.text or "") for r in rows if r.doc_id is not None}, key=lambda k: (k[0], k[1]))
+    root = {k: k for k in keyed}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    own = {k: shingles(k[1]) for k in keyed}
+    for a, b in itertools.combinations(keyed, 2):
+        if own[a] and own[b] and 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b]):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    first = {find(k)[0] for k in keyed}
+    kept = {}
+    for r in rows:
+        if r.doc_id is not None and find((r.doc_id, r.text or ""))[0] == r.doc_id and r.doc_id in first and root[(r.doc_id, r.text or "")] == (r.doc_id, r.text or ""):
+            kept[(r.doc_id, r.text)] = r
+    left = [*kept.values(), *[r for r in rows if r.doc_id is None]]
+    docs = spark.createDataFrame(left, table.schema)
+    model = pii_skipcrf.fit_on(docs)
+    clean = [r.asDict() | {"text": (t := pii_skipcrf.redact(r.text, model.spans(r.text)[1])), "n_chars": None if t is None else len(t)} for r in left]
+    mixed = corpus_pipeline.mix(spark, spark.createDataFrame([tuple(r[c] for c in table.columns) for r in clean], table.schema), messy).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter()
+    for r in mixed:
+        ids = np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        for p, a in enumerate(range(0, len(ids), 2048)):
+            want[(r.doc_id, p, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes()))] += 1
+    got = corpus_pipeline.run(spark, messy).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    bins = defaultdict(int)
+    for r in got:
+        bins[r.sequence_id] += r.length
+    assert max(bins.values()) <= 2048
+
+
 @pytest.mark.parametrize("which", ["messy", "empty", "nulls"])
 def test_pipeline_runs(spark, request, which):
     folder = request.getfixturevalue(which)

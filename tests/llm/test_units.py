@@ -455,3 +455,46 @@ def test_brown_scores_against_plain_loops(spark):
         assert got[i].score == pytest.approx(want), t
     held = [got[i] for i in range(0, 60, 3)]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def spoken(rnd, n):
+    """Texts of invented languages that share some words: (text, language)."""
+    parts = {"xa": ("tha", "ing", "wor", "led"), "yo": ("sch", "keit", "zu", "ver"), "zi": ("eau", "oux", "tion", "ré")}
+    common = ["a", "in", "me"]
+    word = lambda lang: rnd.choice(common) if rnd.random() < 0.2 else "".join(rnd.choice(parts[lang]) for _ in range(rnd.randrange(1, 4)))
+    return [(" ".join(word(lang) for _ in range(rnd.randrange(4, 40))), lang) for lang in parts for _ in range(n)]
+
+
+def test_languages_of_held_out_texts():
+    rnd = random.Random(3)
+    model = language_crf.fit(spoken(rnd, 40))
+    held = spoken(rnd, 60)
+    found = model.languages([t for t, _ in held])
+    assert sum(lang == want for (lang, _), (_, want) in zip(found, held)) >= 0.97 * len(held)
+    assert [lang for lang, _ in model.languages(["² ½ ① 12", "", None, "²a"])][:3] == ["und"] * 3 and model.languages(["²tha"])[0][0] == "xa"
+
+
+def test_toxicity_of_held_out_texts():
+    rnd = random.Random(6)
+    words = [f"w{rnd.randrange(900)}" for _ in range(900)]
+    insults = [f"{a}{b}" for a in ("grub", "snark", "vlot") for b in ("en", "ig", "ster", "ling", "o", "er", "ix", "um")]
+
+    def made(n, known):
+        texts, labels = [], []
+        for i in range(n):
+            text = [rnd.choice(words) for _ in range(rnd.randrange(5, 120))]
+            if i % 4 == 0:
+                for _ in range(rnd.randrange(1, 4)):
+                    text.insert(rnd.randrange(len(text)), rnd.choice(known))
+            texts.append(" ".join(text))
+            labels.append(int(i % 4 == 0))
+        return texts, labels
+
+    train, labels = made(400, insults[::2] + insults[1::4])
+    model = toxicity_kn.fit(train, labels, [i % 2 for i in range(len(train))])
+    texts, truth = made(400, insults[::2])
+    score = model.scores(texts, model.lookup())
+    assert (score[np.array(truth) == 1] >= 0.5).mean() >= 0.95 and (score[np.array(truth) == 0] >= 0.5).mean() <= 0.05
+    texts, truth = made(400, insults[3::4])  # forms that were never seen, spelt alike
+    score = model.scores(texts, model.lookup())
+    assert np.median(score[np.array(truth) == 1]) > np.quantile(score[np.array(truth) == 0], 0.7)

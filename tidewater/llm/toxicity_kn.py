@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import draw_limit, fold, split_words, text_slices, trim
 from tidewater.llm.shingles import mix
 
-SAMPLE_PER_CLASS = 3000
+SAMPLE_PER_CLASS = 2000
 FIT_CHARS = 200_000
 #: What rejecting an ordinary text costs, against passing a toxic one.
 ORDINARY_COST = 3.0
@@ -57,6 +57,7 @@ LETTERS = 3
 #: Bounds of logarithms: of the spelling's tilt, and of what a pair adds to its second word.
 TILT, PAIR = 2.0, 1.0
 CACHE_WORDS = 200_000
+WORDS_AT_A_TIME = 20_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’…–—¡¿"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,14 +90,14 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def letter_grams(words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     """For each letter of the words (and a mark behind each): its word, and hashes of the last 1 to LETTERS letters."""
     marked = ["^" * (LETTERS - 1) + w + "$" for w in words]
-    size = np.fromiter(map(len, marked), np.int64, len(marked))
-    code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
-    owner = np.repeat(np.arange(len(size)), size)
-    at = np.flatnonzero(np.arange(len(code)) - (np.cumsum(size) - size)[owner] >= LETTERS - 1)
+    size = np.fromiter(map(len, marked), np.int32, len(marked))
+    code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4")
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    at = np.flatnonzero(np.arange(len(code), dtype=np.int32) - (np.cumsum(size, dtype=np.int32) - size)[owner] >= LETTERS - 1).astype(np.int32)
     grams, gram = [], np.zeros(len(at), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(LETTERS):
-            gram = gram + code[at - k] * _FACTOR ** np.uint64(k + 1)
+            gram = gram + (code[at - k].astype(np.uint64) + np.uint64(1)) * _FACTOR ** np.uint64(k + 1)
             grams.append(gram)
     return owner[at], grams
 
@@ -117,8 +118,6 @@ class Spelling:
     def __init__(self, words: list[str], weights: np.ndarray):
         """weights[c]: in how many texts of class c each word is."""
         owner, grams = letter_grams(words)
-        with np.errstate(over="ignore"):
-            context = [g - grams[0] for g in grams]
         self.levels: list[list[Level]] = [[], []]
         lowest = []
         for c in (0, 1):
@@ -134,7 +133,8 @@ class Spelling:
                 if k == 0:
                     lowest.append((keys, counts))
                     continue
-                contexts, of = np.unique(context[k][some[at]], return_inverse=True)
+                with np.errstate(over="ignore"):
+                    contexts, of = np.unique(grams[k][some[at]] - grams[0][some[at]], return_inverse=True)
                 total = np.bincount(of, weights=counts, minlength=len(contexts))
                 share = kept(np.floor(counts)) / total[of] if len(counts) else counts
                 self.levels[c].insert(0, Level(keys, share, contexts, 1 - np.bincount(of, weights=share, minlength=len(contexts))))
@@ -144,6 +144,10 @@ class Spelling:
 
     def log(self, words: list[str]) -> np.ndarray:
         """log p [class, word]."""
+        parts = [self._log(words[a : a + WORDS_AT_A_TIME]) for a in range(0, len(words), WORDS_AT_A_TIME)]
+        return np.concatenate([np.zeros((2, 0)), *parts], axis=1)
+
+    def _log(self, words: list[str]) -> np.ndarray:
         owner, grams = letter_grams(words)
         at, hit = _find(self.letters, grams[0])
         base = np.where(hit, self.common[at], self.rare) if len(self.letters) else np.full(len(owner), self.rare)
@@ -185,24 +189,32 @@ class KneserNey:
         mark = size - 1  # stands before a text
         counts, pairs = [], []
         for c in texts:
-            own = [np.concatenate([[mark, mark], t]).astype(np.int64) for t in c if len(t)]
-            after = np.concatenate([np.zeros(0, np.int64), *[t[1:-1] * size + t[2:] for t in own]])
-            before = np.concatenate([np.zeros(0, np.int64), *[t[:-2] for t in own]])
+            # a word of a text, the one before and the one before that
+            flat = np.concatenate([np.zeros(0, np.int32), *[part for t in c if len(t) for part in (np.array([mark, mark], np.int32), t.astype(np.int32))]])
+            ends = np.cumsum([len(t) + 2 for t in c if len(t)])
+            inside = np.ones(len(flat), bool)
+            first = np.concatenate([[0], ends[:-1]])[: len(ends)].astype(np.int64)
+            inside[first] = inside[first + 1] = False
+            at = np.flatnonzero(inside)
+            after = flat[at - 1].astype(np.int64) * size + flat[at]
+            check = mix(after.view(np.uint64), 3) + flat[at - 2].astype(np.uint64)
             # each pair once for each word before it
-            after = after[np.unique(mix(after.view(np.uint64), 3) + before.view(np.uint64), return_index=True)[1]]
+            after = after[np.unique(check, return_index=True)[1]]
+            del flat, check, at, inside
             pairs.append(after)
             counts.append(np.bincount(np.unique(after) % size, minlength=size - 1))
         counts = np.stack(counts)
         seen = np.flatnonzero(counts.sum(0))
         spelling = Spelling([words[i] for i in seen], counts[:, seen])
         keys, back = np.unique(np.concatenate(pairs), return_inverse=True)
-        times = np.stack([np.bincount(back[: len(pairs[0])], minlength=len(keys)), np.bincount(back[len(pairs[0]) :], minlength=len(keys))])
+        times = [np.bincount(part, minlength=len(keys)).astype(np.int32) for part in (back[: len(pairs[0])], back[len(pairs[0]) :])]
+        del back, pairs
         # in how many distinct pairs of either class a word comes second
         shared = np.bincount(keys % size, minlength=size - 1) + 0.5
         shared = shared * np.exp(spelling.tilt(words))
         mass = shared.sum(1)
         word, spare = np.empty((2, size - 1)), np.empty(2)
-        pair, left = np.empty((2, len(keys))), np.empty((2, size))
+        pair, left = np.empty((2, len(keys)), np.float32), np.empty((2, size))
         for c in (0, 1):
             total = max(1, counts[c].sum())
             own = kept(counts[c]) / total
