@@ -387,3 +387,45 @@ def test_review_csv_round_trip(spark, tmp_path):
     files.write_review_csv(df, str(tmp_path / "r"), ["id", "title", "note", "extra"])
     got = files.read_review_csv(spark, str(tmp_path / "r"))
     assert got.columns == ["id", "title", "note", "extra"] and tuple(got.first()) == ("1", 'a "q"\nline', "", "")
+
+
+def test_update_content_moves_keys_with_the_url(spark):
+    from tidewater.schemas import ARTICLE
+
+    now = F.lit("2026-07-30 00:00:00").cast("timestamp")
+    rows = spark.createDataFrame([("A", "http://x/a", "s"), ("B", "http://x/b", "s")], "title string, url string, source string").withColumns({c: F.lit("") for c in ("publish_date", "summary", "raw_content")})
+    base = cut(state.insert(spark.createDataFrame([], ARTICLE), rows, now))
+    of = {r.title: r for r in base.collect()}
+    updates = spark.createDataFrame([(of["A"].id, "sum", "raw", "HTTP://y.com:80/new#z"), (of["B"].id, None, "body", None)], "id long, summary string, raw_content string, url string")
+    later = F.lit("2026-08-01 00:00:00").cast("timestamp")
+    got = {r.title: r for r in state.update_content(base, updates, later).collect()}
+    assert (got["A"].canonical_url, got["A"].summary, got["A"].raw_content) == ("http://y.com/new", "sum", "raw") and got["A"].dedup_key != of["A"].dedup_key
+    assert (got["B"].canonical_url, got["B"].summary, got["B"].raw_content, got["B"].dedup_key) == (of["B"].canonical_url, "", "body", of["B"].dedup_key)
+    assert got["A"].updated_at == dt.datetime(2026, 8, 1)
+
+
+def test_metrics_are_appended_and_digests_listed(spark, tmp_path):
+    from tidewater.sources import sinks
+
+    for n in (1, 2):
+        files.append_metrics(spark.createDataFrame([(n,)], "n int"), str(tmp_path / "m"))
+    assert sorted(r.n for r in spark.read.json(str(tmp_path / "m")).collect()) == [1, 2]
+    rows = spark.createDataFrame([(2, 0, "b", "u2"), (1, 0, "a", "u1"), (3, 1, "c", "u3")], "id long, batch_no long, title string, url string")
+    assert {r.batch_no: r.content for r in sinks.text_digest(rows).collect()} == {0: "a\nu1\n\nb\nu2", 1: "c\nu3"}
+
+
+def test_labels_columns_and_coverage(spark):
+    assert evaluate.label_column(["id", "事件时点评估结论"]) == "事件时点评估结论" and evaluate.label_column(["id"]) == "人工审核结论"
+    rows = [(1, True, True, "p", 1.0, False), (2, True, False, "p", 1.0, False), (3, False, None, "p", 1.0, True), (4, False, True, "p", 2.0, False), (5, True, None, "p", 1.0, False)]
+    df = spark.createDataFrame(rows, "id int, predicted boolean, label boolean, basis string, weight double, pending boolean")
+    m = evaluate.coverage(evaluate.metrics(df)).first()
+    assert (m.pending, m.uncertain, m.labelled, m.coverage, m.complete) == (1, 1, 3, 0.6, False)
+    assert {(r.id, r.error) for r in evaluate.errors(df).collect()} == {(2, "false_positive"), (4, "false_negative")}
+
+
+def test_bootstrap_covers_the_ratio(spark):
+    rows = spark.range(400).select((F.col("id") % 2).cast("string").alias("stratum"), (F.col("id") % 3 > 0).alias("predicted"), (F.col("id") % 5 > 0).alias("actual"), (1 + F.col("id") % 7 / 7).alias("weight"), F.lit(False).alias("census"))
+    got = {r.name: (r.low, r.high) for r in evaluate.bootstrap(spark, rows, 300).collect()}
+    exact = evaluate.ratios(evaluate.confusion(rows)).first()
+    assert all(low < exact[name] < high and high - low < 0.2 for name, (low, high) in got.items())
+    assert got == {r.name: (r.low, r.high) for r in evaluate.bootstrap(spark, rows.repartition(7), 300).collect()}
