@@ -7,14 +7,17 @@ predecessor kept.
 
 1. toxicity: documents whose class-conditional score is 0.5 or more are dropped.
 2. jaccard: of each class of near-duplicates the document with the smallest id
-   stays; rows without an id stay.
+   stays (of equal ids that with the smallest hash of its text); rows without an
+   id stay.
 3. pii: personal data is replaced by its kind in brackets.
 4. mix: each document is repeated, shortened or left out as the source mix says.
 5. pack: the texts become token sequences of 2048.
 
-Nulls, blank texts, repeated rows and empty tables have the results that the
-operators define; repeated rows count as one document from stage 2 on, and a
-document of no words is in no mix.
+Nulls, blank texts, ties, very long texts, repeated rows and empty tables have the
+results that the operators define; repeated rows count as one document from stage
+2 on, rows that share an id with different texts are different documents, and a
+document of no words is in no mix. Columns beside those that a stage needs are
+handed through as they are.
 """
 
 from __future__ import annotations
