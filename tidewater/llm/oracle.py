@@ -6,9 +6,17 @@ from tidewater.llm.quality_table import RULES, STOP_WORDS, SYMBOLS
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
+_LOWERED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
 _VERDICTS = ", ".join(f"CASE WHEN {r.measure} {r.op} {r.threshold} AND n_words >= {r.min_words} THEN '{r.name}' END" for r in RULES)
 
 ORACLE = {
+    "op2_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, {_LOWERED} AS w FROM documents),
+  s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM w),
+  x AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+  l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.t = b.t AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+  e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r AS (SELECT DISTINCT a AS i, a AS c FROM e UNION SELECT r.i, e.b FROM r JOIN e ON e.a = r.c)
+  SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.c, s.doc_id) AS component_id FROM s LEFT JOIN (SELECT i, min(c) AS c FROM r GROUP BY i) m ON m.i = s.doc_id""",
     "op8_substrings": f"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
   p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13), g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS s FROM p),
   m AS (SELECT s, min(doc_id) AS first FROM g GROUP BY s), r AS (SELECT DISTINCT g.doc_id, unnest(range(g.i, g.i + 13)) AS pos FROM g JOIN m ON m.s = g.s WHERE m.first < g.doc_id),
