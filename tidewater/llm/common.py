@@ -19,7 +19,7 @@ SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 #: Characters of text that one Python step holds at a time.
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 800_000
 
 #: White space to Python's str.split() that doesn't separate words here (fixed values).
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")

@@ -211,6 +211,7 @@ def _postings(docs: DataFrame, common) -> DataFrame:
                     sizes.append(np.full(len(chosen), len(s)))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, keys, sizes)], names=["token", "key", "n"])
+        trim()
 
     return _live(docs.select("text").mapInArrow(emit, "token long, key long, n long"))
 
@@ -268,6 +269,7 @@ def _signatures(docs: DataFrame, named: np.ndarray, full: np.ndarray, common: np
                     sigs.append(signature(s, common))
                     again.append(prefix(s, common, ORDERS[0], crowded).tobytes() if more else None)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(again, pa.binary())], names=["key", "n", "sig", "again"])
+        trim()
 
     return cut(docs.select("doc_id", "text").mapInArrow(run, "key long, n long, sig binary, again binary"))
 
@@ -292,6 +294,7 @@ def _sets(docs: DataFrame, named: np.ndarray) -> DataFrame:
         for batch in _held(batches, shared.value):
             sets = [s for s in column_shingles(batch.column(1), SHINGLE) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "tokens"])
+        trim()
 
     return cut(docs.select("doc_id", "text").mapInArrow(build, "key long, tokens binary"))
 

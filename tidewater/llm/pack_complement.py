@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import cut, slices, split_words
+from tidewater.llm.common import cut, slices, split_words, trim
 
 CAPACITY = 2048
 END_ID = 0
 #: Parts of texts whose ids a worker keeps at a time; a full cache is emptied.
-CACHE_PARTS = 600_000
+CACHE_PARTS = 300_000
 RANK_GROUP = 512
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -151,6 +151,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                 [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), *[pa.array(r, pa.int64()) for r in rows[2:]]],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        ids_of.known.clear()  # workers are used again by other steps
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, PIECES)
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import draw_limit, text_slices
+from tidewater.llm.common import draw_limit, text_slices, trim
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -413,6 +413,7 @@ def redact_column(spark: SparkSession, model: SkipChain, text: str = "text") ->
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([redact(t, shared.value.spans(t)[1]) for texts in text_slices(batch) for t in texts], pa.string())
+        trim()
 
     return clean(F.col(text))
 

@@ -56,7 +56,7 @@ CLEARLY = 1.5
 LETTERS = 3
 #: Bounds of logarithms: of the spelling's tilt, and of what a pair adds to its second word.
 TILT, PAIR = 2.0, 1.0
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 WORDS_AT_A_TIME = 20_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’…–—¡¿"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
