@@ -44,7 +44,8 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
         atexit.register(remove, spark, base)
     path = f"{base}/{uuid.uuid4().hex}"
     release(spark)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer = df.write.option("compression", "zstd")  # what is written here is read once or twice, and disk is what runs out first
+    writer = writer.partitionBy(*partition_by) if partition_by else writer
     writer.parquet(path)
     if _scratch:
         _scratch[-1].append(path)
