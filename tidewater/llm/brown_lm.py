@@ -26,7 +26,6 @@ beside doc_id, held_out and text are handed on by `chains` and `score`, or ignor
 
 from __future__ import annotations
 
-import itertools
 from collections import Counter
 from dataclasses import dataclass
 
@@ -325,8 +324,15 @@ def train(docs: DataFrame, cluster_words: int = CLUSTER_WORDS, table_words: int
     # the commonest words by steps of their counts, so that no task has to sort them
     step = F.floor(16 * F.log2("n")).cast("int")
     sizes = sorted(((k, n) for k, n in classes.groupBy(step.alias("k")).count().collect()), reverse=True)  # some hundred rows at most
-    within = [k for (k, _), held in zip(sizes, itertools.accumulate(n for _, n in sizes)) if held <= table_words]
-    top = classes.where(step >= min(within) if within else F.lit(False)).toArrow()
+    room, chosen = table_words, F.lit(False)
+    for k, n in sizes:
+        if n <= room:
+            chosen, room = chosen | (step == k), room - n
+        else:  # a share of the step that the room ends in, drawn by hash and surely within it
+            share = max(0.0, room - 4 * room**0.5) / n
+            chosen |= (step == k) & (F.pmod(F.xxhash64(F.lit(29), "word"), F.lit(1_000_000)) < int(share * 1_000_000))
+            break
+    top = classes.where(chosen).toArrow()
     table = dict(zip(top.column("word").to_pylist(), zip(top.column("n").to_pylist(), top.column("cls").to_pylist())))
     return BrownModel(table, class_words, n + texts, v + (texts > 0), texts, int(class_words[size - 2]), int(class_types[size - 2])), classes
 
