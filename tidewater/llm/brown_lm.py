@@ -325,11 +325,11 @@ def train(docs: DataFrame, cluster_words: int = CLUSTER_WORDS, table_words: int
     step = F.floor(16 * F.log2("n")).cast("int")
     sizes = sorted(((k, n) for k, n in classes.groupBy(step.alias("k")).count().collect()), reverse=True)  # some hundred rows at most
     room, chosen = table_words, F.lit(False)
-    for k, n in sizes:
-        if n <= room:
-            chosen, room = chosen | (step == k), room - n
+    for k, held in sizes:
+        if held <= room:
+            chosen, room = chosen | (step == k), room - held
         else:  # a share of the step that the room ends in, drawn by hash and surely within it
-            share = max(0.0, room - 4 * room**0.5) / n
+            share = max(0.0, room - 4 * room**0.5) / held
             chosen |= (step == k) & (F.pmod(F.xxhash64(F.lit(29), "word"), F.lit(1_000_000)) < int(share * 1_000_000))
             break
     top = classes.where(chosen).toArrow()
