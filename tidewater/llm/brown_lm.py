@@ -48,6 +48,8 @@ TABLE_WORDS = 250_000
 COUNTER_WORDS = 400_000
 #: Tokens whose neighbours a worker holds before it hands partial sums on.
 NEIGHBOUR_TOKENS = 2_000_000
+#: Bytes of text that a counting or scoring step holds at a time.
+SLICE_BYTES = 1_500_000
 #: Neighbour counts that are weighed against all classes at a time.
 WEIGHED_ROWS = 20_000
 
@@ -62,7 +64,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches):
         held: Counter = Counter()
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, SLICE_BYTES):
             for text in batch.column(0).to_pylist():
                 held.update(tokens(text))
             if len(held) > COUNTER_WORDS:
@@ -85,7 +87,7 @@ def bigram_counts(docs: DataFrame, words: list[str]) -> np.ndarray:
         index = {w: i for i, w in enumerate(shared.value)}
         lookup, end = Lookup(lambda w: index.get(w, size - 2)), size - 1
         table = np.zeros(size * size, dtype=np.int64)
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, SLICE_BYTES):
             chain = [end]
             for text in batch.column(0).to_pylist():
                 own = tokens(text)
@@ -199,7 +201,7 @@ def neighbour_counts(docs: DataFrame, head: list[str], cls: np.ndarray) -> DataF
             for a in range(0, made.num_rows, 10_000):
                 yield made.slice(a, 10_000)
 
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, SLICE_BYTES):
             chain = [-1]
             for text in batch.column(0).to_pylist():
                 chain += [index[w] for w in tokens(text)]
@@ -362,7 +364,7 @@ def chains(docs: DataFrame, model: BrownModel, classes: DataFrame) -> DataFrame:
         emission = np.where(where == own.rare, own.rare_log(count), np.log10(np.maximum(count, 1) / np.maximum(own.class_words[where], 1)))
         base[missing] = emission[missing] = 0.0
         key = TaskContext.get().partitionId() << 40
-        for batch in slices(batches, len(others)):
+        for batch in slices(batches, len(others), SLICE_BYTES):
             texts = batch.column(len(others)).to_pylist()
             rows = ([], [], [], [], [])
             rare_words, rare_places, offsets = [], [], [0]
