@@ -33,10 +33,12 @@ def anti_window(incoming: DataFrame, stored: DataFrame, days: int = 90) -> DataF
 def keep_window(df: DataFrame, key: list[str], cut: Callable[[DataFrame], DataFrame], days: int = 90) -> DataFrame:
     """Rows kept on one key: the first, then each first one more than `days` after the last kept.
 
-    One round finds the next kept row of every key by a minimum, so rounds are
-    bounded by the time the table spans and no key's rows are gathered.
+    A row with a null in its key repeats nothing and is kept. One round finds the
+    next kept row of every key by a minimum, so rounds are bounded by the time the
+    table spans and no key's rows are gathered.
     """
-    rows = cut(df.select("id", "created_at", *key))
+    known = F.expr(" and ".join(f"`{k}` is not null" for k in key))
+    rows = cut(df.where(known).select("id", "created_at", *key))
     at = F.min(F.struct("created_at", "id")).alias("m")
     pick = [F.col("m.id").alias("id"), F.col("m.created_at").alias("last")]
     new = cut(rows.groupBy(*key).agg(at).select(*key, *pick))
@@ -45,14 +47,15 @@ def keep_window(df: DataFrame, key: list[str], cut: Callable[[DataFrame], DataFr
         after = rows.join(new.select(*key, "last"), key).where(F.col("created_at") > F.col("last") + F.expr(f"interval {days} days"))
         new = cut(after.groupBy(*key).agg(at).select(*key, *pick))
         kept = kept.union(new.select("id"))
-    return df.join(kept, "id", "left_semi")
+    return df.join(kept.unionByName(df.where(~known).select("id")), "id", "left_semi")
 
 
 def keep_disjunctive(df: DataFrame, cut: Callable[[DataFrame], DataFrame], days: int = 90) -> DataFrame:
     """Rows kept when either the URL, or title and source, may repeat: adds `kept`.
 
     Columns: id, canonical_url, normalized_title, source, created_at; arrival
-    order is (created_at, id). A row is dropped once a kept earlier row conflicts
+    order is (created_at, id). A null or empty URL repeats no other, nor does a
+    pair of title and source with a null in it. A row is dropped once a kept earlier row conflicts
     with it, and kept once all its earlier neighbours are dropped; rounds decide
     all rows that can be decided. Running maxima tell each row the last kept and
     the last undecided neighbour before it, so conflicts are never paired: a key
@@ -63,21 +66,25 @@ def keep_disjunctive(df: DataFrame, cut: Callable[[DataFrame], DataFrame], days:
     dropped and kept rows, two for each `days` of time and chain at most. `cut`
     writes each round.
     """
-    url = F.when(F.col("canonical_url") == "", F.concat(F.lit("id:"), F.col("id").cast("string"))).otherwise(F.col("canonical_url"))
-    rows = df.select("id", "created_at", url.alias("__u"), "normalized_title", "source")
+    own = F.col("id")
+    rows = df.select(
+        "id", "created_at", F.nullif("canonical_url", F.lit("")).alias("__u"), F.when(F.coalesce("canonical_url", F.lit("")) == "", own).alias("__ui"),
+        F.when(F.col("source").isNotNull(), F.col("normalized_title")).alias("__t"), F.when(F.col("normalized_title").isNotNull(), F.col("source")).alias("__s"),
+        F.when(F.col("normalized_title").isNull() | F.col("source").isNull(), own).alias("__ti"),
+    )
     rows = cut(rows.withColumn("__slice", F.floor(F.datediff("created_at", F.lit("1970-01-01")) / days)).withColumn("kept", F.lit(None).cast("boolean")))
     states = {"conflict": F.col("kept"), "waiting": F.col("kept").isNull()}
     since = F.col("created_at") - F.expr(f"interval {days} days")
     while not rows.where("kept is null").isEmpty():
         seen = rows
-        for n, keys in enumerate((["__u"], ["normalized_title", "source"])):
+        for n, keys in enumerate((["__u", "__ui"], ["__t", "__s", "__ti"])):
             # a row meets those of its own slice and of the one before
             ended = rows.groupBy(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], (F.col("__slice") + 1).alias("__next")).agg(*[F.max(F.when(s, F.col("created_at"))).alias(f"__{name}") for name, s in states.items()])
             same = (F.col("__slice") == F.col("__next")) & F.expr(" and ".join(f"{k} <=> __{i}" for i, k in enumerate(keys)))
             before = Window.partitionBy(*keys, "__slice").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, -1)
             running = seen.withColumns({f"{name}{n}": F.max(F.when(s, F.col("created_at"))).over(before) for name, s in states.items()})
             joined = running.join(ended, same, "left")
-            seen = joined.withColumns({f"{name}{n}": F.coalesce(F.greatest(f"{name}{n}", f"__{name}") >= since, F.lit(False)) for name in states}).drop("__0", "__1", "__next", *[f"__{name}" for name in states])
+            seen = joined.withColumns({f"{name}{n}": F.coalesce(F.greatest(f"{name}{n}", f"__{name}") >= since, F.lit(False)) for name in states}).drop("__0", "__1", "__2", "__next", *[f"__{name}" for name in states])
         verdict = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.expr("conflict0 or conflict1"), F.lit(False)).when(F.expr("not waiting0 and not waiting1"), F.lit(True))
         rows = cut(seen.withColumn("kept", verdict).select(rows.columns))
     return df.join(rows.select("id", "kept"), "id", "left")
