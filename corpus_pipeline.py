@@ -42,14 +42,15 @@ def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share a doc_id with different texts are told apart by their texts;
     of repeated rows one stays. Rows without doc_id stay, as they are of no class.
     """
-    text = F.xxhash64("text")
     classes = jaccard_orders.jaccard_components(docs.select("doc_id", "text")).where("doc_id is not null")
-    rows = classes.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("__n"))
+    rows = classes.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     own = F.when(F.col("component").isNull(), F.struct("doc_id", "text_hash"))  # texts without words are classes of their own
-    first = rows.groupBy("component", own.alias("own")).agg(F.min(F.struct("doc_id", "text_hash", "__n")).alias("f")).select(F.col("f.doc_id").alias("__id"), F.col("f.text_hash").alias("__hash"), "f.__n")
-    pick = lambda some: docs.join(some, (F.col("doc_id") == F.col("__id")) & (text == F.col("__hash"))).select(docs.columns)
-    repeated = pick(first.where("__n > 1")).withColumn("__text", text).dropDuplicates(["doc_id", "__text"]).select(docs.columns)
-    return pick(first.where("__n = 1")).unionByName(repeated).unionByName(docs.where("doc_id is null"))
+    first = rows.groupBy("component", own.alias("own")).agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("f")).select(F.col("f.doc_id").alias("id"), F.col("f.text_hash").alias("hash"), F.col("f.n").alias("n"))
+    # rows travel as one column, so no name of theirs can meet a name of ours
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    picked = whole.join(first, ["id", "hash"])
+    repeated = picked.where("n > 1").dropDuplicates(["id", "hash"])
+    return picked.where("n = 1").select("row.*").unionByName(repeated.select("row.*")).unionByName(docs.where("doc_id is null"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,14 +62,16 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat, shorten or leave out documents as the source mix says."""
-    key = F.xxhash64("doc_id", "source", "text")
-    keyed = docs.withColumn("__key", key)
-    drawn = mix_schedule.mix(keyed.select(F.col("__key").alias("doc_id"), "source", "text"))
-    drawn = drawn.groupBy(F.col("doc_id").alias("__key")).agg(F.flatten(F.collect_list("rounds")).alias("__rounds"), F.first("size").alias("__size"))
-    texts = keyed.dropDuplicates(["__key"]).join(drawn, "__key").withColumn("__words", F.explode("__rounds.words"))
-    part = F.array_join(F.slice(words_column(F.col("text")), F.lit(1), F.col("__words").cast("int")), " ")
-    out = texts.withColumn("text", F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(part))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    # nulls leave a hash as it was, so which values are null is hashed as well
+    key = F.xxhash64(*[x for c in ("doc_id", "source", "text") for x in (F.col(c).isNull(), F.col(c))])
+    keyed = docs.select(F.struct("*").alias("row"), key.alias("key"))  # rows travel as one column, see jaccard
+    drawn = mix_schedule.mix(keyed.select(F.col("key").alias("doc_id"), "row.source", "row.text"))
+    drawn = drawn.groupBy(F.col("doc_id").alias("key")).agg(F.flatten(F.collect_list("rounds")).alias("rounds"), F.first("size").alias("size"))
+    texts = keyed.dropDuplicates(["key"]).join(drawn, "key").select("row", "size", F.explode("rounds.words").alias("words"))
+    part = F.array_join(F.slice(words_column(F.col("row.text")), F.lit(1), F.col("words").cast("int")), " ")
+    text = F.when(F.col("words") == F.col("size"), F.col("row.text")).otherwise(part)
+    fresh = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)}
+    return texts.select(*[fresh.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

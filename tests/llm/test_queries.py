@@ -175,6 +175,33 @@ def test_pii_base_spans(results, docs):
         assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r.spans.split(","))
 
 
+def test_pii_of_very_many_candidates_in_bounded_memory():
+    """Messages are computed in blocks: 30,000 candidates of one text give what small blocks give, in little memory."""
+    import tracemalloc
+
+    from tidewater.llm import pii_skipcrf
+
+    model = pii_skipcrf.fit([f"mail a{i}@b{i}.example.com or call +49 (0) 30 {1000000 + i * 37} from 10.0.0.{i % 256}" for i in range(100)])
+    found = pii_skipcrf.candidates(text := " ".join(f"0{30 + i % 60} {1000000 + i % 9000 * 7}; x" for i in range(30_000)), pii_skipcrf.base_spans(text))
+    tracemalloc.start()
+    whole = model.marginals(found, rounds=5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000 * len(found)
+    before, pii_skipcrf.MESSAGES = pii_skipcrf.MESSAGES, 1000
+    assert np.allclose(whole, model.marginals(found, rounds=5))
+    pii_skipcrf.MESSAGES = before
+
+
+def test_whole_texts_are_learnt_from(spark):
+    from tidewater.llm.common import whole_texts
+
+    rows = [("a", i, "x" * n) for i, n in enumerate((10, 500, 30, 40, 50))] + [("b", 9, "y" * 5)]
+    got = whole_texts(spark.createDataFrame(rows, "g string, draw int, text string"), "g", 3, 1600).collect()
+    assert sorted((r.g, r.draw, len(r.text)) for r in got) == [("a", 0, 10), ("a", 2, 30), ("a", 3, 40), ("b", 9, 5)]
+    assert [r.draw for r in whole_texts(spark.createDataFrame(rows, "g string, draw int, text string").where("g = 'a'"), None, 9, 8000).collect()] == [0, 1, 2, 3, 4]
+
+
 def test_packing_round_trip(results, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -293,6 +320,21 @@ def test_pipeline_keeps_texts_that_share_an_id(spark):
     assert kept == Counter([(0, "b " + long), (1, rows[1][1]), (1, ""), (1, None), (3, "x y"), (None, long)])
 
 
+def test_pipeline_stages_keep_columns_of_any_name(spark, messy):
+    """Helper columns of the stages meet no column of the input, and nulls of different columns are told apart."""
+    names = ["__id", "__hash", "__n", "id", "hash", "n", "row", "key", "words", "rounds", "__key", "__words", "__rounds", "__size", "__text", "component", "own"]
+    rows = [(i, f"word{i} " * (i + 5), "en", f"s{i % 2}", None, *[f"{c}{i}" for c in names]) for i in range(6)]
+    rows += [(None, None, "en", "a b", None, *names), (None, "a b", "en", None, None, *names)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names))
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, table, messy)
+        assert out.columns == table.columns, name
+        for r in out.collect():
+            assert r.doc_id is None or all(r[c] == f"{c}{r.doc_id}" for c in names), name
+    mixed = corpus_pipeline.mix(spark, table, messy).collect()
+    assert any(r.source is None and r.text == "a b" for r in mixed) and not any(r.source == "a b" for r in mixed)
+
+
 def test_pipeline_from_end_to_end(spark, messy):
     """Each stage's plain version in turn, and the pieces that come out at the end."""
     import public_tokenizers

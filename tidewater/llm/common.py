@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.storage import cut, release, scratch, shared_dir  # noqa: F401  handed on to the operators
@@ -54,6 +54,33 @@ def draw_limit(rows: int, sample: int) -> int:
     return min(2**64, (2**64 * (sample * 6 // 5 + 20)) // rows) - 2**63 - 1
 
 
+def whole_texts(rows: DataFrame, group: str | None, sample: int, total: int) -> DataFrame:
+    """The first rows of each group by `draw`: at most `sample`, and `total` bytes of texts, all of them whole.
+
+    Texts of more than a sixteenth of `total` are no examples, so that no few of them
+    stand for a group. `rows` (text, draw, `group`) is a sample already, so that no
+    group of it is large.
+    """
+    size = F.octet_length("text")
+    order = Window.partitionBy(*([group] if group else [])).orderBy("draw", "text")
+    taken = rows.where(size <= total // 16).withColumns({"__nth": F.row_number().over(order), "__bytes": F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    return taken.where((F.col("__nth") <= sample) & (F.col("__bytes") <= total)).drop("__nth", "__bytes")
+
+
+def fit_in_task(rows: DataFrame, fit) -> bytes:
+    """Pickle of what `fit` makes of the rows (dicts) of a bounded sample, learnt in one task and not on the driver."""
+    import pyarrow as pa
+
+    def learn(batches):
+        import pickle
+
+        data = pickle.dumps(fit([r for b in batches for r in b.to_pylist()]))
+        trim()
+        yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["model"])
+
+    return b"".join(bytes(r[0]) for r in rows.coalesce(1).mapInArrow(learn, "model binary").collect())
+
+
 def slices(batches, text_index: int, limit: int = SLICE_CHARS):
     """Cut Arrow record batches into runs of rows with about `limit` bytes of text.
 

@@ -7,8 +7,8 @@ word; a document's language is the label with the most expected words.
 
 Training sequences are labelled texts cut into segments and dealt anew, so that
 they switch languages as mixed text does. The sample of labelled rows is bounded
-(`SAMPLE_PER_LANGUAGE` texts each, by a hash of the id, of a text its first
-`FIT_CHARS` characters); every text is labelled
+(`SAMPLE_PER_LANGUAGE` whole texts each, by a hash of the id, of `FIT_BYTES` bytes
+together; longer texts than a sixteenth of that are no examples); every text is labelled
 whole, in one pass without a shuffle. Forward-backward runs over all texts of a
 slice at once: texts are cut into short chunks, chunk transfer matrices are
 multiplied along each text, and the chunks are then finished in parallel.
@@ -22,9 +22,9 @@ empty; other columns pass through.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +32,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import draw_limit, fold, runs, split_words
+from tidewater.llm.common import fit_in_task, fold, runs, split_words, whole_texts
 from tidewater.llm.shingles import mix
 
 SAMPLE_PER_LANGUAGE = 100
-FIT_CHARS = 200_000
+#: Bytes of all sampled texts of a language.
+FIT_BYTES = 4_000_000
 SEGMENT = 60
 SEGMENTS_PER_SEQUENCE = 20
 ITERATIONS = 25
@@ -305,22 +306,17 @@ def fit(texts: list[tuple[str, str]], iterations: int = ITERATIONS, seed: int =
 def fit_on(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageCrf | None:
     """Fit on about `sample_per_language` texts of each language of `docs` (doc_id, text, lang)."""
     known = docs.where("lang is not null and doc_id is not null and text is not null").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row per language
-    if not counts:
-        return None
-    limit = F.lit(None).cast("long")
-    draw = F.xxhash64(F.lit(11), "doc_id")
-    for lang, n in sorted(counts.items()):
-        limit = F.when(F.col("lang") == lang, F.lit(draw_limit(n, sample_per_language))).otherwise(limit)
-    rows = known.where(draw <= limit).withColumn("draw", draw).withColumn("text", F.substring("text", 1, FIT_CHARS)).collect()
-    rows.sort(key=lambda r: (r["lang"], r["draw"], r["doc_id"], r["text"]))
-    taken: Counter = Counter()
-    chosen = []
-    for r in rows:
-        if taken[r["lang"]] < sample_per_language:
-            taken[r["lang"]] += 1
-            chosen.append((r["text"], r["lang"]))
-    return fit(chosen)
+    # drawn by a hash threshold from the language's count, a fifth more than the sample, so that no language is sorted whole
+    drawn = known.withColumn("draw", F.xxhash64(F.lit(11), "doc_id")).join(known.groupBy("lang").agg(F.count("*").alias("n")), "lang")
+    share = (F.col("draw").cast("double") + 2.0**63) / 2.0**64
+    chosen = whole_texts(drawn.where(share <= (sample_per_language * 1.2 + 20) / F.col("n")).select("lang", "draw", "doc_id", "text"), "lang", sample_per_language, FIT_BYTES)
+
+    def learn(rows: list[dict]) -> LanguageCrf | None:
+        rows.sort(key=lambda r: (r["lang"], r["draw"], r["doc_id"], r["text"]))
+        return fit([(r["text"], r["lang"]) for r in rows]) if rows else None
+
+    data = fit_in_task(chosen, learn)
+    return pickle.loads(data) if data else None
 
 
 def language_column(spark: SparkSession, model: LanguageCrf | None, text: str = "text") -> Column:

@@ -10,7 +10,7 @@ are tied by skip edges wherever they stand, and loopy message passing makes
 labels consistent across the document. Spans are added where the field is sure.
 
 Weights and ties are learnt piecewise on a bounded sample of texts that hold a
-digit or an at sign (SAMPLE_TEXTS of them, their first FIT_CHARS characters), with
+digit or an at sign (SAMPLE_TEXTS whole ones of FIT_BYTES bytes together), with
 the pattern labels as truth; the marks that the patterns insist
 on are hidden from half of the examples, so shape, context and ties have to
 carry weight too. Base spans are never dropped or changed.
@@ -26,6 +26,7 @@ pair.
 from __future__ import annotations
 
 import bisect
+import pickle
 import itertools
 import re
 import zlib
@@ -38,12 +39,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import draw_limit, text_slices, trim
+from tidewater.llm.common import draw_limit, fit_in_task, text_slices, trim, whole_texts
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 SAMPLE_TEXTS = 2000
-FIT_CHARS = 20_000
+#: Bytes of all sampled texts.
+FIT_BYTES = 8_000_000
+#: Messages that are computed at a time.
+MESSAGES = 16_384
 SURE = 0.9
 
 #: Characters of an address before the at sign, and the base patterns.
@@ -265,29 +269,38 @@ class SkipChain:
         return masked
 
     def marginals(self, found: list[Candidate], rounds: int = 20, damping: float = 0.3) -> np.ndarray:
-        """Loopy sum-product over chain and skip edges, all messages of a round at once."""
+        """Loopy sum-product over chain and skip edges, all messages of a round at once.
+
+        Messages are computed a block of edges at a time, so what is held grows by a few
+        numbers for each candidate, however many a text has.
+        """
         unary = np.stack([self._unary(c) for c in found])
         chain, skip = edges(found)
         pairs = np.array(chain + skip, dtype=np.int64).reshape(-1, 2)
-        potential = np.concatenate([np.broadcast_to(self.chain, (len(chain), *self.chain.shape)), np.broadcast_to(self.skip, (len(skip), *self.skip.shape))])
-        source = np.concatenate([pairs[:, 0], pairs[:, 1]])
-        target = np.concatenate([pairs[:, 1], pairs[:, 0]])
-        both = np.concatenate([potential, potential.transpose(0, 2, 1)])
-        reverse = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
-        message = np.zeros((len(source), len(LABELS)))
-        for _ in range(rounds if len(source) else 0):
-            belief = unary.copy()
-            np.add.at(belief, target, message)
-            send = (belief[source] - message[reverse])[:, :, None] + both
-            top = send.max(1, keepdims=True)
-            fresh = np.log(np.exp(send - top).sum(1)) + top[:, 0]
+        n, k = len(pairs), len(LABELS)
+        source, target = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
+        # chain and skip potentials, and the same for messages the other way
+        potential = np.stack([self.chain, self.skip, self.chain.T, self.skip.T])
+        kind = np.tile(np.arange(n) >= len(chain), 2).astype(np.int8) + 2 * (np.arange(2 * n) >= n).astype(np.int8)
+        reverse = np.concatenate([np.arange(n) + n, np.arange(n)])
+
+        def beliefs(message: np.ndarray) -> np.ndarray:
+            return unary + np.stack([np.bincount(target, weights=message[:, c], minlength=len(found)) for c in range(k)], axis=1) if n else unary.copy()
+
+        message = np.zeros((2 * n, k))
+        for _ in range(rounds if n else 0):
+            belief, fresh = beliefs(message), np.empty_like(message)
+            for a in range(0, 2 * n, MESSAGES):
+                at = slice(a, a + MESSAGES)
+                send = (belief[source[at]] - message[reverse[at]])[:, :, None] + potential[kind[at]]
+                top = send.max(1, keepdims=True)
+                fresh[at] = np.log(np.exp(send - top).sum(1)) + top[:, 0]
             fresh -= fresh.max(1, keepdims=True)
             change = np.abs(fresh - message).max()
             message = damping * message + (1 - damping) * fresh
             if change < 1e-4:
                 break
-        belief = unary.copy()
-        np.add.at(belief, target, message)
+        belief = beliefs(message)
         belief = np.exp(belief - belief.max(1, keepdims=True))
         return belief / belief.sum(1, keepdims=True)
 
@@ -367,13 +380,13 @@ def fit(texts: list[str], steps: int = 60) -> SkipChain:
 
 def fit_on(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> SkipChain:
     """Fit on about `sample_texts` texts that hold a digit or an at sign, chosen by a hash of the text, copies once."""
-    rows = docs.where(F.col("text").rlike("[0-9@]"))
+    rows = docs.where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64(F.lit(13), "text").alias("draw"))
     n = rows.count()
     if not n:
         return fit([])
-    draw = F.xxhash64(F.lit(13), "text")
-    drawn = rows.where(draw <= draw_limit(n, sample_texts)).select(draw.alias("o"), F.substring("text", 1, FIT_CHARS).alias("text")).distinct().collect()
-    return fit([r["text"] for r in sorted(drawn, key=lambda r: (r["o"], r["text"]))[:sample_texts]])
+    drawn = rows.where(F.col("draw") <= draw_limit(n, sample_texts)).distinct()
+    data = fit_in_task(whole_texts(drawn, None, sample_texts, FIT_BYTES), lambda found: fit([r["text"] for r in sorted(found, key=lambda r: (r["draw"], r["text"]))]))
+    return pickle.loads(data) if data else fit([])
 
 
 def written(spans: list[tuple[str, int, int]]) -> str:

@@ -19,8 +19,8 @@ text still count, and by how much of it lies well on the toxic side. A logistic
 curve, fitted on out-of-fold differences, turns these into a score.
 
 Fitting uses a bounded sample of labelled rows: of each class the
-`sample_per_class` ids with the smallest hashes, of a text its first
-`FIT_CHARS` characters. Every text is scored whole, in one pass without a shuffle;
+`sample_per_class` ids with the smallest hashes, whole texts of `FIT_BYTES` bytes
+together (longer ones than a sixteenth of that are no examples). Every text is scored whole, in one pass without a shuffle;
 very long ones are a run of their own.
 
 Defined results: null and empty texts have no evidence (all differences 0) and
@@ -42,11 +42,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import draw_limit, fold, split_words, text_slices, trim
+from tidewater.llm.common import draw_limit, fold, split_words, text_slices, trim, whole_texts
 from tidewater.llm.shingles import mix
 
-SAMPLE_PER_CLASS = 2000
-FIT_CHARS = 200_000
+SAMPLE_PER_CLASS = 3000
+#: Bytes of all sampled texts of a class.
+FIT_BYTES = 24_000_000
 #: What rejecting an ordinary text costs, against passing a toxic one.
 ORDINARY_COST = 3.0
 WINDOWS = (1, 24, 96)
@@ -399,7 +400,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PE
     limit = F.when(F.col("toxic") == 1, F.lit(draw_limit(counts[1], sample_per_class))).otherwise(F.lit(draw_limit(counts[0], sample_per_class)))
     chosen = known.where(draw <= limit).withColumn("draw", draw)  # a fifth more than the sample is expected, so broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = rows.groupBy("doc_id", "toxic", "draw").agg(F.min(F.substring(F.coalesce("text", F.lit("")), 1, FIT_CHARS)).alias("text"))
+    rows = rows.groupBy("doc_id", "toxic", "draw").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = whole_texts(rows, "toxic", sample_per_class, FIT_BYTES)
     rows = rows.withColumn("half", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2))).select("draw", "doc_id", "toxic", "half", "text")
 
     def learnt(batches: Iterator[pa.RecordBatch]) -> bytes:
