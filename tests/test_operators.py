@@ -73,7 +73,7 @@ def test_merge_actions(spark):
 def sequential(rows, days=90):
     kept = []
     for r in sorted(rows, key=lambda r: (r[4], r[0])):
-        if not any((r[1] and r[1] == k[1] or (r[2], r[3]) == (k[2], k[3])) and (r[4] - k[4]).total_seconds() <= days * 86400 for k in kept):
+        if not any((r[1] and r[1] == k[1] or None not in (r[2], r[3]) and (r[2], r[3]) == (k[2], k[3])) and (r[4] - k[4]).total_seconds() <= days * 86400 for k in kept):
             kept.append(r)
     return {r[0] for r in kept}
 
@@ -84,7 +84,7 @@ SCHEMA = "id long, canonical_url string, normalized_title string, source string,
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_disjunctive_dedup_is_the_sequential_one(spark, seed):
     rnd = random.Random(seed)
-    rows = [(i, rnd.choice(["", "u1", "u2", "u3", "u4"]), rnd.choice("abc"), rnd.choice("st"), DAY + dt.timedelta(days=rnd.randrange(400))) for i in range(60)]
+    rows = [(i, rnd.choice(["", None, "u1", "u2", "u3", "u4"]), rnd.choice([None, *"abc"]), rnd.choice([None, *"st"]), DAY + dt.timedelta(days=rnd.randrange(400))) for i in range(60)]
     got = dedup.keep_disjunctive(spark.createDataFrame(rows, SCHEMA), cut)
     assert {r.id for r in got.where("kept").collect()} == sequential(rows)
 
@@ -97,6 +97,15 @@ def test_window_boundary(spark):
     assert {r.id for r in dedup.anti_window(df.where("id > 1"), df.where("id = 1")).collect()} == {3, 4}
 
 
+def test_nulls_repeat_nothing(spark):
+    at = lambda d: DAY + dt.timedelta(days=d)
+    rows = [(1, None, "a", "s", at(0)), (2, None, "b", "s", at(1)), (3, "u", "c", "s", at(2)), (4, "v", None, None, at(3)), (5, "w", None, None, at(4)), (6, "x", None, "s", at(5)), (7, "y", "d", None, at(6)), (8, "z", "d", None, at(250))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.id for r in dedup.keep_disjunctive(df, cut).where("kept").collect()} == set(range(1, 9)) == sequential(rows)
+    assert {r.id for r in dedup.keep_window(df, ["canonical_url"], cut).collect()} == set(range(1, 9))
+    assert {r.id for r in dedup.keep_window(df, ["normalized_title", "source"], cut).collect()} == set(range(1, 9))
+
+
 def test_health_sequence(spark):
     runs = spark.createDataFrame([(1, "a", "success", 10), (2, "a", "failed", 0), (3, "a", "no_match", 0), (4, "a", "partial", 0), (5, "a", "anomaly", 0)], "id long, source string, status string, article_count int")
     streak = [health.failure_streak(runs.where(f"id <= {n}")).first().streak for n in (2, 3, 4, 5)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,10 +12,11 @@ from tidewater.functions import html, text, urls
 from tidewater.operators import dedup, evaluate, events, filters, health, reply, state
 from tidewater.plans import monitor
 from tidewater.plans import runs as run_log
-from tidewater.plans.views import ARTICLES_SQL, NOTICES_SQL, REVIEWED_SQL, RUNS_SQL, articles, notices, reviewed, source_runs
-from tidewater.sources import files, scan, sinks
+from tidewater.plans.views import ARTICLES_SQL, NOTICES_SQL, PAGE_URL_SQL, REVIEWED_SQL, RUNS_SQL, VISITS_SQL, articles, notices, reviewed, source_runs, visits
+from tidewater.sources import files, page_stream, scan, sinks
 from tidewater.sources.files import read_table
-from tidewater.storage import cut
+from tidewater.storage import cut, fresh_path
+from tidewater.streaming import keyed
 
 TODAY = "2026-07-10"
 KEYWORDS, EXCLUDED = ["the.*of", "ción", "keit"], ["idiot", "licen[sc]e"]
@@ -112,10 +114,7 @@ def url_canonical_native(spark, sf):
     return articles(spark, sf).select("id", urls.canonical_url_native(F.col("url")).alias("canonical_url"))
 
 
-_PAGE_URL_SQL = "regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(utm_[^=&]*|from|from_source|spm)=[^&]*', '\\1', 'g'), '[?&]+$', '')"
-
-
-@query("page_url_canonical", f"SELECT page_id, {_PAGE_URL_SQL} AS canonical_url FROM pages")
+@query("page_url_canonical", f"SELECT page_id, {PAGE_URL_SQL} AS canonical_url FROM pages")
 def page_url_canonical(spark, sf):
     return read_table(spark, sf, "pages").select("page_id", urls.canonical_url("url").alias("canonical_url"))
 
@@ -150,34 +149,51 @@ def dedup_first_url(spark, sf):
     return dedup.first_by(rows, ["canonical_url"], "id")
 
 
-def _keyed(spark, sf):
-    """Articles with the keys of the window dedup; keys repeat across the table."""
-    i = F.col("id")
-    return articles(spark, sf).select("id", "created_at", F.when(i % 13 == 0, "").otherwise(F.concat(F.lit("u"), (i % 290).cast("string"))).alias("canonical_url"), F.concat(F.lit("t"), (i % 170).cast("string")).alias("normalized_title"), F.concat(F.lit("s"), (i % 2).cast("string")).alias("source"))
-
-
-_KEYED_SQL = ARTICLES_SQL + ", keyed AS (SELECT id, created_at, CASE WHEN id % 13 = 0 THEN '' ELSE 'u' || (id % 290) END AS canonical_url, 't' || (id % 170) AS normalized_title, 's' || (id % 2) AS source FROM articles)"
+_KEYED_SQL = f"{VISITS_SQL}, keyed AS (SELECT * FROM visits)"
 
 
 @query("dedup_anti_window", f"WITH {_KEYED_SQL}, i AS (SELECT * FROM keyed WHERE id % 4 = 0), s AS (SELECT * FROM keyed WHERE id % 4 <> 0) SELECT id FROM i WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.created_at <= i.created_at AND s.created_at >= i.created_at - INTERVAL 90 DAY AND ((s.canonical_url = i.canonical_url AND s.canonical_url <> '') OR (s.normalized_title = i.normalized_title AND s.source = i.source)))")
 def dedup_anti_window(spark, sf):
-    rows = _keyed(spark, sf)
+    rows = visits(spark, sf)
     return dedup.anti_window(rows.where("id % 4 = 0"), rows.where("id % 4 <> 0")).select("id")
 
 
 @query("dedup_by_url_window", f"WITH RECURSIVE {_KEYED_SQL}, k AS (SELECT * FROM keyed WHERE canonical_url <> ''), kept AS (SELECT canonical_url, min(created_at) AS last FROM k GROUP BY 1 UNION ALL SELECT canonical_url, last FROM (SELECT x.canonical_url, (SELECT min(k.created_at) FROM k WHERE k.canonical_url = x.canonical_url AND k.created_at > x.last + INTERVAL 90 DAY) AS last FROM kept x) WHERE last IS NOT NULL) SELECT min(k.id) AS id FROM kept JOIN k ON k.canonical_url = kept.canonical_url AND k.created_at = kept.last GROUP BY kept.canonical_url, kept.last")
 def dedup_by_url_window(spark, sf):
-    return dedup.keep_window(_keyed(spark, sf).where("canonical_url <> ''"), ["canonical_url"], cut).select("id")
+    return dedup.keep_window(visits(spark, sf).where("canonical_url <> ''"), ["canonical_url"], cut).select("id")
 
 
 @query("dedup_by_title_source", f"WITH RECURSIVE {_KEYED_SQL}, kept AS (SELECT normalized_title, source, min(created_at) AS last FROM keyed GROUP BY 1, 2 UNION ALL SELECT normalized_title, source, last FROM (SELECT x.normalized_title, x.source, (SELECT min(k.created_at) FROM keyed k WHERE k.normalized_title = x.normalized_title AND k.source = x.source AND k.created_at > x.last + INTERVAL 90 DAY) AS last FROM kept x) WHERE last IS NOT NULL) SELECT min(k.id) AS id FROM kept JOIN keyed k ON k.normalized_title = kept.normalized_title AND k.source = kept.source AND k.created_at = kept.last GROUP BY kept.normalized_title, kept.source, kept.last")
 def dedup_by_title_source(spark, sf):
-    return dedup.keep_window(_keyed(spark, sf), ["normalized_title", "source"], cut).select("id")
+    return dedup.keep_window(visits(spark, sf), ["normalized_title", "source"], cut).select("id")
+
 
+_WALK_SQL = f"WITH RECURSIVE {_KEYED_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY created_at, id) AS n FROM keyed), walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(id BIGINT, u VARCHAR, t VARCHAR, s VARCHAR, w TIMESTAMP)[]) AS kept UNION ALL SELECT o.n, CASE WHEN len(list_filter(walk.kept, lambda k: k.w >= o.created_at - INTERVAL 90 DAY AND ((k.u = o.canonical_url AND k.u <> '') OR (k.t = o.normalized_title AND k.s = o.source)))) = 0 THEN list_append(walk.kept, {{'id': o.id, 'u': o.canonical_url, 't': o.normalized_title, 's': o.source, 'w': o.created_at}}) ELSE walk.kept END FROM walk JOIN o ON o.n = walk.n + 1), f AS (SELECT unnest(kept).id AS id FROM (SELECT kept FROM walk ORDER BY n DESC LIMIT 1))"
 
-@query("dedup_disjunctive", f"WITH RECURSIVE {_KEYED_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY created_at, id) AS n FROM keyed), walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(id BIGINT, u VARCHAR, t VARCHAR, s VARCHAR, w TIMESTAMP)[]) AS kept UNION ALL SELECT o.n, CASE WHEN len(list_filter(walk.kept, lambda k: k.w >= o.created_at - INTERVAL 90 DAY AND ((k.u = o.canonical_url AND k.u <> '') OR (k.t = o.normalized_title AND k.s = o.source)))) = 0 THEN list_append(walk.kept, {{'id': o.id, 'u': o.canonical_url, 't': o.normalized_title, 's': o.source, 'w': o.created_at}}) ELSE walk.kept END FROM walk JOIN o ON o.n = walk.n + 1), f AS (SELECT unnest(kept).id AS id FROM (SELECT kept FROM walk ORDER BY n DESC LIMIT 1)) SELECT keyed.id, f.id IS NOT NULL AS kept FROM keyed LEFT JOIN f ON f.id = keyed.id")
+
+@query("dedup_disjunctive", f"{_WALK_SQL} SELECT keyed.id, f.id IS NOT NULL AS kept FROM keyed LEFT JOIN f ON f.id = keyed.id")
 def dedup_disjunctive(spark, sf):
-    return dedup.keep_disjunctive(_keyed(spark, sf), cut).select("id", "kept")
+    return dedup.keep_disjunctive(visits(spark, sf), cut).select("id", "kept")
+
+
+@query("dedup_stream", f"{_WALK_SQL} SELECT id FROM f")
+def dedup_stream(spark, sf):
+    """The same rows as they arrive in four parts of their time, judged by keyed state."""
+    rows = cut(visits(spark, sf))
+    arrivals, store, check = (fresh_path(spark) for _ in range(3))
+    first, last = rows.agg(F.min("created_at"), F.max("created_at")).first()
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    keyed.make_folder(spark, arrivals)
+    query = keyed.dedup_stream(spark, spark.readStream.schema(schema).parquet(arrivals), store, check, cut)
+    try:
+        for n in range(4 if first else 0):
+            step = (last - first) / 4
+            part = F.col("created_at") >= F.lit(first + n * step).cast("timestamp_ntz")
+            rows.where(part & (F.col("created_at") < F.lit(first + (n + 1) * step).cast("timestamp_ntz")) if n < 3 else part).write.mode("append").parquet(arrivals)
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(store).select("id")
 
 
 _SOURCES = [("行业信息库", "website", "authoritative_secondary", 1), ("城市规划学会", "website", "official_website", 2), ("行业信息库", "website", "aggregator", 3), ("规划视界", "wechat", "authoritative_secondary", 4)]
@@ -236,6 +252,39 @@ def event_winner(spark, sf):
 _NOW = "2026-07-31 09:59:00"
 
 
+_MINE_SQL = "{'p': a.priority, 'c': a.completeness, 'd': a.publish_date, 'i': a.id}"
+_RELEASE_SQL = f"""WITH RECURSIVE {_RANKED_SQL}, a AS (SELECT event_key, id, tier, priority, completeness, publish_date, created_at, row_number() OVER (PARTITION BY event_key ORDER BY created_at, id) AS n FROM r),
+  z AS (SELECT NULL::STRUCT(p INTEGER, c INTEGER, d VARCHAR, i BIGINT) AS no),
+  w AS (SELECT DISTINCT event_key, CAST(0 AS BIGINT) AS n, no AS waiting, CAST(NULL AS TIMESTAMP) AS due, no AS out, CAST([] AS STRUCT(id BIGINT, action VARCHAR, better_id BIGINT)[]) AS done FROM a, z
+    UNION ALL SELECT event_key, n, CASE WHEN nout IS NOT NULL THEN no WHEN nwait IS NOT NULL AND nwait > mine THEN nwait WHEN tier = 'aggregator' THEN mine ELSE no END,
+      CASE WHEN nout IS NOT NULL THEN NULL WHEN nwait IS NOT NULL AND nwait > mine THEN due WHEN tier = 'aggregator' THEN created_at + INTERVAL 24 HOUR END,
+      CASE WHEN nout IS NOT NULL THEN CASE WHEN mine > nout THEN {{'p': mine.p, 'c': nout.c, 'd': nout.d, 'i': nout.i}} ELSE nout END WHEN (nwait IS NULL OR nwait < mine) AND tier <> 'aggregator' THEN mine ELSE no END,
+      list_concat(CASE WHEN released THEN [{{'id': waiting.i, 'action': 'push', 'better_id': NULL::BIGINT}}] ELSE [] END,
+        CASE WHEN nout IS NOT NULL THEN CASE WHEN mine > nout THEN [{{'id': mine.i, 'action': 'supersede', 'better_id': NULL}}, {{'id': nout.i, 'action': 'take_over', 'better_id': mine.i}}] ELSE [{{'id': mine.i, 'action': 'supersede', 'better_id': NULL}}] END
+          WHEN nwait IS NOT NULL AND nwait > mine THEN [{{'id': mine.i, 'action': 'supersede', 'better_id': NULL}}]
+          ELSE list_concat(CASE WHEN nwait IS NOT NULL THEN [{{'id': nwait.i, 'action': 'supersede', 'better_id': NULL::BIGINT}}] ELSE [] END, CASE WHEN tier <> 'aggregator' THEN [{{'id': mine.i, 'action': 'push', 'better_id': NULL::BIGINT}}] ELSE [] END) END)
+      FROM (SELECT *, CASE WHEN released THEN waiting ELSE out END AS nout, CASE WHEN released THEN no ELSE waiting END AS nwait FROM (SELECT a.event_key, a.n, a.tier, a.created_at, {_MINE_SQL}::STRUCT(p INTEGER, c INTEGER, d VARCHAR, i BIGINT) AS mine, w.waiting, w.due, w.out, no, coalesce(w.due <= a.created_at, false) AS released FROM w JOIN a ON a.event_key = w.event_key AND a.n = w.n + 1, z))),
+  steps AS (SELECT unnest(done) AS s FROM w), ends AS (SELECT waiting.i AS id, due FROM w QUALIFY row_number() OVER (PARTITION BY event_key ORDER BY n DESC) = 1 AND waiting IS NOT NULL)
+  SELECT s.id AS id, s.action AS action, s.better_id AS better_id FROM steps UNION ALL SELECT id, 'push', NULL FROM ends WHERE due <= (SELECT max(created_at) - INTERVAL 1 HOUR FROM r)"""
+
+
+@query("release_stream", _RELEASE_SQL)
+def release_stream(spark, sf):
+    """What becomes of every report as reports arrive day by day: aggregators' go out by timers of their events."""
+    rows = cut(_ranked(spark, sf).select("event_key", "id", "tier", "priority", "completeness", "publish_date", "created_at"))
+    reports, out, check = (fresh_path(spark) for _ in range(3))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    keyed.make_folder(spark, reports)
+    query = keyed.release_stream(spark, spark.readStream.schema(schema).parquet(reports), lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), check)
+    try:
+        for (day,) in rows.select(F.to_date("created_at").alias("day")).distinct().orderBy("day").collect():  # four days
+            rows.where(F.to_date("created_at") == day).write.mode("append").parquet(reports)
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.schema(keyed.ACTIONS).option("recursiveFileLookup", "true").parquet(out).select("id", "action", "better_id")
+
+
 @query("event_merge_status", f"""WITH {_RANKED_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY event_key ORDER BY priority DESC, completeness DESC, publish_date DESC, id DESC) AS rn,
   CASE WHEN status = 'pushed' THEN row_number() OVER (PARTITION BY event_key, status = 'pushed' ORDER BY priority DESC, completeness DESC, publish_date DESC, id DESC) END AS prn, bool_or(status = 'pushed') OVER (PARTITION BY event_key) AS any_pushed FROM r)
   SELECT id, CASE WHEN status = 'pushed' THEN CASE WHEN prn = 1 AND rn <> 1 THEN 'take_over' ELSE 'none' END WHEN any_pushed OR rn <> 1 THEN 'supersede' WHEN tier = 'aggregator' AND NOT (TIMESTAMP '{_NOW}' >= created_at + INTERVAL 24 HOUR) THEN 'wait' ELSE 'push' END AS action FROM o""")
@@ -601,6 +650,28 @@ def paged_scan_status(spark, sf):
     return scan.scan(pages, items)[1]
 
 
+@query("stream_scan_status", _SCAN_SQL)
+def stream_scan_status(spark, sf):
+    """The same scans as a stream that plans a page once the page before is judged; pages behind a stop are never asked for."""
+    i = F.col("page_id")
+    site = read_table(spark, sf, "pages").withColumn("source", urls.host(F.col("url"))).withColumn("page_num", F.row_number().over(Window.partitionBy("source").orderBy("page_id")))
+    landed = cut(site.select("source", "page_num", "url", F.when(i % 17 != 0, F.col("html")).alias("body"), F.when(i % 17 == 0, "timeout").alias("fetch_error")))
+    links = html.links_column()
+
+    def parse(pages):
+        found = pages.select("source", "page_num", F.explode(links("body")).alias("l"))
+        return found.select("source", "page_num", F.col("l.pos").alias("pos"), F.col("l.href").alias("url"))
+
+    with tempfile.TemporaryDirectory() as verdicts:  # read by this driver's planner alone
+        out = fresh_path(spark)
+        query = page_stream.stream_scan(spark, landed, parse, out, verdicts, cut, landed=landed)
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    return page_stream.scanned(spark, out)[1]
+
+
 @query("reply_parse", "SELECT conv_id, turn, CASE WHEN k = 0 THEN true WHEN k = 1 THEN false END AS decision, CASE WHEN k < 2 THEN '' ELSE 'invalid_response' END AS error_kind, CASE WHEN k < 2 THEN '2026-08-31' ELSE '' END AS deadline_date FROM (SELECT conv_id, turn, (conv_id + turn) % 4 AS k FROM conversations)")
 def reply_parse(spark, sf):
     c = read_table(spark, sf, "conversations")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.functions.text import normalize_title
+from tidewater.functions.urls import canonical_url
 from tidewater.sources.files import read_table
 
 AWARDS = ("城市规划科学技术奖", "自然资源科技奖", "摄影大赛", "风景园林设计竞赛", "安全生产培训", "华夏建设奖评优", "测绘成果奖")
@@ -47,6 +49,25 @@ ARTICLES_SQL = f"""articles AS (SELECT doc_id AS id, coalesce(source, '') AS sou
   {_sql(STATUSES, 'doc_id')} AS status, CAST(doc_id % 2 + 1 AS INTEGER) AS pipeline_version, CAST(doc_id % 4 AS INTEGER) AS attempt_count FROM documents)"""
 
 
+def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page as it was fetched twice: its canonical URL, normalised title and registered domain; some titles change, some URLs are unknown."""
+    p = read_table(spark, sf_dir, "pages").withColumn("visit", F.explode(F.array(F.lit(0), F.lit(1))))
+    i, again = F.col("page_id"), F.col("visit") == 1
+    title = F.concat(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.when(again & (i % 3 == 0), " updated").otherwise(""))
+    return p.select(
+        (i * 2 + F.col("visit")).alias("id"), F.when(i % 13 == 0, "").otherwise(canonical_url("url")).alias("canonical_url"), normalize_title(title).alias("normalized_title"),
+        F.substring_index(F.regexp_extract("url", "^[a-z]+://([^/?#:]*)", 1), ".", -2).alias("source"),
+        F.timestamp_add("DAY", (i * 7 % 300 + F.col("visit") * (i * 13 % 160)).cast("int"), F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")).alias("created_at"),
+    )
+
+
+PAGE_URL_SQL = "regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(utm_[^=&]*|from|from_source|spm)=[^&]*', '\\1', 'g'), '[?&]+$', '')"
+VISITS_SQL = f"""visits AS (SELECT page_id * 2 + visit AS id, CASE WHEN page_id % 13 = 0 THEN '' ELSE {PAGE_URL_SQL} END AS canonical_url,
+  regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1) || CASE WHEN visit = 1 AND page_id % 3 = 0 THEN ' updated' ELSE '' END), '\\s+', '', 'g') AS normalized_title,
+  regexp_extract(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1), '[^.]*\\.[^.]*$') AS source, TIMESTAMP '2026-01-01 00:00:00' + INTERVAL 1 DAY * (page_id * 7 % 300 + visit * (page_id * 13 % 160)) AS created_at
+  FROM pages, (VALUES (0), (1)) v(visit))"""
+
+
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notices with titles that the screening rules are made for."""
     d = read_table(spark, sf_dir, "documents")

@@ -38,11 +38,7 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     The files of an application are removed when its driver ends.
     """
     spark = df.sparkSession
-    base = f"{shared_dir(spark)}/tidewater-{spark.sparkContext.applicationId}"
-    if base not in _cleanup:
-        _cleanup.add(base)
-        atexit.register(remove, spark, base)
-    path = f"{base}/{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     release(spark)
     writer = df.write.option("compression", "zstd")  # what is written here is read once or twice, and disk is what runs out first
     writer = writer.partitionBy(*partition_by) if partition_by else writer
@@ -54,6 +50,15 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     return out
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A path of no file yet in the shared folder, removed when the driver ends."""
+    base = f"{shared_dir(spark)}/tidewater-{spark.sparkContext.applicationId}"
+    if base not in _cleanup:
+        _cleanup.add(base)
+        atexit.register(remove, spark, base)
+    return f"{base}/{uuid.uuid4().hex}"
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Cuts made inside are deleted at the end, but for those handed to the function that this yields."""

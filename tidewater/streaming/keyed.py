@@ -89,7 +89,7 @@ def dedup_stream(
     the batch is run again, and setting a state twice is setting it once.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in arrivals.schema.fields)
-    _make(spark, store)
+    make_folder(spark, store)
     kept = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(store)
     both = arrivals.withColumn("kept", F.lit(False)).unionByName(kept.withColumn("kept", F.lit(True)))
     at = both.withColumn("at", F.col("created_at").cast("timestamp")).withWatermark("at", f"{days} days")
@@ -140,7 +140,7 @@ def _with_state(spark: SparkSession, start: Callable[[], StreamingQuery], partit
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _make(spark: SparkSession, path: str) -> None:
+def make_folder(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
 
