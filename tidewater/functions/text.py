@@ -102,3 +102,22 @@ def infer_deadline(text: Column, reference_year: Column) -> Column:
     date = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
     dates = F.concat(F.transform(full, lambda p: date(p["y"], p["m"], p["d"])), F.transform(found(_MONTH_DAY, "md"), lambda p: date(year, p["m"], p["d"])))
     return F.coalesce(F.try_element_at(F.array_compact(dates), F.lit(-1)).cast("string"), F.lit(""))
+
+
+def text_array(stored: Column) -> Column:
+    """Texts of an array that is stored as JSON; what is null, blank, malformed or no array is an empty array."""
+    value = F.try_parse_json(stored)
+    items = F.try_variant_get(value, "$", "array<variant>")
+    return F.coalesce(F.transform(items, variant_text), F.array().cast("array<string>"))
+
+
+def variant_text(item: Column) -> Column:
+    """An item of an array as text: strings as they are, others as they are written, a null as None."""
+    kind = F.schema_of_variant(item)
+    flag = F.when(F.try_variant_get(item, "$", "boolean"), "True").otherwise("False")
+    return F.when(kind == "VOID", "None").when(kind == "BOOLEAN", flag).otherwise(F.try_variant_get(item, "$", "string"))
+
+
+def array_problem(stored: Column) -> Column:
+    """Whether a stored text that isn't blank fails to be a JSON array."""
+    return (F.coalesce(stored, F.lit("")) != "") & F.try_variant_get(F.try_parse_json(stored), "$", "array<variant>").isNull()

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.text import lenient_date
 from tidewater.operators.filters import any_of
+from tidewater.operators.state import ordered_positions
+from tidewater.storage import cut
 
 YES, NO = "是", "否"
 POSITIVE_STATUSES = ("ai_confirmed", "ready_to_push", "push_failed", "pushed")
@@ -56,14 +58,46 @@ def allocate(sizes: dict[str, int], target: int) -> dict[str, int]:
     return given
 
 
+def apportion(sizes: DataFrame, target: int, group: str = "source") -> DataFrame:
+    """`allocate` for a table of any number of groups (group, population): adds sample_size.
+
+    Every group has one place; the others go in proportion to the room that is left,
+    so quotas never pass it and one round of largest remainders deals them out.
+    Remainders have one denominator and are compared as whole numbers; two sums reach
+    the driver, and ranks come from a distributed sort.
+    """
+    total, n = sizes.agg(F.coalesce(F.sum("population"), F.lit(0)), F.count("*")).first()
+    target = max(0, min(target, total))
+    if target >= total:
+        return sizes.withColumn("sample_size", F.col("population"))
+    if target < n:
+        ranked = ordered_positions(sizes, F.col("population").desc(), group)
+        return ranked.withColumn("sample_size", (F.col("__position") < target).cast("long")).drop("__position")
+    big = lambda x: F.lit(x).cast("decimal(19,0)")
+    share = big(target - n) * (F.col("population") - 1).cast("decimal(19,0)")
+    quota = sizes.withColumns({"__floor": F.call_function("div", share, big(total - n)), "__rest": share % big(total - n)})
+    left = target - n - quota.agg(F.sum("__floor")).first()[0]
+    ranked = ordered_positions(quota, F.col("__rest").desc(), group)
+    return ranked.withColumn("sample_size", 1 + F.col("__floor") + (F.col("__position") < left).cast("long")).drop("__floor", "__rest", "__position")
+
+
+def bottom(rows: DataFrame, group: str, order: Column, most: str, parts: int = 64) -> DataFrame:
+    """The first `most` (a column) rows of each group in an order.
+
+    A group is dealt into `parts` by hash of the order; each part's first rows are
+    merged, so a group of all rows is no single sort: `parts` times `most` rows meet.
+    """
+    keyed = rows.withColumn("__o", order).withColumn("__salt", F.pmod(F.xxhash64("__o"), F.lit(parts)))
+    for by in ([group, "__salt"], [group]):
+        keyed = keyed.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy("__o"))).where(F.col("__n") <= F.col(most))
+    return keyed.drop("__o", "__salt", "__n")
+
+
 def sample(rows: DataFrame, target: int, seed: int, group: str = "source") -> DataFrame:
     """Stratified sample: rows of each group with the smallest sha256(seed:id), with population, sample size and weight."""
-    spark = rows.sparkSession
-    sizes = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}  # one row per source
-    shares = allocate(sizes, target)
-    table = spark.createDataFrame([(s, sizes[s], n) for s, n in sorted(shares.items())], f"{group} string, population long, sample_size long")
+    shares = apportion(rows.groupBy(group).agg(F.count("*").alias("population")), target, group)
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256)
-    drawn = rows.join(table, group).withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(order))).where("__n <= sample_size").drop("__n")
+    drawn = bottom(rows.join(shares, group), group, order, "sample_size")
     return drawn.withColumn("sampling_weight", F.format_string("%.8f", F.col("population") / F.col("sample_size")))
 
 
@@ -187,33 +221,68 @@ def label_column(columns: list[str]) -> str:
     return "事件时点评估结论" if "事件时点评估结论" in columns else "人工审核结论"
 
 
-def bootstrap(spark: SparkSession, rows: DataFrame, iterations: int = 1000, seed: int = 20260710) -> DataFrame:
-    """Percentile intervals of the ratios by stratified resampling: name, low, high.
+#: Blocks that a stratum's cells are dealt into.
+BLOCKS = 64
+_OUTCOMES = ("tn", "fn", "fp", "tp")  # by 2 * predicted + actual
+
+
+def _split(rng: np.random.Generator, total: np.ndarray, sizes: np.ndarray):
+    """Draws of each part when `total` rows are drawn with replacement from parts of some sizes: conditional binomials, exactly."""
+    left, rest = total.copy(), int(sizes.sum())
+    for size in sizes.tolist():
+        got = left.copy() if size == rest else rng.binomial(left, size / rest)
+        left -= got
+        rest -= size
+        yield got
 
-    A stratum's rows enter each resample with Poisson counts that are scaled to
-    the stratum's size, which needs no row of it in one place: rows are counted by
-    stratum, outcome and weight, each cell draws its own counts in all iterations
-    with a seed of its own, and the draws are summed. A stratum that is fully
-    labelled (census) isn't resampled.
+
+def bootstrap(spark: SparkSession, rows: DataFrame, iterations: int = 1000, seed: int = 20260710) -> DataFrame:
+    """Percentile intervals of the ratios by stratified resampling with replacement: name, low, high.
+
+    Each resample has exactly as many rows of a stratum as it has. Rows that are alike
+    (outcome and weight) are a cell, and how often a cell is drawn is binomial given the
+    draws of the cells before it. A stratum's cells lie in blocks by hash: first its
+    draws are split between the blocks, then each block splits its own, so a stratum
+    with a weight for each row is many tasks. A task adds up what its cells weigh and
+    hands on `iterations` sums for each outcome. A stratum that is fully labelled
+    (census) isn't resampled.
     """
-    cells = rows.groupBy("stratum", "predicted", "actual", "weight", "census").agg(F.count("*").alias("n"))
-
-    def draw(batches):
-        for batch in batches:
-            for row in batch.itertuples():
-                key = zlib.crc32(f"{row.stratum}|{row.predicted}|{row.actual}|{row.weight}".encode())
-                rng = np.random.default_rng([seed, key])
-                n = np.full(iterations, row.n) if row.census else rng.poisson(row.n, iterations)
-                yield pd.DataFrame({"i": np.arange(iterations), "stratum": row.stratum, "outcome": int(row.predicted) * 2 + int(row.actual), "n": n.astype(float), "mass": n * float(row.weight)})
-
-    drawn = cells.select("stratum", "predicted", "actual", F.col("weight").cast("double").alias("weight"), "census", "n").mapInPandas(draw, "i long, stratum string, outcome int, n double, mass double")
-    per = drawn.groupBy("i", "stratum", "outcome").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass"))
-    sizes = rows.groupBy("stratum").agg(F.count("*").alias("size"))
-    total = per.groupBy("i", "stratum").agg(F.sum("n").alias("drawn"), *[F.sum(F.when(F.col("outcome") == o, F.col("mass")).otherwise(0.0)).alias(c) for c, o in (("tp", 3), ("fp", 2), ("tn", 0), ("fn", 1))])
-    scale = F.try_divide(F.col("size").cast("double"), F.col("drawn"))
-    whole = total.join(sizes, "stratum").groupBy("i").agg(*[F.sum(F.col(c) * F.coalesce(scale, F.lit(0.0))).alias(c) for c in ("tp", "fp", "tn", "fn")])
+    cells = rows.select("stratum", (F.col("predicted").cast("int") * 2 + F.col("actual").cast("int")).alias("outcome"), F.col("weight").cast("double").alias("weight"), "census")
+    cells = cells.groupBy("stratum", "outcome", "weight", "census").agg(F.count("*").alias("n")).withColumn("block", F.pmod(F.xxhash64("outcome", "weight"), F.lit(BLOCKS)).cast("int"))
+    cells = cut(cells)
+    sizes = cells.groupBy("stratum", "block").agg(F.sum("n").alias("n"))
+
+    def draws(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("block")
+        rng = np.random.default_rng([seed, zlib.crc32(str(key[0]).encode())])
+        n = frame["n"].to_numpy()
+        drawn = list(_split(rng, np.full(iterations, n.sum()), n))
+        return pd.DataFrame({"stratum": frame["stratum"], "block": frame["block"], "drawn": [d.tolist() for d in drawn]})
+
+    # at most BLOCKS rows of a stratum
+    drawn = sizes.groupBy("stratum").applyInPandas(draws, "stratum string, block int, drawn array<long>")
+    part = [F.col("stratum"), F.col("block")]
+    joined = cells.join(drawn, ["stratum", "block"]).repartition(*part).sortWithinPartitions(*part, "outcome", "weight", "census")
+    # the rest of a block's size is needed by each of its cells
+    after = F.sum("n").over(Window.partitionBy(*part).orderBy("outcome", "weight", "census").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    joined = joined.withColumn("rest", after)
+
+    def weigh(batches):
+        total, at, left, rng = np.zeros((4, iterations)), None, None, None
+        for frame in batches:
+            for r in frame.itertuples(index=False):
+                if (r.stratum, r.block) != at:
+                    at, left = (r.stratum, r.block), np.array(r.drawn, dtype=np.int64)
+                    rng = np.random.default_rng([seed, 1 + r.block, zlib.crc32(str(r.stratum).encode())])
+                got = left.copy() if r.n == r.rest else rng.binomial(left, r.n / r.rest)
+                left = left - got
+                total[r.outcome] += r.weight * (r.n if r.census else got)
+        yield pd.DataFrame({"tn": [total[0].tolist()], "fn": [total[1].tolist()], "fp": [total[2].tolist()], "tp": [total[3].tolist()]})
+
+    sums = joined.select("stratum", "block", "outcome", "weight", "census", "n", "rest", "drawn").mapInPandas(weigh, ", ".join(f"{c} array<double>" for c in _OUTCOMES))
+    each = sums.select(F.posexplode(F.arrays_zip(*_OUTCOMES)).alias("i", "s")).groupBy("i").agg(*[F.sum(f"s.{c}").alias(c) for c in _OUTCOMES])
     names = ("accuracy", "precision", "recall", "f1")
-    summary = ratios(whole).agg(*[F.percentile(n, F.array(F.lit(0.025), F.lit(0.975))).alias(n) for n in names])
+    summary = ratios(each).agg(*[F.percentile(n, F.array(F.lit(0.025), F.lit(0.975))).alias(n) for n in names])
     return summary.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.get(n, F.lit(0)).alias("low"), F.get(n, F.lit(1)).alias("high")) for n in names])).alias("r")).select("r.*")
 
 

@@ -10,6 +10,7 @@ from tidewater.functions.urls import canonical_url
 from tidewater.operators.dedup import anti_window, first_by
 from tidewater.operators.filters import any_of
 from tidewater.schemas import PIPELINE_VERSION, SCHEMA_VERSION
+from tidewater.storage import cut
 
 
 def transition(articles: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
@@ -18,7 +19,7 @@ def transition(articles: DataFrame, changes: DataFrame, now: Column) -> DataFram
     A given error wins over clearing it; rows without a change stay as they are.
     """
     names = ("status", "ai_reason", "last_error", "increment", "pushed", "clear_error")
-    have = [F.col(c).alias(f"__{c}") if c in changes.columns else F.lit(None).cast("string" if c in ("ai_reason", "last_error") else "boolean").alias(f"__{c}") for c in names]
+    have = [F.col(c).alias(f"__{c}") if c in changes.columns else F.lit(None).cast("string" if c in ("status", "ai_reason", "last_error") else "boolean").alias(f"__{c}") for c in names]
     rows = articles.join(changes.select(F.col("id"), F.lit(True).alias("__hit"), *have), "id", "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     error = F.coalesce("__last_error", F.when(~yes("__clear_error"), F.col("last_error")))
@@ -184,6 +185,20 @@ def positions(rows: DataFrame, key: str, buckets: int = 256) -> DataFrame:
     return cut_rows.withColumn("__nth", nth).join(base, "__bucket").withColumn("__position", F.col("__base") + F.col("__nth") - 1).drop("__bucket", "__base", "__nth")
 
 
+def ordered_positions(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """Adds __position: each row's number from 0 in an order of any columns, ties in any order.
+
+    Rows are dealt by ranges of the order and sorted there; a range's rows are
+    numbered by the rows of the ranges before it, of which there are as many as
+    partitions.
+    """
+    wide = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
+    held = cut(wide.withColumn("__part", F.shiftright("__m", 33)).withColumn("__nth", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__m"))
+    sizes = held.groupBy("__part").agg(F.count("*").alias("__size"))
+    base = sizes.select("__part", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    return held.join(base, "__part").withColumn("__position", F.col("__base") + F.col("__nth")).drop("__part", "__nth", "__base")
+
+
 def batches(rows: DataFrame, size: int = 10) -> DataFrame:
     """Numbers rows (in id order) for a sink in batches: batch_no from 0."""
     return positions(rows, "id").withColumn("batch_no", F.expr(f"__position div {size}")).drop("__position")

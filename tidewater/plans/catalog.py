@@ -13,7 +13,7 @@ from tidewater.operators import dedup, evaluate, events, filters, health, reply,
 from tidewater.plans import monitor
 from tidewater.plans import runs as run_log
 from tidewater.plans.views import ARTICLES_SQL, NOTICES_SQL, PAGE_URL_SQL, REVIEWED_SQL, RUNS_SQL, VISITS_SQL, articles, notices, reviewed, source_runs, visits
-from tidewater.sources import files, page_stream, scan, sinks
+from tidewater.sources import files, key_files, page_stream, scan, sinks, snapshots
 from tidewater.sources.files import read_table
 from tidewater.storage import cut, fresh_path
 from tidewater.streaming import keyed
@@ -158,6 +158,17 @@ def dedup_anti_window(spark, sf):
     return dedup.anti_window(rows.where("id % 4 = 0"), rows.where("id % 4 <> 0")).select("id")
 
 
+_ANTI_SQL = "SELECT id FROM i WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.created_at <= i.created_at AND s.created_at >= i.created_at - INTERVAL 90 DAY AND ((s.canonical_url = i.canonical_url AND s.canonical_url <> '') OR (s.normalized_title = i.normalized_title AND s.source = i.source)))"
+
+
+@query("dedup_pruned_lookup", f"WITH {_KEYED_SQL}, i AS (SELECT * FROM keyed WHERE created_at >= TIMESTAMP '2026-08-01'), s AS (SELECT * FROM keyed WHERE created_at < TIMESTAMP '2026-08-01') {_ANTI_SQL}")
+def dedup_pruned_lookup(spark, sf):
+    """Later visits against the stored keys of earlier ones; months before the window and files without a key of theirs stay unread."""
+    rows, path = visits(spark, sf), fresh_path(spark)
+    key_files.write_keys(rows.where("created_at < timestamp_ntz'2026-08-01'"), path)
+    return key_files.anti_window_files(rows.where("created_at >= timestamp_ntz'2026-08-01'"), path).select("id")
+
+
 @query("dedup_by_url_window", f"WITH RECURSIVE {_KEYED_SQL}, k AS (SELECT * FROM keyed WHERE canonical_url <> ''), kept AS (SELECT canonical_url, min(created_at) AS last FROM k GROUP BY 1 UNION ALL SELECT canonical_url, last FROM (SELECT x.canonical_url, (SELECT min(k.created_at) FROM k WHERE k.canonical_url = x.canonical_url AND k.created_at > x.last + INTERVAL 90 DAY) AS last FROM kept x) WHERE last IS NOT NULL) SELECT min(k.id) AS id FROM kept JOIN k ON k.canonical_url = kept.canonical_url AND k.created_at = kept.last GROUP BY kept.canonical_url, kept.last")
 def dedup_by_url_window(spark, sf):
     return dedup.keep_window(visits(spark, sf).where("canonical_url <> ''"), ["canonical_url"], cut).select("id")
@@ -390,7 +401,19 @@ def sampling_weights(spark, sf):
     return evaluate.sample(rows, n, 7).select("source", "population", "sampling_weight")
 
 
-@query("review_queue")
+_STAGE_SQL = "CASE WHEN status IN ('ai_confirmed', 'ready_to_push', 'push_failed', 'pushed') THEN 'ai_positive' WHEN status = 'ai_rejected' THEN 'ai_negative' WHEN status IN ('new', 'keyword_rejected') THEN 'keyword_negative' ELSE 'unresolved' END"
+_QUEUE_SQL = f"""WITH {ARTICLES_SQL}, a AS (SELECT id, source, status, {_STAGE_SQL} AS decision_stage FROM articles), p AS (SELECT *, CASE decision_stage WHEN 'ai_positive' THEN '是' WHEN 'unresolved' THEN '' ELSE '否' END AS predicted_should_push FROM a),
+  g AS (SELECT source, count(*) AS population FROM a WHERE decision_stage = 'keyword_negative' GROUP BY source), t AS (SELECT sum(population) AS total, count(*) AS n, least(40, sum(population)) AS target FROM g),
+  q AS (SELECT *, CASE WHEN total > n THEN ((target - n) * (population - 1)) // (total - n) ELSE 0 END AS fl, CASE WHEN total > n THEN ((target - n) * (population - 1)) % (total - n) ELSE 0 END AS rem FROM g, t),
+  r AS (SELECT *, row_number() OVER (ORDER BY rem DESC, source) AS place, row_number() OVER (ORDER BY population DESC, source) AS largest, sum(fl) OVER () AS given FROM q),
+  z AS (SELECT source, population, CASE WHEN target >= total THEN population WHEN target < n THEN CAST(largest <= target AS BIGINT) ELSE 1 + fl + CAST(place <= target - n - given AS BIGINT) END AS sample_size FROM r),
+  k AS (SELECT p.*, population, CAST(sample_size AS BIGINT) AS sample_size FROM p JOIN z ON z.source = p.source WHERE decision_stage = 'keyword_negative' QUALIFY row_number() OVER (PARTITION BY p.source ORDER BY sha256('20260710:' || id)) <= z.sample_size),
+  f AS (SELECT *, count(*) OVER (PARTITION BY decision_stage) AS n FROM p WHERE decision_stage IN ('ai_positive', 'ai_negative'))
+  SELECT id, source, status, decision_stage, predicted_should_push, n AS population, n AS sample_size, '1.00000000' AS sampling_weight, decision_stage AS sampling_stratum FROM f
+  UNION ALL SELECT id, source, status, decision_stage, predicted_should_push, population, sample_size, printf('%.8f', population / sample_size), decision_stage || '|' || source FROM k"""
+
+
+@query("review_queue", _QUEUE_SQL)
 def review_queue(spark, sf):
     return evaluate.review_rows(articles(spark, sf).select("id", "source", "status"), 40, 20260710)
 
@@ -462,6 +485,20 @@ def title_adjudication(spark, sf):
     return rows.groupBy("a.content_type", "a.related", "a.actionable", "a.label").agg(F.count("*").alias("n"))
 
 
+_STORED_SQL = "CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '[broken' WHEN 2 THEN '{\"a\": 1}' ELSE CAST(to_json(string_split(coalesce(text, ''), ' ')) AS VARCHAR) END"
+
+
+@query("stored_arrays", f"SELECT source, count(*) AS n, count(*) FILTER (WHERE s IS NOT NULL AND (NOT json_valid(s) OR json_type(CASE WHEN json_valid(s) THEN s END) <> 'ARRAY')) AS malformed, CAST(sum(CASE WHEN json_valid(s) AND json_type(s) = 'ARRAY' THEN json_array_length(s) ELSE 0 END) AS BIGINT) AS items, CAST(sum(CASE WHEN k > 2 THEN length(replace(coalesce(text, ''), ' ', '')) ELSE 0 END) AS BIGINT) AS chars FROM (SELECT source, text, doc_id % 6 AS k, {_STORED_SQL} AS s FROM documents) GROUP BY source")
+def stored_arrays(spark, sf):
+    """Words of the documents stored as JSON arrays, some of them broken, read back with recovery."""
+    d = read_table(spark, sf, "documents")
+    i = F.col("doc_id") % 6
+    stored = F.when(i == 0, F.lit(None).cast("string")).when(i == 1, "[broken").when(i == 2, '{"a": 1}').otherwise(F.to_json(F.split(F.coalesce("text", F.lit("")), " ")))
+    rows = d.select("source", stored.alias("s")).select("source", text.text_array(F.col("s")).alias("v"), text.array_problem(F.col("s")).alias("bad"))
+    chars = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if("bad").alias("malformed"), F.sum(F.size("v")).cast("long").alias("items"), F.sum(chars).alias("chars"))
+
+
 @query("fill_labels", "SELECT doc_id, CASE WHEN quality = 1 THEN '是' ELSE CASE WHEN toxic = 1 THEN '否' ELSE '不确定' END END AS label FROM labels")
 def fill_labels(spark, sf):
     rows = read_table(spark, sf, "labels").withColumn("old", F.when(F.col("quality") == 1, "是").otherwise("  "))
@@ -502,6 +539,18 @@ def status_transition(spark, sf):
     return state.transition(base, changes, F.lit("2026-08-01 00:00:00").cast("timestamp_ntz")).select("id", "status", "last_error", "attempt_count")
 
 
+@query("snapshot_commits", f"WITH {ARTICLES_SQL} SELECT id, CASE WHEN status = 'ready_to_push' THEN 'pushed' ELSE status END AS status, CAST(attempt_count + CASE WHEN status = 'push_failed' THEN 1 ELSE 0 END AS INTEGER) AS attempt_count FROM articles")
+def snapshot_commits(spark, sf):
+    """Transitions of pending and failed notices committed to a keyed table: two versions, each rewriting the buckets of its keys."""
+    base = articles(spark, sf).select("id", "status", "attempt_count", F.lit("").alias("ai_reason"), F.lit("old").alias("last_error"), F.col("created_at").alias("updated_at"), F.lit(None).cast("timestamp_ntz").alias("pushed_at"))
+    table = snapshots.Table.create(spark, fresh_path(spark), base, "id", 10_000)
+    now = F.lit("2026-08-01 00:00:00").cast("timestamp_ntz")
+    for status, changes in (("ready_to_push", [F.lit("pushed").alias("status"), F.lit(True).alias("pushed")]), ("push_failed", [F.lit(True).alias("increment")])):
+        hit = table.read().where(F.col("status") == status).select("id", *changes)
+        table.change(hit, lambda part: state.transition(part, hit, now))  # noqa: B023  run at once
+    return table.read().select("id", "status", "attempt_count")
+
+
 @query("provenance_audit", f"WITH {ARTICLES_SQL} SELECT id, CASE WHEN id % 3 = 0 THEN 'better' ELSE source END AS source, CASE WHEN id % 3 = 0 THEN CASE WHEN id % 2 = 0 THEN 'old; ' ELSE '' END || '来源升级: ' || source || ' -> better; 原因: rank' ELSE CASE WHEN id % 2 = 0 THEN 'old' END END AS ai_reason FROM articles")
 def provenance_audit(spark, sf):
     rows = articles(spark, sf).select("id", "source", "url", "publish_date", F.when(F.col("id") % 2 == 0, "old").alias("ai_reason"), F.lit("").alias("canonical_url"), F.lit("").alias("dedup_key"), F.col("title").alias("normalized_title"), F.col("created_at").alias("updated_at"))
