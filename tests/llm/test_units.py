@@ -498,3 +498,31 @@ def test_toxicity_of_held_out_texts():
     texts, truth = made(400, insults[3::4])  # forms that were never seen, spelt alike
     score = model.scores(texts, model.lookup())
     assert np.median(score[np.array(truth) == 1]) > np.quantile(score[np.array(truth) == 0], 0.7)
+
+
+def test_prefixes_of_the_schedule_follow_the_targets(spark):
+    """Every prefix of the schedule has of each source nearly what its share says: the points' discrepancy, not that of chance."""
+    import math
+
+    from tidewater.llm import mix_schedule
+
+    words = {0: 300_000, 1: 120_000, 2: 40_000, 3: 900}
+    sources = spark.createDataFrame([(i, 3 * w // 4 + 1, w) for i, w in words.items()], "sidx int, source_size long, words long")
+    rows = sorted((r.slot, r.sidx, r.length) for r in mix_schedule.schedule(spark, sources, 2000).collect())
+    total, seen = sum(words.values()), dict.fromkeys(words, 0)
+    assert {i: sum(n for _, s, n in rows if s == i) for i in words} == words
+    largest = {i: max(n for _, s, n in rows if s == i) for i in words}
+    for at, (_, sidx, length) in enumerate(rows):
+        seen[sidx] += length
+        if at % 50 == 0:
+            for i, w in words.items():
+                assert abs(seen[i] - sum(seen.values()) * w / total) <= (4 + math.log2(at + 2)) * max(largest.values()), (at, i)
+
+
+def test_readings_have_their_slots(spark):
+    from tidewater.llm import mix_schedule
+
+    docs = spark.createDataFrame([(i, f"s{i % 3}", f"w{i} " * (20 + i)) for i in range(120)], "doc_id long, source string, text string")
+    for r in mix_schedule.mix(docs, block_words=50).collect():
+        assert all(x.slot is not None and x.slot >= 0 and x.words > 0 for x in r.rounds) and sum(x.words for x in r.rounds) == r.taken
+        assert [x.slot for x in r.rounds] == sorted(x.slot for x in r.rounds)  # a source is read round after round

@@ -6,8 +6,9 @@ ranked within their source. Each source's documents are shuffled by a hash,
 laid end to end, and cut into blocks of equal token counts; rank r takes block
 r modulo the number of blocks, so a source is read round after round. The
 schedule stops for a source once its target is reached, the last block being
-shortened to fit, and sources whose share earned too few slots get theirs at
-the end. All of it is DataFrame operations: one scan that measures the texts,
+shortened to fit, and blocks for which a source's share earned too few slots are
+spread evenly between the others. Every reading of a document says at which slot it
+begins, so whoever trains can read the documents in the order of the schedule. All of it is DataFrame operations: one scan that measures the texts,
 then joins of (document, block) pieces with slots. No text is shuffled.
 
 Ranks and offsets are prefix sums over many small groups (slot chunks, hash
@@ -98,7 +99,8 @@ def schedule(spark: SparkSession, sources: DataFrame, n_slots: int) -> DataFrame
     plan = plan.withColumn("n_blocks", F.expr("(source_size + block_words - 1) div block_words"))
     needed = F.expr("words div source_size * n_blocks + (words % source_size + block_words - 1) div block_words")
     plan = plan.withColumn("needed", needed)
-    late = plan.where("needed > won").select(F.lit(n_slots).cast("long").alias("slot"), "sidx", F.explode(F.sequence(F.col("won").cast("long"), F.col("needed") - 1)).alias("rank"))
+    late = plan.where("needed > won").select("sidx", "won", "needed", F.explode(F.sequence(F.col("won").cast("long"), F.col("needed") - 1)).alias("rank"))
+    late = late.select(F.expr(f"(2 * (rank - won) + 1) * {n_slots} div (2 * (needed - won))").alias("slot"), "sidx", "rank")
     used = slots.unionByName(late).join(plan, "sidx").where("rank < needed")
     used = used.select("slot", "sidx", F.expr("rank div n_blocks").alias("round"), F.expr("rank % n_blocks").alias("block"), "block_words", "source_size", "words")
     start = F.col("round") * F.col("source_size") + F.col("block") * F.col("block_words")
@@ -123,8 +125,9 @@ def place(sizes: DataFrame, sources: DataFrame, n_docs: int, seed: int = 7) -> D
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, block_words: int = BLOCK_WORDS, size: Column | None = None) -> DataFrame:
     """What the mix takes of each document: doc_id, source, size, source_size, target, rounds, taken.
 
-    `rounds` lists (round, words) for every reading of the source that reaches
-    the document; `words` is the length of the part taken, from its beginning.
+    `rounds` lists (round, words, slot) for every reading of the source that reaches
+    the document; `words` is the length of the part taken, from its beginning, and
+    `slot` where in the schedule that begins.
     """
     spark = docs.sparkSession
     size = word_count(F.col("text")) if size is None else size
@@ -140,20 +143,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0,
     pieces = placed.join(blocks, "sidx", "left")
     touched = F.when((F.col("size") > 0) & F.col("block_words").isNotNull(), F.sequence(F.expr("start div block_words"), F.expr("(start + size - 1) div block_words")))
     pieces = pieces.withColumn("block", F.explode_outer(touched))
-    slots = slots.select(F.col("sidx").alias("s"), F.col("block").alias("b"), "round", "length", (F.col("block") * F.col("block_words")).alias("from"))
+    slots = slots.select(F.col("sidx").alias("s"), F.col("block").alias("b"), "round", "slot", "length", (F.col("block") * F.col("block_words")).alias("from"))
     joined = pieces.join(slots, (F.col("sidx") == F.col("s")) & (F.col("block") == F.col("b")), "left")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("start") + F.col("size"), F.col("from") + F.col("length")) - F.greatest("start", "from"))
     joined = joined.withColumn("part", F.when(F.col("length").isNotNull(), part).otherwise(0))
     key = ["doc_id", "sidx", "bucket", "nth", "size"]
-    per_round = joined.groupBy(*key, "round").agg(F.sum("part").alias("part"))
+    per_round = joined.groupBy(*key, "round").agg(F.sum("part").alias("part"), F.min(F.when(F.col("part") > 0, F.col("slot"))).alias("slot"))
     # at most `cap` rounds, so the list of a document is short
     taken = per_round.groupBy(*key).agg(
-        F.sort_array(F.collect_list(F.when(F.col("part") > 0, F.struct("round", F.col("part").alias("words"))))).alias("rounds"), F.sum("part").alias("taken")
+        F.sort_array(F.collect_list(F.when(F.col("part") > 0, F.struct("round", F.col("part").alias("words"), "slot")))).alias("rounds"), F.sum("part").alias("taken")
     )
     return taken.join(sources, "sidx").select("doc_id", "source", "size", "source_size", "target", "rounds", "taken")
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the 1, 2, 3 mix takes of every document."""
+    """Words that the 1, 2, 3 mix takes of every document, and the slots at which it reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", F.col("rounds.slot").alias("slots"))
