@@ -101,32 +101,99 @@ def test_sinks():
     assert "| precision | 0.5000 | 0.4000 to 0.6000 |" in text and "| recall | - |  |" in text
 
 
-def test_a_whole_run(spark):
-    setting = {"sources": {"websites": [{"name": "城市规划学会", "url": "u"}, {"name": "坏站", "url": "u"}]}, "filter": {"keywords": ["奖"], "ai": {"max_workers": 1}}}
+SITES = {"sources": {"websites": [{"name": "城市规划学会", "url": "u"}, {"name": "坏站", "url": "u"}, {"name": "资讯聚合", "url": "u", "source_tier": "aggregator"}], "wechat_accounts": [{"name": "规划视界", "keyword": "k"}]}, "filter": {"keywords": ["奖"], "ai": {"max_workers": 1}}}
+ROWS = "title string, url string, publish_date string, summary string, raw_content string"
+
+
+def scans(spark, **found):
+    """Scans by source: rows (title, url, content), or an error."""
+
+    def of(name, rows):
+        def scan():
+            if isinstance(rows, Exception):
+                raise rows
+            table = spark.createDataFrame([(t, u, "2026-07-01", "", body) for t, u, body in rows], ROWS)
+            kind = "source string, status string, articles long, raw_count long, matched_count long"
+            return table, spark.createDataFrame([(name, "success" if rows else "empty", len(rows), len(rows) + 2 if name == "规划视界" else None, len(rows))], kind)
+
+        return scan
+
+    return {name: of(name, rows) for name, rows in found.items()}
+
+
+def first_tables(spark):
     log, health = runs.empty_logs(spark)
-    tables = run.Tables(spark.createDataFrame([], ARTICLE), spark.createDataFrame([], EXTRACTION), log, health)
-    found = [("2026年规划奖申报", "http://x/1"), ("2026年规划奖名单公示", "http://x/2"), ("2026年规划奖申报", "http://x/1?utm_source=z")]
-
-    def good():
-        rows = spark.createDataFrame([(*f, "2026-07-01", "", "正文" * 100) for f in found], "title string, url string, publish_date string, summary string, raw_content string")
-        return rows, spark.createDataFrame([("城市规划学会", "success", 3)], "source string, status string, articles long")
-
-    def bad():
-        raise RuntimeError("layout")
-
-    today = F.lit("2026-07-10").cast("date")
-    steps = {"城市规划学会": good, "坏站": bad}
-    tables, told = run.run_pipeline(spark, setting, tables, steps, model, lambda c: None, now(0), today, 2026)
-    assert (told["status"], told["total_articles"], told["new_articles"], told["keyword_passed"], told["pushed"]) == ("completed_with_errors", 3, 2, 1, 1)
-    assert sorted(r.status for r in tables.articles.collect()) == ["keyword_rejected", "pushed"]
-    assert {(r.source, r.status, r.new_count) for r in tables.source_runs.collect()} == {("城市规划学会", "success", 2), ("坏站", "failed", 0)}
+    return run.Tables(spark.createDataFrame([], ARTICLE), spark.createDataFrame([], EXTRACTION), log, health)
+
+
+def test_a_whole_run(spark, tmp_path):
+    long = "正文" * 100
+    found = scans(
+        spark, 城市规划学会=[("2026年规划奖申报", "http://x/1", long), ("2026年规划奖名单公示", "http://x/2", long), ("2026年规划奖申报", "http://x/1?utm_source=z", long)],
+        坏站=RuntimeError("layout"), 资讯聚合=[("2026年建设奖申报", "http://y/1", "短"), ("2026年规划奖申报 ", "http://x/1#top", long)], 规划视界=[],
+    )
+    writes, sent = [], []
+
+    def write(df):
+        writes.append(df.columns)
+        return cut(df)
+
+    def pages(short):
+        return short.select("id", F.lit("<html><body><article>" + "建设奖申报通知正文" * 40 + "</article></body></html>").alias("html"), F.lit("http://y/final").alias("final_url"))
+
+    def two_awards(prompt):
+        return model(prompt).replace("规划奖", "建设奖") if "建设奖" in prompt else model(prompt)
+
+    outside = run.Outside(two_awards, lambda c: sent.append(c), pages, lambda s: None)  # a list's append gives null: sent
+    metrics = f"file://{tmp_path}/m"
+    tables, told = run.run_pipeline(spark, SITES, first_tables(spark), found, outside, now(0), F.lit("2026-07-10").cast("date"), 2026, metrics_path=metrics, write=write)
+    assert (told["status"], told["total_articles"], told["new_articles"], told["keyword_passed"], told["ai_confirmed"], told["pushed"]) == ("completed_with_errors", 5, 3, 2, 2, 1)
+    assert told["errors"] == ["坏站: RuntimeError: layout"] and told["alerts"] == []
+    got = {r.url: r for r in tables.articles.collect()}
+    # the aggregator's own report waits; what it repeats of another source is that source's
+    assert {u: r.status for u, r in got.items()} == {"http://x/1": "pushed", "http://x/2": "keyword_rejected", "http://y/final": "ready_to_push"}
+    assert got["http://y/final"].raw_content.startswith("建设奖") and got["http://y/final"].canonical_url == "http://y/final"
+    rows = {r.source: r for r in tables.source_runs.collect()}
+    assert {s: (r.status, r.new_count, r.source_type, r.detail_success) for s, r in rows.items()} == {
+        "城市规划学会": ("success", 2, "website", 0), "坏站": ("failed", 0, "website", 0), "资讯聚合": ("success", 1, "website", 1), "规划视界": ("no_match", 0, "wechat", 0)}
+    assert [(r.source, r.raw_count, r.matched_count, r.status) for r in spark.read.json(metrics).collect()] == [("规划视界", 2, 0, "no_match")]
     row = tables.run_log.first()
-    assert row.status == "completed_with_errors" and row.errors == ["坏站: RuntimeError: layout"] and row.pushed == 1
-    tables, told = run.run_pipeline(spark, setting, tables, {"坏站": bad}, model, lambda c: None, now(1), today, 2026)
-    assert told["status"] == "failed" and told["new_articles"] == 0 and tables.run_log.count() == 2
+    assert row.status == "completed_with_errors" and row.errors == told["errors"] and row.pushed == 1
+    # whole tables of articles are written when notices are screened and at the end, new rows once for all sources
+    assert sum(c == tables.articles.columns for c in writes) == 3
+    # an hour later nothing is new; a day later the aggregator's report is due
+    tables, told = run.run_pipeline(spark, SITES, tables, found, outside, now(1), F.lit("2026-07-10").cast("date"), 2026)
+    assert (told["new_articles"], told["pushed"]) == (0, 0)
+    early = SITES | {"notification": {"aggregator_delay_hours": 2}}
+    tables, told = run.run_pipeline(spark, early, tables, found, outside, now(3), F.lit("2026-07-10").cast("date"), 2026, dry_run=True)
+    assert told["pushed"] == 0 and len(sent) == 1 and told["alerts"] == []
+    tables, told = run.run_pipeline(spark, early, tables, found, outside, now(4), F.lit("2026-07-10").cast("date"), 2026)
+    assert told["pushed"] == 1 and len(sent) == 2  # a failing source has failed four times, which was told at the third: in the dry run
     with pytest.raises(run.RunFailed) as broken:
-        run.run_pipeline(spark, setting | {"filter": {"keywords": ["("]}}, tables, steps, model, lambda c: None, now(2), today, 2026)
-    assert {r.id: r.status for r in broken.value.tables.run_log.collect()}[3] == "failed"
+        run.run_pipeline(spark, SITES | {"filter": {"keywords": ["("]}}, tables, scans(spark, 城市规划学会=[("2026年新奖申报", "http://x/9", long)]), outside, now(5), F.lit("2026-07-10").cast("date"), 2026)
+    assert {r.id: r.status for r in broken.value.tables.run_log.collect()}[5] == "failed" and broken.value.tables.articles.count() == 4
+
+
+def test_runs_of_failing_sources(spark):
+    waits, sent = [], []
+    outside = run.Outside(model, lambda c: sent.append(c), None, waits.append)
+    bad = scans(spark, 坏站=RuntimeError("layout"), 资讯聚合=RuntimeError("gone"))
+    call = lambda tables, hours, found, **more: run.run_pipeline(spark, SITES, tables, found, outside, now(hours), F.lit("2026-07-10").cast("date"), 2026, **more)
+    tables, told = call(first_tables(spark), 0, bad)
+    assert waits == [1800.0, 5400.0] and told["status"] == "completed_with_errors" and "all sources failed, also after 2 more scans" in told["errors"]
+    assert told["alerts"] == ["本次所有信息源抓取失败，请检查日志。"] and len(sent) == 1
+    half = scans(spark, 坏站=RuntimeError("layout"), 资讯聚合=[])
+    tables, told = call(tables, 1, half)
+    assert told["alerts"] == [] and len(waits) == 2
+    tables, told = call(tables, 2, half)
+    assert told["alerts"] == ["以下渠道已连续失败3次：坏站"] and "⚠️" in sent[-1]
+    tables, told = call(tables, 3, half)
+    assert told["alerts"] == []  # told once
+    tables, told = call(tables, 4, bad, source="坏站")
+    assert len(waits) == 2 and {r.source for r in tables.source_runs.where("run_id = 5").collect()} == {"坏站"}  # a selected source isn't scanned again
+    assert list(run.select_sources(SITES, bad, "website")) == ["坏站", "资讯聚合"] and list(run.select_sources(SITES, bad, "website:资讯聚合")) == ["资讯聚合"]
+    with pytest.raises(run.RunFailed):
+        call(tables, 5, bad, source="wechat")
 
 
 def test_run_log(spark):
@@ -194,6 +261,15 @@ def test_config_rules(path, value):
     for p in path[:-1]:
         at = at[p]
     at[path[-1]] = value
-    assert config.check(copy.deepcopy(GOOD))
+    assert config.check(copy.deepcopy(GOOD)) and config.faults(GOOD) == []
     with pytest.raises(config.ConfigError):
         config.check(bad)
+
+
+def test_all_faults_are_told(tmp_path):
+    assert len(config.faults({"filter": {"ai": {"max_workers": 9}}, "storage": {"dedup_days": "x"}})) == 7
+    assert config.faults({}, dry_run=True) and config.faults([]) and config.get({}, "notification.aggregator_delay_hours") == 24
+    twice = GOOD | {"sources": {"websites": [{"name": "a", "url": "u"}, {"name": "a", "url": "v"}, {"name": "", "enabled": False}]}}
+    assert config.faults(twice) == ["sources.websites: a name repeats"]
+    (tmp_path / "c.yaml").write_text("storage: {db_path: data/x.db, other_path: /abs}\nsources: {}\n", encoding="utf-8")
+    assert config.load(str(tmp_path / "c.yaml"))["storage"] == {"db_path": str(tmp_path / "data/x.db"), "other_path": "/abs"}

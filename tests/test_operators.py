@@ -213,28 +213,36 @@ def test_reply_fields(spark):
     assert got[2].decision is None and got[2].reason.startswith("award_name must be")
 
 
-def test_judge_breaks_the_circuit_and_keeps_order(spark):
+def test_judge_breaks_the_circuit(spark):
     def model(prompt):
         if "3" in prompt:
             raise ConnectionError("down")
         return '{"is_award_application": true}'
 
     rows = spark.createDataFrame([(i, f"t{i}", "", "s") for i in range(1, 6)], "id long, title string, raw_content string, summary string").coalesce(1)
-    got = reply.judge(rows, model, 2026).collect()
-    assert [r.id for r in got] == [1, 2, 3, 4, 5]
-    assert [r.error_kind for r in got if r.decision is None][-1] == "circuit_open" or [r.decision for r in got].count(None) >= 1
+    got = {r.id: r.error_kind for r in reply.judge(rows, model, 2026).collect()}
+    assert got == {1: "", 2: "", 3: reply.TRANSPORT, 4: reply.NOT_CALLED, 5: reply.NOT_CALLED}
     with pytest.raises(ValueError):
         reply.judge(rows, model, 2026, workers=5)
 
 
-def test_the_circuit_is_open_for_all_partitions(spark, tmp_path):
-    breaker = reply.Breaker(str(tmp_path))
-    twin = reply.Breaker(str(tmp_path))
-    twin.name = breaker.name
-    assert not breaker.is_open() and not twin.is_open()
-    breaker.open()
-    reply.Breaker._opened.clear()  # as in another process
-    assert twin.is_open() and not reply.Breaker(str(tmp_path)).is_open()
+def test_all_workers_stop_by_the_same_round(spark):
+    """A failed call stops every worker after its slice, without a shared folder, and for the same rows in every run."""
+    rows = spark.range(200).select("id", F.format_string("t%d", "id").alias("title"), F.lit("").alias("raw_content"), F.lit("").alias("summary"))
+
+    def model(prompt):
+        if prompt.startswith("t37\n"):
+            raise ConnectionError("down")
+        return '{"is_award_application": true}'
+
+    runs = [{r.id: r.error_kind for r in reply.judge(rows.repartition(n), model, 2026, 4, calls=5).collect()} for n in (3, 7)]
+    assert runs[0] == runs[1] and runs[0][37] == reply.TRANSPORT
+    # three workers finish the slice in which the fourth one's call fails: at most its four slices of five are missing
+    assert sum(k == reply.NOT_CALLED for k in runs[0].values()) > 0
+    one = {r.id: r.error_kind for r in reply.judge(rows, model, 2026, 1, calls=5).collect()}
+    assert [i for i, k in one.items() if k == reply.NOT_CALLED] and all(one[i] == reply.NOT_CALLED for i in range(38, 200)) and all(one[i] != reply.NOT_CALLED for i in range(37))
+    assert reply.judge(rows.limit(0), model, 2026, 3).count() == 0
+    assert {r.error_kind for r in reply.judge(rows.where("id <> 37"), model, 2026, 2, calls=7).collect()} == {""}
 
 
 def test_fallback_and_keys():
@@ -374,11 +382,11 @@ def test_page_source_gives_errors_as_rows(spark):
     assert [(r.body, r.fetch_error) for r in rows] == [("<a>", None), (None, "timeout")]
 
 
-def test_scan_retry(spark):
-    state_of = iter([[("a", "failed")], [("a", "failed")], [("a", "success")]])
+def test_scan_retry():
     waits = []
-    got = scan.scan_with_retry(lambda: spark.createDataFrame(next(state_of), "source string, status string"), waits.append)
-    assert waits == [1800.0, 5400.0] and got.first().status == "success"
+    assert scan.scan_with_retry(iter([["failed"], ["failed"], ["success"]]).__next__, waits.append) == 2 and waits == [1800.0, 5400.0]
+    assert scan.scan_with_retry(lambda: ["failed", "empty"], waits.append) == 0 == scan.scan_with_retry(lambda: [], waits.append)
+    assert scan.scan_with_retry(lambda: ["failed"], waits.append, selective=True) == 0 and len(waits) == 2
 
 
 def test_aliases_and_sources(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.text import normalize_title
 from tidewater.functions.urls import canonical_url
-from tidewater.operators.dedup import anti_window, first_by
+from tidewater.operators.dedup import anti_window, keep_disjunctive
 from tidewater.operators.filters import any_of
 from tidewater.schemas import PIPELINE_VERSION, SCHEMA_VERSION
 from tidewater.storage import cut
@@ -147,24 +147,28 @@ def matching(articles: DataFrame, words: list[str], ids: list[int] | None = None
     return articles.where(hit | F.col("id").isin(ids) if ids else hit)
 
 
-def insert(articles: DataFrame, rows: DataFrame, now: Column, days: int = 90, status: str = "discovered") -> DataFrame:
-    """Append rows (title, url, source, publish_date, summary, raw_content) that no stored one repeats within `days`.
+def fresh_rows(articles: DataFrame, rows: DataFrame, now: Column, days: int = 90, status: str = "discovered") -> DataFrame:
+    """Rows (title, url, source, publish_date, summary, raw_content) that no stored one, and none of them before, repeats within `days`, as new articles.
 
-    Of rows that repeat each other by URL, or by title and source, the first (by
-    URL and title) is taken. New ids follow the largest stored one.
+    They come in the order of `seq` where there is one, then of URL, title and source;
+    a row is repeated only by one that is kept. New ids follow the largest stored one.
     """
     top = articles.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    fresh = rows.withColumn("normalized_title", normalize_title(F.col("title"))).withColumn("canonical_url", canonical_url("url")).withColumn("created_at", now)
-    fresh = anti_window(fresh, articles, days)
-    named = F.when(F.col("canonical_url") == "", F.concat_ws("|", "normalized_title", "source", "url")).otherwise(F.col("canonical_url"))
-    fresh = first_by(first_by(fresh.withColumn("__k", named), ["__k"], "url", "title", "source"), ["normalized_title", "source"], "url", "title").drop("__k")
-    numbered = positions(fresh.withColumn("__u", F.xxhash64("canonical_url", "normalized_title", "source")), "__u").withColumn("id", F.col("__position") + top + 1)
+    order = [*(["seq"] if "seq" in rows.columns else []), "url", "title", "source"]
+    coming = rows.withColumn("normalized_title", normalize_title(F.col("title"))).withColumn("canonical_url", canonical_url("url")).withColumn("created_at", now)
+    coming = ordered_positions(anti_window(coming, articles, days), *order).withColumnRenamed("__position", "id")
+    kept = keep_disjunctive(coming, cut, days).where("kept")
+    numbered = ordered_positions(kept, "id").withColumn("id", F.col("__position") + top + 1)
     values = {
         "status": F.lit(status), "attempt_count": F.lit(0), "pipeline_version": F.lit(PIPELINE_VERSION), "updated_at": now,
         "dedup_key": fingerprint(F.col("source"), F.col("normalized_title"), F.col("canonical_url"), F.col("publish_date")),
     }
-    out = [values.get(f.name, F.col(f.name) if f.name in numbered.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in articles.schema]
-    return articles.unionByName(numbered.select(out))
+    return numbered.select([values.get(f.name, F.col(f.name) if f.name in numbered.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in articles.schema])
+
+
+def insert(articles: DataFrame, rows: DataFrame, now: Column, days: int = 90, status: str = "discovered") -> DataFrame:
+    """The table with `fresh_rows` of it appended."""
+    return articles.unionByName(fresh_rows(articles, rows, now, days, status))
 
 
 def positions(rows: DataFrame, key: str, buckets: int = 256) -> DataFrame:

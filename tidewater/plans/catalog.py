@@ -143,6 +143,26 @@ def search_plan(spark, sf):
     return scan.search_plan(rows, 2, 2026)
 
 
+_SEARCH_SQL = f"""WITH {ARTICLES_SQL}, r AS (SELECT a.source, d.lang AS account, id % 3 AS query, CAST(id // 3 % 5 AS INTEGER) AS page_num, a.publish_date, right(a.source, 1) AS mark FROM articles a JOIN documents d ON d.doc_id = a.id),
+  p AS (SELECT DISTINCT source, query, page_num, (page_num * 3 + query + ascii(mark)) % 4 = 0 OR mark IN ('3', '6') AS broken FROM r),
+  m AS (SELECT r.source, coalesce(account, '') = '' OR account = 'en' OR (account = 'de' AND mark IN ('1', '2')) AS ok, publish_date BETWEEN '2026-06-11' AND '{TODAY}' AS recent FROM r JOIN p ON p.source = r.source AND p.query = r.query AND p.page_num = r.page_num WHERE NOT broken),
+  c AS (SELECT source, count(*) AS raw_count, count(*) FILTER (WHERE ok) AS matched_count, count(*) FILTER (WHERE ok AND recent) AS articles FROM m GROUP BY source), f AS (SELECT source, count(*) FILTER (WHERE broken) AS failed FROM p GROUP BY source)
+  SELECT f.source, CASE WHEN coalesce(articles, 0) > 0 THEN 'success' WHEN failed > 0 THEN 'failed' ELSE 'empty' END AS status, coalesce(articles, 0) AS articles, coalesce(raw_count, 0) AS raw_count, coalesce(matched_count, 0) AS matched_count, CASE WHEN failed > 0 THEN failed || ' pages failed' END AS error FROM f LEFT JOIN c ON c.source = f.source"""
+
+
+@query("search_scan_status", _SEARCH_SQL)
+def search_scan_status(spark, sf):
+    """Searches whose results are the documents: raw, matched and recent ones by source, where pages fail."""
+    i = F.col("id")
+    rows = articles(spark, sf).join(read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit(" "), F.upper("lang")).alias("account")), "id")
+    rows = rows.select("source", "account", (i % 3).alias("query"), (F.expr("id div 3") % 5).cast("int").alias("page_num"), "publish_date", F.right("source", F.lit(1)).alias("mark"))
+    broken = ((F.col("page_num") * 3 + F.col("query") + F.ascii("mark")) % 4 == 0) | F.col("mark").isin("3", "6")
+    pages = rows.select("source", "query", "page_num", F.when(broken, "timeout").alias("fetch_error")).distinct()
+    of = rows.select("source", "mark").distinct()
+    aliases = of.select("source", F.lit("en").alias("alias")).unionByName(of.where("mark in ('1', '2')").select("source", F.lit("D e").alias("alias")))
+    return scan.search_scan(pages, rows, aliases, today(), 30)[1]
+
+
 @query("dedup_first_url", f"WITH {ARTICLES_SQL} SELECT id, {_CANON_SQL} AS canonical_url FROM articles QUALIFY row_number() OVER (PARTITION BY {_CANON_SQL} ORDER BY id) = 1")
 def dedup_first_url(spark, sf):
     rows = articles(spark, sf).select("id", urls.canonical_url_native(F.col("url")).alias("canonical_url"))

@@ -25,9 +25,14 @@ def current(articles: DataFrame, *statuses: str) -> DataFrame:
     return articles.where(F.col("status").isin(*statuses) & (F.col("pipeline_version") >= PIPELINE_VERSION))
 
 
-def enrich(articles: DataFrame, pages: DataFrame, limit: int = 500) -> tuple[DataFrame, DataFrame]:
+def short_notices(articles: DataFrame, least: int = 120) -> DataFrame:
+    """Discovered notices whose text is shorter than `least`."""
+    return current(articles, "discovered").where(filters.needs_detail(F.col("raw_content"), F.col("summary"), least))
+
+
+def enrich(articles: DataFrame, pages: DataFrame, limit: int = 500, least: int = 120) -> tuple[DataFrame, DataFrame]:
     """Readable text for short discovered notices from landed pages (id, html, final_url): updates, and counts by source."""
-    short = current(articles, "discovered").where(filters.needs_detail(F.col("raw_content"), F.col("summary")))
+    short = short_notices(articles, least)
     got = short.select("id", "source").join(pages, "id", "left").withColumn("raw_content", F.when(F.col("html").isNotNull(), readable_column("html")))
     ok = F.coalesce(F.col("raw_content"), F.lit("")) != ""
     counts = got.groupBy("source").agg(F.count_if(ok).alias("detail_success"), F.count_if(~ok).alias("detail_failed"))

@@ -12,11 +12,12 @@ import time
 from collections.abc import Callable, Iterator
 from urllib.parse import parse_qsl, urlsplit
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidewater.functions.urls import page_url
+from tidewater.operators.filters import account_key, in_backfill_window
 from tidewater.schemas import CRAWL_PAGE
 
 
@@ -61,6 +62,27 @@ def search_status(results: DataFrame) -> DataFrame:
     return results.withColumn("status", status)
 
 
+def search_scan(pages: DataFrame, results: DataFrame, aliases: DataFrame, today: Column, days: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Kept results and one status row per source of a search over several queries and pages.
+
+    `pages`: source, query, page_num, fetch_error (null if fetched). `results`: source,
+    query, page_num, account, publish_date and more. `aliases`: source, alias. Results of
+    fetched pages count as raw; those whose account is an alias of their source, or who
+    name none, are matched; of these the ones within `days` of today are kept. A page
+    that fails leaves the others as they are. The status row has what a run records:
+    status, articles, raw_count, matched_count, error.
+    """
+    fetched = results.join(pages.where("fetch_error is null").select("source", "query", "page_num"), ["source", "query", "page_num"], "left_semi")
+    known = aliases.where(F.coalesce("alias", F.lit("")) != "").select("source", account_key(F.col("alias")).alias("__k")).distinct().withColumn("__hit", F.lit(True))
+    named = fetched.withColumn("__k", account_key(F.col("account"))).join(known, ["source", "__k"], "left")
+    matched = named.withColumn("__ok", F.col("__hit").isNotNull() | (F.col("__k") == "")).withColumn("__kept", F.col("__ok") & in_backfill_window(F.col("publish_date"), today, days))
+    counts = matched.groupBy("source").agg(F.count("*").alias("raw_count"), F.count_if("__ok").alias("matched_count"), F.count_if("__kept").alias("rows"))
+    failed = pages.groupBy("source").agg(F.count_if(F.col("fetch_error").isNotNull()).alias("failed_pages"))
+    state = search_status(failed.join(counts, "source", "left").na.fill(0, ["raw_count", "matched_count", "rows"]))
+    error = F.when(F.col("failed_pages") > 0, F.concat(F.col("failed_pages").cast("string"), F.lit(" pages failed")))
+    return matched.where("__kept").select(results.columns), state.select("source", "status", F.col("rows").alias("articles"), "raw_count", "matched_count", error.alias("error"))
+
+
 def search_plan(queries: DataFrame, pages: int, year: int) -> DataFrame:
     """Queries by pages; {year} in a query is filled in."""
     text = F.replace(F.col("query"), F.lit("{year}"), F.lit(str(year)))
@@ -132,10 +154,14 @@ def signed_fetcher(get: Callable[[str, dict, dict], tuple[int, str, float | None
     return lambda url: fetch_with_retries(once, url, times, delay, sleep)
 
 
+#: What a source's status row may say beside status and articles: results before accounts were matched, and matched ones.
+METRICS = ("raw_count", "matched_count")
+
+
 def run_sources(plans: dict[str, Callable[[], tuple[DataFrame, DataFrame]]], spark: SparkSession, clock: Callable[[], float] = time.monotonic) -> tuple[dict[str, DataFrame], DataFrame]:
     """Scan each source (name -> function giving its rows and its status row); one that raises fails alone.
 
-    Gives the rows of each source, and source, status, articles, seconds, error of all.
+    Gives the rows of each source, and source, status, articles, seconds, error and METRICS of all.
     """
     rows, states = {}, []
     for name, plan in plans.items():
@@ -144,10 +170,11 @@ def run_sources(plans: dict[str, Callable[[], tuple[DataFrame, DataFrame]]], spa
             found, state = plan()
             first = state.first()
             rows[name] = found
-            states.append((name, first["status"] if first else "empty", int(first["articles"]) if first else 0, clock() - began, None))
+            more = [int(first[m]) if first and m in state.columns and first[m] is not None else None for m in METRICS]
+            states.append((name, first["status"] if first else "empty", int(first["articles"]) if first else 0, clock() - began, None, *more))
         except Exception as e:  # whatever a source does, the others go on
-            states.append((name, "failed", 0, clock() - began, f"{type(e).__name__}: {e}"[:500]))
-    return rows, spark.createDataFrame(states, "source string, status string, articles long, seconds double, error string")
+            states.append((name, "failed", 0, clock() - began, f"{type(e).__name__}: {e}"[:500], None, None))
+    return rows, spark.createDataFrame(states, "source string, status string, articles long, seconds double, error string, raw_count long, matched_count long")
 
 
 class PageSource(DataSource):
@@ -192,15 +219,15 @@ def page_source(spark: SparkSession, fetcher: Callable[[str], tuple[str | None,
     return kind.name()
 
 
-def scan_with_retry(run: Callable[[], DataFrame], sleep: Callable[[float], None], delays: tuple[float, ...] = (1800.0, 5400.0), selective: bool = False) -> DataFrame:
-    """Run a scan; while every source failed (and none was selected) wait and run it again.
+def scan_with_retry(run: Callable[[], list[str]], sleep: Callable[[float], None], delays: tuple[float, ...] = (1800.0, 5400.0), selective: bool = False) -> int:
+    """Run a scan; while every source failed (and none was selected) wait and run it again. How often it was run again.
 
-    `run` gives status rows (source, status).
+    `run` gives the statuses of its sources.
     """
-    state = run()
+    statuses, again = run(), 0
     for delay in () if selective else delays:
-        if not state.agg(F.coalesce(F.bool_and(F.col("status") == "failed"), F.lit(False))).first()[0]:
+        if not statuses or any(s != "failed" for s in statuses):
             break
         sleep(delay)
-        state = run()
-    return state
+        statuses, again = run(), again + 1
+    return again

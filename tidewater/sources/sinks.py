@@ -5,14 +5,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import hmac
+import json
+import re
 import time
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from tidewater.operators.state import batches, render
+from tidewater.storage import cut, fresh_path
 
 
 def signature(timestamp: str, secret: str) -> str:
@@ -58,20 +63,112 @@ def answer_error(answer: dict) -> str | None:
     return str(answer.get("msg", answer.get("StatusMessage", "unknown error")))
 
 
-def deliver(rows: DataFrame, send: Callable[[str], str | None], size: int = 10, delay: float = 2.0) -> DataFrame:
-    """Send notices in batches of `size`: id, batch_no, success, error; each batch succeeds or fails alone.
+class Ledger:
+    """Which contents have been sent, as small files in a folder that driver and executors share.
 
-    A lost executor repeats its batches: a sender that must not repeat itself
-    has to know contents it has sent.
+    A mark is made before a content is sent and another one after it. A content with
+    the first mark alone was on its way when its task died; whether it arrived can't be
+    known, so it isn't sent again.
     """
-    numbered = batches(rows, size)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            errors = [send_with_retry(send, c, delay=delay) for c in frame["content"]]
-            yield pd.DataFrame({"batch_no": frame["batch_no"], "success": [e is None for e in errors], "error": errors})
+    def __init__(self, folder: str):
+        self.folder = folder.rstrip("/")
+
+    def _at(self, name: str):
+        from pyarrow import fs
+
+        plain = re.sub("^file:/*", "/", self.folder)
+        system, path = fs.FileSystem.from_uri(plain if "://" in plain else f"file://{plain}")
+        return system, f"{path}/{name}"
+
+    @staticmethod
+    def key(content: str) -> str:
+        return hashlib.sha256(content.encode()).hexdigest()
+
+    def has(self, name: str) -> bool:
+        from pyarrow import fs
+
+        system, path = self._at(name)
+        return system.get_file_info(path).type == fs.FileType.File
+
+    def put(self, name: str, body: str = "") -> None:
+        system, path = self._at(name)
+        system.create_dir(path.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(path) as out:
+            out.write(body.encode())
+
+    def send(self, send: Callable[[str], str | None], content: str, **more) -> str | None:
+        """Error of the last try, or null; contents on their way or sent before are not sent again."""
+        key = self.key(content)
+        if self.has(f"{key}.begun") and not self.has(f"{key}.refused"):
+            return None
+        self.put(f"{key}.begun")
+        error = send_with_retry(send, content, **more)
+        if error is None:
+            self.put(f"{key}.sent")
+        else:
+            self.put(f"{key}.refused", error)  # an answer, so another run may try again
+        return error
+
+
+@dataclass
+class _Sent(WriterCommitMessage):
+    outcomes: list  # (batch_no, success, error) of one task
+
+
+class _MessageWriter(DataSourceWriter):
+    def __init__(self, ledger: Ledger, name: str, sender: Callable[[str], str | None], delay: float):
+        self.ledger, self.name, self.sender, self.delay = ledger, name, sender, delay
 
-    sent = render(numbered).select("batch_no", "content").mapInPandas(run, "batch_no long, success boolean, error string")
+    def write(self, iterator) -> WriterCommitMessage:
+        found = []
+        for row in iterator:
+            error = self.ledger.send(self.sender, row.content, delay=self.delay)
+            found.append((row.batch_no, error is None, error))
+        return _Sent(found)
+
+    def commit(self, messages) -> None:
+        """All tasks have ended: what became of every batch is written at once."""
+        rows = [o for m in messages if m is not None for o in m.outcomes]
+        self.ledger.put(f"{self.name}.outcomes", "\n".join(json.dumps(dict(zip(("batch_no", "success", "error"), r))) for r in rows))
+
+    def abort(self, messages) -> None:
+        """A task failed: no outcomes; what was sent keeps its marks, so the next try leaves it out."""
+        self.ledger.put(f"{self.name}.aborted")
+
+
+class MessageSink(DataSource):
+    """Writes messages (batch_no, content) to a webhook. Options: ledger (a folder) and name (of the outcomes)."""
+
+    sender: Callable[[str], str | None] | None = None
+    delay = 2.0
+
+    @classmethod
+    def name(cls) -> str:
+        return "tidewater_messages"
+
+    def schema(self) -> str:
+        return "batch_no long, content string"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _MessageWriter(Ledger(self.options["ledger"]), self.options["name"], type(self).sender, type(self).delay)
+
+
+def deliver(rows: DataFrame, send: Callable[[str], str | None], size: int = 10, delay: float = 2.0, ledger: str | None = None) -> DataFrame:
+    """Send notices in batches of `size`: id, batch_no, success, error; each batch succeeds or fails alone.
+
+    Messages are written by a data source whose tasks mark each content before and
+    after it is sent, in the folder `ledger` (by default one of this delivery): a task
+    that dies or is run again sends nothing twice. Given the folder of an earlier
+    delivery that broke off, what that one sent is left out.
+    """
+    spark = rows.sparkSession
+    kind = type("Messages", (MessageSink,), {"sender": staticmethod(send), "delay": delay})
+    spark.dataSource.register(kind)
+    folder, name = ledger or fresh_path(spark), uuid.uuid4().hex
+    numbered = cut(batches(rows, size))  # numbered once: what is sent and what is reported agree
+    render(numbered).select("batch_no", "content").write.format(kind.name()).mode("append").option("ledger", folder).option("name", name).save()
+    sent = spark.read.schema("batch_no long, success boolean, error string").json(f"{folder}/{name}.outcomes")
     return numbered.select("id", "batch_no").join(sent, "batch_no").select("id", "batch_no", "success", "error")
 
 
