@@ -77,3 +77,37 @@ def test_page_url(spark):
     url = urls.page_url(F.lit("p{n}"), F.col("n").cast("int"), F.col("first"), F.lit(1), F.lit(2))
     assert [one(spark, url, n=n, first="f") for n in "123"] == ["f", "p1", "p3"]
     assert [one(spark, url, n=n, first="") for n in "12"] == ["p1", "p3"]
+
+
+def test_links_of_a_crowded_parent_take_linear_time():
+    import time
+
+    from tidewater.functions import html
+
+    def page(n):
+        return "<div class='list'>" + "".join(f"<li><a href='/{i}'>title {i}</a></li><a href='/x{i}'>no date</a>" for i in range(n)) + "on 2026-07-01</div><div id='Footer'><a href='/f'>2025年1月2日</a></div>"
+
+    found = html.links(page(50))
+    assert len(found) == 101 and found[1]["date"] == "2026-07-01" and found[0]["date"] == "" and found[-1]["date"] == "2025-1-2"
+    took = []
+    for n in (1500, 6000):
+        began = time.process_time()
+        assert len(html.links(page(n))) == 2 * n + 1
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * max(took[0], 0.02)  # four times the links
+
+
+def test_dates_of_links_are_those_of_their_texts():
+    """The positions worked out once for a page give what a search of each text gives."""
+    import random
+
+    from tidewater.functions import html
+
+    rnd = random.Random(3)
+    bits = ["2026-07-01", "2026年7月", "1日", "20", "26-7-", "1", "<p>", "</p>", "<a href=x>", "</a>", "<div>", "</div>", "text ", "2026.1.2"]
+    for _ in range(300):
+        page = html.Page("".join(rnd.choice(bits) for _ in range(40)))
+        for node in page.root.find(lambda n: True):
+            m = html.DATE.search(node.text(strip=False))
+            assert page.date_in(node) == (m.group() if m else "")
+

@@ -7,6 +7,7 @@ to DataFrame operators.
 
 from __future__ import annotations
 
+import bisect
 import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -118,44 +119,84 @@ def select(root: Node, selector: str) -> list[Node]:
     return out
 
 
-def navigation(node: Node, words: tuple[str, ...], ids: bool) -> bool:
-    for a in node.ancestors():
-        if a.tag in ("nav", "header", "footer"):
-            return True
-        named = " ".join(a.classes()) + (" " + (a.attrs.get("id") or "") if ids else "")
-        if any(w in named.lower() for w in words):
-            return True
-    return False
+def _navigates(node: Node, words: tuple[str, ...], ids: bool) -> bool:
+    """Whether an element itself is navigation."""
+    named = " ".join(node.classes()) + (" " + (node.attrs.get("id") or "") if ids else "")
+    return node.tag in ("nav", "header", "footer") or any(w in named.lower() for w in words)
+
+
+class Page:
+    """A parsed page, with what links ask of the elements above them worked out once for each element."""
+
+    def __init__(self, html: str | None):
+        self.root = tree(html)
+        self._inside: dict[tuple[str, ...], dict[Node, bool]] = {}
+        self.spans: dict[Node, tuple[int, int]] = {}
+        parts: list[str] = []
+        at, stack = 0, [(self.root, False)]
+        while stack:  # the page's text in one piece, and where each element's lies in it
+            node, ended = stack.pop()
+            if isinstance(node, str):
+                parts.append(node)
+                at += len(node)
+            elif ended:
+                self.spans[node] = (self.spans[node][0], at)
+            else:
+                self.spans[node] = (at, at)
+                stack.append((node, True))
+                stack.extend((c, False) for c in reversed(node.children))
+        self.text = "".join(parts)
+        self.dates = [m.start() for m in re.finditer(f"(?={DATE.pattern})", self.text)]
+
+    def inside(self, node: Node, words: tuple[str, ...], ids: bool) -> bool:
+        """Whether an element lies in navigation."""
+        known, path, above = self._inside.setdefault((*words, str(ids)), {}), [], node.parent
+        while above is not None and above not in known:
+            path.append(above)
+            above = above.parent
+        found = above is not None and known[above]
+        for n in reversed(path):
+            found = known[n] = found or _navigates(n, words, ids)
+        return found
+
+    def date_in(self, node: Node | None) -> str:
+        """The first date in an element's text."""
+        if node is None:
+            return ""
+        start, end = self.spans[node]
+        for i in range(bisect.bisect_left(self.dates, start), len(self.dates)):
+            if self.dates[i] >= end:
+                break
+            if m := DATE.match(self.text, self.dates[i], end):
+                return m.group()
+        return ""
 
 
 def dashed(found: str) -> str:
     return re.sub("[年月./]", "-", found)
 
 
-def link_date(a: Node) -> str:
+def link_date(page: Page, a: Node) -> str:
     """Date of a link: a panel with day and month, its own text, or its parent's."""
     for panel in a.find(lambda n: "panel_date" in n.classes())[:1]:
         numbers = [n.text() for n in panel.find(lambda n: n.tag in ("h2", "p"))]
         if len(numbers) > 1:
             return numbers[1].replace("/", "-") + "-" + numbers[0].zfill(2)
-    for text in (a.text(strip=False), a.parent.text(strip=False) if a.parent else ""):
-        if m := DATE.search(text):
-            return dashed(m.group())
-    return ""
+    return dashed(page.date_in(a) or page.date_in(a.parent))
 
 
 def links(html: str | None, selectors: list[str] | None = None) -> list[dict]:
     """Links of a page in order: pos, title, heading, href, date, and whether they lie in navigation."""
-    root = tree(html)
-    nodes = [n for s in selectors for n in select(root, s)] if selectors else root.find(lambda n: n.tag == "a" and "href" in n.attrs)
+    page = Page(html)
+    nodes = [n for s in selectors for n in select(page.root, s)] if selectors else page.root.find(lambda n: n.tag == "a" and "href" in n.attrs)
     out = []
     for i, a in enumerate(nodes):
         heads = a.find(lambda n: n.tag in ("h2", "h3", "h4", "h5"))
         title = a.text()
         out.append(
             {
-                "pos": i, "title": title, "heading": heads[-1].text() if heads else title, "href": a.attrs.get("href") or "", "date": link_date(a),
-                "nav_wide": navigation(a, NAV_WIDE, True), "nav_narrow": navigation(a, NAV_NARROW, False),
+                "pos": i, "title": title, "heading": heads[-1].text() if heads else title, "href": a.attrs.get("href") or "", "date": link_date(page, a),
+                "nav_wide": page.inside(a, NAV_WIDE, True), "nav_narrow": page.inside(a, NAV_NARROW, False),
             }
         )
     return out

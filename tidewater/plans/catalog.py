@@ -618,6 +618,18 @@ def worker_benchmark(spark, sf):
     return evaluate.recommend_workers(rows)
 
 
+_ASKED_OF = "(length(title) + 1 + length(substr(coalesce(nullif(raw_content, ''), summary), 1, 4000))) % 3 = 0"
+
+
+@query("worker_benchmark_runs", f"WITH {ARTICLES_SQL} SELECT CAST(w AS INTEGER) AS workers, count(*) AS n, count(*) FILTER (WHERE {_ASKED_OF}) AS confirmed, CAST(0 AS BIGINT) AS errors, CAST(0 AS BIGINT) AS invalid, true AS alike FROM articles, (VALUES (1), (2), (4)) v(w) WHERE status = 'ai_pending' GROUP BY w")
+def worker_benchmark_runs(spark, sf):
+    """Notices judged with one, two and four workers, measured; what doesn't depend on the clock."""
+    rows = articles(spark, sf).where("status = 'ai_pending'")
+    runs = reply.benchmark(rows, _stub_model, 2026, repeats=1)
+    confirmed = reply.judge(rows, _stub_model, 2026, 4).agg(F.count_if("decision")).first()[0]
+    return runs.select("workers", "n", F.lit(confirmed).alias("confirmed"), "errors", "invalid", (F.col("decisions") == runs.first().decisions).alias("alike"))
+
+
 @query("inspect_rows", f"WITH {ARTICLES_SQL} SELECT id, status FROM articles WHERE contains(title || ' ' || summary || ' ' || raw_content, 'idiot') OR contains(title || ' ' || summary || ' ' || raw_content, 'scum') OR id IN (3, 8)")
 def inspect_rows(spark, sf):
     return state.matching(articles(spark, sf), ["idiot", "scum"], [3, 8]).select("id", "status")
@@ -751,7 +763,7 @@ def reply_parse(spark, sf):
     return rows.select("conv_id", "turn", "r.decision", "r.error_kind", "r.deadline_date")
 
 
-_ASKED_SQL = "(length(title) + 1 + length(substr(coalesce(nullif(raw_content, ''), summary), 1, 4000))) % 3 = 0"
+_ASKED_SQL = _ASKED_OF
 
 
 @query("decision_summary", f"WITH {ARTICLES_SQL} SELECT count(*) FILTER (WHERE {_ASKED_SQL}) AS confirmed, count(*) FILTER (WHERE NOT {_ASKED_SQL}) AS rejected, CAST(0 AS BIGINT) AS pending FROM articles WHERE status = 'ai_pending'")
