@@ -128,8 +128,13 @@ def run_until_idle(query: StreamingQuery) -> None:
 
 
 def _with_state(spark: SparkSession, start: Callable[[], StreamingQuery], partitions: int | None = None) -> StreamingQuery:
-    """Start a query under the settings that keyed state needs; the session's own come back."""
-    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB} | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    """Start a query under the settings that keyed state needs; the session's own come back.
+
+    Every partition of a state is a store that each batch opens, so unless `partitions`
+    says otherwise there are at most two for each core, however many a shuffle has.
+    """
+    partitions = partitions or min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.shuffle.partitions": str(partitions)}
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
