@@ -306,10 +306,13 @@ def fit(texts: list[tuple[str, str]], iterations: int = ITERATIONS, seed: int =
 def fit_on(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageCrf | None:
     """Fit on about `sample_per_language` texts of each language of `docs` (doc_id, text, lang)."""
     known = docs.where("lang is not null and doc_id is not null and text is not null").select("doc_id", "text", "lang")
-    # drawn by a hash threshold from the language's count, a fifth more than the sample, so that no language is sorted whole
-    drawn = known.withColumn("draw", F.xxhash64(F.lit(11), "doc_id")).join(known.groupBy("lang").agg(F.count("*").alias("n")), "lang")
-    share = (F.col("draw").cast("double") + 2.0**63) / 2.0**64
-    chosen = whole_texts(drawn.where(share <= (sample_per_language * 1.2 + 20) / F.col("n")).select("lang", "draw", "doc_id", "text"), "lang", sample_per_language, FIT_BYTES)
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    if not counts:
+        return None
+    # drawn by a hash threshold from the language's count, a fifth more than the sample, in the scan: only drawn rows are shuffled
+    share = F.try_element_at(F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, (sample_per_language * 1.2 + 20) / n)]), F.col("lang"))
+    drawn = known.withColumn("draw", F.xxhash64(F.lit(11), "doc_id")).where((F.col("draw").cast("double") + 2.0**63) / 2.0**64 <= share)
+    chosen = whole_texts(drawn.select("lang", "draw", "doc_id", "text"), "lang", sample_per_language, FIT_BYTES)
 
     def learn(rows: list[dict]) -> LanguageCrf | None:
         rows.sort(key=lambda r: (r["lang"], r["draw"], r["doc_id"], r["text"]))
