@@ -469,3 +469,25 @@ def test_bootstrap_covers_the_ratio(spark):
     exact = evaluate.ratios(evaluate.confusion(rows)).first()
     assert all(low < exact[name] < high and high - low < 0.2 for name, (low, high) in got.items())
     assert got == {r.name: (r.low, r.high) for r in evaluate.bootstrap(spark, rows.repartition(7), 300).collect()}
+
+
+def _asked(spark, n):
+    return spark.range(n).select("id", F.format_string("t%d", "id").alias("title"), F.lit("").alias("raw_content"), F.lit("s").alias("summary"))
+
+
+def test_rounds_of_judging_grow(spark):
+    """Workers tell each other after 1, 2, 4 ... calls, so that many rows are few rounds."""
+    rows = _asked(spark, 60)
+    dealt = rows.repartition(2, "id").withColumn("w", F.spark_partition_id()).orderBy("id").collect()
+    own = [[r.id for r in dealt if r.w == w] for w in (0, 1)]
+    bad = own[0][3]
+
+    def model(prompt):
+        if prompt.startswith(f"t{bad}\n"):
+            raise ConnectionError("down")
+        return '{"is_award_application": true}'
+
+    got = {r.id: r.error_kind for r in reply.judge(rows, model, 2026, 2, calls=1).collect()}
+    assert len(got) == 60 and [i for i, k in got.items() if k == reply.TRANSPORT] == [bad]
+    # the call fails in the third round, which is the fourth to seventh row of either worker
+    assert {i for i, k in got.items() if k == ""} == {*own[0][:3], *own[1][:7]}
