@@ -111,3 +111,10 @@ def test_dates_of_links_are_those_of_their_texts():
             m = html.DATE.search(node.text(strip=False))
             assert page.date_in(node) == (m.group() if m else "")
 
+
+
+def test_names_without_a_semicolon_are_no_references():
+    page = "<body><article><h1>Cut off &am</h1><p>terms &amp</p>&lt;b&gt; &copy2 &notit; &nosuch; &#38 &eacute; enough of a text</article><a href='/x?a=1&copy=2&amp;b=3'>a&lt</a></body>"
+    assert html.readable(page) == "Cut off &am terms &amp <b> &copy2 &notit; &nosuch; & é enough of a text"
+    (link,) = html.links(page)
+    assert (link["href"], link["title"]) == ("/x?a=1&copy=2&b=3", "a&lt")
