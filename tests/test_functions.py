@@ -118,3 +118,21 @@ def test_names_without_a_semicolon_are_no_references():
     assert html.readable(page) == "Cut off &am terms &amp <b> &copy2 &notit; &nosuch; & é enough of a text"
     (link,) = html.links(page)
     assert (link["href"], link["title"]) == ("/x?a=1&copy=2&b=3", "a&lt")
+
+
+def test_pages_are_parsed_once_and_in_slices(spark, tmp_path, monkeypatch):
+    """A filter on what a UDF gave doesn't run it again, and any number of pages is a few at a time."""
+    import pyarrow as pa
+
+    from tidewater.operators import filters
+
+    spark.createDataFrame([(1, "http://h.com/", "<ul><li><a href='/x'>a long title</a></li></ul>"), (2, None, None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages")
+    pages = spark.read.parquet(f"{tmp_path}/pages")
+    for kind, selectors in (("wide", html.LIST_SELECTORS), ("narrow", None)):
+        rows = filters.link_rows(pages.withColumn("links", html.links_column(selectors)("html")), kind, [])
+        assert [(r.page_id, r.title, r.url) for r in rows.collect()] == [(1, "a long title", "http://h.com/x")]
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 2  # one parses, one joins URLs
+    seen = []
+    monkeypatch.setattr(html, "SLICE", 10)
+    got = html._by_slices(lambda h, n: seen.append(h) or f"{h}{n}", pa.string(), pa.array(["a" * 25, None, "b", ""]).slice(1), pa.array([1, 2, 3, 4]).slice(1))
+    assert got.to_pylist() == ["None2", "b3", "4"] and html._by_slices(len, pa.int32(), pa.array([], pa.string())).to_pylist() == []

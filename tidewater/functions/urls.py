@@ -61,6 +61,9 @@ def join_url(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([urljoin(b or "", h or "") for b, h in zip(base, href)], dtype=object)
 
 
+join_url = join_url.asNondeterministic()  # so that Spark doesn't join once more for a filter on what came out
+
+
 def canonical_url_native(url: Column) -> Column:
     """The canonical form inside the JVM, for URLs whose query needs no re-encoding."""
     text = F.trim(F.coalesce(url, F.lit("")))
