@@ -53,6 +53,21 @@ def test_stored_rows_are_not_read_again(spark, tmp_path):
     assert kept == {1, 2, 5, 6}
 
 
+def test_rounds_send_nothing_through_the_driver(spark):
+    """No round broadcasts the states of the slices."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return cut(df)
+
+    rows = cut(spark.createDataFrame([(i, f"u{i % 3}", f"t{i % 2}", "s", DAY + dt.timedelta(days=i)) for i in range(6)], SCHEMA))
+    kept = dedup.keep_disjunctive(rows, seen)
+    assert [r.id for r in kept.where("kept").orderBy("id").collect()] == [0, 1]
+    plans.append(kept._jdf.queryExecution().sparkPlan().toString())
+    assert len(plans) > 2 and not [p for p in plans if "Broadcast" in p]
+
+
 REPORT = "event_key string, id long, tier string, priority int, completeness int, publish_date string, created_at timestamp"
 
 

@@ -64,7 +64,8 @@ def keep_disjunctive(df: DataFrame, cut: Callable[[DataFrame], DataFrame], days:
     very many rows (a title that is blank) is as many tasks as its slices. There
     are as many rounds as the longest chain of conflicts that alternates between
     dropped and kept rows, two for each `days` of time and chain at most. `cut`
-    writes each round.
+    writes each round. Its joins are merged: in every round a broadcast of the slices
+    would pass the driver once more.
     """
     own = F.col("id")
     rows = df.select(
@@ -83,8 +84,8 @@ def keep_disjunctive(df: DataFrame, cut: Callable[[DataFrame], DataFrame], days:
             same = (F.col("__slice") == F.col("__next")) & F.expr(" and ".join(f"{k} <=> __{i}" for i, k in enumerate(keys)))
             before = Window.partitionBy(*keys, "__slice").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, -1)
             running = seen.withColumns({f"{name}{n}": F.max(F.when(s, F.col("created_at"))).over(before) for name, s in states.items()})
-            joined = running.join(ended, same, "left")
+            joined = running.join(ended.hint("merge"), same, "left")
             seen = joined.withColumns({f"{name}{n}": F.coalesce(F.greatest(f"{name}{n}", f"__{name}") >= since, F.lit(False)) for name in states}).drop("__0", "__1", "__2", "__next", *[f"__{name}" for name in states])
         verdict = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.expr("conflict0 or conflict1"), F.lit(False)).when(F.expr("not waiting0 and not waiting1"), F.lit(True))
         rows = cut(seen.withColumn("kept", verdict).select(rows.columns))
-    return df.join(rows.select("id", "kept"), "id", "left")
+    return df.join(rows.select("id", "kept").hint("merge"), "id", "left")
