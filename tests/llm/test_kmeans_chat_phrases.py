@@ -249,3 +249,12 @@ def test_scores_past_64_bits(spark):
     cases = [(9_999_999_999_999, 99_999_999_999_999, 99_999_999_999_998), (10, 10, 10), (3, 7, 3), (2**40, 2**41 + 1, 2**40 + 3)]
     got = spark.createDataFrame(cases, "a long, l long, r long").select("a", "l", "r", phrase_hash.exact_score(F.col("a"), F.col("l"), F.col("r")).alias("s")).collect()
     assert all(r.s == 10**6 * r.a * r.a // (r.l * r.r) for r in got)
+
+
+def test_phrases_are_read_a_megabyte_at_a_time():
+    """What a task holds of its texts at a time is part of an executor's memory."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["some words " * 1000] * 400), pa.array(["en"] * 400)], names=["text", "lang"])
+    found = list(phrase_hash._unique_words([batch], 1))
+    assert len(found) >= 4 and sum(sum(b.column(3).to_pylist()) for b in found) == 800_000

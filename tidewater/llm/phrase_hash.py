@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import cut, scratch, slices
+from tidewater.llm.common import cut, scratch, slices, trim
 from tidewater.llm.perfect_hash import PerfectHash, folded
 from tidewater.llm.shingles import _BYTE, _LOWER, _power_table, mix
 
@@ -43,7 +43,7 @@ SHARD_KEYS = 1 << 17
 #: Tasks that may count for one shard.
 FAN = 8
 #: Bytes of text in a slice, and words in a run: ids of words in a run have 21 bits.
-SLICE, RUN = 3_000_000, 1 << 20
+SLICE, RUN = 1_000_000, 1 << 20
 #: Bits of a bitmap for each key in it, and the most bits that a bitmap has.
 KEY_BITS, MOST_BITS = 16, 1 << 31
 
@@ -127,6 +127,7 @@ def _unique_words(batches, seed: int):
         found, first, n = np.unique(words.hashes, return_index=True, return_counts=True)
         lang = pa.DictionaryArray.from_arrays(pa.array(words.lang[first], pa.int32()), words.names.dictionary).dictionary_decode()
         yield pa.RecordBatch.from_arrays([lang, words.strings(first), pa.array(found), pa.array(n)], names=["lang", "word", "w", "n"])
+    trim()
 
 
 def count_words(texts: DataFrame, seed: int) -> DataFrame:
@@ -259,6 +260,7 @@ def grow(texts: DataFrame, size: int, known: Apriori, seed: int, least: int) ->
                 for keys, n in known.phrases(*run, (size,)):
                     if len(n):
                         yield pa.RecordBatch.from_arrays([*(pa.array(keys[:, c]) for c in range(LONGEST)), pa.array(n)], names=["w1", "w2", "w3", "n"])
+        trim()
 
     rows = texts.mapInArrow(emit, "w1 long, w2 long, w3 long, n long")
     return rows.groupBy("w1", "w2", "w3").agg(F.sum("n").alias("reach")).where(F.col("reach") >= least).select("w1", "w2", "w3")
@@ -428,6 +430,7 @@ def count_phrases(texts: DataFrame, shards: Shards, known: Apriori, seed: int) -
                 for keys, n in known.phrases(*run, (2, 3)):
                     if len(n):
                         yield packed(number, keys, n)
+        trim()
 
     chunks = texts.mapInArrow(emit, CHUNKS)
     totals = _tree_sum(shards.meet(chunks, _Counting, "shard long, total binary"), shards.spark)
