@@ -64,8 +64,7 @@ def keep_disjunctive(df: DataFrame, cut: Callable[[DataFrame], DataFrame], days:
     very many rows (a title that is blank) is as many tasks as its slices. There
     are as many rounds as the longest chain of conflicts that alternates between
     dropped and kept rows, two for each `days` of time and chain at most. `cut`
-    writes each round. Its joins are merged: in every round a broadcast of the slices
-    would pass the driver once more.
+    writes each round. Nothing is joined in a round, so nothing of it is broadcast.
     """
     own = F.col("id")
     rows = df.select(
@@ -79,13 +78,13 @@ def keep_disjunctive(df: DataFrame, cut: Callable[[DataFrame], DataFrame], days:
     while not rows.where("kept is null").isEmpty():
         seen = rows
         for n, keys in enumerate((["__u", "__ui"], ["__t", "__s", "__ti"])):
-            # a row meets those of its own slice and of the one before
-            ended = rows.groupBy(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], (F.col("__slice") + 1).alias("__next")).agg(*[F.max(F.when(s, F.col("created_at"))).alias(f"__{name}") for name, s in states.items()])
-            same = (F.col("__slice") == F.col("__next")) & F.expr(" and ".join(f"{k} <=> __{i}" for i, k in enumerate(keys)))
-            before = Window.partitionBy(*keys, "__slice").orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, -1)
-            running = seen.withColumns({f"{name}{n}": F.max(F.when(s, F.col("created_at"))).over(before) for name, s in states.items()})
-            joined = running.join(ended.hint("merge"), same, "left")
-            seen = joined.withColumns({f"{name}{n}": F.coalesce(F.greatest(f"{name}{n}", f"__{name}") >= since, F.lit(False)) for name in states}).drop("__0", "__1", "__2", "__next", *[f"__{name}" for name in states])
+            # a row meets those of its own slice and of the one before, whose maxima stand first in its slice
+            last = {f"__{name}": F.max(F.when(s, F.col("created_at"))) for name, s in states.items()}
+            ended = rows.groupBy(*keys, (F.col("__slice") + 1).alias("__slice")).agg(*[m.alias(c) for c, m in last.items()]).withColumn("__row", F.lit(False))
+            both = seen.withColumns({f"__{name}": F.when(s, F.col("created_at")) for name, s in states.items()}).withColumn("__row", F.lit(True)).unionByName(ended, allowMissingColumns=True)
+            before = Window.partitionBy(*keys, "__slice").orderBy("__row", "created_at", "id").rowsBetween(Window.unboundedPreceding, -1)
+            running = both.withColumns({f"{name}{n}": F.coalesce(F.max(f"__{name}").over(before) >= since, F.lit(False)) for name in states})
+            seen = running.where("__row").drop("__row", *[f"__{name}" for name in states])
         verdict = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.expr("conflict0 or conflict1"), F.lit(False)).when(F.expr("not waiting0 and not waiting1"), F.lit(True))
         rows = cut(seen.withColumn("kept", verdict).select(rows.columns))
     return df.join(rows.select("id", "kept").hint("merge"), "id", "left")
