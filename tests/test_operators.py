@@ -491,3 +491,17 @@ def test_rounds_of_judging_grow(spark):
     assert len(got) == 60 and [i for i, k in got.items() if k == reply.TRANSPORT] == [bad]
     # the call fails in the third round, which is the fourth to seventh row of either worker
     assert {i for i, k in got.items() if k == ""} == {*own[0][:3], *own[1][:7]}
+
+
+def test_a_benchmark_judges_once_for_each_number_of_workers(spark, tmp_path):
+    """What it says of the decisions comes from the runs it measures, and not from one more."""
+    calls = tmp_path / "calls"
+
+    def model(prompt):
+        with open(calls, "a") as f:
+            f.write("x\n")
+        return '{"is_award_application": %s}' % ("true" if prompt.startswith("t1") else "false")
+
+    runs = reply.benchmark(_asked(spark, 20), model, 2026, workers=(1, 2), repeats=1)
+    assert [(r.workers, r.n, r.confirmed, r.errors, r.invalid) for r in runs.orderBy("workers").collect()] == [(1, 20, 11, 0, 0), (2, 20, 11, 0, 0)]
+    assert len(calls.read_text().split()) == 40
