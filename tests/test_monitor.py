@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater.operators import reply
 from tidewater.plans import config, monitor, run, runs
 from tidewater.storage import cut
 from tidewater.schemas import ARTICLE, EXTRACTION
@@ -94,6 +95,22 @@ def test_replay(spark):
     assert got == {1: (None, True), 2: ("stale_year", False)}
 
 
+def test_rounds_of_a_replay_grow(spark):
+    """The second round of a replay has twice the calls of the first, so many rows are few rounds."""
+    rows = spark.range(300).select("id", F.format_string("2026年规划奖申报%d号", "id").alias("title"), F.lit("x").alias("source"), F.lit("2026-07-07").alias("event_date"))
+    dealt = rows.repartition(2, "id").withColumn("w", F.spark_partition_id()).orderBy("id").collect()
+    own = [[r.id for r in dealt if r.w == w] for w in (0, 1)]
+    bad = f"报{own[0][reply.CALLS + 5]}号"
+
+    def down(prompt):
+        if bad in prompt:
+            raise ConnectionError("down")
+        return '{"is_award_application": true}'
+
+    got = {r.id for r in monitor.replay(rows, down).where("predicted").collect()}
+    assert got == {*own[0][: reply.CALLS + 5], *own[1][: 3 * reply.CALLS]}
+
+
 def test_sinks():
     assert sinks.signature("1", "s") == sinks.signature("1", "s") != sinks.signature("2", "s")
     answers = iter(["busy", None])
