@@ -53,6 +53,20 @@ def test_stored_rows_are_not_read_again(spark, tmp_path):
     assert kept == {1, 2, 5, 6}
 
 
+def test_states_are_kept_without_python(spark, tmp_path):
+    """States are running maxima by slice; kept rows set them along with the next arrivals, also for rows out of order and in slices beside theirs."""
+    arrivals, store, check = (str(tmp_path / n) for n in ("in", "store", "check"))
+    parts = [[(1, "u", "a", 0), (2, "v", "b", 95)], [(3, "u", "x", 80), (4, "v", "y", 89), (5, "t", "b", 10), (6, "w", "z", 95)], [(7, "w", "q", 185), (8, "w", "r", 186)]]
+    for n, rows in enumerate(parts):
+        arrive(spark, [(i, u, t, "s", DAY + dt.timedelta(days=d)) for i, u, t, d in rows], SCHEMA, arrivals, n)
+        stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(arrivals)
+        query = keyed.dedup_stream(spark, stream, store, check, cut, partitions=2, available=True)
+        query.awaitTermination()
+        assert [p.batchId for p in query.recentProgress] == [n]
+        assert [o.operatorName for o in query.lastProgress.stateOperators] == ["stateStoreSave"]
+    assert sorted(r.id for r in spark.read.parquet(store).collect()) == [1, 2, 6, 8]
+
+
 def test_rounds_send_nothing_through_the_driver(spark):
     """No round broadcasts the states of the slices."""
     plans = []

@@ -215,15 +215,13 @@ def dedup_stream(spark, sf):
     first, last = rows.agg(F.min("created_at"), F.max("created_at")).first()
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     keyed.make_folder(spark, arrivals)
-    query = keyed.dedup_stream(spark, spark.readStream.schema(schema).parquet(arrivals), store, check, cut)
-    try:
-        for n in range(4 if first else 0):
-            step = (last - first) / 4
-            part = F.col("created_at") >= F.lit(first + n * step).cast("timestamp_ntz")
-            rows.where(part & (F.col("created_at") < F.lit(first + (n + 1) * step).cast("timestamp_ntz")) if n < 3 else part).write.mode("append").parquet(arrivals)
-            query.processAllAvailable()
-    finally:
-        query.stop()
+    keyed.make_folder(spark, store)
+    for n in range(4 if first else 0):
+        step = (last - first) / 4
+        part = F.col("created_at") >= F.lit(first + n * step).cast("timestamp_ntz")
+        # nothing runs while a part is written, or a batch could take some of its files before the others
+        rows.where(part & (F.col("created_at") < F.lit(first + (n + 1) * step).cast("timestamp_ntz")) if n < 3 else part).write.mode("append").parquet(arrivals)
+        keyed.dedup_stream(spark, spark.readStream.schema(schema).parquet(arrivals), store, check, cut, available=True).awaitTermination()
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(store).select("id")
 
 
