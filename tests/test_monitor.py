@@ -111,6 +111,14 @@ def test_rounds_of_a_replay_grow(spark):
     assert got == {*own[0][: reply.CALLS + 5], *own[1][: 3 * reply.CALLS]}
 
 
+def test_answers_are_decoded_by_all_cores(spark):
+    """Answers that are much alike weigh little, and still one task doesn't decode them all."""
+    rows = spark.range(3000).select("id", F.lit("x").alias("title"), F.lit("").alias("raw_content"), F.lit("").alias("summary"))
+    judged = reply.judge(rows, lambda prompt: '{"is_award_application": true}', 2026, workers=2)
+    got = judged.where("decision").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in got) == 3000 and len(got) == max(2, spark.sparkContext.defaultParallelism)
+
+
 def test_sinks():
     assert sinks.signature("1", "s") == sinks.signature("1", "s") != sinks.signature("2", "s")
     answers = iter(["busy", None])
